@@ -1,6 +1,7 @@
 """Queries and SQL of this subpackage, for the registry at the repository top."""
 
 from bytelore.llm import sharding, urls
+from bytelore.llm.language import op10_language
 from bytelore.llm.pieces import op9_pieces
 from bytelore.llm.secrets import op1_secrets
 from bytelore.llm.sharding import op5_sharding
@@ -8,7 +9,7 @@ from bytelore.llm.urls import op4_urls
 
 
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets, "op4_urls": op4_urls, "op5_sharding": op5_sharding, "op9_pieces": op9_pieces}
+    return {"op1_secrets": op1_secrets, "op4_urls": op4_urls, "op5_sharding": op5_sharding, "op9_pieces": op9_pieces, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
