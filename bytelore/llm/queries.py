@@ -1,6 +1,7 @@
 """Queries and SQL of this subpackage, for the registry at the repository top."""
 
 from bytelore.llm import sharding, urls
+from bytelore.llm.decontamination import op6_decontamination
 from bytelore.llm.fingerprints import op3_fingerprints
 from bytelore.llm.language import op10_language
 from bytelore.llm.near_copies import op7_near_copies
@@ -12,7 +13,7 @@ from bytelore.llm.urls import op4_urls
 
 
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets, "op2_personal": op2_personal, "op3_fingerprints": op3_fingerprints, "op4_urls": op4_urls, "op5_sharding": op5_sharding, "op7_near_copies": op7_near_copies, "op9_pieces": op9_pieces, "op10_language": op10_language}
+    return {"op1_secrets": op1_secrets, "op2_personal": op2_personal, "op3_fingerprints": op3_fingerprints, "op4_urls": op4_urls, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_near_copies": op7_near_copies, "op9_pieces": op9_pieces, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
