@@ -5,6 +5,7 @@ from bytelore.llm.decontamination import op6_decontamination
 from bytelore.llm.fingerprints import op3_fingerprints
 from bytelore.llm.language import op10_language
 from bytelore.llm.near_copies import op7_near_copies
+from bytelore.llm.pages import op8_pages
 from bytelore.llm.personal import op2_personal
 from bytelore.llm.pieces import op9_pieces
 from bytelore.llm.secrets import op1_secrets
@@ -13,7 +14,7 @@ from bytelore.llm.urls import op4_urls
 
 
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets, "op2_personal": op2_personal, "op3_fingerprints": op3_fingerprints, "op4_urls": op4_urls, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_near_copies": op7_near_copies, "op9_pieces": op9_pieces, "op10_language": op10_language}
+    return {"op1_secrets": op1_secrets, "op2_personal": op2_personal, "op3_fingerprints": op3_fingerprints, "op4_urls": op4_urls, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_near_copies": op7_near_copies, "op8_pages": op8_pages, "op9_pieces": op9_pieces, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
