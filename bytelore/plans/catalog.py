@@ -451,7 +451,7 @@ def oracle_sql() -> dict[str, str]:
         "report_ko_lines": f"{full} SELECT object_id, 'KO,0,,,,' || filesize || ',\"' || filename || '\",,\"fail\"' AS line FROM results WHERE status = 'KO'",
         "report_custom_lines": f"{full} SELECT object_id, group_index, group_index || '/' || group_size || chr(9) || rpad(puid, 12, ' ') || '|' || lpad(filesize::VARCHAR, 8, '0') || '|' || coalesce(version, 'None') || ' 100%' AS line FROM results WHERE status = 'OK'",
         "container_types": f"WITH {OBJECTS.format(n=schema.BUFFER)} SELECT object_id, CASE WHEN starts_with(bof, '504B0304') THEN 'zip' WHEN starts_with(bof, 'D0CF11E0A1B11AE1') THEN 'ole' END AS container FROM objects WHERE starts_with(bof, '504B0304') OR starts_with(bof, 'D0CF11E0A1B11AE1')",
-        "priority_id_remap": "WITH e AS (SELECT p_partkey AS k, 0 AS at, p_partkey + 1 AS id FROM part UNION ALL SELECT p_partkey, 1, p_partkey * 7 FROM part) SELECT 'p/' || k AS puid, string_agg(CASE WHEN p.p_partkey IS NULL THEN id::VARCHAR ELSE 'p/' || id END, ',' ORDER BY at) AS inferior FROM e LEFT JOIN part p ON p.p_partkey = id GROUP BY k",
+        "priority_id_remap": "WITH e AS (SELECT p_partkey AS k, 0 AS place, p_partkey + 1 AS id FROM part UNION ALL SELECT p_partkey, 1, p_partkey * 7 FROM part) SELECT 'p/' || k AS puid, string_agg(CASE WHEN p.p_partkey IS NULL THEN id::VARCHAR ELSE 'p/' || id END, ',' ORDER BY place) AS inferior FROM e LEFT JOIN part p ON p.p_partkey = id GROUP BY k",
         "priority_edges": f"WITH {_OVER} SELECT puid, inferior FROM over_",
         "format_histogram": f"{full} SELECT puid, formatname, count(*) AS n FROM results WHERE status = 'OK' GROUP BY ALL",
         "matchtype_summary": f"{full} SELECT status, matchtype, count(*) AS n, count(DISTINCT object_id) AS objects FROM results GROUP BY ALL",
