@@ -27,26 +27,15 @@ class Anchors:
     after: str
 
 
-def _gap(low: int, high: int | None) -> str:
-    if high is not None and low == high:
-        return f".{{{low}}}"
-    return f".{{{low},{'' if high is None else high}}}"
-
-
 def anchors(position: str, offset: str | int | None = None, max_offset: str | int | None = None) -> Anchors:
     """Anchors of a position; `max_offset` is the absolute upper end of the gap, not its width."""
     low, high = _number(offset), _number(max_offset)
-    gap = ""
-    if position != "VAR" and (low or high):
-        gap = _gap(low, high) if high else f".{{{low}}}"
-        if high and not low:
-            gap = _gap(0, high) if high else ""
-            gap = f".{{0,{high}}}"
+    gap = f".{{{low},{high}}}" if high else f".{{{low}}}" if low else ""
     if position in ("BOF", "IFB"):
         return Anchors(rf"(?s)\A{gap}", "")
     if position == "EOF":
         return Anchors("(?s)", rf"{gap}\Z")
-    return Anchors("(?s)", "")
+    return Anchors("(?s)", "")  # a floating pattern has no use for offsets
 
 
 def _number(text: str | int | None) -> int:

@@ -69,6 +69,30 @@ class FormatIdentifier:
         """Results for objects given by their windows alone: no deep scan, no members."""
         return self._results(self.matches(objects), stream)
 
+    def files(self, objects: DataFrame) -> DataFrame:
+        """Results for objects whose file names can be opened: whole contents are read of containers alone."""
+        found = self.matches(objects)
+        kind = matching.container_type("matches", self.registry.formats)
+        by_name = F.lit(self.options.archives) & F.lower("filename").rlike(r"\.(zip|tar)$")
+        at = found.columns.index("filename")
+
+        def read(batches):
+            for batch in batches:
+                data = []
+                for name, wanted in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                    content = b""
+                    if wanted:
+                        try:
+                            with open(name, "rb") as f:
+                                content = f.read()
+                        except OSError:
+                            pass
+                    data.append(content)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.binary())], names=[*batch.schema.names[:-1], "content"])
+
+        wanted = found.withColumn("_wanted", F.coalesce(kind.isNotNull() | by_name, F.lit(False)))
+        return self._results(wanted.mapInArrow(read, T.StructType([*found.schema.fields, T.StructField("content", T.BinaryType())])), False)
+
     def _results(self, found: DataFrame, stream: bool) -> DataFrame:
         kind = matching.container_type("matches", self.registry.formats)
         found = found.withColumn("kind", kind)

@@ -10,7 +10,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-BROKEN = (zipfile.BadZipFile, RuntimeError, UnicodeDecodeError, NotImplementedError, EOFError, OSError, ValueError, KeyError, struct.error, zlib.error, tarfile.TarError)
+BROKEN = (zipfile.BadZipFile, RuntimeError, UnicodeDecodeError, NotImplementedError, EOFError, OSError, ValueError, LookupError, struct.error, zlib.error, tarfile.TarError)
 
 
 class CompoundFile:
