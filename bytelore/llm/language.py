@@ -32,10 +32,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 REACH = max(WIDTHS) - 1
 #: The most labelled rows that the network is fitted on, and the most windows of each; both only bound the training.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 WINDOWS_EACH = 4
 STEPS, BATCH, RATE = 500, 64, 0.02
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 17
 
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -145,7 +145,7 @@ class Predictor:
         flat = np.frombuffer(b"".join(padded) + bytes(REACH), np.uint8)
         counts = np.array([len(x) // WINDOW for x in padded])
         ends = np.cumsum(counts) - 1
-        parts, step = [], 2048
+        parts, step = [], 512
         for at in range(0, ends[-1] + 1, step):  # a very long text takes no more memory than a batch
             here = ends[(ends >= at) & (ends < at + step)] - at
             parts.append(self.windows(flat[at * WINDOW : (at + step) * WINDOW + REACH], here))
@@ -184,8 +184,9 @@ def training_windows(rows: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarra
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
     """The network fitted on a bounded sample of the labelled rows; None if there are none."""
     known = df.where(learnable(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = known.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(TRAIN_ROWS).select(text_col, lang_col).collect()
-    rows = [(r[0], r[1]) for r in chosen if has_letter(r[0])]
+    ids = known.select(id_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(TRAIN_ROWS).collect()  # ids alone are sorted and sent
+    chosen = known.where(F.col(id_col).isin([r[0] for r in ids])).select(id_col, text_col, lang_col).collect() if ids else []
+    rows = [(r[1], r[2]) for r in sorted(chosen) if has_letter(r[1])]
     if not rows:
         return None
     windows, labels, languages = training_windows(rows)

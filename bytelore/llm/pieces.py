@@ -27,27 +27,31 @@ from pyspark.sql import functions as F
 from bytelore.llm.common import arrow_batch, table, text_column
 
 SPACE = "▁"
-#: Chunks kept per worker; the tables are emptied when they are full.
-KEPT_CHUNKS = 700_000
-KEPT_PAIRS = 1_000_000
+#: Chunks and pairs kept per worker, twice at most.
+KEPT_CHUNKS = 200_000
+KEPT_PAIRS = 300_000
 LONGEST_KEPT = 80
 
 codecs.register_error("bytelore_each_byte", lambda e: ("�", e.start + 1))
 
 
 class _Kept(dict):
-    """A bounded memory of a function's results."""
+    """A bounded memory of a function's results: what was used since the last turn, and, in `_old`, what was before it."""
 
     def __init__(self, made, most: int):
         super().__init__()
-        self._made, self._most = made, most
+        self._made, self._most, self._old = made, most, {}
 
     def __missing__(self, key):
-        value = self._made(key)
+        value = self._old.get(key)
+        if value is None:
+            value = self._made(key)
+            if isinstance(key, str) and len(key) > LONGEST_KEPT:
+                return value
         if len(self) >= self._most:
+            self._old = dict(self)
             self.clear()
-        if not isinstance(key, str) or len(key) <= LONGEST_KEPT:
-            self[key] = value
+        self[key] = value
         return value
 
 
@@ -97,7 +101,7 @@ class PieceCodec:
         automaton.make_automaton()
         self._automaton = automaton
         self._compatible = _Kept(self._check_pair, KEPT_PAIRS)
-        self._packed = _Kept(self._pack, KEPT_CHUNKS)
+        self._packed = _Kept(self._pack, KEPT_CHUNKS // 4)
         self._spaced = _Kept(lambda word: self._pack(SPACE + word), KEPT_CHUNKS)
 
     def _check_pair(self, pair: int) -> bool:
