@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +49,41 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of a batch that goes to Python at once. Texts are large, and each task holds a batch several times over.
+BATCH_ROWS = 500
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow` in small batches; a session that sets the size of batches itself keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """`make()`, kept in this worker until another key is asked for: what one operator remembers is gone when the next begins."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            _give_back()
+        _held[key] = make()
+    return _held[key]
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def text_column(name: str = "text") -> Column:
     """Whole text, null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -1,11 +1,12 @@
 """Main text of web pages by nearest-URL page differencing (operator 8).
 
 Method. A page is cut into lines, one for each block of text, with elements left out that never hold an article (menus,
-headers, footers, sidebars, forms, scripts, styles, and elements named as notices, adverts or comments). Pages are sorted
-by host, then path; of the pages before and after it, the one on the same host whose path shares the longer beginning is a
-page's pair. The lines of both are aligned by a longest common subsequence, and lines that they share are deleted as site
-furniture. Lines inside `article` or `main` elements are kept even if shared: a sentence that the pair's article has, too,
-is text and not furniture. If a page has such an element, lines outside all of them are furniture as well.
+headers, footers, sidebars, forms, scripts, styles, and elements named as notices, adverts or comments). If a page has an
+`article` or `main` element, the lines inside are its text: a sentence that another page's article has, too, is text and
+not furniture, so they are not compared. All other lines can be site furniture. Pages are sorted by host, then path; of the
+pages before and after it, the one on the same host whose path shares the longer beginning is a page's pair. The furniture
+lines of both are aligned by a longest common subsequence, and the shared ones are deleted; what is left is the text of a
+page without such an element. Only these lines are sorted; settled texts are not moved.
 
 Inside a block, character references are decoded and white space becomes one space; blocks are joined by an empty line.
 
@@ -19,14 +20,16 @@ from __future__ import annotations
 import html
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelore.llm.common import spark_schema, table
+from bytelore.llm.common import mapped, spark_schema, table
 from bytelore.llm.neighbours import with_neighbours
 from bytelore.llm.urls import url_parts
 
 Line = tuple[str, bool]
+JOIN = "\n\n"
 
 #: Names of elements and of classes, ids and roles.
 LEFT_OUT = frozenset("head script style noscript template nav header footer aside form button select textarea iframe svg canvas object audio video dialog menu title".split())
@@ -139,14 +142,19 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
     return out
 
 
-def main_text(own: list[Line], pair: list[Line] | None) -> str:
-    inside = any(x[1] for x in own)
-    kept = [True] * len(own)
-    if inside:
-        kept = [x[1] for x in own]
-    elif pair:
-        kept = [not s for s in shared([x[0] for x in own], [x[0] for x in pair])]
-    return "\n\n".join(x[0] for x, k in zip(own, kept, strict=True) if k)
+def own_text(found: list[Line]) -> str | None:
+    """Text of the lines inside `article` or `main`; None for a page without such an element."""
+    kept = [x for x, inside in found if inside]
+    return JOIN.join(kept) if kept else None
+
+
+def free_lines(found: list[Line]) -> list[str]:
+    """Lines that may be site furniture."""
+    return [x for x, inside in found if not inside]
+
+
+def without_shared(own: list[str], pair: list[str] | None) -> str:
+    return JOIN.join(x for x, s in zip(own, shared(own, pair or []), strict=True) if not s)
 
 
 def _common(a: str, b: str) -> int:
@@ -159,27 +167,33 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host, path = url_parts(url_col)
     rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).cast("string").alias(url_col), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    kept: dict[str, list[Line]] = {}
+    at = rows.columns.index("html")
+    cut_schema = spark_schema((id_col, "long"), (url_col, "string"), ("host", "string"), ("path", "string"), ("text", "string"), ("free", "array<string>"))
+
+    def cut(batches):
+        for batch in batches:
+            found = [lines(h) for h in batch.column(at).to_pylist()]
+            texts = [own_text(f) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in (id_col, url_col, "host", "path")), pa.array(texts, pa.string()), pa.array([free_lines(f) for f in found], pa.list_(pa.string()))],
+                names=[id_col, url_col, "host", "path", "text", "free"],
+            )
 
-    def of(page: str) -> list[Line]:
-        if page not in kept:
-            for old in list(kept)[:-2]:
-                del kept[old]
-            kept[page] = lines(page)
-        return kept[page]
+    whole = mapped(rows, cut, cut_schema)
+    direct = whole.where("text IS NOT NULL").select(id_col, url_col, "text")
 
     def make(before, row, after):
-        page_id, url, page, host, path = row
-        near = [r for r in (before, after) if r is not None and r[3] == host]
-        own = of(page)
-        pair = None
-        if near and not any(x[1] for x in own):
-            pair = of(max(near, key=lambda r: _common(r[4], path))[2])
-        text = main_text(own, pair)
-        return page_id, url, text, len(text)
-
-    schema = spark_schema((id_col, "long"), (url_col, "string"), ("text", "string"), ("n_chars", "long"))
-    return with_neighbours(rows, ["host", "path", url_col, id_col], schema, make)
+        page_id, url, host, path, complete, free = row
+        if complete:
+            return page_id, url, None
+        near = [r for r in (before, after) if r is not None and r[2] == host]
+        pair = max(near, key=lambda r: _common(r[3], path))[5] if near else None
+        return page_id, url, without_shared(free, pair)
+
+    # texts that are settled stay where they are; only lines that may be furniture are sorted by URL
+    lean = whole.select(id_col, url_col, "host", "path", F.col("text").isNotNull().alias("complete"), "free")
+    paired = with_neighbours(lean, ["host", "path", url_col, id_col], spark_schema((id_col, "long"), (url_col, "string"), ("text", "string")), make)
+    return direct.unionByName(paired.where("text IS NOT NULL")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
