@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelore.llm.common import arrow_batch, stored, table
+from bytelore.llm.common import arrow_batch, mapped, stored, table
 from bytelore.llm.near_copies import _hashes, kmer_hashes
 
 SEED = 5
@@ -162,7 +162,7 @@ def covering(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
     out = None
     for block in blocks(items, item_col, "text"):
-        part = docs.mapInArrow(_pairs(tuple(block), id_col), schema)
+        part = mapped(docs, _pairs(tuple(block), id_col), schema)
         out = part if out is None else stored(out).unionByName(stored(part))
     return out if out is not None else df.sparkSession.createDataFrame([], schema)
 
@@ -182,7 +182,7 @@ def without_covering(df: DataFrame, items: DataFrame, text_col: str = "text", it
     """The rows, with all their columns, of documents that cover no item."""
     at = df.columns.index(text_col)
     for block in blocks(items, item_col, "text"):
-        df = df.mapInArrow(_filter(tuple(block), at), df.schema)
+        df = mapped(df, _filter(tuple(block), at), df.schema)
     return df
 
 

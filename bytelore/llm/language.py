@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytelore.llm.common import arrow_batch, table
+from bytelore.llm.common import arrow_batch, mapped, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -212,7 +212,7 @@ def with_language(df: DataFrame, network: ByteNetwork | None, text_col: str = "t
             languages, scores = own.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return mapped(df, run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bytelore.llm.common import stored
+from bytelore.llm.common import mapped, stored
 
 Row = tuple
 BATCH = 512
@@ -91,9 +91,9 @@ def with_neighbours(df: DataFrame, order: list[str], schema: T.StructType, make:
         yield packed(rows, made_types)
 
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    whole = stored(ranged.mapInArrow(inside, both))
+    whole = stored(mapped(ranged, inside, both))
     done = whole.where("_part IS NULL").select(*schema.names)
     ends = whole.where("_part IS NOT NULL").select("_part", "_seq", "_open", *raw.names)
-    ends = ends.repartition(1).sortWithinPartitions("_part", "_seq").mapInArrow(between, schema)
+    ends = mapped(ends.repartition(1).sortWithinPartitions("_part", "_seq"), between, schema)
     return done.unionByName(ends)
 

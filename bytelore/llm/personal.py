@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelore.llm.boosting import BoostedTrees
-from bytelore.llm.common import arrow_batch, table, text_column
+from bytelore.llm.common import arrow_batch, mapped, table, text_column
 
 Span = tuple[int, int, str]
 BASE = ("email", "ip", "card", "phone")
@@ -256,7 +256,7 @@ def personal_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             c = list(zip(*rows, strict=True)) or [()] * 5
             yield arrow_batch({id_col: (list(c[0]), pa.int64()), "kind": (list(c[1]), pa.string()), "start": (list(c[2]), pa.int64()), "end": (list(c[3]), pa.int64()), "value": (list(c[4]), pa.string())})
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")).mapInArrow(run, f"{id_col} long, kind string, start long, end long, value string")
+    return mapped(df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")), run, f"{id_col} long, kind string, start long, end long, value string")
 
 
 def personal_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +269,7 @@ def personal_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             counts = {f"n_{k}": ([sum(x[2] == k for x in b) for b, _ in both], pa.int64()) for k in BASE}
             yield arrow_batch({id_col: (batch.column(0), pa.int64()), **counts, "base_sha256": ([hashlib.sha256(span_text(b).encode()).hexdigest() for b, _ in both], pa.string()), "spans": ([span_text(s) for _, s in both], pa.string())})
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")).mapInArrow(run, f"{id_col} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return mapped(df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")), run, f"{id_col} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,19 +17,18 @@ from __future__ import annotations
 import codecs
 import hashlib
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelore.llm.common import arrow_batch, table, text_column
+from bytelore.llm.common import arrow_batch, held, mapped, table, text_column
 
 SPACE = "▁"
 #: Chunks and pairs kept per worker, twice at most.
 KEPT_CHUNKS = 200_000
-KEPT_PAIRS = 300_000
+KEPT_PAIRS = 200_000
 LONGEST_KEPT = 80
 
 codecs.register_error("bytelore_each_byte", lambda e: ("�", e.start + 1))
@@ -233,10 +232,9 @@ def _cut(line: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=2)
 def codec(model_file: str) -> PieceCodec:
     """One codec for each worker process."""
-    return PieceCodec(model_file)
+    return held(("pieces", model_file), lambda: PieceCodec(model_file))
 
 
 def piece_ids(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,7 +246,7 @@ def piece_ids(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
             yield arrow_batch({id_col: (batch.column(0), pa.int64()), "ids": (ids, pa.list_(pa.int32())), "decoded": ([own.decode(x) for x in ids], pa.string())})
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")).mapInArrow(run, f"{id_col} long, ids array<int>, decoded string")
+    return mapped(df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")), run, f"{id_col} long, ids array<int>, decoded string")
 
 
 def piece_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +264,7 @@ def piece_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_c
                 of_text.append(hashlib.sha256(own.decode(np.frombuffer(packed, "<u4").tolist()).encode()).hexdigest())
             yield arrow_batch({id_col: (batch.column(0), pa.int64()), "n_tokens": (count, pa.int64()), "ids_sha256": (of_ids, pa.string()), "decoded_sha256": (of_text, pa.string())})
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")), run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def model_path() -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelore.llm.automaton import Automaton, Node, alt, at_least, chars, maybe, plus, seq, star, turned, word
-from bytelore.llm.common import arrow_batch, table, text_column
+from bytelore.llm.common import arrow_batch, mapped, table, text_column
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _WORD = chars(_UPPER + _LOWER + _DIGIT)
@@ -136,7 +136,7 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             c = list(zip(*rows, strict=True)) or [()] * 5
             yield arrow_batch({id_col: (list(c[0]), pa.int64()), "kind": (list(c[1]), pa.string()), "start": (list(c[2]), pa.int64()), "end": (list(c[3]), pa.int64()), "secret": (list(c[4]), pa.string())})
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")).mapInArrow(run, f"{id_col} long, kind string, start long, end long, secret string")
+    return mapped(df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")), run, f"{id_col} long, kind string, start long, end long, secret string")
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -150,7 +150,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [t and redacted(t, own.spans(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
 
 
 def secret_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +164,7 @@ def secret_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             counts = {f"n_{k}": ([sum(x[2] == k for x in b) for b in base], pa.int64()) for k in BASE}
             yield arrow_batch({id_col: (batch.column(0), pa.int64()), **counts, "base_sha256": ([hashlib.sha256(span_text(b).encode()).hexdigest() for b in base], pa.string()), "spans": ([span_text(s) for s in spans], pa.string())})
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")).mapInArrow(run, f"{id_col} long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return mapped(df.select(F.col(id_col).cast("long").alias(id_col), text_column(text_col).alias("text")), run, f"{id_col} long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
