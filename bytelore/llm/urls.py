@@ -50,12 +50,8 @@ def grams(url: str = "url") -> F.Column:
     folded = F.regexp_replace(F.lower(F.coalesce(F.col(url), F.lit(""))), "[0-9]", "0")
     symbols = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.when(F.instr(F.lit(ALPHABET), c) > 0, F.instr(F.lit(ALPHABET), c)).otherwise(OTHER))
     padded = F.concat(F.array(F.lit(0), F.lit(0)), symbols, F.array(F.lit(END)))
-    return F.expr("transform(slice(_s, 3, size(_s)), (c, i) -> _s[i] * 1600 + _s[i + 1] * 40 + c)"), padded
-
-
-def with_grams(df: DataFrame, url: str = "url") -> DataFrame:
-    codes, padded = grams(url)
-    return df.withColumn("_s", padded).withColumn("_grams", codes).drop("_s")
+    coded = lambda s: F.transform(F.slice(s, 3, F.size(s)), lambda c, i: F.get(s, i) * SIZE * SIZE + F.get(s, i + 1) * SIZE + c)
+    return F.get(F.transform(F.array(padded), coded), F.lit(0))  # one array of symbols for all positions
 
 
 def ratio_table(labelled: DataFrame) -> DataFrame:
@@ -103,7 +99,7 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url: str = "u
     host, path = url_parts(url)
     rows = pages.select(F.col(id_col).alias(id_col), F.col(url).cast("string").alias(url)).withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
     rule, verdict = rule_columns(rules)
-    rows = with_grams(rows.withColumns({"rule": rule, "verdict": verdict, "_row": F.monotonically_increasing_id()}), url)
+    rows = rows.withColumns({"rule": rule, "verdict": verdict, "_row": F.monotonically_increasing_id(), "_grams": grams(url)})
     model = stored(ratio_table(rows.where("verdict IS NOT NULL")))
     keys = ["_row", id_col, "host", "path", "rule", "verdict"]
     scored = stored(rows.select(*keys, F.explode("_grams").alias("g")).join(F.broadcast(model), "g").groupBy(*keys).agg((F.sum("d") / F.count("*")).alias("score")))
