@@ -7,11 +7,13 @@ candidates. A pair is linked if its words align, with insertions and deletions o
 longer text: a bit-parallel longest common subsequence inside the band that this similarity allows. Classes are the
 connected components of the links; the class id is the least id in it.
 
-No group is ever spelt out in pairs. In each key, texts are compared with the one of least id; those that link are done
-there, those that don't go on to the next round, in which the least of them takes its place. Rounds end after the first
-one that links fewer than one in LEAST_YIELD of its pairs. What is left then are keys of a passage that many different
-texts share; linked texts also meet in keys of their other k-mers, which few texts have, so that they don't depend on
-later rounds of the crowded keys. The tests measure this against all pairs.
+In each key, texts are compared with the one of least id; those that link are done there, those that don't go on to the
+next round, in which the least of them takes its place. After the first round that links fewer than one in LEAST_YIELD of
+its pairs, what is left is finished exactly (`rest`): in keys of up to CROWD texts all pairs are compared, and the texts of
+larger ones (keys of a passage that many texts share) by a prefix filter that loses no link. Words of a text, each labelled
+with the number of its earlier occurrences, are put in one order, rare ones first. Of n words, at most n - need can be
+missing in a text it links with, so two texts that link share one of their first n - need + 1 words. Texts that meet in
+such a word are compared if their lengths and their counts of words, in BAG sums, allow a link.
 The keys' least ids come from pre-aggregated sums, the joins are plain ones that can be split where a key is hot.
 
 Cases: a null text is a class of its own; equal texts are copies, also empty ones; texts without words otherwise have no
@@ -36,6 +38,8 @@ KMER = 5
 SIMILARITY = 0.8
 SKETCHES, PICK = 20, 2
 LEAST_YIELD = 1000
+#: Texts left in a key, up to which all pairs are compared; buckets of the counts that order words; sums of a text's words; texts of a cell.
+CROWD, BUCKETS, BAG, CELL = 32, 1 << 18, 256, 2000
 #: Ids in a broadcast at most (8 bytes each); above, the same join is shuffled.
 BROADCAST_ROWS = 500_000
 KEPT_WORDS = 200_000
@@ -119,10 +123,15 @@ def sketch(text: str) -> list[int]:
     return np.concatenate(keys).view(np.int64).tolist()
 
 
+def needed(longer: int, similarity: float = SIMILARITY) -> int:
+    """Words that a common subsequence has at least."""
+    return -(-int(round(similarity * 1000)) * longer // 1000)
+
+
 def alignable(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
     """Whether a common subsequence covers `similarity` of the longer list: a bit-parallel search in the band that allows it."""
     longer = max(len(a), len(b))
-    need = -(-int(round(similarity * 1000)) * longer // 1000)
+    need = needed(longer, similarity)
     if min(len(a), len(b)) < need:
         return False
     if a == b:
@@ -221,6 +230,117 @@ def verdicts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return mapped(whole, run, "id long, pivot long, ok boolean")
 
 
+def _counts(texts: DataFrame) -> np.ndarray:
+    """Counts of labelled words, in BUCKETS sums: they only decide the order of words, any order is exact."""
+
+    def run(batches):
+        sums = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                at, n = np.unique(labelled(word_hashes(text)) % np.uint64(BUCKETS), return_counts=True)
+                sums[at.astype(np.int64)] += n
+        at = np.flatnonzero(sums)
+        yield arrow_batch({"bucket": (at, pa.int32()), "n": (sums[at], pa.int64())})
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in mapped(texts.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
+def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(word, id, n, bag): the words of which two texts that link share one; bag has the sums of words, 255 if one is higher."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w = word_hashes(text)
+                n = len(w)
+                if not n:
+                    continue
+                h = labelled(w)
+                first = h[np.lexsort((h, counts[(h % np.uint64(BUCKETS)).astype(np.int64)]))[: n - needed(n) + 1]]
+                sums = np.bincount((w % np.uint64(BAG)).astype(np.int64), minlength=BAG)
+                bag = (sums if sums.max() < 255 else np.full(BAG, 255)).astype(np.uint8).tobytes()
+                out[0] += first.view(np.int64).tolist()
+                out[1] += [id_] * len(first)
+                out[2] += [n] * len(first)
+                out[3] += [bag] * len(first)
+            yield arrow_batch(dict(zip(("word", "id", "n", "bag"), zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True), strict=True)))
+
+    return mapped(texts.select("id", "text"), run, "word long, id long, n long, bag binary")
+
+
+def _cell_pairs(ids: np.ndarray, n: np.ndarray, block: np.ndarray, bags: np.ndarray, across: bool) -> list[tuple[int, int]]:
+    """(larger id, smaller id) of the texts of a cell whose lengths and sums allow a link."""
+    out = []
+    full = bags.min(axis=1) == 255
+    for i in range(len(ids) - 1):
+        m = n[i + 1 :]
+        need = -(-int(round(SIMILARITY * 1000)) * np.maximum(m, n[i]) // 1000)
+        ok = (np.minimum(m, n[i]) >= need) & (ids[i + 1 :] != ids[i])
+        if across:
+            ok &= block[i + 1 :] != block[i]
+        at = np.flatnonzero(ok)
+        if len(at):
+            most = np.minimum(bags[i], bags[i + 1 + at]).sum(axis=1, dtype=np.int64)
+            at = at[(most >= need[at]) | full[i] | full[i + 1 + at]]
+            out += [(max(x, ids[i]), min(x, ids[i])) for x in ids[i + 1 + at]]
+    return out
+
+
+def _cells(batches):
+    """Pairs (id, pivot) of rows that are sorted by cell; a cell can go over several batches."""
+    carry = None
+    pair = lambda found: arrow_batch({"id": ([x for x, _ in found], pa.int64()), "pivot": ([y for _, y in found], pa.int64())})
+
+    def settle(rows, bags, start, end):
+        if end - start < 2:
+            return ()
+        return _cell_pairs(rows[3, start:end], rows[4, start:end], rows[5, start:end], bags[start:end], rows[1, start] != rows[2, start])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]])
+        bags = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, BAG)
+        if carry:
+            rows, bags = np.concatenate([carry[0], rows], axis=1), np.concatenate([carry[1], bags])
+        ends = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
+        found, start = set(), 0
+        for end in ends.tolist():
+            found.update(settle(rows, bags, start, end))
+            start = end
+        carry = rows[:, start:], bags[start:]
+        yield pair(found)
+    if carry:
+        yield pair(set(settle(*carry, 0, carry[0].shape[1])))
+
+
+def crowded_pairs(texts: DataFrame) -> DataFrame:
+    """(id, pivot) of all texts (id, text) that can link; words that very many share are dealt out in blocks."""
+    rows = stored(_first_words(texts, _counts(texts)))
+    shared = rows.groupBy("word").agg(F.count("*").alias("m"))
+    hot = shared.where(F.col("m") > CELL).select("word", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(hot), "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "n", "block", "bag")
+    return mapped(dealt.repartition("word", "low", "high").sortWithinPartitions("word", "low", "high"), _cells, "id long, pivot long").distinct()
+
+
+def rest(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, pivot) of all pairs that are left in keys (key, id) and can link."""
+    sizes = left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    few = left.join(sizes.where(F.col("m") <= CROWD), "key").select("key", "id")
+    pairs = few.join(few.select("key", F.col("id").alias("pivot")), "key").where("id > pivot").select("id", "pivot")
+    crowd = stored(left.join(sizes.where(F.col("m") > CROWD), "key", "left_semi").select("id").distinct())
+    n = crowd.count()
+    if n:
+        pairs = pairs.unionByName(crowded_pairs(_only(texts, crowd, n)))
+    return pairs.distinct()
+
+
 def compact(df: DataFrame, rows: int) -> DataFrame:
     """As few tasks as `rows` need, for small tables; larger ones keep their partitions."""
     return df.coalesce(-(-rows // TASK_ROWS)) if 0 < rows <= SMALL_ROWS else df
@@ -274,9 +394,11 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             forget(ids)
         judged.append(stored(verdicts(pairs, texts)))
         compared, linked = judged[-1].agg(F.count("*"), F.count_if("ok")).first()
+        active = met.join(_all(judged).where("ok"), ["id", "pivot"], "left_anti").select("key", "id")
         if linked * LEAST_YIELD < compared:
+            pairs = rest(stored(compact(active, n)), texts)
+            judged.append(stored(verdicts(pairs.join(_all(judged), ["id", "pivot"], "left_anti"), texts)))
             break
-        active = met.join(_all(judged).where("ok"), ["id", "pivot"], "left_anti").select("key", "id")
     links = _all(judged).where("ok").select("id", "pivot") if judged else None
     roots = components(links) if links is not None else None
     if roots is None:

@@ -288,6 +288,30 @@ def test_near_copies_cases(spark, docs):
     assert near_copies.near_classes(docs.limit(0)).count() == 0
 
 
+def test_near_copies_that_share_a_common_passage(spark, monkeypatch):
+    r = random.Random(21)
+    passage = prose(60, 60)
+    tails = [prose(30, 700 + k).split() for k in range(80)]
+    for k in range(40, 80):
+        w = list(tails[k])
+        for at in r.sample(range(30), 15):
+            w[at] = r.choice(WORDS)
+        tails.append(w)
+    data = [(i, passage + " " + " ".join(w)) for i, w in enumerate(tails)]
+    pairs = {(j, i) for (i, a), (j, b) in itertools.combinations(data, 2) if near_copies.alignable(near_copies.words(a), near_copies.words(b))}
+    assert len(pairs) >= 40
+    root = list(range(len(data)))
+    for j, i in sorted(pairs):
+        x, y = sorted((root[i], root[j]))
+        root = [x if k == y else k for k in root]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_copies.near_classes(df).collect()} == dict(enumerate(root))
+    for cell in (near_copies.CELL, 10):
+        monkeypatch.setattr(near_copies, "CELL", cell)
+        found = {tuple(r) for r in near_copies.crowded_pairs(df.withColumnRenamed("doc_id", "id")).collect()}
+        assert pairs <= found and len(found) < len(data) * (len(data) - 1) // 2
+
+
 # ---- 8
 
 PAGE = '<!DOCTYPE html><html><head><title>t</title><script>var t="</p>";</script></head><body><nav><a>Menu</a></nav>{before}{article}{after}<footer>&copy; x</footer></body></html>'
