@@ -3,8 +3,9 @@
 Method. For two moduli, the prefix array of a text holds sum(code point * base^i) of each prefix. Differences of its
 entries, brought to the same power, compare any two spans in constant time, and binary search over them finds the longest
 common extension at any two positions. A fingerprint is the length and the prefix values at eighths of the text; it is a
-function of the text alone. Likeness of two texts is the share of the longer one that their longest common beginning and
-their longest common end cover (1 for equal texts, also empty ones). The array of an edited text is made from those of
+function of the text alone. Likeness of two texts is the share of the longer one that common spans cover, in the same
+order in both: their longest common beginning and end, and between these, after each mismatch, the longest common extension
+from the nearest positions at which SPAN characters are equal (1 for equal texts, also empty ones). The array of an edited text is made from those of
 its two sources, without reading their characters again.
 
 The next document comes from a range partitioning by id, see `neighbours`.
@@ -16,6 +17,7 @@ follow each other by a hash of their texts; null ids come first; an empty table
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,8 @@ from bytelore.llm.neighbours import with_neighbours
 #: Fixed values: (modulus, base).
 FIELDS = ((2147483647, 911382323), (2147483629, 972663749))
 MARKS = 8
+#: Characters that are equal where two texts are in step again.
+SPAN = 12
 
 _powers = [np.ones(1, np.int64) for _ in FIELDS]
 
@@ -87,7 +91,48 @@ class PrefixHashes:
         if longer == 0:
             return 1.0
         head = self.extension(0, other, 0)
-        return (head + self.ending(other, shorter - head)) / longer
+        tail = self.ending(other, shorter - head)
+        return (head + tail + self.between(other, head, self.size - tail, other.size - tail)) / longer
+
+    def spans(self, start: int, end: int, top: int) -> np.ndarray:
+        """Hash of each SPAN characters from start to end, brought to the power `top`."""
+        n = end - start - SPAN + 1
+        if n <= 0:
+            return np.empty(0, np.int64)
+        w, out = powers(top), np.zeros(n, np.int64)
+        for k, (p, _) in enumerate(FIELDS):
+            a = self.arrays[k]
+            d = (a[start + SPAN : end + 1] - a[start : start + n]) % p
+            out = out << 31 | d * w[k][top - start - n + 1 : top - start + 1][::-1] % p
+        return out
+
+    def between(self, other: PrefixHashes, start: int, end: int, other_end: int) -> int:
+        """Characters of common spans, in order, from start in both to the two ends; each time the nearest next span."""
+        top = max(self.size, other.size)
+        a, b = self.spans(start, end, top), other.spans(start, other_end, top)
+        if not len(a) or not len(b):
+            return 0
+        here = np.flatnonzero(np.isin(a, b))
+        keys, at = a[here].tolist(), (here + start).tolist()
+        there = np.flatnonzero(np.isin(b, a))
+        places: dict[int, list[int]] = {}
+        for key, y in zip(b[there].tolist(), (there + start).tolist(), strict=True):
+            places.setdefault(key, []).append(y)
+        found, i, j, k = 0, start, start, 0
+        while True:
+            best, m = None, k
+            while m < len(at) and (best is None or at[m] - i < best[0]):
+                p = places[keys[m]]
+                q = bisect_left(p, j)
+                if q < len(p) and (best is None or at[m] - i + p[q] - j < best[0]):
+                    best = at[m] - i + p[q] - j, at[m], p[q]
+                m += 1
+            if best is None:
+                return found
+            _, i, j = best
+            same = min(self.extension(i, other, j), end - i, other_end - j)
+            found, i, j = found + same, i + same, j + same
+            k = bisect_left(at, i, k)
 
     def fingerprint(self) -> str:
         a, b = self.arrays

@@ -120,6 +120,28 @@ def test_prefix_hashes():
         assert x.extension(i, y, j) == same
 
 
+def test_scattered_edits_cost_their_own_length():
+    of, r = fingerprints.PrefixHashes.of, random.Random(31)
+    for k in range(20):
+        w = prose(200, 900 + k).split()
+        v = list(w)
+        for at in (0, 60, 120, 199):
+            v[at] = "CHANGED"
+        v.insert(90, "inserted")
+        a, b = " ".join(w), " ".join(v)
+        lost = sum(max(len(w[at]), 7) for at in (0, 60, 120, 199)) + 9
+        assert of(a).likeness(of(b)) >= 1 - lost / max(len(a), len(b))
+        assert of(a).likeness(of(prose(200, 2000 + k))) < 0.5
+    for _ in range(300):
+        a = "".join(r.choice("ab") for _ in range(r.randrange(0, 60)))
+        b = a[r.randrange(0, 20) : 40] + "c" + a[r.randrange(0, 60) :]
+        head = len(list(itertools.takewhile(lambda p: p[0] == p[1], zip(a, b, strict=False))))
+        n = max(len(a), len(b))
+        assert head <= of(a).likeness(of(b)) * n + 1e-9 and of(a).likeness(of(b)) * n <= lcs(a, b) + 1e-9
+    a = "x" * 20000
+    assert of(a).likeness(of("y" + a[:15000] + "z")) == 0.75
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, len(TEXTS)])
 def test_fingerprints_equal_the_plain_ones(spark, n):
     data = [(i, TEXTS[i]) for i in range(n)]
