@@ -29,8 +29,6 @@ class Options:
     extension: bool = True
     containers: bool = True
     archives: bool = False
-    max_depth: int = 8
-    max_bytes: int = 1 << 30  # of one archive's members, expanded
 
 
 @dataclass

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import io
 import re
+import shutil
 import struct
 import tarfile
+import tempfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from typing import BinaryIO
 
 BROKEN = (zipfile.BadZipFile, RuntimeError, UnicodeDecodeError, NotImplementedError, EOFError, OSError, ValueError, LookupError, struct.error, zlib.error, tarfile.TarError)
 
@@ -129,49 +133,85 @@ def container_hits(data: bytes, kind: str, signatures: list[tuple]) -> list[str]
     return out
 
 
-def _entries(data: bytes, kind: str) -> Iterator[tuple[str, int, bytes | None]]:
-    """(name, size, content) of regular members; content is None if it can't be read."""
+#: Bytes of a member read at once; nested archives above SPOOL go to disk.
+PIECE, SPOOL = 1 << 20, 1 << 23
+
+
+def _entries(source: BinaryIO, kind: str) -> Iterator[tuple[str, int, Callable[[], BinaryIO]]]:
+    """(name, size, opener) of regular members."""
     if kind == "zip":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(source) as z:
             for item in z.infolist():
                 if item.file_size:
-                    try:
-                        yield item.filename, item.file_size, z.read(item)
-                    except BROKEN:
-                        yield item.filename, item.file_size, None
+                    yield item.filename, item.file_size, partial(z.open, item)
     else:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as t:
+        with tarfile.open(fileobj=source, mode="r:") as t:
             for item in t:
                 if item.isfile():
-                    yield item.name, item.size, t.extractfile(item).read()
+                    yield item.name, item.size, partial(t.extractfile, item)
+
+
+def _windows(source: BinaryIO, n: int) -> tuple[bytes, bytes]:
+    """The first and the last n bytes of a stream, which is read to its end in pieces."""
+    first = last = b""
+    while piece := source.read(PIECE):
+        if len(first) < n:
+            first += piece[: n - len(first)]
+        last = (last + piece)[-n:] if n else b""
+    return first, last
 
 
-def members(name: str, data: bytes, kind: str, registry, options, depth: int = 1, spent: list[int] | None = None, path: str = "") -> list[tuple]:
-    """(filename, size, time_ms, matches, label, place) of members, depth first; what can't be read ends the walk."""
+def members(name: str, data: bytes | BinaryIO, kind: str, registry, options) -> list[tuple]:
+    """(filename, size, time_ms, matches, label, place) of members, depth first; what can't be read ends the walk of its archive.
+
+    Of a member only its two windows are kept; archives in it are copied to a spooled file while they are walked.
+    """
     from time import perf_counter
 
-    spent, out, k = spent if spent is not None else [0], [], 0
-    try:
-        for inner, size, content in _entries(data, kind):
-            k += 1
-            place = f"{path}{k:08d}/"
-            full = f"{name}!{inner}"
-            spent[0] += size
-            if content is None or spent[0] > options.max_bytes:
+    out = []
+    walks = [(_entries(io.BytesIO(data) if isinstance(data, bytes) else data, kind), name, kind, "", None)]
+    counts = [0]
+    while walks:
+        entries, outer, kind, path, spool = walks[-1]
+        try:
+            inner, size, opened = next(entries)
+        except (StopIteration, *BROKEN):
+            entries.close()
+            if spool:
+                spool.close()
+            walks.pop()
+            counts.pop()
+            continue
+        counts[-1] += 1
+        place = f"{path}{counts[-1]:08d}/"
+        full = f"{outer}!{inner}"
+        began = perf_counter()
+        try:
+            with opened() as source:
+                first, last = _windows(source, options.bufsize)
+        except BROKEN:
+            if kind == "zip":
                 out.append((full, size, 0, [], "", place))
                 continue
-            began = perf_counter()
-            n = options.bufsize
-            hits = registry.resolve(registry.candidates(content[:n], content[-n:] if n else b""))
-            label = "signature" if kind == "zip" else ""
-            if kind == "zip" and not hits and options.extension:
-                hits = [(i, [(0, "External")]) for i in registry.by_extension(full)]
-                label = "extension"
-            if hits or options.extension or kind == "tar":
-                out.append((full, size, int((perf_counter() - began) * 1000), [{"ord": registry.formats[i][0], "puid": registry.formats[i][1], "prio": sorted(registry.formats[i][3]), "sigs": [{"sig_ord": s, "name": x} for s, x in sigs]} for i, sigs in hits], label, place))
-            inside = registry.container_type([i for i, _ in hits])
-            if inside in ("zip", "tar") and depth < options.max_depth:
-                out += members(full, content, inside, registry, options, depth + 1, spent, place)
-    except BROKEN:
-        pass
+            entries.close()  # a tar can't be read on from here
+            continue
+        hits = registry.resolve(registry.candidates(first, last))
+        label = "signature" if kind == "zip" else ""
+        if kind == "zip" and not hits and options.extension:
+            hits = [(i, [(0, "External")]) for i in registry.by_extension(full)]
+            label = "extension"
+        if hits or options.extension or kind == "tar":
+            out.append((full, size, int((perf_counter() - began) * 1000), [{"ord": registry.formats[i][0], "puid": registry.formats[i][1], "prio": sorted(registry.formats[i][3]), "sigs": [{"sig_ord": s, "name": x} for s, x in sigs]} for i, sigs in hits], label, place))
+        inside = registry.container_type([i for i, _ in hits])
+        if inside in ("zip", "tar"):
+            copy = tempfile.SpooledTemporaryFile(SPOOL)
+            try:
+                with opened() as source:
+                    shutil.copyfileobj(source, copy, PIECE)
+                copy.seek(0)
+            except BROKEN:
+                copy.close()
+                continue
+            walks.append((_entries(copy, inside), full, inside, place, copy))
+            counts.append(0)
     return out

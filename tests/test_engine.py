@@ -156,6 +156,25 @@ def test_members(spark):
     assert broken == []
 
 
+def test_members_of_any_depth_and_size(spark):
+    ident = FormatIdentifier(spark, own.formats(spark), own.containers(spark), Options(archives=True))
+    data = b"GIF89a"
+    for k in range(12):
+        data = zipped([("in", data)]) if k % 2 else tarred([("in", data)])
+    rows = archives.members("o", data, "zip", ident.registry, Options())
+    assert len(rows) == 12 and rows[-1][0] == "o" + "!in" * 12 and [m["puid"] for m in rows[-1][3]] == ["own/6"]
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        with z.open("big", "w", force_zip64=True) as f:
+            for _ in range(1025):
+                f.write(bytes(1 << 20))
+        z.writestr("last", b"GIF89a")
+    rows = archives.members("o", raw.getvalue(), "zip", ident.registry, Options())
+    assert [r[1] for r in rows] == [1025 << 20, 6] and [m["puid"] for m in rows[-1][3]] == ["own/6"]
+    cut = tarred([("a", b"GIF89a" * 300), ("b", b"GIF89a" * 300)])[:3000]
+    assert [r[0] for r in archives.members("t", cut, "tar", ident.registry, Options())][:1] == ["t!a"]
+
+
 def test_registry_files(spark, tmp_path):
     xml = """<?xml version="1.0"?><formats version="0.3">
       <format><puid>a/1</puid><mime>m/1</mime><mime>m/2</mime><name>First</name><version>1.0</version><extension>one</extension><apple_uti>u.t.i</apple_uti><has_priority_over>a/2</has_priority_over>
