@@ -1,35 +1,43 @@
 """Near copies by order min-hash and banded alignment (operator 7).
 
-Method. Equal texts are one (128-bit hash). Of each different text, every run of KMER lower-cased words, labelled with
-the number of its earlier occurrences, is a k-mer (a shorter text is one). Each of SKETCHES seeded orders picks the PICK
-smallest k-mers and keeps them in text order; the picks of one order are a key of one band. Texts that meet in a key are
-candidates. A pair is linked if its words align, with insertions and deletions only, over at least SIMILARITY of the
-longer text: a bit-parallel longest common subsequence inside the band that this similarity allows. Classes are the
-connected components of the links; the class id is the least id in it.
-
-In each key, texts are compared with the one of least id; those that link are done there, those that don't go on to the
-next round, in which the least of them takes its place. After the first round that links fewer than one in LEAST_YIELD of
-its pairs, what is left is finished exactly (`rest`): in keys of up to CROWD texts all pairs are compared, and the texts of
-larger ones (keys of a passage that many texts share) by a prefix filter that loses no link. Words of a text, each labelled
-with the number of its earlier occurrences, are put in one order, rare ones first. Of n words, at most n - need can be
-missing in a text it links with, so two texts that link share one of their first n - need + 1 words. Texts that meet in
-such a word are compared if their lengths and their counts of words, in BAG sums, allow a link.
-The keys' least ids come from pre-aggregated sums, the joins are plain ones that can be split where a key is hot.
-
-Cases: a null text is a class of its own; equal texts are copies, also empty ones; texts without words otherwise have no
-k-mers; a row without id has no class; repeated rows share id and class; an empty table gives no rows; other columns are
-ignored.
+Method. Equal texts are one (128-bit hash), and each different text has a number of its own, so rows that share an id are
+still told apart. Of each text, every run of KMER lower-cased words, labelled with the number of its earlier occurrences, is
+a k-mer (a shorter text is one). Each of SKETCHES seeded orders picks the PICK smallest k-mers and keeps them in text order;
+the picks of one order are a key of one band. Texts of up to SHORT words, which have too few k-mers for that, also have the
+key of every text that is left when as many words are deleted as a link allows: two of them that link share one. Texts that
+meet in a key are candidates. A pair is linked if its words align, with insertions and deletions only, over at least
+SIMILARITY of the longer text: a bit-parallel longest common subsequence inside the band that this similarity allows.
+Classes are the connected components of the links; the class id is the least id in it.
+
+In each key, texts are compared with the one of least number; those that are not in its component then go on to the next
+round, in which the least of them takes its place. After the first round that links fewer than one in LEAST_YIELD of its
+pairs, all that is left is finished exactly (`rest`): every two members of a key that are in different components by then
+and were not compared. Keys of up to CROWD texts compare such pairs directly; the texts of larger ones (keys of a passage
+that many texts share) meet by a prefix filter that loses no link. Words of a text, each labelled with the number of its
+earlier occurrences, are put in one order, rare ones first. Of n words, at most n - need can be missing in a text it links
+with, so two texts that link share one of their first n - need + 1 words. Texts that meet in such a word are compared if
+their lengths and their counts of words, in BAG sums, allow a link and they are in different components.
+The keys' least numbers come from pre-aggregated sums, the joins are plain ones that can be split where a key is hot.
+
+So no pair that meets in a key is left out, but for those that another path already put in one class. What can be missed is
+a pair of longer texts with so many scattered edits that no sketch agrees; the README has the recall by share of edits.
+
+Cases: a null text is a class of its own for each id; equal texts are copies, also empty ones; other texts without words have
+no k-mers; a row without id has no class; repeated rows share id and class; different texts under one id are judged apart
+(`representatives` keeps the right one of them); a very long text is sketched in bounded pieces and aligned in its band; an
+empty table gives no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelore.llm.common import arrow_batch, forget, held, mapped, stored, table
@@ -37,16 +45,19 @@ from bytelore.llm.common import arrow_batch, forget, held, mapped, stored, table
 KMER = 5
 SIMILARITY = 0.8
 SKETCHES, PICK = 20, 2
-LEAST_YIELD = 1000
+LEAST_YIELD = 20
+#: Words of a text up to which its deletions are keys.
+SHORT = 14
 #: Texts left in a key, up to which all pairs are compared; buckets of the counts that order words; sums of a text's words; texts of a cell.
 CROWD, BUCKETS, BAG, CELL = 32, 1 << 18, 256, 2000
-#: Ids in a broadcast at most (8 bytes each); above, the same join is shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows of two numbers or a hash in a broadcast at most; above, the same join is shuffled.
+BROADCAST_ROWS = 300_000
 KEPT_WORDS = 200_000
 #: Tables of up to SMALL_ROWS short rows are written by one task for each TASK_ROWS; larger ones as they are partitioned.
 SMALL_ROWS, TASK_ROWS = 20_000_000, 200_000
 
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64)
+_FULL = (1 << 64) - 1
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -104,9 +115,26 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, _mixed(h + nth * _B), h)
 
 
+def deletions(w: np.ndarray) -> list[int]:
+    """Keys of the words of a short text with up to as many of them left out as a link with an equally long text allows."""
+    n = len(w)
+    out = {0: (w * _A).tolist()}
+    kept = [out[0]]
+    for gone in range(1, n - needed(n) + 1):
+        kept += [[x for i, x in enumerate(out[0]) if i not in left] for left in combinations(range(n), gone)]
+    keys = set()
+    for part in kept:
+        h = len(part) + 1
+        for x in part:
+            h = ((h ^ x) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _FULL
+        keys.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(keys)
+
+
 def sketch(text: str) -> list[int]:
-    """A key for each seeded order; none for a text without words."""
-    h = labelled(kmer_hashes(word_hashes(text)))
+    """Keys: one for each seeded order, and those of deletions for a short text; none for a text without words."""
+    w = word_hashes(text)
+    h = labelled(kmer_hashes(w))
     if not len(h):
         return []
     pick = min(PICK, len(h))
@@ -116,11 +144,12 @@ def sketch(text: str) -> list[int]:
         v = _mixed(h[None, :] ^ _SEEDS[at : at + step, None])
         least = np.argpartition(v, pick - 1, axis=1)[:, :pick] if pick < len(h) else np.tile(np.arange(len(h)), (len(v), 1))
         least.sort(axis=1)
-        key = np.full(len(v), pick, np.uint64)
+        key = _SEEDS[at : at + step] + np.uint64(pick)
         for j in range(pick):
             key = _mixed(key * _A + h[least[:, j]])
         keys.append(key)
-    return np.concatenate(keys).view(np.int64).tolist()
+    found = np.concatenate(keys).view(np.int64).tolist()
+    return found + deletions(w) if len(w) <= SHORT else found
 
 
 def needed(longer: int, similarity: float = SIMILARITY) -> int:
@@ -183,20 +212,25 @@ def _bits(places: list[int], n: int) -> int:
     return int.from_bytes(raw, "little")
 
 
+def text_hash(text_col: str) -> Column:
+    """What tells texts apart: 16 bytes; none for a null text."""
+    return F.coalesce(F.unhex(F.md5(F.col(text_col).cast("string"))), F.lit(b""))
+
+
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, sketch); h is null for a null text."""
+    """(id, h, sketch) of each row."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            known: dict[str, list[int]] = {}
-            h = [None if t is None else xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
+            h, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            known: dict[bytes, list[int]] = {b"": []}
             for x, t in zip(h, texts, strict=True):
-                if x is not None and x not in known:
+                if x not in known:
                     known[x] = sketch(t)
-            yield arrow_batch({"id": (batch.column(0), pa.int64()), "h": (h, pa.string()), "sketch": ([known.get(x, []) for x in h], pa.list_(pa.int64()))})
+            yield arrow_batch({"id": (batch.column(0), pa.int64()), "h": (batch.column(1), pa.binary()), "sketch": ([known[x] for x in h], pa.list_(pa.int64()))})
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, h string, sketch array<long>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    return mapped(rows, run, "id long, h binary, sketch array<long>")
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -206,28 +240,28 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _only(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Rows of df whose id is among the n ids; these are broadcast only below a size."""
-    return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "id", "left_semi")
+def bounded(df: DataFrame, n: int) -> DataFrame:
+    """The small side of a join, of n rows: broadcast only below a size."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def verdicts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, pivot, ok) of the pairs (id, pivot): whether their texts align."""
+    """(tid, pivot, ok) of the pairs (tid, pivot): whether their texts align."""
 
     def run(batches):
         last, last_words = None, []
         for batch in batches:
-            ids, pivots, a, b = (c.to_pylist() for c in batch.columns)
+            tids, pivots, a, b = (c.to_pylist() for c in batch.columns)
             ok = []
             for pivot, x, y in zip(pivots, a, b, strict=True):
                 if pivot != last:
                     last, last_words = pivot, words(y)
                 ok.append(alignable(words(x), last_words))
-            yield arrow_batch({"id": (ids, pa.int64()), "pivot": (pivots, pa.int64()), "ok": (ok, pa.bool_())})
+            yield arrow_batch({"tid": (tids, pa.int64()), "pivot": (pivots, pa.int64()), "ok": (ok, pa.bool_())})
 
-    of_pivot = texts.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text"))
-    whole = pairs.join(texts, "id").join(of_pivot, "pivot").select("id", "pivot", "text", "pivot_text")
-    return mapped(whole, run, "id long, pivot long, ok boolean")
+    of_pivot = texts.select(F.col("tid").alias("pivot"), F.col("text").alias("pivot_text"))
+    whole = pairs.join(texts, "tid").join(of_pivot, "pivot").select("tid", "pivot", "text", "pivot_text")
+    return mapped(whole, run, "tid long, pivot long, ok boolean")
 
 
 def _counts(texts: DataFrame) -> np.ndarray:
@@ -249,12 +283,12 @@ def _counts(texts: DataFrame) -> np.ndarray:
 
 
 def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(word, id, n, bag): the words of which two texts that link share one; bag has the sums of words, 255 if one is higher."""
+    """(word, tid, root, n, bag): the words of which two texts that link share one; bag has the sums of words, 255 if one is higher."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for tid, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 w = word_hashes(text)
                 n = len(w)
                 if not n:
@@ -264,47 +298,46 @@ def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
                 sums = np.bincount((w % np.uint64(BAG)).astype(np.int64), minlength=BAG)
                 bag = (sums if sums.max() < 255 else np.full(BAG, 255)).astype(np.uint8).tobytes()
                 out[0] += first.view(np.int64).tolist()
-                out[1] += [id_] * len(first)
-                out[2] += [n] * len(first)
-                out[3] += [bag] * len(first)
-            yield arrow_batch(dict(zip(("word", "id", "n", "bag"), zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True), strict=True)))
+                for column, x in zip(out[1:], (tid, root, n, bag), strict=True):
+                    column += [x] * len(first)
+            yield arrow_batch(dict(zip(("word", "tid", "root", "n", "bag"), zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True), strict=True)))
 
-    return mapped(texts.select("id", "text"), run, "word long, id long, n long, bag binary")
+    return mapped(texts.select("tid", "root", "text"), run, "word long, tid long, root long, n long, bag binary")
 
 
-def _cell_pairs(ids: np.ndarray, n: np.ndarray, block: np.ndarray, bags: np.ndarray, across: bool) -> list[tuple[int, int]]:
-    """(larger id, smaller id) of the texts of a cell whose lengths and sums allow a link."""
+def _cell_pairs(tids: np.ndarray, roots: np.ndarray, n: np.ndarray, block: np.ndarray, bags: np.ndarray, across: bool) -> list[tuple[int, int]]:
+    """(larger number, smaller number) of the texts of a cell in different components whose lengths and sums allow a link."""
     out = []
     full = bags.min(axis=1) == 255
-    for i in range(len(ids) - 1):
+    for i in range(len(tids) - 1):
         m = n[i + 1 :]
         need = -(-int(round(SIMILARITY * 1000)) * np.maximum(m, n[i]) // 1000)
-        ok = (np.minimum(m, n[i]) >= need) & (ids[i + 1 :] != ids[i])
+        ok = (np.minimum(m, n[i]) >= need) & (roots[i + 1 :] != roots[i])
         if across:
             ok &= block[i + 1 :] != block[i]
         at = np.flatnonzero(ok)
         if len(at):
             most = np.minimum(bags[i], bags[i + 1 + at]).sum(axis=1, dtype=np.int64)
             at = at[(most >= need[at]) | full[i] | full[i + 1 + at]]
-            out += [(max(x, ids[i]), min(x, ids[i])) for x in ids[i + 1 + at]]
+            out += [(max(x, tids[i]), min(x, tids[i])) for x in tids[i + 1 + at]]
     return out
 
 
 def _cells(batches):
-    """Pairs (id, pivot) of rows that are sorted by cell; a cell can go over several batches."""
+    """Pairs (tid, pivot) of rows that are sorted by cell; a cell can go over several batches."""
     carry = None
-    pair = lambda found: arrow_batch({"id": ([x for x, _ in found], pa.int64()), "pivot": ([y for _, y in found], pa.int64())})
+    pair = lambda found: arrow_batch({"tid": ([x for x, _ in found], pa.int64()), "pivot": ([y for _, y in found], pa.int64())})
 
     def settle(rows, bags, start, end):
         if end - start < 2:
             return ()
-        return _cell_pairs(rows[3, start:end], rows[4, start:end], rows[5, start:end], bags[start:end], rows[1, start] != rows[2, start])
+        return _cell_pairs(*rows[3:7, start:end], bags[start:end], rows[1, start] != rows[2, start])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]])
-        bags = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, BAG)
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]])
+        bags = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BAG)
         if carry:
             rows, bags = np.concatenate([carry[0], rows], axis=1), np.concatenate([carry[1], bags])
         ends = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
@@ -319,26 +352,40 @@ def _cells(batches):
 
 
 def crowded_pairs(texts: DataFrame) -> DataFrame:
-    """(id, pivot) of all texts (id, text) that can link; words that very many share are dealt out in blocks."""
+    """(tid, pivot) of all texts (tid, root, text) of different roots that can link; words that very many share are dealt out in blocks."""
     rows = stored(_first_words(texts, _counts(texts)))
     shared = rows.groupBy("word").agg(F.count("*").alias("m"))
-    hot = shared.where(F.col("m") > CELL).select("word", F.ceil(F.col("m") / CELL).cast("int").alias("blocks"))
-    dealt = rows.join(F.broadcast(hot), "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "n", "block", "bag")
-    return mapped(dealt.repartition("word", "low", "high").sortWithinPartitions("word", "low", "high"), _cells, "id long, pivot long").distinct()
-
-
-def rest(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, pivot) of all pairs that are left in keys (key, id) and can link."""
-    sizes = left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    few = left.join(sizes.where(F.col("m") <= CROWD), "key").select("key", "id")
-    pairs = few.join(few.select("key", F.col("id").alias("pivot")), "key").where("id > pivot").select("id", "pivot")
-    crowd = stored(left.join(sizes.where(F.col("m") > CROWD), "key", "left_semi").select("id").distinct())
+    hot = stored(shared.where(F.col("m") > CELL).select("word", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")))
+    dealt = rows.join(bounded(hot, hot.count()), "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("tid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "tid", "root", "n", "block", "bag")
+    found = stored(mapped(dealt.repartition("word", "low", "high").sortWithinPartitions("word", "low", "high"), _cells, "tid long, pivot long").distinct())
+    forget(rows)
+    forget(hot)
+    return found
+
+
+def _rooted(df: DataFrame, roots: DataFrame | None, column: str, to: str) -> DataFrame:
+    """`to`: the root of the text in `column`, itself if it has none."""
+    if roots is None:
+        return df.withColumn(to, F.col(column))
+    return df.join(roots.select(F.col("tid").alias(column), F.col("root").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
+
+
+def rest(keyed: DataFrame, roots: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """(tid, pivot) of all pairs in keys (key, tid) that are in different components and can link."""
+    whole = stored(_rooted(keyed, roots, "tid", "root"))
+    sizes = stored(whole.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "m"))
+    few = whole.join(sizes.where(F.col("m") <= CROWD), "key").select("key", "tid", "root")
+    pairs = few.join(few.select("key", F.col("tid").alias("pivot"), F.col("root").alias("other")), "key").where("tid > pivot AND root <> other").select("tid", "pivot")
+    crowd = stored(whole.join(sizes.where(F.col("m") > CROWD), "key", "left_semi").select("tid", "root").distinct())
     n = crowd.count()
     if n:
-        pairs = pairs.unionByName(crowded_pairs(_only(texts, crowd, n)))
-    return pairs.distinct()
+        pairs = pairs.unionByName(crowded_pairs(texts.join(bounded(crowd, n), "tid")))
+    found = stored(pairs.distinct())
+    for old in (whole, sizes, crowd):
+        forget(old)
+    return found
 
 
 def compact(df: DataFrame, rows: int) -> DataFrame:
@@ -347,80 +394,123 @@ def compact(df: DataFrame, rows: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every id in the edges (id, pivot) that isn't the least of its component: large and small stars in turn."""
+    """(tid, root) of every text in the edges (tid, pivot) that isn't the least of its component: large and small stars in turn."""
     n = 2 * edges.count()
     small = lambda df: stored(compact(df, n))
-    edges = small(edges.where("id <> pivot").select(F.greatest("id", "pivot").alias("id"), F.least("id", "pivot").alias("root")).distinct())
+    edges = small(edges.where("tid <> pivot").select(F.greatest("tid", "pivot").alias("tid"), F.least("tid", "pivot").alias("root")).distinct())
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("root").alias("id"), F.col("id").alias("root")))
-        least = small(both.groupBy("id").agg(F.min("root").alias("least")).withColumn("least", F.least("id", "least")))
-        large = both.join(least, "id").where("root > id").select(F.col("root").alias("id"), F.col("least").alias("root"))
-        large = small(large.unionByName(least.where("least < id").select("id", F.col("least").alias("root"))).distinct())
-        least_below = small(large.groupBy("id").agg(F.min("root").alias("least")))
-        below = large.join(least_below, "id").where("root <> least").select(F.col("root").alias("id"), F.col("least").alias("root"))
-        new = small(below.unionByName(least_below.select("id", F.col("least").alias("root"))).distinct())
+        both = edges.unionByName(edges.select(F.col("root").alias("tid"), F.col("tid").alias("root")))
+        least = small(both.groupBy("tid").agg(F.min("root").alias("least")).withColumn("least", F.least("tid", "least")))
+        large = both.join(least, "tid").where("root > tid").select(F.col("root").alias("tid"), F.col("least").alias("root"))
+        large = small(large.unionByName(least.where("least < tid").select("tid", F.col("least").alias("root"))).distinct())
+        least_below = small(large.groupBy("tid").agg(F.min("root").alias("least")))
+        below = large.join(least_below, "tid").where("root <> least").select(F.col("root").alias("tid"), F.col("least").alias("root"))
+        new = small(below.unionByName(least_below.select("tid", F.col("least").alias("root"))).distinct())
         for old in (edges, least, large, least_below):
             forget(old)
         edges, before = new, state
-        row = new.agg(F.count("*"), F.sum(F.xxhash64("id", "root").cast("decimal(38,0)"))).first()
+        row = new.agg(F.count("*"), F.sum(F.xxhash64("tid", "root").cast("decimal(38,0)"))).first()
         state = (row[0], row[1])
         if state == before:
             return new
 
 
-def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id): a row for each row."""
-    base = stored(sketched(df, id_col, text_col))
-    kinds = stored(base.where("h IS NOT NULL AND id IS NOT NULL").groupBy("h").agg(F.min(F.struct("id", "sketch")).alias("m")).select("h", "m.id", "m.sketch"))
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    active = kinds.select(F.posexplode("sketch").alias("band", "value"), "id").select(F.xxhash64("band", "value").alias("key"), "id")
-    n, texts, judged = kinds.count() * SKETCHES, None, []
+def found_links(keyed: DataFrame, kinds: DataFrame, source: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(tid, root) of the texts that aren't the least of their component, and what can be forgotten once that is read."""
+    n, texts, judged, roots, active = kinds.count() * SKETCHES, None, [], None, keyed
     while True:
-        active = stored(compact(active, n))
-        pivots = stored(compact(active.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), n))
-        met = stored(compact(active.join(pivots, "key").where("id <> pivot"), n))
-        forget(active)
+        pivots = stored(compact(active.groupBy("key").agg(F.min("tid").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), n))
+        met = stored(compact(active.join(pivots, "key").where("tid <> pivot"), n))
         forget(pivots)
+        if active is not keyed:
+            forget(active)
         n = met.count()
         if not n:
-            break
-        pairs = met.select("id", "pivot").distinct()
-        if judged:
-            pairs = pairs.join(_all(judged), ["id", "pivot"], "left_anti")
+            return roots, [x for x in (texts, *judged, roots) if x is not None]
+        pairs = met.select("tid", "pivot").distinct()
         if texts is None:  # later rounds only have texts that met in the first
-            ids = stored(compact(met.select(F.explode(F.array("id", "pivot")).alias("id")).distinct(), n))
-            texts = stored(_only(source, ids, ids.count()))
-            forget(ids)
+            tids = stored(compact(met.select(F.explode(F.array("tid", "pivot")).alias("tid")).distinct().join(kinds.select("tid", "id", "h"), "tid"), n))
+            same = [F.col("source_id") == F.col("id"), F.col("source_h") == F.col("h")]
+            texts = stored(source.join(bounded(tids, tids.count()), same).select("tid", "text").dropDuplicates(["tid"]))
+            forget(tids)
+        else:
+            pairs = pairs.join(_all(judged).select("tid", "pivot"), ["tid", "pivot"], "left_anti")
         judged.append(stored(verdicts(pairs, texts)))
         compared, linked = judged[-1].agg(F.count("*"), F.count_if("ok")).first()
-        active = met.join(_all(judged).where("ok"), ["id", "pivot"], "left_anti").select("key", "id")
+        roots = _new_roots(judged, roots, linked)
         if linked * LEAST_YIELD < compared:
-            pairs = rest(stored(compact(active, n)), texts)
-            judged.append(stored(verdicts(pairs.join(_all(judged), ["id", "pivot"], "left_anti"), texts)))
             break
-    links = _all(judged).where("ok").select("id", "pivot") if judged else None
-    roots = components(links) if links is not None else None
+        met_roots = _rooted(_rooted(met, roots, "tid", "root"), roots, "pivot", "pivot_root")
+        active = stored(compact(met_roots.where("root <> pivot_root").select("key", "tid"), n))
+        forget(met)
+    forget(met)
+    pairs = rest(keyed, roots, texts)
+    judged.append(stored(verdicts(pairs.join(_all(judged).select("tid", "pivot"), ["tid", "pivot"], "left_anti"), texts)))
+    forget(pairs)
+    roots = _new_roots(judged, roots, judged[-1].where("ok").limit(1).count())
+    return roots, [x for x in (texts, *judged, roots) if x is not None]
+
+
+def _new_roots(judged: list[DataFrame], roots: DataFrame | None, linked: int) -> DataFrame | None:
+    if not linked:
+        return roots
+    new = components(judged[-1].where("ok").select("tid", "pivot") if roots is None else judged[-1].where("ok").select("tid", "pivot").unionByName(roots.select("tid", F.col("root").alias("pivot"))))
+    if roots is not None:
+        forget(roots)
+    return new
+
+
+def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, class_id, representative): a row for each row; h tells texts apart."""
+    base = stored(sketched(df, id_col, text_col))
+    kinds = base.where("octet_length(h) > 0 AND id IS NOT NULL").groupBy("h").agg(F.min(F.struct("id", "sketch")).alias("m"))
+    kinds = stored(kinds.select(F.monotonically_increasing_id().alias("tid"), "h", "m.id", "m.sketch"))
+    source = df.select(F.col(id_col).cast("long").alias("source_id"), text_hash(text_col).alias("source_h"), F.col(text_col).cast("string").alias("text"))
+    keyed = stored(kinds.select(F.explode("sketch").alias("key"), "tid"))
+    roots, done = found_links(keyed, kinds, source)
+    forget(keyed)
+    texts = kinds.select("tid", "h", "id")
     if roots is None:
-        named = kinds.select("h", F.col("id").alias("class_id"))
+        named = texts.select("h", F.col("id").alias("class_id"), F.col("h").alias("class_h"))
     else:
-        named = kinds.select("h", "id").join(roots, "id", "left").select("h", F.coalesce("root", "id").alias("class_id"))
+        members = roots.select("tid", "root").unionByName(roots.select(F.col("root").alias("tid"), "root").distinct())
+        least = members.join(texts, "tid").groupBy("root").agg(F.min(F.struct("id", "h")).alias("least"))
+        named = texts.join(members.join(least, "root"), "tid", "left").select("h", F.coalesce("least.id", "id").alias("class_id"), F.coalesce("least.h", "h").alias("class_h"))
     named = stored(named)
-    return base.select("id", "h").join(named, "h", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
+    for old in (*done, kinds):
+        forget(old)
+    joined = base.select("id", "h").join(named, "h", "left")
+    class_id = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
+    first = (F.col("id") == F.coalesce("class_id", "id")) & (F.col("h") == F.coalesce("class_h", "h"))
+    return joined.select("id", "h", class_id.alias("class_id"), F.coalesce(first, F.lit(False)).alias("representative"))
+
+
+def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, representative): a row for each row; `representative` marks the rows of the text that stands for its class."""
+    return classified(df, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "representative")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: that of the least id, with all its columns; rows without id stay."""
-    classes = stored(near_classes(df, id_col, text_col))
-    kept = classes.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).agg(F.count("*").alias("_rows"))
-    out = df.join(kept, id_col, "left").where(F.col("_rows").isNotNull() | F.col(id_col).isNull()).select(*df.columns, "_rows")
-    repeated = not kept.where("_rows > 1").isEmpty()
-    if repeated:  # rows with one id, of one or more texts: a single one stays
-        once, more = out.where("_rows = 1 OR _rows IS NULL"), out.where("_rows > 1").dropDuplicates([id_col])
+    """One row of each class, with all its columns: of the least id and, where that has several texts, of the least hash; rows without id stay."""
+    classes = stored(classified(df, id_col, text_col))
+    own_id, own_h, times = (_unused(df, x) for x in ("own_id", "own_h", "times"))
+    kept = classes.where("representative").groupBy(F.col("id").alias(own_id), F.col("h").alias(own_h)).agg(F.count("*").alias(times))
+    rows = df.withColumns({own_id: F.col(id_col).cast("long"), own_h: text_hash(text_col)})
+    out = rows.join(kept, [own_id, own_h], "left").where(F.col(times).isNotNull() | F.col(own_id).isNull())
+    if not kept.where(F.col(times) > 1).isEmpty():  # repeated rows: a single one stays
+        once, more = out.where((F.col(times) == 1) | F.col(times).isNull()), out.where(F.col(times) > 1).dropDuplicates([own_id, own_h])
         out = once.unionByName(more)
     return out.select(*df.columns)
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = near_classes(table(spark, sf_dir, "documents"))
-    return classes.withColumn("representative", F.col("doc_id") == F.col("class_id"))
+    return near_classes(table(spark, sf_dir, "documents"))

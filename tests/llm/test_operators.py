@@ -330,10 +330,35 @@ def test_near_copies_that_share_a_common_passage(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_copies.near_classes(df).collect()} == dict(enumerate(root))
     for cell in (near_copies.CELL, 10):
         monkeypatch.setattr(near_copies, "CELL", cell)
-        found = {tuple(r) for r in near_copies.crowded_pairs(df.withColumnRenamed("doc_id", "id")).collect()}
+        found = {tuple(r) for r in near_copies.crowded_pairs(df.selectExpr("doc_id AS tid", "doc_id AS root", "text")).collect()}
         assert pairs <= found and len(found) < len(data) * (len(data) - 1) // 2
 
 
+def test_short_texts_with_a_word_changed_meet():
+    r = random.Random(41)
+    for n in range(3, near_copies.SHORT + 1):
+        for _ in range(40):
+            a = r.sample(WORDS, n)
+            b = list(a)
+            for _ in range(r.randint(0, 2)):
+                b[r.randrange(len(b))] = r.choice(WORDS)
+            if r.random() < 0.3:
+                b.insert(r.randrange(len(b) + 1), "more")
+            if near_copies.alignable(a, b) and len(b) <= near_copies.SHORT:
+                assert set(near_copies.sketch(" ".join(a))) & set(near_copies.sketch(" ".join(b))), (a, b)
+
+
+def test_different_texts_under_one_id(spark):
+    a, b = prose(60, 71), prose(60, 72)
+    data = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (3, b + " end"), (4, a), (None, a), (5, None), (5, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F_lit("clash") for c in ("own_id", "times", "_rows", "class_id", "tid")})
+    got = near_copies.near_classes(df).collect()
+    assert len(got) == len(data) and {r.class_id for r in got if r.doc_id in (1, 2, 3, 4)} == {1}
+    kept = near_copies.representatives(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, a), (1, b), (0, a), (5, "")])
+
+
 # ---- 8
 
 PAGE = '<!DOCTYPE html><html><head><title>t</title><script>var t="</p>";</script></head><body><nav><a>Menu</a></nav>{before}{article}{after}<footer>&copy; x</footer></body></html>'
