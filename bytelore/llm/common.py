@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder of the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is set only where none is (tests on one machine).
+    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is set only where none is and all tasks run in this
+    process (tests on one machine); executors elsewhere could not read it, so there it is an error.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if base is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        base = base or tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir()
     return f"{base}/{uuid.uuid4().hex}"
@@ -49,17 +55,24 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Rows of a batch that goes to Python at once. Texts are large, and each task holds a batch several times over.
+#: Rows of a batch that goes to Python code at once. Texts are large, and each task holds a batch several times over.
 BATCH_ROWS = 500
-_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def _cut(run):
+    """`run` on batches of BATCH_ROWS rows at most, whatever the session's size of batches is."""
+
+    def small(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, max(1, batch.num_rows), BATCH_ROWS):
+                yield batch.slice(at, BATCH_ROWS)
+
+    return lambda batches: run(small(batches))
 
 
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """`df.mapInArrow` in small batches; a session that sets the size of batches itself keeps it."""
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
-        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    """`df.mapInArrow` in small batches; the session's settings stay as they are."""
+    return df.mapInArrow(_cut(run), schema)
 
 
 _held: dict = {}
@@ -84,6 +97,28 @@ def _give_back() -> None:
         pass
 
 
+#: Rows of two numbers or a hash in a broadcast at most; above, the same join is shuffled.
+BROADCAST_ROWS = 300_000
+
+
+def bounded(df: DataFrame, n: int) -> DataFrame:
+    """The small side of a join, of n rows: broadcast only below a size."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def text_hash(text_col: str) -> Column:
+    """What tells texts apart: 16 bytes; none for a null text."""
+    return F.coalesce(F.unhex(F.md5(F.col(text_col).cast("string"))), F.lit(b""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_column(name: str = "text") -> Column:
     """Whole text, null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

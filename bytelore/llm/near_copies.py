@@ -37,10 +37,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelore.llm.common import arrow_batch, forget, held, mapped, stored, table
+from bytelore.llm.common import arrow_batch, bounded, forget, held, mapped, stored, table, text_hash, unused
 
 KMER = 5
 SIMILARITY = 0.8
@@ -50,8 +50,6 @@ LEAST_YIELD = 20
 SHORT = 14
 #: Texts left in a key, up to which all pairs are compared; buckets of the counts that order words; sums of a text's words; texts of a cell.
 CROWD, BUCKETS, BAG, CELL = 32, 1 << 18, 256, 2000
-#: Rows of two numbers or a hash in a broadcast at most; above, the same join is shuffled.
-BROADCAST_ROWS = 300_000
 KEPT_WORDS = 200_000
 #: Tables of up to SMALL_ROWS short rows are written by one task for each TASK_ROWS; larger ones as they are partitioned.
 SMALL_ROWS, TASK_ROWS = 20_000_000, 200_000
@@ -212,11 +210,6 @@ def _bits(places: list[int], n: int) -> int:
     return int.from_bytes(raw, "little")
 
 
-def text_hash(text_col: str) -> Column:
-    """What tells texts apart: 16 bytes; none for a null text."""
-    return F.coalesce(F.unhex(F.md5(F.col(text_col).cast("string"))), F.lit(b""))
-
-
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h, sketch) of each row."""
 
@@ -240,11 +233,6 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def bounded(df: DataFrame, n: int) -> DataFrame:
-    """The small side of a join, of n rows: broadcast only below a size."""
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def verdicts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(tid, pivot, ok) of the pairs (tid, pivot): whether their texts align."""
 
@@ -264,14 +252,21 @@ def verdicts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return mapped(whole, run, "tid long, pivot long, ok boolean")
 
 
-def _counts(texts: DataFrame) -> np.ndarray:
-    """Counts of labelled words, in BUCKETS sums: they only decide the order of words, any order is exact."""
+def _first(w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The labelled words of a text, rare ones first, of which two texts that link share one."""
+    h = labelled(w)
+    return h[np.lexsort((h, counts[(h % np.uint64(BUCKETS)).astype(np.int64)]))[: len(w) - needed(len(w)) + 1]]
+
+
+def _counts(texts: DataFrame, order: np.ndarray | None = None) -> np.ndarray:
+    """Counts of labelled words, or of the first ones in an order, in BUCKETS sums: as an order any are exact, as counts they are never too low."""
 
     def run(batches):
         sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                at, n = np.unique(labelled(word_hashes(text)) % np.uint64(BUCKETS), return_counts=True)
+                w = word_hashes(text)
+                at, n = np.unique((labelled(w) if order is None else _first(w, order)) % np.uint64(BUCKETS), return_counts=True)
                 sums[at.astype(np.int64)] += n
         at = np.flatnonzero(sums)
         yield arrow_batch({"bucket": (at, pa.int32()), "n": (sums[at], pa.int64())})
@@ -283,32 +278,44 @@ def _counts(texts: DataFrame) -> np.ndarray:
 
 
 def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(word, tid, root, n, bag): the words of which two texts that link share one; bag has the sums of words, 255 if one is higher."""
+    """(word, low, high, tid, root, n, block, bag, before): the first words of each text that another text has, too, in each cell of the word.
+
+    A word that more than CELL texts have is dealt out in blocks of texts, and every two blocks meet in a cell. bag has the
+    text's sums of words, 255 if one is higher; before has the text's first words before this one.
+    """
+    times = _counts(texts, counts)
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(9)]
             for tid, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 w = word_hashes(text)
-                n = len(w)
-                if not n:
+                first = _first(w, counts)
+                n = times[(first % np.uint64(BUCKETS)).astype(np.int64)]
+                first, blocks = first[n > 1], -(-n[n > 1] // CELL)
+                if not len(first):
                     continue
-                h = labelled(w)
-                first = h[np.lexsort((h, counts[(h % np.uint64(BUCKETS)).astype(np.int64)]))[: n - needed(n) + 1]]
                 sums = np.bincount((w % np.uint64(BAG)).astype(np.int64), minlength=BAG)
                 bag = (sums if sums.max() < 255 else np.full(BAG, 255)).astype(np.uint8).tobytes()
-                out[0] += first.view(np.int64).tolist()
-                for column, x in zip(out[1:], (tid, root, n, bag), strict=True):
-                    column += [x] * len(first)
-            yield arrow_batch(dict(zip(("word", "tid", "root", "n", "bag"), zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True), strict=True)))
-
-    return mapped(texts.select("tid", "root", "text"), run, "word long, tid long, root long, n long, bag binary")
-
-
-def _cell_pairs(tids: np.ndarray, roots: np.ndarray, n: np.ndarray, block: np.ndarray, bags: np.ndarray, across: bool) -> list[tuple[int, int]]:
-    """(larger number, smaller number) of the texts of a cell in different components whose lengths and sums allow a link."""
+                own = (int(_mixed(np.array([tid], np.uint64))[0]) % blocks.astype(object)).astype(np.int64)
+                own, other = np.repeat(own, blocks), np.concatenate([np.arange(k) for k in blocks])
+                for column, x in zip(out[:3], (np.repeat(first.view(np.int64), blocks), np.minimum(own, other), np.maximum(own, other)), strict=True):
+                    column += x.tolist()
+                out[6] += own.tolist()
+                for k, x in ((3, tid), (4, root), (5, len(w)), (7, bag)):
+                    out[k] += [x] * len(own)
+                raw = first.tobytes()
+                out[8] += [raw[: 8 * i] for i in np.repeat(np.arange(len(first)), blocks).tolist()]
+            yield arrow_batch(dict(zip(("word", "low", "high", "tid", "root", "n", "block", "bag", "before"), zip(out, [*[pa.int64()] * 7, *[pa.binary()] * 2], strict=True), strict=True)))
+
+    return mapped(texts.select("tid", "root", "text"), run, "word long, low long, high long, tid long, root long, n long, block long, bag binary, before binary")
+
+
+def _cell_pairs(tids: np.ndarray, roots: np.ndarray, n: np.ndarray, block: np.ndarray, bags: np.ndarray, before: list[bytes], across: bool) -> list[tuple[int, int]]:
+    """(larger number, smaller number) of the texts of a cell in different components whose lengths and sums allow a link, if this is the first word they share."""
     out = []
     full = bags.min(axis=1) == 255
+    earlier = [frozenset(np.frombuffer(x, np.int64).tolist()) for x in before]
     for i in range(len(tids) - 1):
         m = n[i + 1 :]
         need = -(-int(round(SIMILARITY * 1000)) * np.maximum(m, n[i]) // 1000)
@@ -318,50 +325,56 @@ def _cell_pairs(tids: np.ndarray, roots: np.ndarray, n: np.ndarray, block: np.nd
         at = np.flatnonzero(ok)
         if len(at):
             most = np.minimum(bags[i], bags[i + 1 + at]).sum(axis=1, dtype=np.int64)
-            at = at[(most >= need[at]) | full[i] | full[i + 1 + at]]
-            out += [(max(x, tids[i]), min(x, tids[i])) for x in tids[i + 1 + at]]
+            at = at[(most >= need[at]) | full[i] | full[i + 1 + at]] + i + 1
+            out += [(max(tids[j], tids[i]), min(tids[j], tids[i])) for j in at.tolist() if earlier[i].isdisjoint(earlier[j])]
     return out
 
 
 def _cells(batches):
-    """Pairs (tid, pivot) of rows that are sorted by cell; a cell can go over several batches."""
+    """Pairs (tid, pivot), each once, of rows that are sorted by cell; a cell can go over several batches."""
     carry = None
     pair = lambda found: arrow_batch({"tid": ([x for x, _ in found], pa.int64()), "pivot": ([y for _, y in found], pa.int64())})
 
-    def settle(rows, bags, start, end):
+    def settle(rows, bags, before, start, end):
         if end - start < 2:
-            return ()
-        return _cell_pairs(*rows[3:7, start:end], bags[start:end], rows[1, start] != rows[2, start])
+            return []
+        return _cell_pairs(*rows[3:7, start:end], bags[start:end], before[start:end], rows[1, start] != rows[2, start])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]])
         bags = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BAG)
+        before = batch.column(8).to_pylist()
         if carry:
-            rows, bags = np.concatenate([carry[0], rows], axis=1), np.concatenate([carry[1], bags])
+            rows, bags, before = np.concatenate([carry[0], rows], axis=1), np.concatenate([carry[1], bags]), carry[2] + before
         ends = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
-        found, start = set(), 0
+        found, start = [], 0
         for end in ends.tolist():
-            found.update(settle(rows, bags, start, end))
+            found += settle(rows, bags, before, start, end)
             start = end
-        carry = rows[:, start:], bags[start:]
+        carry = rows[:, start:], bags[start:], before[start:]
         yield pair(found)
     if carry:
-        yield pair(set(settle(*carry, 0, carry[0].shape[1])))
+        yield pair(settle(*carry, 0, carry[0].shape[1]))
+
+
+def crowded_pairs(texts: DataFrame) -> DataFrame:
+    """(tid, pivot) of all texts (tid, root, text) of different roots that can link, each pair once."""
+    texts = stored(texts)
+    shared = texts.repartition("tid")  # each text takes long, and they lie in few files
+    cells = _first_words(shared, _counts(texts)).repartition("word", "low", "high").sortWithinPartitions("word", "low", "high")
+    found = stored(mapped(cells, _cells, "tid long, pivot long"))
+    forget(texts)
+    return found
 
 
 def crowded_pairs(texts: DataFrame) -> DataFrame:
-    """(tid, pivot) of all texts (tid, root, text) of different roots that can link; words that very many share are dealt out in blocks."""
-    rows = stored(_first_words(texts, _counts(texts)))
-    shared = rows.groupBy("word").agg(F.count("*").alias("m"))
-    hot = stored(shared.where(F.col("m") > CELL).select("word", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")))
-    dealt = rows.join(bounded(hot, hot.count()), "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("tid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "tid", "root", "n", "block", "bag")
-    found = stored(mapped(dealt.repartition("word", "low", "high").sortWithinPartitions("word", "low", "high"), _cells, "tid long, pivot long").distinct())
-    forget(rows)
-    forget(hot)
+    """(tid, pivot) of all texts (tid, root, text) of different roots that can link."""
+    texts = stored(texts.repartition("tid"))  # few texts, of which each takes long: all tasks share them
+    cells = _first_words(texts, _counts(texts)).repartition("word", "low", "high").sortWithinPartitions("word", "low", "high")
+    found = stored(mapped(cells, _cells, "tid long, pivot long").distinct())
+    forget(texts)
     return found
 
 
@@ -494,7 +507,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, with all its columns: of the least id and, where that has several texts, of the least hash; rows without id stay."""
     classes = stored(classified(df, id_col, text_col))
-    own_id, own_h, times = (_unused(df, x) for x in ("own_id", "own_h", "times"))
+    own_id, own_h, times = (unused(df, x) for x in ("own_id", "own_h", "times"))
     kept = classes.where("representative").groupBy(F.col("id").alias(own_id), F.col("h").alias(own_h)).agg(F.count("*").alias(times))
     rows = df.withColumns({own_id: F.col(id_col).cast("long"), own_h: text_hash(text_col)})
     out = rows.join(kept, [own_id, own_h], "left").where(F.col(times).isNotNull() | F.col(own_id).isNull())
@@ -504,13 +517,5 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(*df.columns)
 
 
-def _unused(df: DataFrame, name: str) -> str:
-    """`name`, or a longer one that no column has."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
