@@ -1,39 +1,43 @@
 """Benchmark decontamination by greedy string tiling (operator 6).
 
-Method. Runs of SEED words of all benchmark items are seeds. A document that shares a seed with an item is tiled against
-it: running Karp-Rabin hashes of a search length find common runs of words that no tile covers yet, the longest are
-marked first, and the search length falls to TILE words. The share of the item's words under tiles is its coverage, in
-any order of its parts; a document covers an item from COVERAGE on.
-
-The items are the small side and are sent to the tasks in blocks of at most BLOCK_CHARS characters; a larger benchmark
-takes one pass over the documents for each block. Documents are neither shuffled nor paired with one another, so a
-passage or a source that is in a third of them makes no group.
-
-Cases: null texts and texts without words cover nothing; items with fewer than SEED words are not looked for (such runs
-are everyday phrases); rows are independent, so repeated rows are judged alike; an empty table or an empty benchmark gives
-no pairs; other columns are ignored.
+Method. A document is tiled against an item: running Karp-Rabin hashes of a search length find common runs of words that no
+tile covers yet, the longest are marked first, and the search length falls to TILE words (to all words of a shorter item).
+The share of the item's words under tiles is its coverage, in any order of its parts; a document covers an item from
+COVERAGE on.
+
+Which documents are tiled against which items is found by a join of shared seeds, runs of TILE words, that loses no pair.
+Of an item's n words at most n - c are not under tiles if c are needed, so one of any n - c + 1 words is, and each word under
+a tile lies in a seed of the document. For each item, the n - c + 1 neighbouring words are taken whose seeds are rarest,
+counted over all documents and items: what many items or documents share, such as a line of instructions, is joined only
+where an item has little else. Of the pairs that meet, those are tiled whose shared seeds cover c words of the item.
+
+Items and documents are two tables that meet in joins which Spark can split; nothing but a bit field of fixed size (BITS) of
+the items' seeds, which spares most documents the join, goes through the driver. Equal texts are looked at once.
+
+Cases: null texts and texts without words cover nothing and are covered by nothing; an item of fewer than TILE words is
+looked for as a whole; items and documents may share ids or have none: each row is judged by its text; a very long text
+gives only those seeds that items have, and is tiled by its words that the item has; an empty table or an empty benchmark
+gives no pairs; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytelore.llm.common import arrow_batch, mapped, stored, table
+from bytelore.llm.common import arrow_batch, bounded, forget, mapped, stored, table, text_hash, unused
 from bytelore.llm.near_copies import _hashes, kmer_hashes
 
-SEED = 5
 TILE = 3
 COVERAGE = 0.8
-BLOCK_CHARS = 4_000_000
+#: Bits of the field of seeds; it lets all seeds of items pass, and of others the share of bits that are set.
+BITS = 1 << 23
 _WORDS = re.compile(r"\w+")
-Item = tuple[int, str]
 
 
 def tokens(text: str) -> np.ndarray:
@@ -87,49 +91,6 @@ def tiles(item: list[int], text: list[int], least: int = TILE) -> list[tuple[int
     return found
 
 
-class Benchmark:
-    """Items with an index of their seeds."""
-
-    def __init__(self, items: list[Item]):
-        self.items = []
-        owners, seeds = [], []
-        for item_id, text in items:
-            t = tokens(text)
-            if len(t) >= SEED:
-                h = kmer_hashes(t, SEED)
-                owners.append(np.full(len(h), len(self.items)))
-                seeds.append(h)
-                self.items.append((item_id, t))
-        seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds = seeds[order]
-        self.owners = np.concatenate(owners)[order] if owners else np.zeros(0, np.int64)
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.seeds & np.uint64((1 << 22) - 1)] = True
-
-    def covered(self, text: str | None) -> list[tuple[int, float, int]]:
-        """(item id, coverage, number of tiles) of the items that a text covers."""
-        if not text or not len(self.seeds):
-            return []
-        t = tokens(text)
-        if len(t) < SEED:
-            return []
-        h = kmer_hashes(t, SEED)
-        h = h[self.maybe[h & np.uint64((1 << 22) - 1)]]
-        if not len(h):
-            return []
-        low, high = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
-        hit = {int(o) for a, b in zip(low, high, strict=True) if b > a for o in self.owners[a:b]}
-        out = []
-        for k in sorted(hit):
-            item_id, words = self.items[k]
-            parts = tiles(words.tolist(), _shared(words, t))
-            share = sum(p[2] for p in parts) / len(words)
-            if share >= COVERAGE:
-                out.append((item_id, share, len(parts)))
-        return out
-
-
 def _shared(item: np.ndarray, text: np.ndarray) -> list[int]:
     """The text with each run of words that are not in the item as one mark, which matches nothing."""
     known = np.isin(text, item)
@@ -138,61 +99,155 @@ def _shared(item: np.ndarray, text: np.ndarray) -> list[int]:
     return [x if y else -1 for x, y in zip(text[keep].tolist(), known[keep].tolist(), strict=True)]
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[Item]]:
-    rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    held, size = [], 0
-    for row in rows.toLocalIterator():
-        if held and size + len(row[1]) > BLOCK_CHARS:
-            yield held
-            held, size = [], 0
-        held.append((row[0], row[1]))
-        size += len(row[1])
-    if held:
-        yield held
+def needed(n: int) -> int:
+    """Words of an item of n words that must be under tiles."""
+    return -(-int(round(COVERAGE * 1000)) * n // 1000)
 
 
-@lru_cache(maxsize=1)
-def _index(items: tuple[Item, ...]) -> Benchmark:
-    return Benchmark(list(items))
+def coverage(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
+    """(share of the item's words under tiles, number of tiles)."""
+    parts = tiles(item.tolist(), _shared(item, text), min(TILE, len(item)))
+    return sum(p[2] for p in parts) / len(item), len(parts)
 
 
-def covering(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(id, item_id, coverage, n_tiles): a row for each document and item that it covers."""
-    schema = f"{id_col} long, item_id long, coverage double, n_tiles int"
-    docs = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for block in blocks(items, item_col, "text"):
-        part = mapped(docs, _pairs(tuple(block), id_col), schema)
-        out = part if out is None else stored(out).unionByName(stored(part))
-    return out if out is not None else df.sparkSession.createDataFrame([], schema)
+def item_table(items: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(item, item_id, words, seeds): a number for each item with words, and the seed at each of its positions."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for item, item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = tokens(text)
+                if len(t):
+                    for column, x in zip(out, (item, item_id, t.view(np.int64), kmer_hashes(t, TILE).view(np.int64)), strict=True):
+                        column.append(x)
+            yield arrow_batch(dict(zip(("item", "item_id", "words", "seeds"), zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True), strict=True)))
+
+    rows = items.where(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("item"), F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    return stored(mapped(rows, run, "item long, item_id long, words array<long>, seeds array<long>"))
 
 
-def _pairs(block: tuple[Item, ...], id_col: str):
+def _bit_field(own: DataFrame) -> tuple[bytes, list[int]]:
+    """Bits of all seeds, and the lengths of seeds in words (one, but for items of fewer than TILE)."""
+    bit = F.col("seed").bitwiseAND(F.lit(BITS - 1))
+    bits = own.select(F.explode("seeds").alias("seed")).groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((seed & {BITS - 1}) % 64 AS INT))")).alias("bits"))
+    field = np.zeros(BITS // 64, np.int64)
+    for r in bits.collect():  # BITS / 64 rows at most
+        field[r["at"]] = r["bits"]
+    sizes = own.select(F.least(F.size("words"), F.lit(TILE)).alias("k")).distinct().collect()
+    return field.tobytes(), sorted(r.k for r in sizes)
+
+
+def document_seeds(docs: DataFrame, field: bytes, sizes: list[int]) -> DataFrame:
+    """(h, seeds): for each different text of docs (h, text) its seeds in the bit field; none for texts without one."""
+
     def run(batches):
-        own = _index(block)
+        bits = np.unpackbits(np.frombuffer(field, np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in own.covered(t)]
-            c = list(zip(*rows, strict=True)) or [()] * 4
-            yield arrow_batch({id_col: (list(c[0]), pa.int64()), "item_id": (list(c[1]), pa.int64()), "coverage": (list(c[2]), pa.float64()), "n_tiles": (list(c[3]), pa.int32())})
+            out: dict[bytes, np.ndarray] = {}
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if h not in out:
+                    t = tokens(text)
+                    found = [x[bits[x & np.uint64(BITS - 1)]] for k in sizes if len(t) >= k for x in (kmer_hashes(t, k),)]
+                    out[h] = np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
+            kept = [(h, x) for h, x in out.items() if len(x)]
+            yield arrow_batch({"h": ([h for h, _ in kept], pa.binary()), "seeds": ([x for _, x in kept], pa.list_(pa.int64()))})
+
+    return stored(mapped(docs, run, "h binary, seeds array<long>").dropDuplicates(["h"]))
+
+
+def rare_seeds(own: DataFrame, hits: DataFrame) -> DataFrame:
+    """(seed, item): seeds of which a document that covers the item has one, chosen to join few rows."""
+    placed = own.select("item", F.size("words").alias("n"), F.posexplode("seeds").alias("at", "seed"))
+    in_items = placed.groupBy("seed").agg(F.count("*").alias("n_items"))
+    in_docs = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n_docs"))
+    costs = in_items.join(in_docs, "seed", "left").select("seed", (F.col("n_items").cast("double") * F.coalesce("n_docs", F.lit(0))).alias("cost"))
+    lists = placed.join(costs, "seed").groupBy("item").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "seed", "cost"))).alias("all"))  # as long as the item's text
 
-    return run
+    def run(batches):
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for item, n, all_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seeds = [x["seed"] for x in all_]
+                sums = np.concatenate([[0.0], np.cumsum([x["cost"] for x in all_])])
+                k, width = n - len(seeds) + 1, n - needed(n) + 1
+                first = np.arange(n - width + 1)
+                low, high = np.maximum(0, first - k + 1), np.minimum(len(seeds), first + width)
+                best = int(np.argmin(sums[high] - sums[low]))
+                out += [(s, item) for s in set(seeds[low[best] : high[best]])]
+            yield arrow_batch({"seed": ([s for s, _ in out], pa.int64()), "item": ([i for _, i in out], pa.int64())})
 
+    return stored(mapped(lists.select("item", "n", F.col("all")), run, "seed long, item long"))
 
-def without_covering(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows, with all their columns, of documents that cover no item."""
-    at = df.columns.index(text_col)
-    for block in blocks(items, item_col, "text"):
-        df = mapped(df, _filter(tuple(block), at), df.schema)
-    return df
 
+def _coverable(pairs: DataFrame) -> DataFrame:
+    """(h, item) of the pairs (h, item, seeds, n, own) whose shared seeds cover as many words of the item as needed."""
 
-def _filter(block: tuple[Item, ...], at: int):
     def run(batches):
-        own = _index(block)
         for batch in batches:
-            yield batch.filter(pa.array([not own.covered(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+            h, items = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for seeds, n, own in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                own = own.values.to_numpy()
+                here = np.flatnonzero(np.isin(own, seeds.values.to_numpy()))
+                edges = np.zeros(n + 1, np.int64)
+                np.add.at(edges, here, 1)
+                np.add.at(edges, here + n - len(own) + 1, -1)
+                keep.append(int((np.cumsum(edges[:n]) > 0).sum()) >= needed(n))
+            yield arrow_batch({"h": ([x for x, k in zip(h, keep, strict=True) if k], pa.binary()), "item": ([x for x, k in zip(items, keep, strict=True) if k], pa.int64())})
 
-    return run
+    return mapped(pairs, run, "h binary, item long")
+
+
+def _tiled(pairs: DataFrame) -> DataFrame:
+    """(h, item_id, coverage, n_tiles) of the pairs (h, text, item_id, words) that reach COVERAGE."""
+
+    def run(batches):
+        for batch in batches:
+            out, last, t = [], None, None
+            for h, text, item_id, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if h != last:
+                    last, t = h, tokens(text.as_py())
+                share, n = coverage(words.values.to_numpy().view(np.uint64), t)
+                if share >= COVERAGE:
+                    out.append((h, item_id, share, n))
+            c = list(zip(*out, strict=True)) or [()] * 4
+            yield arrow_batch({"h": (list(c[0]), pa.binary()), "item_id": (list(c[1]), pa.int64()), "coverage": (list(c[2]), pa.float64()), "n_tiles": (list(c[3]), pa.int32())})
+
+    return mapped(pairs, run, "h binary, item_id long, coverage double, n_tiles int")
+
+
+def covered_texts(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(h, item_id, coverage, n_tiles): a row for each different text, by its hash, and each item that it covers."""
+    own = item_table(items, item_col)
+    docs = df.where(F.col(text_col).isNotNull()).select(text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    hits = document_seeds(docs, *_bit_field(own))
+    seeds = rare_seeds(own, hits)
+    met = hits.select("h", F.explode("seeds").alias("seed")).join(bounded(seeds, seeds.count()), "seed").select("h", "item").distinct()
+    pairs = met.join(hits, "h").join(own.select("item", F.size("words").alias("n"), F.col("seeds").alias("own")), "item")
+    pairs = stored(_coverable(pairs.select("h", "item", "seeds", "n", "own")))
+    wanted = stored(pairs.select("h").distinct())
+    texts = docs.join(bounded(wanted, wanted.count()), "h", "left_semi").dropDuplicates(["h"])
+    whole = pairs.join(own.select("item", "item_id", "words"), "item").join(texts, "h")
+    found = stored(_tiled(whole.select("h", "text", "item_id", "words")))
+    for old in (own, hits, seeds, pairs, wanted):
+        forget(old)
+    return found
+
+
+def covering(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(id, item_id, coverage, n_tiles): a row for each document and item that it covers."""
+    found = covered_texts(df, items, text_col, item_col)
+    rows = df.select(F.col(id_col).cast("long").alias(id_col), text_hash(text_col).alias("h"))
+    return rows.join(found, "h").select(id_col, *[c for c in ("item_id", "coverage", "n_tiles")])
+
+
+def without_covering(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows, with all their columns, of documents that cover no item."""
+    found = stored(covered_texts(df, items, text_col, item_col).select("h").distinct())
+    own_h = unused(df, "own_h")
+    out = df.withColumn(own_h, text_hash(text_col)).join(bounded(found.select(F.col("h").alias(own_h)), found.count()), own_h, "left_anti")
+    return out.select(*df.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
