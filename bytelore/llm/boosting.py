@@ -8,7 +8,7 @@ import numpy as np
 class BoostedTrees:
     """Additive trees on the log-odds; each leaf takes a Newton step, splits are sought over quantile cuts."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, ridge: float = 1.0, cuts: int = 16):
+    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.3, ridge: float = 1.0, cuts: int = 16):
         self.rounds, self.depth, self.rate, self.ridge, self.cuts = rounds, depth, rate, ridge, cuts
         self.base, self.trees = 0.0, []
 
@@ -16,32 +16,35 @@ class BoostedTrees:
         share = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.cuts + 1)[:-1])) for j in range(x.shape[1])]
+        bins = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)])  # bin k: over cuts 0 to k-1
         f = np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-f))
-            tree = self._grow(x, p - y, p * (1 - p), np.arange(len(y)), edges, self.depth)
+            tree = self._grow(bins, p - y, p * (1 - p), np.arange(len(y)), edges, self.depth)
             self.trees.append(tree)
             f += _values(tree, x)
         return self
 
-    def _grow(self, x, g, h, rows, edges, depth):
+    def split(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, edges: list[np.ndarray]) -> tuple[int, int] | None:
+        """(feature, cut) with the best gain; the first of equal ones."""
         gain_of = lambda a, b: a * a / (b + self.ridge)
-        total_g, total_h = g[rows].sum(), h[rows].sum()
-        best = (1e-6, None, None)
-        if depth:
-            for j, cuts in enumerate(edges):
-                for cut in cuts:
-                    low = x[rows, j] <= cut
-                    a, b = g[rows][low].sum(), h[rows][low].sum()
-                    if b > 0.5 and total_h - b > 0.5:
-                        gain = gain_of(a, b) + gain_of(total_g - a, total_h - b) - gain_of(total_g, total_h)
-                        if gain > best[0]:
-                            best = (gain, j, cut)
-        if best[1] is None:
-            return -self.rate * total_g / (total_h + self.ridge)
-        _, j, cut = best
-        low = x[rows, j] <= cut
-        return (j, float(cut), self._grow(x, g, h, rows[low], edges, depth - 1), self._grow(x, g, h, rows[~low], edges, depth - 1))
+        total_g, total_h = g.sum(), h.sum()
+        best, found = 1e-6, None
+        for j, cuts in enumerate(edges):
+            a = np.cumsum(np.bincount(bins[j], g, len(cuts) + 1))[:-1]
+            b = np.cumsum(np.bincount(bins[j], h, len(cuts) + 1))[:-1]
+            gain = np.where((b > 0.5) & (total_h - b > 0.5), gain_of(a, b) + gain_of(total_g - a, total_h - b) - gain_of(total_g, total_h), 0)
+            if len(gain) and gain.max() > best + 1e-9:
+                best, found = float(gain.max()), (j, int(gain.argmax()))
+        return found
+
+    def _grow(self, bins, g, h, rows, edges, depth):
+        found = self.split(bins[:, rows], g[rows], h[rows], edges) if depth else None
+        if found is None:
+            return float(-self.rate * g[rows].sum() / (h[rows].sum() + self.ridge))
+        j, k = found
+        low = bins[j, rows] <= k
+        return (j, float(edges[j][k]), self._grow(bins, g, h, rows[low], edges, depth - 1), self._grow(bins, g, h, rows[~low], edges, depth - 1))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         f = np.full(len(x), self.base)
