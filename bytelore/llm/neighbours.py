@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bytelore.llm.common import mapped, stored
 
 Row = tuple
 BATCH = 512
+BEFORE, OWN, AFTER = 0, 1, 2
 
 
 def _triples(rows: Iterator[Row]) -> Iterator[tuple[Row | None, Row, Row | None]]:
@@ -31,13 +33,15 @@ def _rows(batches) -> Iterator[Row]:
 def with_neighbours(df: DataFrame, order: list[str], schema: T.StructType, make: Callable[[Row | None, Row, Row | None], Row], around: bool = False) -> DataFrame:
     """`make(before, row, after)` for every row in the order of `order`; `around`: the last row is before the first.
 
-    The rows are range-partitioned and sorted, so each task works on its range and holds three rows at a time. What the
-    two rows at each end of a range need from other ranges is settled afterwards, from at most four rows of each partition.
+    The rows are range-partitioned and sorted, so each task works on its range and holds three rows at a time. The two rows
+    at each end of a range are kept with the number of their partition; the first and the last then also go to the partition
+    beside, and every partition settles its own two ends from six rows at most, in groups that are dealt out like any other.
     The first pass is written to the shared folder: numbers of partitions then hold, even if an executor is lost.
     """
     fields = df.schema.fields
     raw = T.StructType([T.StructField(f"_raw_{f.name}", f.dataType, True) for f in fields])
-    both = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in schema.fields], T.StructField("_part", T.IntegerType()), T.StructField("_seq", T.LongType()), T.StructField("_open", T.BooleanType()), *raw.fields])
+    marks = [T.StructField("_part", T.IntegerType()), T.StructField("_seq", T.LongType()), T.StructField("_last", T.BooleanType())]
+    both = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in schema.fields], *marks, *raw.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     made_types, all_types = to_arrow_schema(schema), to_arrow_schema(both)
@@ -53,8 +57,8 @@ def with_neighbours(df: DataFrame, order: list[str], schema: T.StructType, make:
         for seq, (before, row, after) in enumerate(_triples(_rows(batches))):
             if before is not None and after is not None:
                 out.append((*make(before, row, after), None, None, None, *[None] * n_raw))
-            if seq < 2:  # the first row is open, the second is its neighbour
-                out.append((*[None] * n_made, part, seq, seq == 0 or after is None, *row))
+            if seq < 2:
+                out.append((*[None] * n_made, part, seq, after is None, *row))
             else:
                 held = [*held[-1:], (seq, row)]
             if after is None and held:
@@ -64,36 +68,35 @@ def with_neighbours(df: DataFrame, order: list[str], schema: T.StructType, make:
                 out = []
         yield packed(out, all_types)
 
+    def settled(group: list[Row]) -> Iterator[Row]:
+        for before, row, after in _triples(iter(group)):
+            _, place, seq, last = row[:4]
+            if place == OWN and (seq == 0 or last):
+                yield make(before and before[4:], row[4:], after and after[4:])
+
     def between(batches):
-        first, rows = None, []
-
-        def seen():
-            nonlocal first
-            for r in _rows(batches):
-                first = first or r
-                yield r
-
-        last = None
-        for before, row, after in _triples(seen()):
-            if after is None and around:
-                after = first
-            if before is None and around:
-                last = (row, after)  # needs the last row; made at the end
-            elif row[2]:
-                rows.append(make(before and before[3:], row[3:], after and after[3:]))
-            if after is None or (around and after is first):
-                final = row
-            if len(rows) >= BATCH:
-                yield packed(rows, made_types)
-                rows = []
-        if last:
-            rows.append(make(final[3:], last[0][3:], last[1][3:]))
-        yield packed(rows, made_types)
+        group, rows = [], []
+        for r in _rows(batches):
+            if group and group[0][0] != r[0]:
+                rows += settled(group)
+                group = []
+                if len(rows) >= BATCH:
+                    yield packed(rows, made_types)
+                    rows = []
+            group.append(r)
+        yield packed([*rows, *settled(group)], made_types)
 
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     whole = stored(mapped(ranged, inside, both))
     done = whole.where("_part IS NULL").select(*schema.names)
-    ends = whole.where("_part IS NOT NULL").select("_part", "_seq", "_open", *raw.names)
-    ends = mapped(ends.repartition(1).sortWithinPartitions("_part", "_seq"), between, schema)
-    return done.unionByName(ends)
-
+    ends = whole.where("_part IS NOT NULL").select("_part", "_seq", "_last", *raw.names)
+    parts, line = ends.select("_part").distinct(), Window.orderBy("_part")  # as many rows as partitions
+    every = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    previous, following = F.lag("_part").over(line), F.lead("_part").over(line)
+    if around:
+        previous, following = F.coalesce(previous, F.max("_part").over(every)), F.coalesce(following, F.min("_part").over(every))
+    beside = F.broadcast(stored(parts.select("_part", previous.alias("_previous"), following.alias("_following"))))
+    sent = lambda rows, to, place: rows.select(F.col(to).alias("_to"), F.lit(place).alias("_place"), "_seq", "_last", *raw.names)
+    near = ends.join(beside, "_part")
+    groups = sent(ends, "_part", OWN).unionByName(sent(near.where("_last AND _following IS NOT NULL"), "_following", BEFORE)).unionByName(sent(near.where("_seq = 0 AND _previous IS NOT NULL"), "_previous", AFTER))
+    return done.unionByName(mapped(groups.repartition("_to").sortWithinPartitions("_to", "_place", "_seq"), between, schema))
