@@ -15,8 +15,9 @@ pairs, all that is left is finished exactly (`rest`): every two members of a key
 and were not compared. Keys of up to CROWD texts compare such pairs directly; the texts of larger ones (keys of a passage
 that many texts share) meet by a prefix filter that loses no link. Words of a text, each labelled with the number of its
 earlier occurrences, are put in one order, rare ones first. Of n words, at most n - need can be missing in a text it links
-with, so two texts that link share one of their first n - need + 1 words. Texts that meet in such a word are compared if
-their lengths and their counts of words, in BAG sums, allow a link and they are in different components.
+with, so two texts that link share one of their first n - need + 1 words. Texts of different components that meet in such a
+word are compared if their lengths allow a link and they share enough of their first REACH words more: all words they have
+in common are these, and at most those behind.
 The keys' least numbers come from pre-aggregated sums, the joins are plain ones that can be split where a key is hot.
 
 So no pair that meets in a key is left out, but for those that another path already put in one class. What can be missed is
@@ -48,8 +49,8 @@ SKETCHES, PICK = 20, 2
 LEAST_YIELD = 20
 #: Words of a text up to which its deletions are keys.
 SHORT = 14
-#: Texts left in a key, up to which all pairs are compared; buckets of the counts that order words; sums of a text's words; texts of a cell.
-CROWD, BUCKETS, BAG, CELL = 32, 1 << 18, 256, 2000
+#: Members of a key up to which all pairs are compared; buckets of the counts that order words; texts of a cell; the share of words beyond the first ones that are compared before alignment.
+CROWD, BUCKETS, CELL, REACH = 32, 1 << 18, 2000, 0.25
 KEPT_WORDS = 200_000
 #: Tables of up to SMALL_ROWS short rows are written by one task for each TASK_ROWS; larger ones as they are partitioned.
 SMALL_ROWS, TASK_ROWS = 20_000_000, 200_000
@@ -252,10 +253,10 @@ def verdicts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return mapped(whole, run, "tid long, pivot long, ok boolean")
 
 
-def _first(w: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The labelled words of a text, rare ones first, of which two texts that link share one."""
+def _first(w: np.ndarray, counts: np.ndarray, more: int = 0) -> np.ndarray:
+    """The labelled words of a text, rare ones first, of which two texts that link share one, and some more."""
     h = labelled(w)
-    return h[np.lexsort((h, counts[(h % np.uint64(BUCKETS)).astype(np.int64)]))[: len(w) - needed(len(w)) + 1]]
+    return h[np.lexsort((h, counts[(h % np.uint64(BUCKETS)).astype(np.int64)]))[: len(w) - needed(len(w)) + 1 + more]]
 
 
 def _counts(texts: DataFrame, order: np.ndarray | None = None) -> np.ndarray:
@@ -278,10 +279,10 @@ def _counts(texts: DataFrame, order: np.ndarray | None = None) -> np.ndarray:
 
 
 def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(word, low, high, tid, root, n, block, bag, before): the first words of each text that another text has, too, in each cell of the word.
+    """(word, low, high, tid, root, n, block, rare, before): the first words of each text that another text has, too, in each cell of the word.
 
-    A word that more than CELL texts have is dealt out in blocks of texts, and every two blocks meet in a cell. bag has the
-    text's sums of words, 255 if one is higher; before has the text's first words before this one.
+    A word that more than CELL texts have is dealt out in blocks of texts, and every two blocks meet in a cell. rare has two
+    bytes of each of the text's first words and those up to REACH behind them; before has its first words before this one.
     """
     times = _counts(texts, counts)
 
@@ -290,31 +291,32 @@ def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
             out: list[list] = [[] for _ in range(9)]
             for tid, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 w = word_hashes(text)
-                first = _first(w, counts)
+                rare = _first(w, counts, int(REACH * len(w)))
+                first = rare[: len(w) - needed(len(w)) + 1]
                 n = times[(first % np.uint64(BUCKETS)).astype(np.int64)]
                 first, blocks = first[n > 1], -(-n[n > 1] // CELL)
                 if not len(first):
                     continue
-                sums = np.bincount((w % np.uint64(BAG)).astype(np.int64), minlength=BAG)
-                bag = (sums if sums.max() < 255 else np.full(BAG, 255)).astype(np.uint8).tobytes()
+                rare = np.sort(rare.astype(np.uint16)).tobytes()
                 own = (int(_mixed(np.array([tid], np.uint64))[0]) % blocks.astype(object)).astype(np.int64)
                 own, other = np.repeat(own, blocks), np.concatenate([np.arange(k) for k in blocks])
                 for column, x in zip(out[:3], (np.repeat(first.view(np.int64), blocks), np.minimum(own, other), np.maximum(own, other)), strict=True):
                     column += x.tolist()
                 out[6] += own.tolist()
-                for k, x in ((3, tid), (4, root), (5, len(w)), (7, bag)):
+                for k, x in ((3, tid), (4, root), (5, len(w)), (7, rare)):
                     out[k] += [x] * len(own)
                 raw = first.tobytes()
                 out[8] += [raw[: 8 * i] for i in np.repeat(np.arange(len(first)), blocks).tolist()]
-            yield arrow_batch(dict(zip(("word", "low", "high", "tid", "root", "n", "block", "bag", "before"), zip(out, [*[pa.int64()] * 7, *[pa.binary()] * 2], strict=True), strict=True)))
+            yield arrow_batch(dict(zip(("word", "low", "high", "tid", "root", "n", "block", "rare", "before"), zip(out, [*[pa.int64()] * 7, *[pa.binary()] * 2], strict=True), strict=True)))
 
-    return mapped(texts.select("tid", "root", "text"), run, "word long, low long, high long, tid long, root long, n long, block long, bag binary, before binary")
+    return mapped(texts.select("tid", "root", "text"), run, "word long, low long, high long, tid long, root long, n long, block long, rare binary, before binary")
 
 
-def _cell_pairs(tids: np.ndarray, roots: np.ndarray, n: np.ndarray, block: np.ndarray, bags: np.ndarray, before: list[bytes], across: bool) -> list[tuple[int, int]]:
-    """(larger number, smaller number) of the texts of a cell in different components whose lengths and sums allow a link, if this is the first word they share."""
+def _cell_pairs(tids: np.ndarray, roots: np.ndarray, n: np.ndarray, block: np.ndarray, rare: list[bytes], before: list[bytes], across: bool) -> list[tuple[int, int]]:
+    """(larger number, smaller number) of the texts of a cell in different components whose lengths and rare words allow a link, if this is the first word they share."""
     out = []
-    full = bags.min(axis=1) == 255
+    rare = [np.frombuffer(x, np.uint16) for x in rare]
+    behind = n - np.array([len(x) for x in rare])
     earlier = [frozenset(np.frombuffer(x, np.int64).tolist()) for x in before]
     for i in range(len(tids) - 1):
         m = n[i + 1 :]
@@ -323,37 +325,43 @@ def _cell_pairs(tids: np.ndarray, roots: np.ndarray, n: np.ndarray, block: np.nd
         if across:
             ok &= block[i + 1 :] != block[i]
         at = np.flatnonzero(ok)
-        if len(at):
-            most = np.minimum(bags[i], bags[i + 1 + at]).sum(axis=1, dtype=np.int64)
-            at = at[(most >= need[at]) | full[i] | full[i + 1 + at]] + i + 1
-            out += [(max(tids[j], tids[i]), min(tids[j], tids[i])) for j in at.tolist() if earlier[i].isdisjoint(earlier[j])]
+        for k in at.tolist():
+            j = i + 1 + k
+            if earlier[i].isdisjoint(earlier[j]) and _in_both(rare[i], rare[j]) + max(behind[i], behind[j]) >= need[k]:
+                out.append((max(tids[j], tids[i]), min(tids[j], tids[i])))
     return out
 
 
+def _in_both(a: np.ndarray, b: np.ndarray) -> int:
+    """How many entries of a are in b, both sorted; at least as many as they truly share."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
 def _cells(batches):
     """Pairs (tid, pivot), each once, of rows that are sorted by cell; a cell can go over several batches."""
     carry = None
     pair = lambda found: arrow_batch({"tid": ([x for x, _ in found], pa.int64()), "pivot": ([y for _, y in found], pa.int64())})
 
-    def settle(rows, bags, before, start, end):
+    def settle(rows, rare, before, start, end):
         if end - start < 2:
             return []
-        return _cell_pairs(*rows[3:7, start:end], bags[start:end], before[start:end], rows[1, start] != rows[2, start])
+        return _cell_pairs(*rows[3:7, start:end], rare[start:end], before[start:end], rows[1, start] != rows[2, start])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]])
-        bags = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BAG)
-        before = batch.column(8).to_pylist()
+        rare, before = batch.column(7).to_pylist(), batch.column(8).to_pylist()
         if carry:
-            rows, bags, before = np.concatenate([carry[0], rows], axis=1), np.concatenate([carry[1], bags]), carry[2] + before
+            rows, rare, before = np.concatenate([carry[0], rows], axis=1), carry[1] + rare, carry[2] + before
         ends = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
         found, start = [], 0
         for end in ends.tolist():
-            found += settle(rows, bags, before, start, end)
+            found += settle(rows, rare, before, start, end)
             start = end
-        carry = rows[:, start:], bags[start:], before[start:]
+        carry = rows[:, start:], rare[start:], before[start:]
         yield pair(found)
     if carry:
         yield pair(settle(*carry, 0, carry[0].shape[1]))
@@ -466,11 +474,18 @@ def found_links(keyed: DataFrame, kinds: DataFrame, source: DataFrame) -> tuple[
 
 
 def _new_roots(judged: list[DataFrame], roots: DataFrame | None, linked: int) -> DataFrame | None:
+    """Roots after the last links: components of the links between the roots that were."""
     if not linked:
         return roots
-    new = components(judged[-1].where("ok").select("tid", "pivot") if roots is None else judged[-1].where("ok").select("tid", "pivot").unionByName(roots.select("tid", F.col("root").alias("pivot"))))
-    if roots is not None:
-        forget(roots)
+    links = judged[-1].where("ok").select("tid", "pivot")
+    if roots is None:
+        return components(links)
+    between = _rooted(_rooted(links, roots, "tid", "a"), roots, "pivot", "b").where("a <> b").select(F.col("a").alias("tid"), F.col("b").alias("pivot")).distinct()
+    merged = components(between)
+    moved = roots.join(merged.select(F.col("tid").alias("root"), F.col("root").alias("to")), "root", "left").select("tid", F.coalesce("to", "root").alias("root"))
+    new = stored(moved.unionByName(merged))
+    forget(merged)
+    forget(roots)
     return new
 
 
