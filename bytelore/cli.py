@@ -1,21 +1,27 @@
-"""Command line: identify files, compile records, convert lines to XML."""
+"""Command lines: identify files (`main`), compile records (`prepare`), update the registry (`update`), convert lines to XML (`to_xml_main`).
+
+`python -m bytelore.cli` identifies; the others are `python -m bytelore.cli prepare`, `update` and `toxml`.
+"""
 
 from __future__ import annotations
 
 import argparse
 import csv
 import os
+import shutil
 import sys
+import time
+from collections.abc import Callable
 from time import perf_counter
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from bytelore import __version__, schema
 from bytelore.functions import templates
 from bytelore.operators import registry, report
-from bytelore.operators.identify import FormatIdentifier, Options
+from bytelore.operators.identify import FormatIdentifier, Options, expanded
 from bytelore.plans import formats as own
-from bytelore.sources import objects, registries
+from bytelore.sources import objects, records, registries, service, versions
 from bytelore.sources.versions import Versions
 
 
@@ -31,16 +37,18 @@ def parser() -> argparse.ArgumentParser:
     which = p.add_mutually_exclusive_group()
     which.add_argument("-input", help="file with a path on each line; - for standard input")
     which.add_argument("files", nargs="*", default=[], help="files or folders; - for content from standard input")
-    p.add_argument("-filename", help="name of content from standard input")
+    p.add_argument("-filename", help="name of content from standard input, for its extension")
+    p.add_argument("-multi", action="store_true", help="standard input holds several objects, each after lines with its content-length")
     p.add_argument("-useformats", help="only these puids, separated by commas")
     p.add_argument("-nouseformats", help="all but these puids")
     p.add_argument("-matchprintf", help="template of lines with a match")
     p.add_argument("-nomatchprintf", help="template of lines without one")
     p.add_argument("-bufsize", type=int, default=schema.BUFFER, help="bytes of each window")
     p.add_argument("-container_bufsize", type=int, default=schema.CONTAINER_BUFFER, help="accepted for compatibility")
-    p.add_argument("-sigs", help="check, update, list or a version")
+    p.add_argument("-sigs", help="check, update, list or a version; needs -confdir")
     p.add_argument("-loadformats", help="further registry files, separated by commas")
     p.add_argument("-confdir", help="folder of the registry files")
+    p.add_argument("-outdir", help="folder that the tasks write the lines to, in no order, instead of standard output")
     return p
 
 
@@ -62,8 +70,10 @@ def load(spark: SparkSession, args: argparse.Namespace):
     return formats, containers
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
-    argv, out = sys.argv[1:] if argv is None else argv, out or sys.stdout
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None, fetch: versions.Fetch = service.over_http, stdin=None) -> int:
+    argv, out, stdin = sys.argv[1:] if argv is None else argv, out or sys.stdout, stdin or sys.stdin
+    if argv and argv[0] in COMMANDS:
+        return COMMANDS[argv[0]](argv[1:], out)
     if not argv:
         parser().print_help(out)
         return 1
@@ -71,6 +81,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     if args.v:
         print(f"bytelore {__version__}", file=out)
         return 0
+    if args.sigs:
+        return signatures(args, fetch, out)
     began = perf_counter()
     spark = spark or SparkSession.builder.getOrCreate()
     formats, containers = load(spark, args)
@@ -79,35 +91,133 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     if args.files == ["-"]:
         if args.zip:
             raise SystemExit("members of archives need files")
-        results = identifier.objects(objects.object_of_stream(spark, sys.stdin.buffer, args.filename, args.bufsize), stream=True)
+        made = objects.objects_of_framed_stream(spark, stdin.buffer, args.bufsize) if args.multi else objects.object_of_stream(spark, stdin.buffer, args.filename, args.bufsize, objects.linked_name())
+        results = identifier.objects(made, stream=True, extension_of="extension_of")
     else:
-        names = (sys.stdin if args.input == "-" else open(args.input)).readlines() if args.input else args.files
-        paths = list(objects.list_paths(names, args.recurse))
-        results = identify_files(identifier, paths)
+        if args.input and args.input != "-":
+            roots = objects.paths_from_list(spark, args.input)
+        else:
+            roots = spark.createDataFrame([(name.removesuffix("\n"),) for name in (stdin.readlines() if args.input else args.files)], "path string")
+        results = identify_files(identifier, roots, args.recurse)
     match = templates.MATCH if args.matchprintf is None else templates.unescaped(args.matchprintf)
     no_match = templates.NO_MATCH if args.nomatchprintf is None else templates.unescaped(args.nomatchprintf)
-    results = results.cache()
-    for row in report.lines(results, match, no_match).orderBy("object_id", "path", "group_index").toLocalIterator():
-        out.write(row.line)
+    if args.outdir:
+        results = results.cache()
+        report.write_lines(results, args.outdir, match, no_match)
+        notes = [r.note for r in results.where("note IS NOT NULL").select("note").distinct().toLocalIterator()]
+        n = report.objects_done(results)
+    else:
+        n, last, notes = 0, None, []
+        for row in report.lines(results, match, no_match, keep_all=True).orderBy("object_id", "path", "group_index").toLocalIterator():
+            here = row.object_id, row.path, row.filename
+            if here != last:
+                n, last = n + 1, here
+                notes += [row.note] if row.note else []
+            out.write(row.line)
+    for note in dict.fromkeys(notes):
+        print(note, file=sys.stderr)
     if not args.q:
-        print(report.summary(results, perf_counter() - began), file=sys.stderr)
+        print(report.summary(n, perf_counter() - began), file=sys.stderr)
+    return 0
+
+
+def identify_files(identifier: FormatIdentifier, roots: DataFrame, recurse: bool = False) -> DataFrame:
+    """Results for the files of roots (path); tasks list the folders, open the files and read of each what is looked at."""
+    paths = expanded(roots, recurse)
+    return identifier.files(paths.repartition(max(1, identifier.spark.sparkContext.defaultParallelism), "path"))
+
+
+def signatures(args: argparse.Namespace, fetch: versions.Fetch, out) -> int:
+    """The action on registry files that -sigs names."""
+    if not args.confdir:
+        raise SystemExit("-sigs needs -confdir, the folder of the registry files")
+    path = os.path.join(args.confdir, "versions.xml")
+    local = Versions.read(path)
+    if not local.update_site:
+        raise SystemExit(f"{path} names no update site")
+    try:
+        new = versions.act(args.sigs, local, versions.UpdateSite(local.update_site.rstrip("/"), fetch), args.confdir, lambda line: print(line, file=out))
+    except (LookupError, ValueError) as e:
+        raise SystemExit(str(e)) from e
+    if new != local:
+        new.write(path)
+    return 0
+
+
+def prepare(argv: list[str], out=None, spark: SparkSession | None = None) -> int:
+    """Compiles a zip of records into a registry file."""
+    p = argparse.ArgumentParser(prog="bytelore prepare", description="Compiles records into a registry.")
+    p.add_argument("-input", help="zip of records; that of the version file otherwise")
+    p.add_argument("-output", help="registry file; that of the version file otherwise")
+    p.add_argument("-puid", help="only this record")
+    p.add_argument("-confdir", default=".", help="folder of the version file")
+    args = p.parse_args(argv)
+    v = Versions.read(os.path.join(args.confdir, "versions.xml"))
+    source = args.input or os.path.join(args.confdir, f"pronom-xml-v{v.pronom_version}.zip")
+    target = args.output or os.path.join(args.confdir, v.pronom_signature or "formats.xml")
+    n = compiled_file(spark or SparkSession.builder.getOrCreate(), source, target, args.puid)
+    print(f"{n} formats compiled", file=sys.stderr)
     return 0
 
 
-def identify_files(identifier: FormatIdentifier, paths: list[str]):
-    """Results for files; whole contents are only read of those whose windows say that they are containers."""
-    o = identifier.options
-    found = objects.objects_of_files(identifier.spark, paths, o.bufsize)
-    if not (o.containers or o.archives):
-        return identifier.objects(found)
-    return identifier.files(found)
+def compiled_file(spark: SparkSession, source: str, target: str, puid: str | None = None) -> int:
+    """Writes the registry of a zip of records as one file; the number of its formats."""
+    formats = records.compile_records(spark, source, puid)
+    folder = f"{target}.parts"
+    registries.write_formats(formats, folder)
+    (part,) = [f for f in os.listdir(folder) if f.startswith("part-")]
+    os.replace(os.path.join(folder, part), target)
+    shutil.rmtree(folder)
+    return formats.count()
+
+
+def update(argv: list[str], out=None, client: service.RegistryService | None = None, spark: SparkSession | None = None, wait: Callable[[float], None] = time.sleep) -> int:
+    """Downloads the signature file and its records, packs them, writes the version file and compiles the registry."""
+    p = argparse.ArgumentParser(prog="bytelore update", description="Downloads and compiles the registry.")
+    p.add_argument("-confdir", default=".", help="folder of the registry files")
+    p.add_argument("-tmpdir", help="folder of single records; an interrupted download goes on from there")
+    p.add_argument("-keep_tmp", action="store_true", help="keep that folder")
+    p.add_argument("-http_throttle", type=float, default=0.5, help="seconds between downloads")
+    p.add_argument("-version", default="latest", help="version of the signature file")
+    args = p.parse_args(argv)
+    client, say = client or service.RegistryService(), lambda line: print(line, file=out or sys.stdout)
+    version = client.version() if args.version == "latest" else int(args.version.lstrip("v"))
+    xml, n = client.signature_file(version)
+    with open(os.path.join(args.confdir, f"DROID_SignatureFile-v{version}.xml"), "wb") as f:
+        f.write(xml)
+    say(f"version {version}: {n} formats")
+    folder = args.tmpdir or os.path.join(args.confdir, "tmp")
+    os.makedirs(folder, exist_ok=True)
+    paths = versions.download_records(versions.puids_of(xml), lambda puid: (200, client.record(puid)), folder, wait=lambda: wait(args.http_throttle))
+    archive = os.path.join(args.confdir, f"pronom-xml-v{version}.zip")
+    versions.pack_records(paths, archive)
+    if not args.keep_tmp:
+        shutil.rmtree(folder)
+    path = os.path.join(args.confdir, "versions.xml")
+    new = versions.updated(Versions.read(path), version)
+    new.write(path)
+    made = compiled_file(spark or SparkSession.builder.getOrCreate(), archive, os.path.join(args.confdir, new.pronom_signature))
+    say(f"{made} formats compiled")
+    return 0
+
+
+def to_xml_main(argv: list[str], out=None, stdin=None) -> int:
+    """Lines of standard input as an XML report."""
+    p = argparse.ArgumentParser(prog="bytelore toxml", description="Converts lines of the default template to XML.")
+    p.add_argument("-confdir", default=".", help="folder of the version file")
+    args = p.parse_args(argv)
+    to_xml(stdin or sys.stdin, out or sys.stdout, signature_version=Versions.read(os.path.join(args.confdir, "versions.xml")).pronom_version or "")
+    return 0
 
 
 def to_xml(lines, out, program_version: str = __version__, signature_version: str = "") -> None:
     """Lines of the default template, from a file, as an XML report."""
-    rows = [dict(zip(schema.LINE_COLUMNS, r, strict=False)) for r in csv.reader(lines) if r]
+    rows = [dict(zip(report.LINE_ORDER, r, strict=False)) for r in csv.reader(lines) if r]
     out.write(report.xml_text(rows, program_version, signature_version))
 
 
+COMMANDS = {"prepare": prepare, "update": update, "toxml": to_xml_main}
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -25,6 +25,12 @@ def member_name(outer: Column | str, inner: Column | str) -> Column:
     return F.concat_ws("!", outer, inner)
 
 
+def record_file_column(puid: Column | str) -> Column:
+    """As `record_file`, with built-in functions."""
+    parts = F.split(puid, "/")
+    return F.concat(F.lit("puid."), parts[0], F.lit("."), parts[1], F.lit(".xml"))
+
+
 def record_file(puid: str) -> str:
     """`fmt/12` -> `puid.fmt.12.xml`."""
     kind, number = puid.split("/")
@@ -33,5 +39,5 @@ def record_file(puid: str) -> str:
 
 def version_number(text: str) -> int | None:
     """`v116` or `116` -> 116; None for anything else."""
-    m = re.fullmatch(r"v?(\d+)", text)
+    m = re.fullmatch(r"[vV]?(\d+)", text)
     return int(m[1]) if m else None

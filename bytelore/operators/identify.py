@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import pickle
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from time import perf_counter
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +20,11 @@ from bytelore.functions.names import extension_column
 from bytelore.operators import matching
 from bytelore.operators.registry import OLE, TAR, ZIP, Compiled, compiled, loaded, small
 from bytelore.sources.archives import container_hits, members
+from bytelore.sources.objects import windows_of
 
 MATCHES = T.ArrayType(schema.CANDIDATE)
+#: What a task finds out about an object or a member: its matches after suppression, and messages about what could not be read.
+SCANNED = T.StructType([T.StructField("object_id", T.StringType()), T.StructField("filename", T.StringType()), T.StructField("size", T.LongType()), T.StructField("time_ms", T.LongType()), T.StructField("chosen", MATCHES), T.StructField("label", T.StringType()), T.StructField("path", T.StringType()), T.StructField("note", T.StringType())])
 
 
 @dataclass
@@ -25,7 +32,7 @@ class Options:
     """What the command line offers: window size, extension fallback, deep scan, members of archives."""
 
     bufsize: int = schema.BUFFER
-    container_bufsize: int = schema.CONTAINER_BUFFER  # accepted; members are read whole
+    container_bufsize: int = schema.CONTAINER_BUFFER  # accepted; the registered members of containers are read whole
     extension: bool = True
     containers: bool = True
     archives: bool = False
@@ -50,107 +57,71 @@ class FormatIdentifier:
         return self._compiled
 
     def matches(self, objects: DataFrame) -> DataFrame:
-        """`objects` (object_id, filename, size, bof, eof and more) with `matches` after suppression and `time_ms`."""
+        """`objects` (object_id, filename, size, bof, eof and more) with `matches` after suppression, `time_ms` and `note`."""
         found = matching.with_candidates(objects, self.registry)
         return found.withColumn("matches", matching.resolved()).drop("candidates")
 
     def content(self, df: DataFrame, object_id: str = "object_id", filename: str = "filename", content: str = "content", stream: bool = False) -> DataFrame:
-        """Results for a table with a binary column."""
-        bof, eof = matching.windows("content", self.options.bufsize)
+        """Results for a table with a binary column.
+
+        Only windows go to Python if neither containers nor archives are looked into; else each content goes there once.
+        """
         rows = df.select(F.col(object_id).cast("string").alias("object_id"), F.col(filename).alias("filename"), F.coalesce(F.col(content), F.lit(b"")).alias("content"))
-        rows = rows.withColumns({"size": F.octet_length("content").cast("long"), "bof": bof, "eof": eof})
-        if not (self.options.containers or self.options.archives):
-            rows = rows.drop("content")
-        return self._results(self.matches(rows), stream)
+        if stream or not (self.options.containers or self.options.archives):
+            bof, eof = matching.windows("content", self.options.bufsize)
+            return self.objects(rows.withColumns({"size": F.octet_length("content").cast("long"), "bof": bof, "eof": eof}).drop("content"), stream)
+        n = self.options.bufsize
 
-    def objects(self, objects: DataFrame, stream: bool = False) -> DataFrame:
-        """Results for objects given by their windows alone: no deep scan, no members."""
-        return self._results(self.matches(objects), stream)
+        def given(batch):
+            for object_id, name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = data.as_py() or b""
+                yield object_id, name, lambda data=data: (len(data), data[:n], data[-n:] if n else b""), lambda data=data: io.BytesIO(data)
 
-    def files(self, objects: DataFrame) -> DataFrame:
-        """Results for objects whose file names can be opened: whole contents are read of containers alone."""
-        found = self.matches(objects)
-        kind = matching.container_type("matches", self.registry.formats)
-        by_name = F.lit(self.options.archives) & F.lower("filename").rlike(r"\.(zip|tar)$")
-        at = found.columns.index("filename")
+        return self._rows(self._scanned(rows, given))
 
-        def read(batches):
-            for batch in batches:
-                data = []
-                for name, wanted in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                    content = b""
-                    if wanted:
-                        try:
-                            with open(name, "rb") as f:
-                                content = f.read()
-                        except OSError:
-                            pass
-                    data.append(content)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.binary())], names=[*batch.schema.names[:-1], "content"])
-
-        wanted = found.withColumn("_wanted", F.coalesce(kind.isNotNull() | by_name, F.lit(False)))
-        return self._results(wanted.mapInArrow(read, T.StructType([*found.schema.fields, T.StructField("content", T.BinaryType())])), False)
-
-    def _results(self, found: DataFrame, stream: bool) -> DataFrame:
-        kind = matching.container_type("matches", self.registry.formats)
-        found = found.withColumn("kind", kind)
-        if "content" in found.columns and self.options.containers and self.registry.containers and not stream:
-            found = self._deep(found)
-        else:
-            found = found.withColumn("deep", F.lit(None).cast(MATCHES))
+    def objects(self, objects: DataFrame, stream: bool = False, extension_of: str = "filename") -> DataFrame:
+        """Results for objects given by their windows alone: no deep scan, no members. `extension_of`: the column whose extension counts."""
+        found = self.matches(objects)
         signed = (F.size("matches") > 0) & (F.lit(stream) | (F.col("size") > 0))
         if self.options.extension:
             table = small(matching.extension_matches(self.formats), len(self.registry.formats))
-            found = found.withColumn("ext", extension_column("filename")).join(table, "ext", "left").drop("ext")
+            found = found.withColumn("ext", extension_column(extension_of)).join(table, "ext", "left").drop("ext")
         else:
-            found = found.withColumn("ext_matches", F.lit(None).cast(MATCHES))
-        none = F.array().cast(MATCHES)
-        deep = F.coalesce(F.size("deep") > 0, F.lit(False))
-        chosen = F.when(deep, F.col("deep")).when(signed, F.col("matches")).otherwise(F.coalesce("ext_matches", none))
-        label = F.when(deep, "container").when(signed, "signature").otherwise("extension")
-        rows = found.withColumns({"chosen": chosen, "label": label, "was_deep": deep, "was_signed": deep | signed})
-        shown = rows if self.options.extension else rows.where("was_signed")
-        out = self._rows(shown.select("object_id", "filename", "size", "time_ms", "chosen", "label", F.lit("").alias("path")))
-        if self.options.archives and "content" in rows.columns and not stream:
-            after = matching.container_type("chosen", self.registry.formats)
-            inside = rows.where("NOT was_deep").withColumn("kind", after).where(F.col("kind").isin(ZIP, TAR))
-            out = out.unionByName(self._rows(self._members(inside)))
-        return out
-
-    def _deep(self, found: DataFrame) -> DataFrame:
-        """`deep`: what the registered members or streams of a zip or compound file identify; formats unknown here are dropped."""
-        packed, kind = pickle.dumps(self.registry), to_arrow_type(MATCHES)
-        names = {r.puid: r.name for r in self.formats.select("puid", "name").collect()}
-        types = {ZIP: "ZIP", OLE: "OLE2"}
-        kept = found.columns
-        content, at = kept.index("content"), kept.index("kind")
+            found = found.where(signed).withColumn("ext_matches", F.lit(None).cast(MATCHES))
+        chosen = F.when(signed, F.col("matches")).otherwise(F.coalesce("ext_matches", F.array().cast(MATCHES)))
+        return self._rows(found.select("object_id", "filename", "size", "time_ms", chosen.alias("chosen"), F.when(signed, "signature").otherwise("extension").alias("label"), F.lit("").alias("path"), "note"))
 
-        def run(batches):
-            own = loaded(packed)
-            for batch in batches:
-                deep = []
-                for data, what in zip(batch.column(content), batch.column(at).to_pylist(), strict=True):
-                    hits = container_hits(data.as_py() or b"", types[what], own.containers) if what in types else []
-                    deep.append([{"ord": own.formats[i][0], "puid": p, "prio": sorted(own.formats[i][3]), "sigs": [{"sig_ord": k, "name": names.get(p)}]} for k, p in enumerate(hits) if (i := own.by_puid.get(p)) is not None])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(deep, kind)], names=[*batch.schema.names, "deep"])
+    def files(self, paths: DataFrame) -> DataFrame:
+        """Results for files, out of a table with their names in a column `path`; executors open them, and read of each what is looked at."""
+        n = self.options.bufsize
+
+        def given(batch):
+            for path in batch.column(0).to_pylist():
+                yield path, path, lambda path=path: windows_of(path, n), lambda path=path: open(path, "rb")
 
-        return found.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("deep", MATCHES)]))
+        return self._rows(self._scanned(paths.select(F.col("path").cast("string").alias("path")), given))
 
-    def _members(self, archives: DataFrame) -> DataFrame:
-        """A row for each member, members of members included; recursion, suppression and fallback happen in the task."""
+    def _scanned(self, df: DataFrame, given: Callable) -> DataFrame:
+        """Rows of SCANNED for each object and, if asked for, its members: windows, deep scan and members in one visit."""
         packed, o = pickle.dumps(self.registry), self.options
-        out = T.StructType([T.StructField("object_id", T.StringType()), T.StructField("filename", T.StringType()), T.StructField("size", T.LongType()), T.StructField("time_ms", T.LongType()), T.StructField("chosen", MATCHES), T.StructField("label", T.StringType()), T.StructField("path", T.StringType())])
-        kinds = [to_arrow_type(f.dataType) for f in out.fields]
+        kinds = [to_arrow_type(f.dataType) for f in SCANNED.fields]
+
+        def packed_rows(rows):
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=SCANNED.names)
 
         def run(batches):
             own = loaded(packed)
             for batch in batches:
-                for object_id, name, data, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                    rows = [(object_id, *m) for m in members(name, data.as_py() or b"", kind, own, o)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.name for f in out.fields])
+                rows = []
+                for object_id, name, windows, opened in given(batch):
+                    rows += [(object_id, *r) for r in scan(name, windows, opened, own, o)]
+                    if len(rows) > 1000:
+                        yield packed_rows(rows)
+                        rows = []
+                yield packed_rows(rows)
 
-        return archives.select("object_id", "filename", "content", "kind").mapInArrow(run, out)
+        return df.mapInArrow(run, SCANNED)
 
     def _rows(self, found: DataFrame) -> DataFrame:
         """Result rows: one for each signature of each match, or one KO row."""
@@ -160,6 +131,61 @@ class FormatIdentifier:
         rows = rows.join(small(facts, len(self.registry.formats)), F.col("hit.ord") == F.col("_ord"), "left")
         no = F.col("hit").isNull()
         return rows.select(
-            "object_id", F.when(no, "KO").otherwise("OK").alias("status"), "time_ms", "puid", "formatname", F.col("hit.signaturename").alias("signaturename"), F.col("size").alias("filesize"), "filename", "mimetype",
-            F.when(no, "fail").otherwise(F.col("label")).alias("matchtype"), "version", "alias", "apple_uti", "group_size", (F.col("pos") + 1).alias("group_index"), "path",
+            "object_id", F.when(no, "KO").otherwise("OK").alias("status"), "time_ms", "puid", "formatname", F.coalesce("hit.signaturename", F.when(F.col("label") == "container", F.col("formatname"))).alias("signaturename"), F.col("size").alias("filesize"), "filename", "mimetype",
+            F.when(no, "fail").otherwise(F.col("label")).alias("matchtype"), "version", "alias", "apple_uti", "group_size", (F.col("pos") + 1).alias("group_index"), "path", "note",
         )
+
+
+def scan(name: str, windows: Callable[[], tuple[int, bytes, bytes]], opened: Callable[[], BinaryIO], own: Compiled, o: Options) -> list[tuple]:
+    """(filename, size, time_ms, chosen, label, path, note) of an object and its members; a file that can't be opened has no row."""
+    began, notes = perf_counter(), []
+    try:
+        size, bof, eof = windows()
+    except OSError:
+        return []
+    hits = own.resolve(own.candidates(bof, eof, notes))
+    kind = own.container_type([i for i, _ in hits])
+    deep, inside = [], []
+    if o.containers and own.containers and kind in (ZIP, OLE):
+        with opened() as source:
+            found = container_hits(source, "ZIP" if kind == ZIP else "OLE2", own.containers, notes)
+        deep = [(own.by_puid[p], [(k, None)]) for k, p in enumerate(found) if p in own.by_puid]
+    if deep:
+        hits, label = deep, "container"
+    elif hits and size > 0:
+        label = "signature"
+    else:
+        hits, label = [(i, [(0, "External")]) for i in own.by_extension(name)] if o.extension else [], "extension"
+    took = int((perf_counter() - began) * 1000)
+    if o.archives and not deep:
+        kind = own.container_type([i for i, _ in hits])
+        if kind in (ZIP, TAR):
+            try:
+                with opened() as source:
+                    inside = members(name, source, kind, own, o, notes)
+            except OSError as e:
+                notes.append(f"{name}: {e}")
+    rows = [(*member, None) for member in inside]
+    if hits or o.extension:
+        rows.insert(0, (name, size, took, own.described(hits), label, "", "; ".join(notes) or None))
+    return rows
+
+
+def expanded(roots: DataFrame, recurse: bool = False) -> DataFrame:
+    """(path): the files of roots (path), listed by the tasks; a folder of another root's files is listed again."""
+    from bytelore.sources.objects import list_paths
+
+    def run(batches):
+        for batch in batches:
+            for root in batch.column(0).to_pylist():
+                paths: list[str] = []
+                for p in list_paths([root], recurse):
+                    paths.append(p)
+                    if len(paths) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+                        paths = []
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    return roots.select(F.col("path").cast("string").alias("path")).mapInArrow(run, "path string")
+
+

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from bytelore import schema
-from bytelore.operators.registry import OLE_PUID, Compiled, extension_table, loaded
+from bytelore.operators.registry import OLE_PUID, Compiled, extension_table, literal, loaded
 
 
 def windows(content: Column | str, size: int = schema.BUFFER) -> tuple[Column, Column]:
@@ -27,7 +27,7 @@ def objects(df: DataFrame, object_id: str, filename: str, content: str, size: in
 
 
 def with_candidates(df: DataFrame, registry: Compiled) -> DataFrame:
-    """`candidates`: for each object all formats of which a signature holds, in registry order; `time_ms`: time spent on it.
+    """`candidates`: for each object all formats of which a signature holds, in registry order; `time_ms`: time spent on it; `note`: errors.
 
     One crossing to Python per object; windows go in, only the matches come out.
     """
@@ -42,16 +42,18 @@ def with_candidates(df: DataFrame, registry: Compiled) -> DataFrame:
 
         own = loaded(packed)
         for batch in batches:
-            found, times = [], []
+            found, times, notes = [], [], []
             for b, e in zip(batch.column(bof), batch.column(eof), strict=True):
                 began = perf_counter()
-                hits = own.candidates(b.as_py() or b"", e.as_py() or b"")
-                found.append([{"ord": own.formats[i][0], "puid": own.formats[i][1], "prio": sorted(own.formats[i][3]), "sigs": [{"sig_ord": k, "name": n} for k, n in s]} for i, s in hits])
+                errors: list[str] = []
+                hits = own.candidates(b.as_py() or b"", e.as_py() or b"", errors)
+                notes.append("; ".join(errors) or None)
+                found.append(own.described(hits))
                 times.append(int((perf_counter() - began) * 1000))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(found, kind), pa.array(times, pa.int64())], names=[*kept, "candidates", "time_ms"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(found, kind), pa.array(times, pa.int64()), pa.array(notes, pa.string())], names=[*kept, "candidates", "time_ms", "note"])
 
     fields = {f.name: f for f in df.schema.fields}
-    out = T.StructType([*(fields[c] for c in kept), T.StructField("candidates", T.ArrayType(schema.CANDIDATE)), T.StructField("time_ms", T.LongType())])
+    out = T.StructType([*(fields[c] for c in kept), T.StructField("candidates", T.ArrayType(schema.CANDIDATE)), T.StructField("time_ms", T.LongType()), T.StructField("note", T.StringType())])
     return df.mapInArrow(run, out)
 
 
@@ -66,17 +68,22 @@ def resolved(candidates: str = "candidates") -> Column:
 
 
 def native_holds(position: str, regex: str, bof: str = "bof", eof: str = "eof") -> Column:
-    """A pattern as a built-in predicate over Latin-1 text, for small registries of patterns without repeated groups."""
+    """A pattern as a built-in predicate over Latin-1 text, for small registries of patterns without repeated groups.
+
+    Bytes at a fixed place are compared first, so most rows are not decoded.
+    """
     java = regex.encode().decode("latin-1").replace("\\Z", "\\z")
     if position == "BOF":
         java = f"\\A(?:{java})"
     elif position not in ("EOF", "VAR", "IFB"):
         return F.lit(True)
-    return F.regexp_like(F.decode(F.col(eof if position == "EOF" else bof), "ISO-8859-1"), F.lit(java))
+    test = F.regexp_like(F.decode(F.col(eof if position == "EOF" else bof), "ISO-8859-1"), F.lit(java))
+    fixed = literal(regex) if position == "BOF" else None
+    return (F.substring(F.col(bof), fixed[0] + 1, len(fixed[1])) == F.lit(fixed[1])) & test if fixed else test
 
 
 def native_candidates(df: DataFrame, registry: Compiled) -> DataFrame:
-    """As `with_candidates`, without leaving the JVM: every signature is a predicate of the row."""
+    """As `with_candidates`, without leaving the JVM: every signature is a predicate of the row. A check, and a plan for a few dozen formats."""
     entries = []
     for ord_, puid, _, prio, signatures, _ in registry.formats:
         sigs = []

@@ -129,8 +129,8 @@ class Compiled:
                     lookup.setdefault((offset, len(text)), {}).setdefault(text, []).append(i)
         self._ready = lookup, always, tests
 
-    def candidates(self, bof: bytes, eof: bytes) -> list[tuple[int, list[tuple[int, str]]]]:
-        """(index, [(signature, name)]) of all formats with a signature that holds, in order; errors drop a format's later signatures."""
+    def candidates(self, bof: bytes, eof: bytes, notes: list[str] | None = None) -> list[tuple[int, list[tuple[int, str]]]]:
+        """(index, [(signature, name)]) of all formats with a signature that holds, in order; errors drop a format's later signatures, and are noted."""
         if self._ready is None:
             self._prepare()
         lookup, always, tests = self._ready
@@ -144,8 +144,9 @@ class Compiled:
                 for k, (name, patterns) in enumerate(tests[i]):
                     if all(_holds(position, test, bof, eof) for position, test in patterns):
                         hits.append((k, name))
-            except Exception:  # noqa: BLE001  a broken expression must not stop the scan of other formats
-                pass
+            except Exception as e:  # noqa: BLE001  a broken expression must not stop the scan of other formats
+                if notes is not None:
+                    notes.append(f"{self.formats[i][1]}: {e}")
             if hits:
                 out.append((i, hits))
         return out
@@ -161,6 +162,10 @@ class Compiled:
     def _over(self, i: int, j: int) -> bool:
         return i != j and self.formats[j][1] in self.formats[i][3]
 
+    def described(self, hits: list[tuple[int, list[tuple[int, str | None]]]]) -> list[dict]:
+        """Matches as rows hold them."""
+        return [{"ord": self.formats[i][0], "puid": self.formats[i][1], "prio": sorted(self.formats[i][3]), "sigs": [{"sig_ord": k, "name": n} for k, n in sigs]} for i, sigs in hits]
+
     def by_extension(self, filename: str) -> list[int]:
         """Formats with the name's extension, without dominated ones."""
         ext = extension(filename)

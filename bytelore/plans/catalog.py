@@ -84,7 +84,7 @@ PREDICATES = {
 }
 _BY_PUID = {f[0]: (k, f) for k, f in enumerate(own.FORMATS)}
 _TEXT = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-_REGISTRY = "registry(ord, puid, formatname, mimetype, version, container) AS (VALUES " + ", ".join(f"({k}, {_TEXT(f[0])}, {_TEXT(f[1])}, {_TEXT(f[3])}, {_TEXT(f[2])}, {_TEXT(f[4])})" for k, f in enumerate(own.FORMATS)) + ")"
+REGISTRY = "registry(ord, puid, formatname, mimetype, version, container) AS (VALUES " + ", ".join(f"({k}, {_TEXT(f[0])}, {_TEXT(f[1])}, {_TEXT(f[3])}, {_TEXT(f[2])}, {_TEXT(f[4])})" for k, f in enumerate(own.FORMATS)) + ")"
 _OVER = "over_(puid, inferior) AS (VALUES " + ", ".join(f"({_TEXT(f[0])}, {_TEXT(p)})" for f in own.FORMATS for p in f[6]) + ")"
 _EXTENSIONS = "extensions(ord, puid, ext) AS (VALUES " + ", ".join(f"({k}, {_TEXT(f[0])}, {_TEXT(e)})" for k, f in enumerate(own.FORMATS) for e in f[5]) + ")"
 _EXT = "ltrim(lower(regexp_extract(filename, '[^/.]\\.*(\\.[^/.]*)$', 1)), '.')"
@@ -100,7 +100,7 @@ kept AS (SELECT * FROM accepted x WHERE NOT EXISTS (SELECT 1 FROM accepted y JOI
 signed AS (SELECT hits.* FROM hits JOIN kept USING (object_id, ord) WHERE size > 0)"""
 
 
-def _identified(n: int = schema.BUFFER, keep=lambda puid: True, extension: bool = True, objects: str = OBJECTS) -> str:
+def identified(n: int = schema.BUFFER, keep=lambda puid: True, extension: bool = True, objects: str = OBJECTS) -> str:
     ext = f"""external AS (SELECT o.object_id, o.filename, o.size, e.ord, 0 AS sig_ord, e.puid, 'External' AS signaturename FROM objects o JOIN extensions e ON e.ext = {_EXT} AND e.ext <> ''
   WHERE o.object_id NOT IN (SELECT object_id FROM signed) AND ({' OR '.join(f"e.puid = '{p}'" for p in _BY_PUID if keep(p)) or 'false'})),
 external_kept AS (SELECT * FROM external x WHERE NOT EXISTS (SELECT 1 FROM external y JOIN over_ o ON o.puid = y.puid WHERE y.object_id = x.object_id AND o.inferior = x.puid)),
@@ -108,7 +108,7 @@ chosen AS (SELECT *, 'signature' AS matchtype FROM signed UNION ALL SELECT *, 'e
     if not extension:
         ext = "chosen AS (SELECT *, 'signature' AS matchtype FROM signed)"
     join = "LEFT JOIN" if extension else "JOIN"
-    return f"""{objects.format(n=n)}, {_REGISTRY}, {_OVER}, {_EXTENSIONS}, {_matched(keep)}, {ext},
+    return f"""{objects.format(n=n)}, {REGISTRY}, {_OVER}, {_EXTENSIONS}, {_matched(keep)}, {ext},
 results AS (SELECT o.object_id, CASE WHEN c.puid IS NULL THEN 'KO' ELSE 'OK' END AS status, c.puid, r.formatname, c.signaturename, o.size AS filesize, o.filename, r.mimetype, coalesce(c.matchtype, 'fail') AS matchtype, r.version, r.container,
   count(c.puid) OVER (PARTITION BY o.object_id)::INT AS group_size, CASE WHEN c.puid IS NOT NULL THEN row_number() OVER (PARTITION BY o.object_id ORDER BY c.ord, c.sig_ord) ELSE 0 END::INT AS group_index, c.ord
   FROM objects o {join} chosen c USING (object_id) LEFT JOIN registry r ON r.puid = c.puid)"""
@@ -178,7 +178,7 @@ def object_md5(spark, sf_dir):
     return objects_of(spark, sf_dir).select("object_id", F.md5("content").alias("md5"))
 
 
-def _pattern(position: str, sequence: str, offset: str = "0", most: str = "0", size: int = WINDOW):
+def _pattern(position: str, sequence: str, offset: str = "0", most: str = "0", size: int = schema.BUFFER):
     def query(spark, sf_dir):
         rows = [(0, 0, "p", [], None, "p", None, None, None, [], None, [], [("s", [], [(position, sequence, compile_sequence(sequence, position, offset, most))])], None)]
         made = matching.objects(objects_of(spark, sf_dir), "object_id", "filename", "content", size)
@@ -188,7 +188,7 @@ def _pattern(position: str, sequence: str, offset: str = "0", most: str = "0", s
     return query
 
 
-def _pattern_sql(predicate: str, size: int = WINDOW) -> str:
+def _pattern_sql(predicate: str, size: int = schema.BUFFER) -> str:
     return f"WITH {OBJECTS.format(n=size)} SELECT object_id, size FROM objects WHERE {predicate}"
 
 
@@ -250,7 +250,7 @@ def nouse_formats(spark, sf_dir):
 def registry_override(spark, sf_dir):
     """Two files; the second replaces two formats in their earlier places and adds one."""
     first = own.formats(spark)
-    part = _table(spark, sf_dir, "part").where("p_partkey < 40").select(F.concat(F.lit("own/"), F.col("p_partkey").cast("string")).alias("puid"), F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("ord"))
+    part = _table(spark, sf_dir, "part").select(F.concat(F.lit("own/"), F.col("p_partkey").cast("string")).alias("puid"), F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("ord"))
     blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in schema.FORMAT.fields}
     second = part.select(*[part[c].alias(c) if c in part.columns else blank[c] for c in schema.FORMAT.names])
     return registry.combine(first, second).select("puid", "name", F.col("ord").cast("long").alias("ord"))
@@ -282,20 +282,6 @@ def container_types(spark, sf_dir):
     return made.select("object_id", matching.container_type("matches", ident.registry.formats).alias("container")).where("container IS NOT NULL")
 
 
-def priority_id_remap(spark, sf_dir):
-    """Inferior ids of records, mapped to puids where the id is known."""
-    parts = _table(spark, sf_dir, "part").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("puid"), F.array((F.col("p_partkey") + 1).cast("string"), (F.col("p_partkey") * 7).cast("string")).alias("ids"), F.col("p_partkey").cast("string").alias("pronom_id"))
-    return remap_priorities(parts).select("puid", F.concat_ws(",", "has_priority_over").alias("inferior"))
-
-
-def remap_priorities(records: DataFrame) -> DataFrame:
-    """`has_priority_over` of (puid, pronom_id, ids): each id's puid, or the id where there is none, in order."""
-    edges = records.select("puid", F.posexplode("ids").alias("at", "id"))
-    known = records.groupBy(F.col("pronom_id").alias("id")).agg(F.min("puid").alias("target"))
-    mapped = edges.join(known, "id", "left").groupBy("puid").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("target", "id").alias("to")))).alias("a"))
-    return mapped.select("puid", F.col("a.to").alias("has_priority_over"))
-
-
 def priority_edges(spark, sf_dir):
     return registry.priority_edges(own.formats(spark))
 
@@ -310,8 +296,7 @@ def matchtype_summary(spark, sf_dir):
 
 def record_files(spark, sf_dir):
     puid = F.concat_ws("/", F.lit("fmt"), F.col("p_partkey").cast("string"))
-    name = F.format_string("puid.%s.%s.xml", F.split(puid, "/")[0], F.split(puid, "/")[1])
-    return _table(spark, sf_dir, "part").select("p_partkey", name.alias("file"))
+    return _table(spark, sf_dir, "part").select("p_partkey", names.record_file_column(puid).alias("file"))
 
 
 def container_sequence_match(spark, sf_dir):
@@ -324,8 +309,8 @@ def container_sequence_match(spark, sf_dir):
 
 
 def _archives(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Archives built in tasks: documents as members, one of them an archive itself."""
-    d = _table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", "text")
+    """Archives built in tasks: documents as members, one of them an archive itself; tar files also have a folder."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         import pandas as pd
@@ -335,7 +320,7 @@ def _archives(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
                 data, inner = text.encode(), io.BytesIO()
                 with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("deep.txt", data[:100] or b"x")
+                    z.writestr("deep.txt", data or b"x")
                 items = [("a.txt", data), ("empty.bin", b""), ("b.dat", b"%PDF-1.7\n" + data), ("in.zip", inner.getvalue())]
                 raw = io.BytesIO()
                 if kind == "zip":
@@ -344,6 +329,9 @@ def _archives(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
                             z.writestr(n, b)
                 else:
                     with tarfile.open(fileobj=raw, mode="w", format=tarfile.USTAR_FORMAT) as t:
+                        folder = tarfile.TarInfo("folder")
+                        folder.type = tarfile.DIRTYPE
+                        t.addfile(folder)
                         for n, b in items:
                             info = tarfile.TarInfo(n)
                             info.size = len(b)
@@ -370,8 +358,8 @@ def _members_sql(kind: str) -> str:
     license_hit = "regexp_matches(substr(hex(encode(text)), 1, {n}), '^(..)*416C6C207269676874732072657365727665642E')"
     # members whose text has the license line are signature matches of that format, beside the others
     return f"""WITH m(tail, status, puid, matchtype) AS (VALUES {', '.join(rows)}),
-d AS (SELECT doc_id, text, {license_hit.format(n=262144)} AS lic, {license_hit.format(n=200)} AS lic_deep FROM documents WHERE doc_id < 200),
-x AS (SELECT doc_id, doc_id || '.{kind}' || tail AS filename, tail, m.* EXCLUDE (tail), CASE WHEN tail = '!in.zip!deep.txt' THEN lic_deep WHEN tail = '' OR tail = '!in.zip' THEN false ELSE lic AND tail IN ('!a.txt', '!b.dat') END AS hit, lic FROM d CROSS JOIN m),
+d AS (SELECT doc_id, text, {license_hit.format(n=262144)} AS lic FROM documents),
+x AS (SELECT doc_id, doc_id || '.{kind}' || tail AS filename, tail, m.* EXCLUDE (tail), lic AND tail IN ('!a.txt', '!b.dat', '!in.zip!deep.txt') AS hit, lic, coalesce(text, '') = '' AS no_text FROM d CROSS JOIN m WHERE NOT (coalesce(text, '') = '' AND tail = '!a.txt' AND '{kind}' = 'zip')),
 y AS (SELECT doc_id, filename, 'OK' AS status, 'own/20' AS puid, CASE WHEN '{kind}' = 'tar' AND tail IN ('!a.txt', '!b.dat') THEN '' ELSE 'signature' END AS matchtype, 2 AS place FROM x WHERE hit
   UNION ALL SELECT doc_id, filename, status, puid, matchtype, 1 FROM x WHERE NOT (hit AND (status = 'KO' OR puid = 'own/9'))
   UNION ALL SELECT doc_id, filename, 'OK', 'own/20', 'signature', 2 FROM x WHERE tail = '' AND lic AND '{kind}' = 'tar')
@@ -380,7 +368,7 @@ SELECT doc_id::VARCHAR AS object_id, filename, status, puid, matchtype, count(pu
 
 def container_deep_scan(spark, sf_dir):
     """Documents as zip files that hold a registered member for every third one."""
-    d = _table(spark, sf_dir, "documents").where("doc_id < 300").select("doc_id", "text")
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         import pandas as pd
@@ -404,13 +392,7 @@ def container_deep_scan(spark, sf_dir):
 
 _DEEP = """SELECT doc_id::VARCHAR AS object_id, CASE WHEN doc_id % 3 = 1 THEN 'own/23' WHEN doc_id % 6 = 3 THEN 'own/24' ELSE 'x-fmt/263' END AS puid,
 CASE WHEN doc_id % 3 = 1 THEN 'Office Open XML document' WHEN doc_id % 6 = 3 THEN 'OpenDocument text' ELSE 'ZIP local header' END AS signaturename,
-CASE WHEN doc_id % 3 = 1 OR doc_id % 6 = 3 THEN 'container' ELSE 'signature' END AS matchtype FROM documents WHERE doc_id < 300"""
-
-
-def pronom_compile(spark, sf_dir):
-    """Byte sequences of the registry with their expressions."""
-    rows = [(f[0], k, p, s, compile_sequence(s, p, o, m)) for f in own.FORMATS for k, (_, patterns) in enumerate(f[7]) for p, s, o, m in patterns]
-    return spark.createDataFrame(rows, "puid string, sig_ord int, position string, sequence string, regex string")
+CASE WHEN doc_id % 3 = 1 OR doc_id % 6 = 3 THEN 'container' ELSE 'signature' END AS matchtype FROM documents"""
 
 
 def queries() -> dict:
@@ -418,8 +400,8 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             identify_pages, identify_full, identify_small_window, identify_no_extension, identify_native, identify_signature, objects_windows, object_md5, signature_conjunction, signature_multi, priority_nontransitive,
-            extension_match, extension_names, use_formats, nouse_formats, registry_override, match_groups, report_csv_lines, report_ko_lines, report_custom_lines, container_types, priority_id_remap, priority_edges,
-            format_histogram, matchtype_summary, record_files, container_sequence_match, container_deep_scan, pronom_compile,
+            extension_match, extension_names, use_formats, nouse_formats, registry_override, match_groups, report_csv_lines, report_ko_lines, report_custom_lines, container_types, priority_edges,
+            format_histogram, matchtype_summary, record_files, container_sequence_match, container_deep_scan,
         )
     }
     found |= {name: _pattern(*args) for name, (args, _) in PATTERNS.items()}
@@ -427,13 +409,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    full = f"WITH {_identified()}"
+    full = f"WITH {identified()}"
     line = "'OK,0,' || puid || ',\"' || formatname || '\",\"' || signaturename || '\",' || filesize || ',\"' || filename || '\",\"' || coalesce(mimetype, 'None') || '\",\"' || matchtype || '\"'"
     found = {
-        "identify_pages": f"WITH {_identified(objects=_PAGES)} {_SELECT}",
+        "identify_pages": f"WITH {identified(objects=_PAGES)} {_SELECT}",
         "identify_full": f"{full} {_SELECT}",
-        "identify_small_window": f"WITH {_identified(n=WINDOW)} {_SELECT}",
-        "identify_no_extension": f"WITH {_identified(extension=False)} {_SELECT}",
+        "identify_small_window": f"WITH {identified(n=WINDOW)} {_SELECT}",
+        "identify_no_extension": f"WITH {identified(extension=False)} {_SELECT}",
         "identify_signature": f"{full} {_SIGNED}",
         "identify_native": f"{full} {_SIGNED}",
         "objects_windows": f"WITH {OBJECTS.format(n=WINDOW)} SELECT object_id, size, md5(unhex(bof)) AS bof_md5, md5(unhex(eof)) AS eof_md5 FROM objects",
@@ -443,15 +425,14 @@ def oracle_sql() -> dict[str, str]:
         "priority_nontransitive": f"WITH {OBJECTS.format(n=WINDOW)} SELECT object_id, unnest(['own/17', 'own/19']) AS puid FROM objects WHERE starts_with(bof, '6766')",
         "extension_match": f"WITH {OBJECTS.format(n=WINDOW)}, {_EXTENSIONS} SELECT object_id, ext, puid FROM objects JOIN extensions ON ext = {_EXT} AND ext <> ''",
         "extension_names": f"WITH {OBJECTS.format(n=WINDOW)} SELECT object_id, {_EXT} AS ext, ltrim(lower(regexp_extract(filename || '!inner/readme', '[^/.]\\.*(\\.[^/.]*)$', 1)), '.') AS member_ext FROM objects",
-        "use_formats": f"WITH {_identified(keep=lambda p: p in KEPT)} {_SELECT}",
-        "nouse_formats": f"WITH {_identified(keep=lambda p: p not in KEPT)} {_SELECT}",
-        "registry_override": f"WITH {_REGISTRY}, second AS (SELECT 'own/' || p_partkey AS puid, p_name AS name, p_partkey AS ord FROM part WHERE p_partkey < 40) SELECT coalesce(r.puid, s.puid) AS puid, coalesce(s.name, r.formatname) AS name, coalesce(r.ord, 1000000 + s.ord)::BIGINT AS ord FROM registry r FULL JOIN second s ON r.puid = s.puid",
+        "use_formats": f"WITH {identified(keep=lambda p: p in KEPT)} {_SELECT}",
+        "nouse_formats": f"WITH {identified(keep=lambda p: p not in KEPT)} {_SELECT}",
+        "registry_override": f"WITH {REGISTRY}, second AS (SELECT 'own/' || p_partkey AS puid, p_name AS name, p_partkey AS ord FROM part) SELECT coalesce(r.puid, s.puid) AS puid, coalesce(s.name, r.formatname) AS name, coalesce(r.ord, 1000000 + s.ord)::BIGINT AS ord FROM registry r FULL JOIN second s ON r.puid = s.puid",
         "match_groups": f"{full} SELECT object_id, max(group_size) AS group_size, max(group_index) AS last_index, count(*) AS n FROM results WHERE status = 'OK' GROUP BY object_id",
         "report_csv_lines": f"{full} SELECT object_id, group_index, {line} AS line FROM results WHERE status = 'OK'",
         "report_ko_lines": f"{full} SELECT object_id, 'KO,0,,,,' || filesize || ',\"' || filename || '\",,\"fail\"' AS line FROM results WHERE status = 'KO'",
         "report_custom_lines": f"{full} SELECT object_id, group_index, group_index || '/' || group_size || chr(9) || rpad(puid, 12, ' ') || '|' || lpad(filesize::VARCHAR, 8, '0') || '|' || coalesce(version, 'None') || ' 100%' AS line FROM results WHERE status = 'OK'",
         "container_types": f"WITH {OBJECTS.format(n=schema.BUFFER)} SELECT object_id, CASE WHEN starts_with(bof, '504B0304') THEN 'zip' WHEN starts_with(bof, 'D0CF11E0A1B11AE1') THEN 'ole' END AS container FROM objects WHERE starts_with(bof, '504B0304') OR starts_with(bof, 'D0CF11E0A1B11AE1')",
-        "priority_id_remap": "WITH e AS (SELECT p_partkey AS k, 0 AS place, p_partkey + 1 AS id FROM part UNION ALL SELECT p_partkey, 1, p_partkey * 7 FROM part) SELECT 'p/' || k AS puid, string_agg(CASE WHEN p.p_partkey IS NULL THEN id::VARCHAR ELSE 'p/' || id END, ',' ORDER BY place) AS inferior FROM e LEFT JOIN part p ON p.p_partkey = id GROUP BY k",
         "priority_edges": f"WITH {_OVER} SELECT puid, inferior FROM over_",
         "format_histogram": f"{full} SELECT puid, formatname, count(*) AS n FROM results WHERE status = 'OK' GROUP BY ALL",
         "matchtype_summary": f"{full} SELECT status, matchtype, count(*) AS n, count(DISTINCT object_id) AS objects FROM results GROUP BY ALL",

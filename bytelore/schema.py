@@ -25,8 +25,6 @@ CONTAINER = _struct(container_type=_text, sig_id=_text, puid=_text, path=_text,
 OBJECT = _struct(object_id=_text, filename=_text, size=T.LongType(), bof=T.BinaryType(), eof=T.BinaryType(), parent_id=_text, depth=T.IntegerType(), kind=_text)
 CANDIDATE = _struct(ord=T.IntegerType(), puid=_text, prio=T.ArrayType(_text), sigs=T.ArrayType(_struct(sig_ord=T.IntegerType(), name=_text)))
 RESULT_COLUMNS = ["status", "time_ms", "puid", "formatname", "signaturename", "filesize", "filename", "mimetype", "matchtype", "version", "alias", "apple_uti", "group_size", "group_index"]
-#: The nine columns of default lines.
-LINE_COLUMNS = ["status", "time", "puid", "formatname", "signaturename", "filesize", "filename", "mimetype", "matchtype"]
 
 BUFFER = 128 * 1024
 CONTAINER_BUFFER = 512 * 1024

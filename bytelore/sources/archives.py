@@ -95,13 +95,13 @@ class CompoundFile:
         return out
 
 
-def _listed(data: bytes, kind: str, wanted: list[str]) -> dict[str, bytes]:
+def _listed(source: BinaryIO, kind: str, wanted: list[str]) -> dict[str, bytes]:
     """Registered path -> content of those that are there."""
     if kind == "ZIP":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(source) as z:
             names = set(z.namelist())
             return {p: z.read(p) for p in wanted if p in names}
-    streams = CompoundFile(data).streams()
+    streams = CompoundFile(source.read()).streams()
     out = {}
     for path in wanted:
         hit = next((p for p in streams if p == path or p[1:] == path), None)
@@ -110,15 +110,17 @@ def _listed(data: bytes, kind: str, wanted: list[str]) -> dict[str, bytes]:
     return out
 
 
-def container_hits(data: bytes, kind: str, signatures: list[tuple]) -> list[str]:
-    """Puids of the container signatures that hold, by path, then puid, then signature; damaged containers have none."""
+def container_hits(data: bytes | BinaryIO, kind: str, signatures: list[tuple], notes: list[str] | None = None) -> list[str]:
+    """Puids of the container signatures that hold, by path, then puid, then signature; damaged containers have none, which is noted."""
     plan: dict[str, dict[str, list[str]]] = {}
     for what, path, puid, regex in signatures:
         if what == kind:
             plan.setdefault(path, {}).setdefault(puid, []).append(regex)
     try:
-        found = _listed(data, kind, list(plan))
-    except BROKEN:
+        found = _listed(io.BytesIO(data) if isinstance(data, bytes) else data, kind, list(plan))
+    except BROKEN as e:
+        if notes is not None:
+            notes.append(f"container: {e}")
         return []
     out = []
     for path, by_puid in plan.items():
@@ -161,21 +163,24 @@ def _windows(source: BinaryIO, n: int) -> tuple[bytes, bytes]:
     return first, last
 
 
-def members(name: str, data: bytes | BinaryIO, kind: str, registry, options) -> list[tuple]:
-    """(filename, size, time_ms, matches, label, place) of members, depth first; what can't be read ends the walk of its archive.
+def members(name: str, data: bytes | BinaryIO, kind: str, registry, options, notes: list[str] | None = None) -> list[tuple]:
+    """(filename, size, time_ms, matches, label, place) of members, depth first; what can't be read ends the walk of its archive, and is noted.
 
     Of a member only its two windows are kept; archives in it are copied to a spooled file while they are walked.
     """
     from time import perf_counter
 
-    out = []
+    out: list[tuple] = []
+    notes = [] if notes is None else notes
     walks = [(_entries(io.BytesIO(data) if isinstance(data, bytes) else data, kind), name, kind, "", None)]
     counts = [0]
     while walks:
         entries, outer, kind, path, spool = walks[-1]
         try:
             inner, size, opened = next(entries)
-        except (StopIteration, *BROKEN):
+        except (StopIteration, *BROKEN) as e:
+            if not isinstance(e, StopIteration):
+                notes.append(f"{outer}: {e}")
             entries.close()
             if spool:
                 spool.close()
@@ -189,19 +194,20 @@ def members(name: str, data: bytes | BinaryIO, kind: str, registry, options) ->
         try:
             with opened() as source:
                 first, last = _windows(source, options.bufsize)
-        except BROKEN:
+        except BROKEN as e:
+            notes.append(f"{full}: {e}")
             if kind == "zip":
                 out.append((full, size, 0, [], "", place))
                 continue
             entries.close()  # a tar can't be read on from here
             continue
-        hits = registry.resolve(registry.candidates(first, last))
+        hits = registry.resolve(registry.candidates(first, last, notes))
         label = "signature" if kind == "zip" else ""
         if kind == "zip" and not hits and options.extension:
             hits = [(i, [(0, "External")]) for i in registry.by_extension(full)]
             label = "extension"
         if hits or options.extension or kind == "tar":
-            out.append((full, size, int((perf_counter() - began) * 1000), [{"ord": registry.formats[i][0], "puid": registry.formats[i][1], "prio": sorted(registry.formats[i][3]), "sigs": [{"sig_ord": s, "name": x} for s, x in sigs]} for i, sigs in hits], label, place))
+            out.append((full, size, int((perf_counter() - began) * 1000), registry.described(hits), label, place))
         inside = registry.container_type([i for i, _ in hits])
         if inside in ("zip", "tar"):
             copy = tempfile.SpooledTemporaryFile(SPOOL)
@@ -209,7 +215,8 @@ def members(name: str, data: bytes | BinaryIO, kind: str, registry, options) ->
                 with opened() as source:
                     shutil.copyfileobj(source, copy, PIECE)
                 copy.seek(0)
-            except BROKEN:
+            except BROKEN as e:
+                notes.append(f"{full}: {e}")
                 copy.close()
                 continue
             walks.append((_entries(copy, inside), full, inside, place, copy))

@@ -8,10 +8,14 @@ from collections.abc import Callable
 from urllib.parse import urlparse
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bytelore import schema
+from bytelore.functions.bytesyntax import POSITIONS as POSITION_TYPES
 from bytelore.functions.bytesyntax import IncompatibleSequence, compile_sequence, position_of
 
 #: Namespace of the records, and the containers by format.
@@ -99,6 +103,50 @@ def parse_record(xml: bytes | str, puid_filter: str | None = None, checksum: Cal
     return puid, mime, CONTAINERS.get(puid), _get(record, "FormatName"), _get(record, "FormatVersion"), _get(record, "FormatAliases"), _get(record, "FormatID"), extensions, uti, over, signatures, _details(record, checksum)
 
 
+def _texts(df: DataFrame, run: Callable, out) -> DataFrame:
+    """`run(ord, xml)` gives rows for each record of a table (ord, xml), in the tasks."""
+    types = to_arrow_schema(out)
+
+    def parse(batches):
+        for batch in batches:
+            rows = [r for ord_, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if xml for r in run(ord_, xml)]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([pa.array([_plain(x, f.type) for x in c], f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+
+    return df.select("ord", "xml").mapInArrow(parse, out)
+
+
+def _plain(value, kind):
+    """Tuples as the dictionaries that a struct is made of."""
+    if isinstance(value, tuple) and pa.types.is_struct(kind):
+        return {f.name: _plain(v, f.type) for f, v in zip(kind, value, strict=True)}
+    if isinstance(value, list) and pa.types.is_list(kind):
+        return [_plain(v, kind.value_type) for v in value]
+    return value
+
+
+def compiled_texts(df: DataFrame, puid: str | None = None, checksum: Callable[[str], str] = lambda url: "") -> DataFrame:
+    """The registry of records given as texts (ord, xml), parsed by the tasks; as `compile_records` otherwise."""
+
+    def run(ord_, xml):
+        row = parse_record(xml, puid, checksum)
+        return [(ord_, 0, *row)] if row else []
+
+    formats = _texts(df, run, schema.FORMAT)
+    return formats if puid else remapped(formats)
+
+
+def messages_of_texts(df: DataFrame) -> DataFrame:
+    """(puid, message): what was dropped of each record (ord, xml)."""
+
+    def run(_, xml):
+        record = ElementTree.fromstring(xml).find(_path("report_format_detail/FileFormat"))
+        row = parse_record(xml)
+        return [(row[0], m) for m in _signatures(record)[1]] if row else []
+
+    return _texts(df, run, T.StructType([T.StructField("puid", T.StringType()), T.StructField("message", T.StringType())]))
+
+
 def fetched_checksum(fetch: Callable[[str], bytes]) -> Callable[[str], str]:
     """Checksums of example files by a function that fetches them; empty where that fails."""
 

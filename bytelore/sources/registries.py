@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,19 +46,44 @@ _MAPPING = T.StructType([T.StructField("_signatureId", T.StringType()), T.Struct
 
 
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
-    """Container signatures: first file, first sequence; signatures without one are left out; the first mapping of an id counts."""
+    """Container signatures: the first path and the first sequence of all files of a signature; those without one are left out; the first mapping of an id counts."""
     rows = spark.read.option("rowTag", "ContainerSignature").options(**_OPTIONS).schema(_CONTAINER_SIGNATURE).xml(path).withColumn("ord", F.monotonically_increasing_id().cast("int"))
     maps = spark.read.option("rowTag", "FileFormatMapping").options(**_OPTIONS).schema(_MAPPING).xml(path).withColumn("_at", F.monotonically_increasing_id())
-    first = Window.partitionBy("_signatureId").orderBy("_at")
-    maps = maps.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("_signatureId").alias("sig_id"), F.col("_Puid").alias("puid"))
-    compile_udf = F.udf(compile_container_sequence)  # a few thousand rows once, when a registry is loaded
-    file = F.col("Files.File")[0]
-    sequence = file["BinarySignatures"]["InternalSignatureCollection"]["InternalSignature"][0]["ByteSequence"][0]["SubSequence"][0]["Sequence"]
-    found = rows.select(F.col("_ContainerType").alias("container_type"), F.col("_Id").alias("sig_id"), file["Path"].alias("path"), sequence.alias("sequence"), "ord").where("sequence IS NOT NULL")
+    earliest = Window.partitionBy("_signatureId").orderBy("_at")
+    maps = maps.withColumn("_n", F.row_number().over(earliest)).where("_n = 1").select(F.col("_signatureId").alias("sig_id"), F.col("_Puid").alias("puid"))
+    compile_udf = F.udf(compile_container_sequence)  # row by row, but for a few thousand rows once, when a registry is loaded
+    inner = lambda column, field: F.filter(F.flatten(F.filter(F.transform(column, lambda x: x[field]), lambda x: x.isNotNull())), lambda x: x.isNotNull())
+    signatures = F.flatten(F.filter(F.transform("Files.File", lambda f: f["BinarySignatures"]["InternalSignatureCollection"]["InternalSignature"]), lambda x: x.isNotNull()))
+    sequences = F.transform(inner(inner(signatures, "ByteSequence"), "SubSequence"), lambda x: x["Sequence"])
+    first = lambda column: F.get(F.filter(column, lambda x: x.isNotNull()), F.lit(0))
+    paths = F.transform("Files.File", lambda f: f["Path"])
+    found = rows.select(F.col("_ContainerType").alias("container_type"), F.col("_Id").alias("sig_id"), first(paths).alias("path"), first(sequences).alias("sequence"), "ord").where("sequence IS NOT NULL")
     return found.join(maps, "sig_id").select("container_type", "sig_id", "puid", "path", compile_udf("sequence").alias("regex"), "ord")
 
 
+#: Namespaces of the names with a prefix.
+NAMESPACES = 'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dcterms="http://purl.org/dc/terms/"'
+
+
+def _element(name: str, value, kind: T.DataType) -> str:
+    """A value as XML; lists repeat their element, and what is missing has none."""
+    if value is None:
+        return ""
+    if isinstance(kind, T.ArrayType):
+        return "".join(_element(name, x, kind.elementType) for x in value)
+    if isinstance(kind, T.StructType):
+        return f"<{name}>{''.join(_element(f.name, value[f.name], f.dataType) for f in kind.fields)}</{name}>"
+    return f"<{name}>{escape(str(value))}</{name}>"
+
+
 def write_formats(formats: DataFrame, path: str, version: str = "0.3") -> None:
-    """A registry as XML in registry order."""
-    rows = formats.orderBy("ord").drop("ord", "source_ord").coalesce(1)
-    rows.write.option("rootTag", f"formats version='{version}'").option("rowTag", "format").xml(path)
+    """A registry as one XML file in registry order. Spark's own writer takes no names with a prefix, so the tasks make the elements."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([r["ord"] for r in rows], pa.int64()), pa.array([_element("format", r, schema.ELEMENT) for r in rows], pa.string())], names=["ord", "value"])
+
+    made = formats.select(F.col("ord").cast("long").alias("ord"), *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.ELEMENT.fields]).mapInArrow(run, "ord long, value string")
+    ends = formats.sparkSession.createDataFrame([(-1, f'<?xml version="1.0" encoding="UTF-8"?>\n<formats version="{version}" {NAMESPACES}>'), (2**62, "</formats>")], "ord long, value string")
+    made.unionByName(ends).orderBy("ord").coalesce(1).select("value").write.text(path)

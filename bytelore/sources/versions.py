@@ -115,6 +115,17 @@ def act(action: str, local: Versions, client: UpdateSite, folder: str, say: Call
     return local
 
 
+#: Fixed value: the file of container signatures that an update names; it is not downloaded.
+CONTAINER_FILE = "container-signature-UPDATE-ME.xml"
+
+
+def updated(local: Versions, version: int) -> Versions:
+    """The record after an update by the program itself: the site stays, the other files are named after the version."""
+    from bytelore import __version__
+
+    return Versions(str(version), f"formats-v{version}.xml", CONTAINER_FILE, local.extension_signature or "format_extensions.xml", __version__, local.update_site or "none")
+
+
 def download_records(puids: list[str], fetch: Fetch, folder: str, progress: Callable[[int, int], None] = lambda done, all_: None, wait: Callable[[], None] = lambda: None) -> list[str]:
     """One record file for each puid that is not there yet; resumes an interrupted download."""
     out = []

@@ -274,7 +274,11 @@ def test_files_lines_and_command_line(spark, tmp_path):
 def test_stream_of_unknown_length(spark):
     ident = FormatIdentifier(spark, own.formats(spark), None)
     got = ident.objects(objects.object_of_stream(spark, io.BytesIO(b"%PDF-1.4\n" + b"x" * 300 + b"%%EOF"), "n.txt", 64), stream=True).collect()
-    assert [(r.puid, r.filesize, r.filename) for r in got] == [("own/2", 314, "n.txt")]
+    assert [(r.puid, r.filesize, r.filename) for r in got] == [("own/2", 314, "STDIN")]
+    for name, link, puid in (("n.txt", None, "own/9"), ("n.txt", "/x/y.pdf", "own/2"), (None, None, None)):  # the name, and before it the link, only give the extension
+        made = objects.object_of_stream(spark, io.BytesIO(b"plain"), name, 64, link)
+        got = ident.objects(made, stream=True, extension_of="extension_of").collect()
+        assert {(r.filename, r.matchtype) for r in got} == {("STDIN", "extension" if puid else "fail")} and puid in {r.puid for r in got}
 
 
 def test_arriving_files(spark, tmp_path):
@@ -294,3 +298,85 @@ def test_native_predicates_equal_the_exact_ones(spark):
     df = matching.objects(frame(spark, [(str(i), "n", d) for i, d in enumerate(data)]), "object_id", "filename", "content")
     pick = lambda d: {(r.object_id, tuple(c.puid for c in r.candidates)) for r in d.collect()}
     assert pick(matching.native_candidates(df, made)) == pick(matching.with_candidates(df, made))
+
+
+def test_notes_of_damaged_archives_and_broken_expressions(spark, capsys, tmp_path):
+    whole = zipped([("a.gif", b"GIF89a" * 99), ("in.zip", b"PK\x03\x04" + b"x" * 50)])
+    cases = [("1", "good.zip", zipped([("a", b"x")])), ("2", "cut.zip", whole[: len(whole) // 2]), ("3", "nested.zip", whole), ("4", "bad.tar", tarred([("a", b"x" * 2000)])[:1200]), ("5", "x.gif", b"GIF89a")]
+    ident = FormatIdentifier(spark, own.formats(spark), own.containers(spark), Options(archives=True))
+    got = ident.content(frame(spark, cases)).where("path = ''").select("object_id", "note").distinct().collect()
+    assert {r.object_id for r in got if r.note} == {"2", "3", "4"}, got
+    (tmp_path / "cut.zip").write_bytes(whole[: len(whole) // 2])
+    out = io.StringIO()
+    assert cli.main(["-zip", str(tmp_path / "cut.zip")], spark, out) == 0
+    said = capsys.readouterr().err
+    assert "cut.zip" in said and "Processed 1 files" in said and "x-fmt/263" in out.getvalue()
+
+
+def test_one_python_stage_looks_into_archives(spark):
+    ident = FormatIdentifier(spark, own.formats(spark), own.containers(spark), Options(archives=True))
+    plan = ident.content(frame(spark, [("1", "a.zip", b"x")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_running_count(spark, tmp_path):
+    for n in ("b.gif", "a.gif", "c.zip"):
+        (tmp_path / n).write_bytes(zipped([("i.gif", b"GIF87a"), ("j.gif", b"GIF87a")]) if n == "c.zip" else b"GIF89a")
+    out = io.StringIO()
+    assert cli.main(["-q", "-zip", "-matchprintf", "%(info.count)d %(info.puid)s\n", "-nomatchprintf", "", str(tmp_path)], spark, out) == 0
+    assert [x.split()[0] for x in out.getvalue().splitlines()] == ["1", "1", "2", "2", "3", "4", "4", "5", "5"]
+
+
+RECORD = """<PRONOM-Report xmlns="http://pronom.nationalarchives.gov.uk"><report_format_detail><FileFormat><FormatID>1</FormatID><FormatName>N</FormatName><FileFormatIdentifier><Identifier>fmt/7</Identifier><IdentifierType>PUID</IdentifierType></FileFormatIdentifier>
+<InternalSignature><SignatureName>S</SignatureName><ByteSequence><PositionType>Absolute from BOF</PositionType><ByteSequenceValue>4142</ByteSequenceValue></ByteSequence></InternalSignature></FileFormat></report_format_detail></PRONOM-Report>"""
+
+
+def test_prepare_update_and_versions_commands(spark, tmp_path):
+    import zipfile
+
+    from bytelore.sources import service, versions
+
+    with zipfile.ZipFile(tmp_path / "in.zip", "w") as z:
+        z.writestr("puid.fmt.7.xml", RECORD)
+    assert cli.prepare(["-input", str(tmp_path / "in.zip"), "-output", str(tmp_path / "out.xml")], spark=spark) == 0
+    assert [(r.puid, r.signature[0].pattern[0].regex) for r in registries.read_formats(spark, str(tmp_path / "out.xml")).collect()] == [("fmt/7", "(?s)\\AAB")]
+
+    answers = {service.SERVICE: f"<v xmlns='{service.NAMESPACE}'><Version><Version>120</Version></Version></v>", service.SIGNATURES.format(version=120): "<F xmlns='urn:x'><FileFormat PUID='fmt/7'/></F>", service.RECORDS.format(puid="fmt/7"): RECORD}
+    client, waited = service.RegistryService(lambda url, body, headers: (200, answers[url].encode())), []
+    assert cli.update(["-confdir", str(tmp_path), "-http_throttle", "0.25"], io.StringIO(), client, spark, waited.append) == 0
+    local = versions.Versions.read(str(tmp_path / "versions.xml"))
+    assert (local.pronom_version, local.pronom_signature, waited) == ("120", "formats-v120.xml", [0.25]) and not (tmp_path / "tmp").exists()
+    assert [r.puid for r in registries.read_formats(spark, str(tmp_path / "formats-v120.xml")).collect()] == ["fmt/7"]
+
+    local.update_site = "http://site/"
+    local.write(str(tmp_path / "versions.xml"))
+    site = {"http://site/format/": b"<s><signature version='v121'/></s>", "http://site/format/latest/": b"<signature version='121'/>", "http://site/format/v121/": b""} | {f"http://site/format/v121/{k}/": b"x" for k in ("formats", "droid", "pronom")}
+    fetch = lambda url: (200, site[url]) if url in site else (404, b"")
+    out = io.StringIO()
+    for action in ("list", "check", "update", "check"):
+        assert cli.main(["-sigs", action, "-confdir", str(tmp_path)], spark, out, fetch) == 0
+    assert out.getvalue().splitlines() == ["v121", "version 121 is available", "the registry is up to date"]
+    assert versions.Versions.read(str(tmp_path / "versions.xml")).pronom_version == "121"
+    with pytest.raises(SystemExit):
+        cli.main(["-sigs", "v7", "-confdir", str(tmp_path)], spark, out, fetch)
+    xml = io.StringIO()
+    assert cli.to_xml_main(["-confdir", str(tmp_path)], xml, ['OK,3,own/3,"N","S",8,"f","m","signature"']) == 0 and "<signature_version>121<" in xml.getvalue()
+
+
+def test_lines_written_by_tasks(spark, tmp_path):
+    (tmp_path / "a.gif").write_bytes(b"GIF89a")
+    (tmp_path / "list").write_text(f"{tmp_path}/a.gif\n{tmp_path}/missing\n")
+    assert cli.main(["-q", "-input", str(tmp_path / "list"), "-outdir", str(tmp_path / "out")], spark, io.StringIO()) == 0
+    assert sorted(r.puid for r in report.read_lines(spark, str(tmp_path / "out")).collect()) == ["own/6", "own/6"]
+
+
+def test_batches_of_arriving_files_go_to_a_handler(spark, tmp_path):
+    from bytelore.streaming.files import arriving, write_arriving
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.gif").write_bytes(b"GIF87a")
+    seen = []
+    ident = FormatIdentifier(spark, own.formats(spark), None, Options(containers=False))
+    query = write_arriving(arriving(ident, str(tmp_path / "in")), None, str(tmp_path / "check"), handler=lambda df, n: seen.extend(r.puid for r in df.collect()))
+    query.awaitTermination()
+    assert sorted(seen) == ["own/5", "own/6"]
