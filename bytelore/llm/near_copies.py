@@ -49,8 +49,8 @@ SKETCHES, PICK = 20, 2
 LEAST_YIELD = 20
 #: Words of a text up to which its deletions are keys.
 SHORT = 14
-#: Members of a key up to which all pairs are compared; buckets of the counts that order words; texts of a cell; the share of words beyond the first ones that are compared before alignment.
-CROWD, BUCKETS, CELL, REACH = 32, 1 << 18, 2000, 0.25
+#: Members of a key up to which all pairs are compared; buckets of the counts that order words; texts of a cell; entries of a part; the share of words beyond the first ones that are compared before alignment.
+CROWD, BUCKETS, CELL, PART, REACH = 32, 1 << 18, 2000, 10_000, 0.25
 KEPT_WORDS = 200_000
 #: Tables of up to SMALL_ROWS short rows are written by one task for each TASK_ROWS; larger ones as they are partitioned.
 SMALL_ROWS, TASK_ROWS = 20_000_000, 200_000
@@ -273,62 +273,83 @@ def _counts(texts: DataFrame, order: np.ndarray | None = None) -> np.ndarray:
         yield arrow_batch({"bucket": (at, pa.int32()), "n": (sums[at], pa.int64())})
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in mapped(texts.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
+    found = mapped(texts.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
+_DEALT = "part long, tid long, root long, n long, rare binary, first binary, cells binary"
+
+
 def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(word, low, high, tid, root, n, block, rare, before): the first words of each text that another text has, too, in each cell of the word.
+    """Rows of _DEALT: each text in each part in which it can meet another one, with its cells there.
 
-    A word that more than CELL texts have is dealt out in blocks of texts, and every two blocks meet in a cell. rare has two
-    bytes of each of the text's first words and those up to REACH behind them; before has its first words before this one.
+    A cell is a first word that other texts have, too; a word that more than CELL texts have is dealt out in blocks of
+    texts, of which every two meet in a cell. Cells are dealt out to parts, so many that each has about PART entries. rare
+    has two bytes of each of the text's first words and those up to REACH behind them, first has the first words, cells the
+    place of a word among these, its two blocks and the text's own.
     """
     times = _counts(texts, counts)
+    parts = int(times[times > 1].sum()) // PART + 1
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(7)]
             for tid, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 w = word_hashes(text)
                 rare = _first(w, counts, int(REACH * len(w)))
                 first = rare[: len(w) - needed(len(w)) + 1]
                 n = times[(first % np.uint64(BUCKETS)).astype(np.int64)]
-                first, blocks = first[n > 1], -(-n[n > 1] // CELL)
-                if not len(first):
+                at = np.flatnonzero(n > 1)
+                if not len(at):
                     continue
-                rare = np.sort(rare.astype(np.uint16)).tobytes()
+                blocks = -(-n[at] // CELL)
                 own = (int(_mixed(np.array([tid], np.uint64))[0]) % blocks.astype(object)).astype(np.int64)
-                own, other = np.repeat(own, blocks), np.concatenate([np.arange(k) for k in blocks])
-                for column, x in zip(out[:3], (np.repeat(first.view(np.int64), blocks), np.minimum(own, other), np.maximum(own, other)), strict=True):
-                    column += x.tolist()
-                out[6] += own.tolist()
-                for k, x in ((3, tid), (4, root), (5, len(w)), (7, rare)):
-                    out[k] += [x] * len(own)
-                raw = first.tobytes()
-                out[8] += [raw[: 8 * i] for i in np.repeat(np.arange(len(first)), blocks).tolist()]
-            yield arrow_batch(dict(zip(("word", "low", "high", "tid", "root", "n", "block", "rare", "before"), zip(out, [*[pa.int64()] * 7, *[pa.binary()] * 2], strict=True), strict=True)))
-
-    return mapped(texts.select("tid", "root", "text"), run, "word long, low long, high long, tid long, root long, n long, block long, rare binary, before binary")
-
-
-def _cell_pairs(tids: np.ndarray, roots: np.ndarray, n: np.ndarray, block: np.ndarray, rare: list[bytes], before: list[bytes], across: bool) -> list[tuple[int, int]]:
-    """(larger number, smaller number) of the texts of a cell in different components whose lengths and rare words allow a link, if this is the first word they share."""
-    out = []
-    rare = [np.frombuffer(x, np.uint16) for x in rare]
+                own, beside, at = np.repeat(own, blocks), np.concatenate([np.arange(k) for k in blocks]), np.repeat(at, blocks)
+                cells = np.stack([at, np.minimum(own, beside), np.maximum(own, beside), own], axis=1)
+                part = (_mixed(first[at] + _A * (cells[:, 1] * 1000003 + cells[:, 2]).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                for own_cells in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    row = int(part[own_cells[0]]), tid, root, len(w), np.sort(rare.astype(np.uint16)).tobytes(), first.tobytes(), cells[own_cells].tobytes()
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+            names = [x.split()[0] for x in _DEALT.split(", ")]
+            yield arrow_batch(dict(zip(names, zip(out, [*[pa.int64()] * 4, *[pa.binary()] * 3], strict=True), strict=True)))
+
+    return mapped(texts.select("tid", "root", "text"), run, _DEALT)
+
+
+def _part_pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+    """(larger number, smaller number) of the texts of a part that meet in a cell, each pair in that of the first word they share, if they
+    are in different components and their lengths and rare words allow a link."""
+    tids, roots, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+    rare, first = [np.frombuffer(r[4], np.uint16) for r in rows], [np.frombuffer(r[5], np.int64) for r in rows]
     behind = n - np.array([len(x) for x in rare])
-    earlier = [frozenset(np.frombuffer(x, np.int64).tolist()) for x in before]
-    for i in range(len(tids) - 1):
-        m = n[i + 1 :]
-        need = -(-int(round(SIMILARITY * 1000)) * np.maximum(m, n[i]) // 1000)
-        ok = (np.minimum(m, n[i]) >= need) & (roots[i + 1 :] != roots[i])
-        if across:
-            ok &= block[i + 1 :] != block[i]
-        at = np.flatnonzero(ok)
-        for k in at.tolist():
-            j = i + 1 + k
-            if earlier[i].isdisjoint(earlier[j]) and _in_both(rare[i], rare[j]) + max(behind[i], behind[j]) >= need[k]:
-                out.append((max(tids[j], tids[i]), min(tids[j], tids[i])))
+    cells = [np.frombuffer(r[6], np.int64).reshape(-1, 4) for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(c) for c in cells])
+    place, low, high, block = np.concatenate(cells).T
+    word = np.concatenate([f[c[:, 0]] for f, c in zip(first, cells, strict=True)])
+    order = np.lexsort((high, low, word))
+    owner, place, low, high, block, word = (x[order] for x in (owner, place, low, high, block, word))
+    ends = np.flatnonzero((np.diff(word) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+    out = []
+    for start, end in zip([0, *ends.tolist()], [*ends.tolist(), len(word)], strict=True):
+        here = owner[start:end]
+        if end - start < 2 or (roots[here] == roots[here[0]]).all():
+            continue
+        earlier: dict[int, frozenset] = {}
+        before = lambda k: earlier[k] if k in earlier else earlier.setdefault(k, frozenset(first[owner[k]][: place[k]].tolist()))  # noqa: E731, B023
+        across = low[start] != high[start]
+        for i in range(start, end - 1):
+            x, others = owner[i], owner[i + 1 : end]
+            need = -(-int(round(SIMILARITY * 1000)) * np.maximum(n[others], n[x]) // 1000)
+            ok = (np.minimum(n[others], n[x]) >= need) & (roots[others] != roots[x])
+            if across:
+                ok &= block[i + 1 : end] != block[i]
+            for k in np.flatnonzero(ok).tolist():
+                y = others[k]
+                if before(i).isdisjoint(before(i + 1 + k)) and _in_both(rare[x], rare[y]) + max(behind[x], behind[y]) >= need[k]:
+                    out.append((max(tids[x], tids[y]), min(tids[x], tids[y])))
     return out
 
 
@@ -339,49 +360,26 @@ def _in_both(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _cells(batches):
-    """Pairs (tid, pivot), each once, of rows that are sorted by cell; a cell can go over several batches."""
-    carry = None
+def _parts(batches):
+    """Pairs (tid, pivot), each once, of rows that are sorted by part; a part can go over several batches."""
+    held: list[tuple] = []
     pair = lambda found: arrow_batch({"tid": ([x for x, _ in found], pa.int64()), "pivot": ([y for _, y in found], pa.int64())})
-
-    def settle(rows, rare, before, start, end):
-        if end - start < 2:
-            return []
-        return _cell_pairs(*rows[3:7, start:end], rare[start:end], before[start:end], rows[1, start] != rows[2, start])
-
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]])
-        rare, before = batch.column(7).to_pylist(), batch.column(8).to_pylist()
-        if carry:
-            rows, rare, before = np.concatenate([carry[0], rows], axis=1), carry[1] + rare, carry[2] + before
-        ends = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
-        found, start = [], 0
-        for end in ends.tolist():
-            found += settle(rows, rare, before, start, end)
-            start = end
-        carry = rows[:, start:], rare[start:], before[start:]
-        yield pair(found)
-    if carry:
-        yield pair(settle(*carry, 0, carry[0].shape[1]))
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                yield pair(_part_pairs(held))
+                held = []
+            held.append(row)
+    if held:
+        yield pair(_part_pairs(held))
 
 
 def crowded_pairs(texts: DataFrame) -> DataFrame:
     """(tid, pivot) of all texts (tid, root, text) of different roots that can link, each pair once."""
     texts = stored(texts)
     shared = texts.repartition("tid")  # each text takes long, and they lie in few files
-    cells = _first_words(shared, _counts(texts)).repartition("word", "low", "high").sortWithinPartitions("word", "low", "high")
-    found = stored(mapped(cells, _cells, "tid long, pivot long"))
-    forget(texts)
-    return found
-
-
-def crowded_pairs(texts: DataFrame) -> DataFrame:
-    """(tid, pivot) of all texts (tid, root, text) of different roots that can link."""
-    texts = stored(texts.repartition("tid"))  # few texts, of which each takes long: all tasks share them
-    cells = _first_words(texts, _counts(texts)).repartition("word", "low", "high").sortWithinPartitions("word", "low", "high")
-    found = stored(mapped(cells, _cells, "tid long, pivot long").distinct())
+    dealt = _first_words(shared, _counts(texts)).repartition("part").sortWithinPartitions("part")
+    found = stored(mapped(dealt, _parts, "tid long, pivot long"))
     forget(texts)
     return found
 
