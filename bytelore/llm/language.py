@@ -10,7 +10,8 @@ For prediction, the filters are folded into one table by byte pairs, and windows
 Only rows with crc32(id as text) mod 4 other than 2 and a language are learnt from; language, source and id are no inputs.
 
 Cases: a text that is null or has no letter gets `und` with score 0, as does every text if there is no labelled row;
-repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
+repeated rows and equal texts are judged alike; of a very long text all windows are judged, some at a time; of many rows under
+one id in the sample, no more than TRAIN_ROWS are learnt from; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -167,26 +168,42 @@ def learnable(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
 
 
-def training_windows(rows: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def sample_windows(text: str) -> list[bytes]:
+    """WINDOWS_EACH windows of a text at most, spread over all of it."""
+    data = _bytes(text)
+    data += bytes(-(len(data) + REACH) % WINDOW + REACH)
+    n = len(data) // WINDOW
+    data += bytes(REACH)
+    return [data[k * WINDOW : (k + 1) * WINDOW + REACH] for k in sorted({round(j * (n - 1) / max(1, WINDOWS_EACH - 1)) for j in range(WINDOWS_EACH)})]
+
+
+def training_windows(rows: list[tuple[list[bytes], str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows as rows of bytes, the number of each one's language, and the languages."""
     languages = sorted({lang for _, lang in rows})
-    windows, labels = [], []
-    for text, lang in rows:
-        data = _bytes(text)
-        data += bytes(-(len(data) + REACH) % WINDOW + REACH)
-        n = len(data) // WINDOW
-        data += bytes(REACH)
-        for k in sorted({round(j * (n - 1) / max(1, WINDOWS_EACH - 1)) for j in range(WINDOWS_EACH)}):
-            windows.append(np.frombuffer(data[k * WINDOW : (k + 1) * WINDOW + REACH], np.uint8))
-            labels.append(languages.index(lang))
-    return np.array(windows), np.array(labels), languages
+    both = [(np.frombuffer(w, np.uint8), languages.index(lang)) for windows, lang in rows for w in windows]
+    return np.array([w for w, _ in both]), np.array([k for _, k in both]), languages
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
-    """The network fitted on a bounded sample of the labelled rows; None if there are none."""
+    """The network fitted on a bounded sample of the labelled rows; None if there are none.
+
+    The sample is chosen by ids alone; then its rows' windows are cut in the tasks, and TRAIN_ROWS of them go to the driver.
+    """
     known = df.where(learnable(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = known.select(id_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(TRAIN_ROWS).collect()  # ids alone are sorted and sent
-    chosen = known.where(F.col(id_col).isin([r[0] for r in ids])).select(id_col, text_col, lang_col).collect() if ids else []
-    rows = [(r[1], r[2]) for r in sorted(chosen) if has_letter(r[1])]
+    order = F.xxhash64(F.col(id_col).cast("string"))
+    ids = [r[0] for r in known.select(id_col).orderBy(order, id_col).limit(TRAIN_ROWS).collect()]
+    if not ids:
+        return None
+    chosen = known.where(F.col(id_col).isin(ids)).select(order.alias("a"), F.col(id_col).cast("long").alias("b"), F.xxhash64(text_col).alias("c"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            windows = pa.array([sample_windows(t) if has_letter(t) else [] for t in texts], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], windows, batch.column(4)], names=["a", "b", "c", "windows", "lang"])
+
+    cut = mapped(chosen, run, "a long, b long, c long, windows array<binary>, lang string").orderBy("a", "b", "c", "lang").limit(TRAIN_ROWS)
+    rows = [([bytes(w) for w in r.windows], r.lang) for r in cut.collect() if r.windows]
     if not rows:
         return None
     windows, labels, languages = training_windows(rows)
@@ -198,21 +215,36 @@ def _predictor(packed: bytes) -> Predictor:
     return Predictor(pickle.loads(packed))
 
 
-def with_language(df: DataFrame, network: ByteNetwork | None, text_col: str = "text") -> DataFrame:
-    """The same rows with lang_pred and score added (columns of these names are replaced)."""
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+def with_language(df: DataFrame, network: ByteNetwork | None, text_col: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The same rows with two columns added, which take the place of columns of these names."""
+    kept = [c for c in df.columns if c not in (lang_pred, score)]
     df = df.select(*kept)
     if network is None:
-        return df.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return df.withColumns({lang_pred: F.lit("und"), score: F.lit(0.0)})
     packed, at = pickle.dumps(network), kept.index(text_col)
 
     def run(batches):
         own = _predictor(packed)
         for batch in batches:
             languages, scores = own.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_pred, score])
+
+    return mapped(df, run, T.StructType([*df.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
-    return mapped(df, run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+def least_score(df: DataFrame, network: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lost: float = 1e-4) -> float:
+    """The score, in hundredths, under which lies at most a share of `lost` of the labelled rows with letters that were held out."""
+    if network is None:
+        return 0.0
+    held = df.where(~learnable(id_col) & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"))
+    scored = with_language(held, network).where("lang_pred <> 'und'")
+    bins = scored.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()  # 101 at most
+    below, allowed = 0, lost * sum(r.n for r in bins)
+    for r in bins:
+        below += r.n
+        if below > allowed:
+            return r.bin / 100
+    return 0.0
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
