@@ -6,11 +6,11 @@ network over pairs of digits to the base a = ceil(sqrt(N)) permutes 0 to a*a-1;
 until they fall below N (cycle walking), which permutes 0 to N-1. Position p goes to shard p mod k, slot p div k, so
 shards differ by one row at most, slots have no gaps, and shard and slot of any row follow from its number alone.
 
-A walk leaves 0..N-1 for at most a*a - N < 2a steps. WALKS steps are made: enough in every case for N up to (WALKS/2)^2,
-and beyond that a longer walk has a probability under (2/sqrt(N))^WALKS per row; it would raise an error, not a wrong place.
+A walk leaves 0..N-1 for at most a*a - N < 2a steps. WALKS steps are made in one expression; rows that are not home then,
+which hardly ever happens, walk on until all are. A seed other than 0 gives another permutation.
 
-Cases: a null text has size 1 and checksum 0 (no bytes); null ids come first; repeated rows get numbers of their own;
-an empty table gives no rows; other columns are ignored. Only built-in functions are used.
+Cases: a null text has size 1 and checksum 0 (no bytes); null ids come first; repeated rows get numbers of their own; of a
+very long text only size and checksum are moved; an empty table gives no rows; other columns are ignored. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bytelore.llm.common import stored, table, text_column
+from bytelore.llm.common import forget, stored, table, text_column
 
 SHARDS = 16
 WALKS = 64
@@ -30,16 +30,25 @@ ROUND_KEYS = [(1103515245, 12345, 1664525), (69069, 362437, 22695477), (15660839
 MODULUS = 2147483647
 
 
-def permuted_sql(value: str, n: int, if_: str = "IF") -> str:
-    """SQL of the permutation of 0..n-1, for Spark."""
+def permuted_sql(value: str, n: int, seed: int = 0, walking: bool = False) -> str:
+    """SQL of the permutation of 0..n-1, for Spark, after WALKS steps at most; `walking`: the value is on its way already."""
     a = max(1, math.isqrt(max(0, n - 1)) + 1)
-    keys = ", ".join(f"named_struct('m', {m}L, 'c', {c}L, 'w', {w}L)" for m, c, w in ROUND_KEYS)
+    keys = ", ".join(f"named_struct('m', {m}L, 'c', {(c + seed * (k + 1)) % MODULUS}L, 'w', {w}L)" for k, (m, c, w) in enumerate(ROUND_KEYS))
     once = lambda x: (
         f"aggregate(array({keys}), named_struct('l', {x} div {a}L, 'r', {x} % {a}L), (s, k) -> named_struct('l', s.r, 'r', "
         f"(s.l + ((((s.r * k.m + k.c) % {MODULUS}L) * k.w + ((s.r * k.m + k.c) % {MODULUS}L) div 65536L) % {MODULUS}L) % {a}L) % {a}L), s -> s.l * {a}L + s.r)"
     )
-    walked = f"aggregate(sequence(1, {WALKS}), {once(value)}, (v, i) -> IF(v < {n}L, v, {once('v')}))"
-    return f"transform(array({walked}), v -> IF(v < {n}L, v, raise_error('walk too long')))[0]"
+    return f"aggregate(sequence(1, {WALKS}), {value if walking else once(value)}, (v, i) -> IF(v < {n}L, v, {once('v')}))"
+
+
+def permuted(rows: DataFrame, n: int, seed: int = 0, value: str = "row_number") -> DataFrame:
+    """`rows` with the place of each in the column _at."""
+    placed = stored(rows.withColumn("_at", F.expr(permuted_sql(value, n, seed))))
+    while not placed.where(F.col("_at") >= n).isEmpty():
+        further = stored(placed.withColumn("_at", F.expr(permuted_sql("_at", n, seed, walking=True))))
+        forget(placed)
+        placed = further
+    return placed
 
 
 def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
@@ -55,7 +64,7 @@ def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     return out.drop("_place", "_part", "_before"), rows.count()
 
 
-def sharded(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sharded(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """(id, size, text_crc32, shard, slot)."""
     small = df.select(
         F.col(id_col).cast("long").alias(id_col),
@@ -63,7 +72,7 @@ def sharded(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         F.crc32(text_column(text_col).cast("binary")).alias("text_crc32"),
     )
     rows, n = numbered(small, id_col, "size", "text_crc32")
-    rows = rows.withColumn("_at", F.expr(permuted_sql("row_number", n)))
+    rows = permuted(rows, n, seed)
     return rows.select(id_col, "size", "text_crc32", (F.col("_at") % shards).cast("int").alias("shard"), F.expr(f"_at div {shards}").alias("slot"))
 
 
