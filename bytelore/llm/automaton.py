@@ -142,9 +142,7 @@ class Automaton:
         """Moore's refinement of classes of states, then numbering: plain states first, accepting ones last."""
         kinds = {a: i for i, a in enumerate(dict.fromkeys(accepts))}
         group = [kinds[a] for a in accepts]
-        columns = len(dict.fromkeys(zip(*rows, strict=True)))
-        distinct = list(dict.fromkeys(zip(*rows, strict=True)))
-        assert columns == len(distinct)
+        distinct = list(dict.fromkeys(zip(*rows, strict=True)))  # bytes that no state tells apart are one column
         while True:
             seen: dict[tuple, int] = {}
             refined = [seen.setdefault((group[s], *(group[c[s]] for c in distinct)), len(seen)) for s in range(len(rows))]

@@ -9,7 +9,7 @@ twice. A sequence whose neighbours are all compatible is the only one that mergi
 Characters outside the vocabulary become byte pieces.
 
 Cases: null text is read as empty, which encodes to begin and end ids only; rows are independent, so repeats, ties and
-empty tables need nothing special; columns other than the two named are ignored.
+empty tables need nothing special; a very long text is encoded chunk by chunk; columns other than the two named are ignored.
 """
 
 from __future__ import annotations

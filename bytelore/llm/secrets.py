@@ -10,7 +10,8 @@ Kinds. `assign`, `access` and `hex` are the base kinds with fixed meaning; the o
 web tokens, private-key headers, credentials in URLs) add spans and never remove one.
 
 Cases: null text is read as empty and gives no spans; rows are independent of each other, so repeated rows, ties and empty
-tables need nothing special; other columns are ignored. Offsets count code points, ends are exclusive.
+tables need nothing special; a very long text takes time in proportion to its bytes and memory for the places where a rule begins; other
+columns are ignored. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
