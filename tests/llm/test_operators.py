@@ -57,6 +57,31 @@ def test_secrets_equal_regexes():
         assert [x for x in scan.spans(t) if x[2] in secrets.BASE] == plain_secrets(t), t
 
 
+ADDED_SECRETS = {
+    "hosting": r"gh[pousr]_[A-Za-z0-9]+", "chat": r"xox[abprs]-[A-Za-z0-9-]+", "payment": r"[sr]k_(?:live|test)_[A-Za-z0-9]+", "webkey": r"AIza[A-Za-z0-9_-]+", "signed": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "urlauth": r"://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&*+=-]+@[A-Za-z0-9]",
+}
+
+
+def test_added_secrets_equal_regexes():
+    scan, r = secrets.scanner(), random.Random(12)
+    parts = ["ghp_", "gho_", "xoxb-", "sk_live_", "rk_test_", "AIza", "eyJ", ".eyJ", "eyJab1.eyJ", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "://", "://user:", "pw@h", "user", ":", "@", "a1B2" * 9, "Zz9_-" * 3, "é", " ", "abc", "%", "\n", "-", "h"]
+    seen = set()
+    for _ in range(12000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(0, 12)))
+        want = sorted((m.start(), list(ADDED_SECRETS).index(k), m.end(), k) for k, x in ADDED_SECRETS.items() for m in re.finditer(x, t) if m.end() - m.start() >= secrets.LEAST.get(k, 0))
+        got = [x for x in scan.spans(t) if x[2] not in secrets.BASE]
+        assert got == [(a, b, k) for a, _, b, k in want], t
+        seen |= {k for _, _, k in got}
+    assert seen == set(ADDED_SECRETS)
+
+
+def test_long_and_repeated_texts_with_secrets(spark):
+    t = prose(40000, 9) + " token=abcdef1 " + "0f" * 20000
+    got = secrets.secret_digests(spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id long, text string")).collect()
+    assert len({r.spans for r in got}) == 1 and got[0].n_hex == 1 and got[0].n_assign == 1 and len(got) == 3
+
+
 def test_secrets_kinds_and_redaction(spark, docs):
     t = "é ghp_" + "a1" * 18 + " https://u:pw1@host -----BEGIN RSA PRIVATE KEY-----"
     spans = secrets.scanner().spans(t)
@@ -322,6 +347,29 @@ def test_shards_are_a_permutation(spark, n):
         assert (r.size, r.text_crc32) == (len(t) + 1, zlib.crc32(t))
 
 
+@pytest.mark.parametrize("n", [1, 5, 50, 257, 1000])
+def test_other_seeds_and_short_walks(spark, monkeypatch, n):
+    df = spark.range(n).selectExpr("id AS doc_id", "'x' AS text")
+    place = lambda **k: {r.doc_id: r.slot * 16 + r.shard for r in sharding.sharded(df, **k).collect()}
+    first, other = place(), place(seed=7)
+    assert sorted(other.values()) == list(range(n)) and (n < 50 or first != other)
+    monkeypatch.setattr(sharding, "WALKS", 1)
+    assert place() == first
+
+
+def test_urls_are_calibrated_on_held_out_ones(spark):
+    r = random.Random(51)
+    good, bad = ["news", "story", "recipe", "garden"], ["xxcas1no", "b0nus", "wwpills", "qqbet"]
+    made = [(i, f"http://s{i % 40}.example.{'org' if i % 2 else 'net'}/{'fr' if i % 2 else 'x'}/{r.choice(good if i % 2 else bad)}-{r.choice(good if i % 2 else bad)}/{i}") for i in range(600)]
+    made += [(1000 + i, f"http://other.example/{r.choice(good if i % 2 else bad)}-{r.choice(good if i % 2 else bad)}/{i}") for i in range(200)]
+    got = urls.judged(spark.createDataFrame(made, "page_id long, url string")).collect()
+    held = [x for x in got if x.rule and x._held]
+    assert len(held) > 80 and sum(x.by_model == x.verdict for x in held) / len(held) > 0.95
+    assert sum((x.verdict == "allow") == bool(x.page_id % 2) for x in got if x.page_id >= 1000) > 190
+    long = spark.createDataFrame([*made, (5000, "http://other.example/" + "news/" * 20000)], "page_id long, url string")
+    assert [x.verdict for x in urls.judged(long).where("page_id = 5000").collect()] == ["allow"]
+
+
 # ---- 6
 
 
@@ -480,8 +528,9 @@ def test_near_copies_that_share_a_common_passage(spark, monkeypatch):
         root = [x if k == y else k for k in root]
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_copies.near_classes(df).collect()} == dict(enumerate(root))
-    for cell in (near_copies.CELL, 10):
+    for cell, part in ((near_copies.CELL, near_copies.PART), (10, 50)):
         monkeypatch.setattr(near_copies, "CELL", cell)
+        monkeypatch.setattr(near_copies, "PART", part)
         found = {tuple(r) for r in near_copies.crowded_pairs(df.selectExpr("doc_id AS tid", "doc_id AS root", "text")).collect()}
         assert pairs <= found and len(found) < len(data) * (len(data) - 1) // 2
 
@@ -637,3 +686,41 @@ def test_language(spark, docs):
     assert {x.lang_pred for x in rows(language.with_language(docs, None)).values()} == {"und"} and language.train(docs.where("lang = 'none'")) is None
     long = language.Predictor(net).predict([text("xx") * 200, text("xx")])
     assert long[0] == ["xx", "xx"]
+
+
+def test_prediction_equals_plain_convolution():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    net = language.ByteNetwork(["a", "b", "c"], seed=3)
+    net.bias = r.normal(size=net.bias.shape).astype(np.float32)
+    for p in net.filters:
+        p += r.normal(0, 0.5, p.shape).astype(np.float32)
+    net.out += r.normal(0, 0.5, net.out.shape).astype(np.float32)
+
+    def plain(text):
+        data, w = language._bytes(text), language.WINDOW
+        n = -(-(len(data) + language.REACH) // w)
+        padded = data + bytes(n * w - len(data))
+        total = np.zeros(3)
+        for k in range(n):
+            starts = range(k * w, (k + 1) * w - (language.REACH if k == n - 1 else 0))
+            top = [np.max([sum(f[j][padded[i + j]] for j in range(len(f))) for i in starts], 0) for f in net.filters]
+            z = np.maximum(np.concatenate(top) + net.bias, 0) @ net.out + net.out_bias
+            p = np.exp(z - z.max())
+            total += p / p.sum() * min(max(len(data) - k * w, 0), w)
+        return total / len(data)
+
+    texts = [prose(k, 400 + k) for k in (1, 3, 40, 47, 120)] + ["ü" * 300, "a" * 254, "a" * 255, "a" * 256, "b" * 257]
+    names, scores = language.Predictor(net).predict(texts)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        want = plain(t)
+        assert name == net.languages[int(want.argmax())] and score == pytest.approx(want.max(), abs=1e-4)
+
+
+def test_sample_of_one_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_ROWS", 20)
+    df = spark.createDataFrame([(1, prose(30, k), "xx") for k in range(300)] + [(2, prose(30, 999), "yy"), (3, "12", "yy")], "doc_id long, text string, lang string")
+    assert language.train(df) is not None and language.train(df.where("doc_id = 3")) is None
+    net = language.train(df)
+    assert 0 <= language.least_score(df, net) <= 1 and language.least_score(df.limit(0), net) == 0 == language.least_score(df, None)

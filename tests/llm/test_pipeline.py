@@ -44,3 +44,13 @@ def test_stages(spark, folder):
         assert stage(spark, docs.limit(0), folder[0]).count() == 0
     n = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.secrets(spark, docs, folder[0]).collect()}
     assert all(t is None or c == len(t) for t, c in n.values())
+
+
+def test_columns_of_other_names_and_clashes(spark, folder):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").drop("n_chars").withColumns({c: F.lit(42.0) for c in ("score", "lang_pred", "own_h", "own_id", "times", "h")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder[0])
+        assert got.columns == docs.columns
+        assert got.where("score <> 42 OR lang_pred <> 42 OR h <> 42").count() == 0 and got.count() > 0
