@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 
 from bytelore import schema
@@ -60,6 +62,22 @@ def formats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(format_rows(), schema.FORMAT)
 
 
+def generated(spark: SparkSession, n: int = 2000, seed: int = 1) -> DataFrame:
+    """The own registry and n made formats, for measurements at the size of a public registry: of ten, six have a literal at the beginning, one a
+    wide gap, one an alternative, one a pattern at the end, one a floating pattern."""
+    rng = random.Random(seed)
+    byte = lambda k: "".join(f"{rng.randrange(256):02X}" for _ in range(k))
+    shapes = [
+        *[lambda: [("BOF", byte(rng.randint(3, 10)), str(rng.choice((0, 0, 0, 4, 257))), "0")]] * 6,
+        lambda: [("BOF", f"{byte(3)}{{36-1426}}{byte(3)}", "0", "0")], lambda: [("BOF", f"({byte(2)}|{byte(2)}){byte(3)}[01:7F]", "0", "0")], lambda: [("BOF", byte(2), "0", "0"), ("EOF", byte(4), "0", "64")], lambda: [("VAR", byte(6), "0", "0")],
+    ]
+    rows = format_rows()
+    for k in range(n):
+        patterns = shapes[k % 10]()
+        rows.append((len(FORMATS) + k, 0, f"made/{k}", [], None, f"made {k}", "", None, str(20000 + k), [f"x{k}"], None, [], [("s", [], [(p, s, compile_sequence(s, p, o, m)) for p, s, o, m in patterns])], None))
+    return spark.createDataFrame(rows, schema.FORMAT)
+
+
 def containers(spark: SparkSession) -> DataFrame:
     rows = [(t, i, puid, path, compile_container_sequence(s), k) for k, (t, i, puid, path, s) in enumerate(CONTAINERS)]
     return spark.createDataFrame(rows, schema.CONTAINER)
