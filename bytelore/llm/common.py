@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,49 +11,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bytelore.sources.stored import forget, shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["arrow_batch", "bounded", "forget", "held", "mapped", "shared_dir", "small_batches", "spark_schema", "stored", "table", "text_column", "text_hash", "unused"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared folder of the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is set only where none is and all tasks run in this
-    process (tests on one machine); executors elsewhere could not read it, so there it is an error.
-    """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir()
-    if base is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        base = base or tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir()
-    return f"{base}/{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read back: lineage ends here, so a lost executor costs only a read."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._stored_path = path
-    return back
+#: Rows of a batch that goes to Python code at once. Texts are large, and each task holds a batch several times over.
+BATCH_ROWS = 500
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes what `stored` wrote, once nothing reads it any more."""
-    path = getattr(df, "_stored_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
-#: Rows of a batch that goes to Python code at once. Texts are large, and each task holds a batch several times over.
-BATCH_ROWS = 500
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark itself make batches of that size, too, which halves the memory of long texts. The registered queries and the
+    pipeline's stages ask for it, the operators don't; a session that sets the size of batches keeps it."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
 
 def _cut(run):

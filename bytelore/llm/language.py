@@ -16,7 +16,6 @@ one id in the sample, no more than TRAIN_ROWS are learnt from; an empty table gi
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from functools import lru_cache
 
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytelore.llm.common import arrow_batch, mapped, table
+from bytelore.llm.common import mapped, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)

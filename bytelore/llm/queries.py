@@ -1,6 +1,9 @@
 """Queries and SQL of this subpackage, for the registry at the repository top."""
 
+from functools import wraps
+
 from bytelore.llm import sharding, urls
+from bytelore.llm.common import small_batches
 from bytelore.llm.decontamination import op6_decontamination
 from bytelore.llm.fingerprints import op3_fingerprints
 from bytelore.llm.language import op10_language
@@ -13,8 +16,18 @@ from bytelore.llm.sharding import op5_sharding
 from bytelore.llm.urls import op4_urls
 
 
+def in_small_batches(query):
+    @wraps(query)
+    def run(spark, *rest):
+        small_batches(spark)
+        return query(spark, *rest)
+
+    return run
+
+
 def queries() -> dict:
-    return {"op1_secrets": op1_secrets, "op2_personal": op2_personal, "op3_fingerprints": op3_fingerprints, "op4_urls": op4_urls, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_near_copies": op7_near_copies, "op8_pages": op8_pages, "op9_pieces": op9_pieces, "op10_language": op10_language}
+    found = (op1_secrets, op2_personal, op3_fingerprints, op4_urls, op5_sharding, op6_decontamination, op7_near_copies, op8_pages, op9_pieces, op10_language)
+    return {q.__name__: in_small_batches(q) for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
