@@ -21,6 +21,7 @@ from bytelore.llm.decontamination import without_covering
 from bytelore.llm.language import least_score, train, with_language
 from bytelore.llm.near_copies import representatives
 from bytelore.llm.pieces import model_path, piece_ids
+from bytelore.llm.queries import in_small_batches
 from bytelore.llm.secrets import redact_secrets
 
 #: Tiling, alignment, networks and merges have no SQL form; tests hold the stages against plain Python versions.
@@ -53,7 +54,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_ids(docs, model_path())
 
 
-STAGES = [("language", language), ("near_copies", near_copies), ("decontamination", decontamination), ("secrets", secrets), ("pieces", pieces)]
+STAGES = [(f.__name__, in_small_batches(f)) for f in (language, near_copies, decontamination, secrets, pieces)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
