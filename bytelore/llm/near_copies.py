@@ -51,6 +51,8 @@ LEAST_YIELD = 20
 SHORT = 14
 #: Members of a key up to which all pairs are compared; buckets of the counts that order words; texts of a cell; entries of a part; the share of words beyond the first ones that are compared before alignment.
 CROWD, BUCKETS, CELL, PART, REACH = 32, 1 << 18, 2000, 10_000, 0.25
+#: Buckets whose sums are one row.
+STRIP = 4096
 KEPT_WORDS = 200_000
 #: Tables of up to SMALL_ROWS short rows are written by one task for each TASK_ROWS; larger ones as they are partitioned.
 SMALL_ROWS, TASK_ROWS = 20_000_000, 200_000
@@ -269,13 +271,25 @@ def _counts(texts: DataFrame, order: np.ndarray | None = None) -> np.ndarray:
                 w = word_hashes(text)
                 at, n = np.unique((labelled(w) if order is None else _first(w, order)) % np.uint64(BUCKETS), return_counts=True)
                 sums[at.astype(np.int64)] += n
-        at = np.flatnonzero(sums)
-        yield arrow_batch({"bucket": (at, pa.int32()), "n": (sums[at], pa.int64())})
+        yield packed(enumerate(sums.reshape(-1, STRIP)))
 
-    out = np.zeros(BUCKETS, np.int64)
-    found = mapped(texts.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return out
+    def packed(strips):
+        full = [(k, x.tobytes()) for k, x in strips if x.any()]
+        return arrow_batch({"strip": ([k for k, _ in full], pa.int32()), "sums": ([x for _, x in full], pa.binary())})
+
+    def merged(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(x, np.int64)
+                found[k] = found[k] + x if k in found else x
+        yield packed(found.items())
+
+    out = np.zeros(BUCKETS, np.int64).reshape(-1, STRIP)
+    strips = mapped(texts.select("text"), run, "strip int, sums binary")  # a few rows of each task, summed by strip
+    for r in mapped(strips.repartition("strip"), merged, "strip int, sums binary").collect():  # one row for each strip
+        out[r.strip] = np.frombuffer(r.sums, np.int64)
+    return out.reshape(-1)
 
 
 _DEALT = "part long, tid long, root long, n long, rare binary, first binary, cells binary"
