@@ -11,6 +11,7 @@ from bytelore.llm.near_copies import op7_near_copies
 from bytelore.llm.pages import op8_pages
 from bytelore.llm.personal import op2_personal
 from bytelore.llm.pieces import op9_pieces
+from bytelore.llm.repair import op12_repair
 from bytelore.llm.secrets import op1_secrets
 from bytelore.llm.sharding import op5_sharding
 from bytelore.llm.urls import op4_urls
@@ -26,7 +27,7 @@ def in_small_batches(query):
 
 
 def queries() -> dict:
-    found = (op1_secrets, op2_personal, op3_fingerprints, op4_urls, op5_sharding, op6_decontamination, op7_near_copies, op8_pages, op9_pieces, op10_language)
+    found = (op1_secrets, op2_personal, op3_fingerprints, op4_urls, op5_sharding, op6_decontamination, op7_near_copies, op8_pages, op9_pieces, op10_language, op12_repair)
     return {q.__name__: in_small_batches(q) for q in found}
 
 
