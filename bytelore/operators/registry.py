@@ -20,7 +20,10 @@ BROADCAST_FORMATS = 50_000
 
 
 def combine(*files: DataFrame) -> DataFrame:
-    """Formats of several files: a later file's format replaces an earlier one of the same puid, in the earlier place."""
+    """Formats of several files: a later file's format replaces an earlier one of the same puid, in the earlier place.
+
+    A file has 2^32 places, and `ord` is its number and the place in it.
+    """
     rows = None
     for k, f in enumerate(files):
         part = f.withColumn("source_ord", F.lit(k))
@@ -28,7 +31,7 @@ def combine(*files: DataFrame) -> DataFrame:
     whole = F.struct(*[c for c in rows.columns if c != "ord"])
     place = F.struct("source_ord", "ord")
     merged = rows.groupBy("puid").agg(F.max_by(whole, place).alias("last"), F.min(place).alias("first"))
-    return merged.select("first", "last.*").withColumn("ord", F.col("first.source_ord") * 1_000_000 + F.col("first.ord")).select("ord", *[c for c in rows.columns if c != "ord"])
+    return merged.select("first", "last.*").withColumn("ord", F.shiftleft(F.col("first.source_ord").cast("long"), 32) + F.col("first.ord")).select("ord", *[c for c in rows.columns if c != "ord"])
 
 
 def include(formats: DataFrame, puids: list[str]) -> DataFrame:

@@ -427,7 +427,7 @@ def oracle_sql() -> dict[str, str]:
         "extension_names": f"WITH {OBJECTS.format(n=WINDOW)} SELECT object_id, {_EXT} AS ext, ltrim(lower(regexp_extract(filename || '!inner/readme', '[^/.]\\.*(\\.[^/.]*)$', 1)), '.') AS member_ext FROM objects",
         "use_formats": f"WITH {identified(keep=lambda p: p in KEPT)} {_SELECT}",
         "nouse_formats": f"WITH {identified(keep=lambda p: p not in KEPT)} {_SELECT}",
-        "registry_override": f"WITH {REGISTRY}, second AS (SELECT 'own/' || p_partkey AS puid, p_name AS name, p_partkey AS ord FROM part) SELECT coalesce(r.puid, s.puid) AS puid, coalesce(s.name, r.formatname) AS name, coalesce(r.ord, 1000000 + s.ord)::BIGINT AS ord FROM registry r FULL JOIN second s ON r.puid = s.puid",
+        "registry_override": f"WITH {REGISTRY}, second AS (SELECT 'own/' || p_partkey AS puid, p_name AS name, p_partkey AS ord FROM part) SELECT coalesce(r.puid, s.puid) AS puid, coalesce(s.name, r.formatname) AS name, coalesce(r.ord, 4294967296 + s.ord)::BIGINT AS ord FROM registry r FULL JOIN second s ON r.puid = s.puid",
         "match_groups": f"{full} SELECT object_id, max(group_size) AS group_size, max(group_index) AS last_index, count(*) AS n FROM results WHERE status = 'OK' GROUP BY object_id",
         "report_csv_lines": f"{full} SELECT object_id, group_index, {line} AS line FROM results WHERE status = 'OK'",
         "report_ko_lines": f"{full} SELECT object_id, 'KO,0,,,,' || filesize || ',\"' || filename || '\",,\"fail\"' AS line FROM results WHERE status = 'KO'",

@@ -20,10 +20,10 @@ ELEMENT = _struct(
     puid=_text, mime=T.ArrayType(_text), container=_text, name=_text, version=_text, alias=_text, pronom_id=_text, extension=T.ArrayType(_text), apple_uti=_text,
     has_priority_over=T.ArrayType(_text), signature=T.ArrayType(SIGNATURE), details=DETAILS,
 )
-FORMAT = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("source_ord", T.IntegerType()), *ELEMENT.fields])
-CONTAINER = _struct(container_type=_text, sig_id=_text, puid=_text, path=_text, regex=_text, ord=T.IntegerType())
+FORMAT = T.StructType([T.StructField("ord", T.LongType()), T.StructField("source_ord", T.IntegerType()), *ELEMENT.fields])
+CONTAINER = _struct(container_type=_text, sig_id=_text, puid=_text, path=_text, regex=_text, ord=T.LongType())
 OBJECT = _struct(object_id=_text, filename=_text, size=T.LongType(), bof=T.BinaryType(), eof=T.BinaryType(), parent_id=_text, depth=T.IntegerType(), kind=_text)
-CANDIDATE = _struct(ord=T.IntegerType(), puid=_text, prio=T.ArrayType(_text), sigs=T.ArrayType(_struct(sig_ord=T.IntegerType(), name=_text)))
+CANDIDATE = _struct(ord=T.LongType(), puid=_text, prio=T.ArrayType(_text), sigs=T.ArrayType(_struct(sig_ord=T.IntegerType(), name=_text)))
 RESULT_COLUMNS = ["status", "time_ms", "puid", "formatname", "signaturename", "filesize", "filename", "mimetype", "matchtype", "version", "alias", "apple_uti", "group_size", "group_index"]
 
 BUFFER = 128 * 1024

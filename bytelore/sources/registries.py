@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from bytelore import schema
 from bytelore.functions.containersyntax import compile_container_sequence
 from bytelore.operators.registry import combine
+from bytelore.sources.stored import numbered
 
 _OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST", "ignoreNamespace": "false"}
 
@@ -22,11 +23,16 @@ def read_formats(spark: SparkSession, path: str, source_ord: int = 0) -> DataFra
     rows = spark.read.option("rowTag", "format").options(**_OPTIONS).schema(schema.ELEMENT).xml(path)
     lists = [f.name for f in schema.ELEMENT.fields if isinstance(f.dataType, T.ArrayType)]
     rows = rows.withColumns({n: F.coalesce(n, F.array().cast(schema.ELEMENT[n].dataType)) for n in lists})
-    return rows.withColumns({"ord": F.monotonically_increasing_id(), "source_ord": F.lit(source_ord)}).select(*_numbered(rows))
+    placed = numbered(rows.withColumns(_places()), "ord", *_PLACE)
+    return placed.select((F.col("ord") - 1).alias("ord"), F.lit(source_ord).alias("source_ord"), *[F.col(f"`{c}`") for c in rows.columns])
 
 
-def _numbered(rows: DataFrame) -> list:
-    return [F.col("ord").cast("int").alias("ord"), F.col("source_ord").cast("int").alias("source_ord"), *[F.col(f"`{c}`") for c in rows.columns]]
+#: What puts elements in the order of files and of places in them: a reader may have any number of splits of several files.
+_PLACE = ("_file", "_block", "_row")
+
+
+def _places() -> dict:
+    return dict(zip(_PLACE, (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()), strict=True))
 
 
 def read_registry(spark: SparkSession, *paths: str) -> DataFrame:
@@ -47,9 +53,10 @@ _MAPPING = T.StructType([T.StructField("_signatureId", T.StringType()), T.Struct
 
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
     """Container signatures: the first path and the first sequence of all files of a signature; those without one are left out; the first mapping of an id counts."""
-    rows = spark.read.option("rowTag", "ContainerSignature").options(**_OPTIONS).schema(_CONTAINER_SIGNATURE).xml(path).withColumn("ord", F.monotonically_increasing_id().cast("int"))
-    maps = spark.read.option("rowTag", "FileFormatMapping").options(**_OPTIONS).schema(_MAPPING).xml(path).withColumn("_at", F.monotonically_increasing_id())
-    earliest = Window.partitionBy("_signatureId").orderBy("_at")
+    rows = spark.read.option("rowTag", "ContainerSignature").options(**_OPTIONS).schema(_CONTAINER_SIGNATURE).xml(path)
+    rows = numbered(rows.withColumns(_places()), "ord", *_PLACE).withColumn("ord", F.col("ord") - 1)
+    maps = spark.read.option("rowTag", "FileFormatMapping").options(**_OPTIONS).schema(_MAPPING).xml(path).withColumns(_places())
+    earliest = Window.partitionBy("_signatureId").orderBy(*_PLACE)
     maps = maps.withColumn("_n", F.row_number().over(earliest)).where("_n = 1").select(F.col("_signatureId").alias("sig_id"), F.col("_Puid").alias("puid"))
     compile_udf = F.udf(compile_container_sequence)  # row by row, but for a few thousand rows once, when a registry is loaded
     inner = lambda column, field: F.filter(F.flatten(F.filter(F.transform(column, lambda x: x[field]), lambda x: x.isNotNull())), lambda x: x.isNotNull())

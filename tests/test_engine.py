@@ -205,6 +205,30 @@ def test_container_file(spark, tmp_path):
     assert [(r.container_type, r.sig_id, r.puid, r.path, r.regex) for r in registries.read_containers(spark, str(tmp_path / "c.xml")).collect()] == [("ZIP", "1", "p/1", "a", "(?s)xA")]
 
 
+def test_registries_of_several_files_and_splits(spark, tmp_path):
+    """Elements count in the order of files and of places in them, however the files are split."""
+    seq = lambda s: f"<BinarySignatures><InternalSignatureCollection><InternalSignature><ByteSequence><SubSequence><Sequence>{s}</Sequence></SubSequence></ByteSequence></InternalSignature></InternalSignatureCollection></BinarySignatures>"
+    (tmp_path / "f").mkdir()
+    (tmp_path / "c").mkdir()
+    for n, size in (("a", 40), ("b", 700), ("c", 90)):
+        (tmp_path / f"f/{n}.xml").write_text("<formats>" + "".join(f"<format>\n<puid>{n}/{k}</puid><name>{'x' * (k % 50)}</name></format>\n" for k in range(size)) + "</formats>")
+        signature = "".join(f'<ContainerSignature Id="{n}{k}" ContainerType="ZIP"><Files><File><Path>p{k}</Path>{seq(41)}</File></Files></ContainerSignature>\n' for k in range(size))
+        mapping = "".join(f'<FileFormatMapping signatureId="{n}{k}" Puid="{n}/{k}"/>\n<FileFormatMapping signatureId="a{k}" Puid="late/{k}"/>\n' for k in range(size))
+        (tmp_path / f"c/{n}.xml").write_text(f"<M><S>{signature}</S><T>{mapping}</T></M>")
+    want = [f"{n}/{k}" for n, size in (("a", 40), ("b", 700), ("c", 90)) for k in range(size)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = registries.read_formats(spark, str(tmp_path / "f"))
+        assert [(r.ord, r.puid) for r in found.orderBy("ord").collect()] == list(enumerate(want))
+        both = registry.combine(found, found.where("puid LIKE 'b/%'").withColumn("name", registry.F.lit("new")))
+        assert [(r.puid, r.name == "new") for r in both.orderBy("ord").collect()] == [(p, p[0] == "b") for p in want]
+        found = registries.read_containers(spark, str(tmp_path / "c"))
+        assert [(r.ord, r.puid) for r in found.orderBy("ord").collect()] == list(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 RECORD = """<PRONOM-Report xmlns="http://pronom.nationalarchives.gov.uk"><report_format_detail><FileFormat><FormatID> {id} </FormatID><FormatName>N{id}</FormatName><FormatVersion>1</FormatVersion>
 <FileFormatIdentifier><Identifier>fmt/{id}</Identifier><IdentifierType>PUID</IdentifierType></FileFormatIdentifier><FileFormatIdentifier><Identifier>m/{id}</Identifier><IdentifierType>MIME</IdentifierType></FileFormatIdentifier>
 <ExternalSignature><Signature>e{id}</Signature></ExternalSignature><RelatedFormat><RelationshipType>Has priority over</RelationshipType><RelatedFormatID>{over}</RelatedFormatID></RelatedFormat>{sigs}</FileFormat></report_format_detail></PRONOM-Report>"""
@@ -327,7 +351,7 @@ def test_running_count(spark, tmp_path):
     assert [x.split()[0] for x in out.getvalue().splitlines()] == ["1", "1", "2", "2", "3", "4", "4", "5", "5"]
 
 
-RECORD = """<PRONOM-Report xmlns="http://pronom.nationalarchives.gov.uk"><report_format_detail><FileFormat><FormatID>1</FormatID><FormatName>N</FormatName><FileFormatIdentifier><Identifier>fmt/7</Identifier><IdentifierType>PUID</IdentifierType></FileFormatIdentifier>
+ONE_RECORD = """<PRONOM-Report xmlns="http://pronom.nationalarchives.gov.uk"><report_format_detail><FileFormat><FormatID>1</FormatID><FormatName>N</FormatName><FileFormatIdentifier><Identifier>fmt/7</Identifier><IdentifierType>PUID</IdentifierType></FileFormatIdentifier>
 <InternalSignature><SignatureName>S</SignatureName><ByteSequence><PositionType>Absolute from BOF</PositionType><ByteSequenceValue>4142</ByteSequenceValue></ByteSequence></InternalSignature></FileFormat></report_format_detail></PRONOM-Report>"""
 
 
@@ -337,11 +361,11 @@ def test_prepare_update_and_versions_commands(spark, tmp_path):
     from bytelore.sources import service, versions
 
     with zipfile.ZipFile(tmp_path / "in.zip", "w") as z:
-        z.writestr("puid.fmt.7.xml", RECORD)
+        z.writestr("puid.fmt.7.xml", ONE_RECORD)
     assert cli.prepare(["-input", str(tmp_path / "in.zip"), "-output", str(tmp_path / "out.xml")], spark=spark) == 0
     assert [(r.puid, r.signature[0].pattern[0].regex) for r in registries.read_formats(spark, str(tmp_path / "out.xml")).collect()] == [("fmt/7", "(?s)\\AAB")]
 
-    answers = {service.SERVICE: f"<v xmlns='{service.NAMESPACE}'><Version><Version>120</Version></Version></v>", service.SIGNATURES.format(version=120): "<F xmlns='urn:x'><FileFormat PUID='fmt/7'/></F>", service.RECORDS.format(puid="fmt/7"): RECORD}
+    answers = {service.SERVICE: f"<v xmlns='{service.NAMESPACE}'><Version><Version>120</Version></Version></v>", service.SIGNATURES.format(version=120): "<F xmlns='urn:x'><FileFormat PUID='fmt/7'/></F>", service.RECORDS.format(puid="fmt/7"): ONE_RECORD}
     client, waited = service.RegistryService(lambda url, body, headers: (200, answers[url].encode())), []
     assert cli.update(["-confdir", str(tmp_path), "-http_throttle", "0.25"], io.StringIO(), client, spark, waited.append) == 0
     local = versions.Versions.read(str(tmp_path / "versions.xml"))
