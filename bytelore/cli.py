@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bytelore import __version__, schema
 from bytelore.functions import templates
 from bytelore.operators import registry, report
-from bytelore.operators.identify import FormatIdentifier, Options, expanded
+from bytelore.operators.identify import FormatIdentifier, Options
 from bytelore.plans import formats as own
 from bytelore.sources import objects, records, registries, service, versions
 from bytelore.sources.versions import Versions
@@ -102,10 +102,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     match = templates.MATCH if args.matchprintf is None else templates.unescaped(args.matchprintf)
     no_match = templates.NO_MATCH if args.nomatchprintf is None else templates.unescaped(args.nomatchprintf)
     if args.outdir:
-        results = results.cache()
+        results, counts = report.observed(results)
         report.write_lines(results, args.outdir, match, no_match)
-        notes = [r.note for r in results.where("note IS NOT NULL").select("note").distinct().toLocalIterator()]
-        n = report.objects_done(results)
+        n = counts.get["objects"]
+        notes = [f"{counts.get['notes']} objects with errors, such as: {counts.get['note']}"] if counts.get["notes"] else []
     else:
         n, last, notes = 0, None, []
         for row in report.lines(results, match, no_match, keep_all=True).orderBy("object_id", "path", "group_index").toLocalIterator():
@@ -123,7 +123,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
 
 def identify_files(identifier: FormatIdentifier, roots: DataFrame, recurse: bool = False) -> DataFrame:
     """Results for the files of roots (path); tasks list the folders, open the files and read of each what is looked at."""
-    paths = expanded(roots, recurse)
+    paths = objects.expanded(roots, recurse)
     return identifier.files(paths.repartition(max(1, identifier.spark.sparkContext.defaultParallelism), "path"))
 
 

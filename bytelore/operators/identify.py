@@ -20,7 +20,8 @@ from bytelore.functions.names import extension_column
 from bytelore.operators import matching
 from bytelore.operators.registry import OLE, TAR, ZIP, Compiled, compiled, loaded, small
 from bytelore.sources.archives import container_hits, members
-from bytelore.sources.objects import windows_of
+from bytelore.sources.store import opened as opened_file
+from bytelore.sources.store import windows_of
 
 MATCHES = T.ArrayType(schema.CANDIDATE)
 #: What a task finds out about an object or a member: its matches after suppression, and messages about what could not be read.
@@ -92,12 +93,12 @@ class FormatIdentifier:
         return self._rows(found.select("object_id", "filename", "size", "time_ms", chosen.alias("chosen"), F.when(signed, "signature").otherwise("extension").alias("label"), F.lit("").alias("path"), "note"))
 
     def files(self, paths: DataFrame) -> DataFrame:
-        """Results for files, out of a table with their names in a column `path`; executors open them, and read of each what is looked at."""
+        """Results for files, out of a table with their names in a column `path`; paths or URIs. Executors open them, and read of each what is looked at."""
         n = self.options.bufsize
 
         def given(batch):
             for path in batch.column(0).to_pylist():
-                yield path, path, lambda path=path: windows_of(path, n), lambda path=path: open(path, "rb")
+                yield path, path, lambda path=path: windows_of(path, n), lambda path=path: opened_file(path)
 
         return self._rows(self._scanned(paths.select(F.col("path").cast("string").alias("path")), given))
 
@@ -169,23 +170,3 @@ def scan(name: str, windows: Callable[[], tuple[int, bytes, bytes]], opened: Cal
     if hits or o.extension:
         rows.insert(0, (name, size, took, own.described(hits), label, "", "; ".join(notes) or None))
     return rows
-
-
-def expanded(roots: DataFrame, recurse: bool = False) -> DataFrame:
-    """(path): the files of roots (path), listed by the tasks; a folder of another root's files is listed again."""
-    from bytelore.sources.objects import list_paths
-
-    def run(batches):
-        for batch in batches:
-            for root in batch.column(0).to_pylist():
-                paths: list[str] = []
-                for p in list_paths([root], recurse):
-                    paths.append(p)
-                    if len(paths) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
-                        paths = []
-                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
-
-    return roots.select(F.col("path").cast("string").alias("path")).mapInArrow(run, "path string")
-
-

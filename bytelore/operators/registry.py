@@ -6,11 +6,13 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytelore import schema
 from bytelore.functions.names import extension
+from bytelore.functions.reach import needle, reach
 
 ZIP, TAR, OLE = "zip", "tar", "ole"
 #: Fixed value: the format whose objects are compound files.
@@ -89,6 +91,17 @@ def literal(regex: str) -> tuple[int, bytes] | None:
     return (int(head[1] or 0), bytes(out)) if out else None
 
 
+def _automaton(words: dict[bytes, list[int]]):
+    """All words in one automaton, which finds them in one pass; None if there are none."""
+    if not words:
+        return None
+    made = ahocorasick.Automaton()
+    for word, formats in words.items():
+        made.add_word(word.decode("latin-1"), tuple(formats))
+    made.make_automaton()
+    return made
+
+
 @dataclass
 class Compiled:
     """Formats as tasks use them: expressions over bytes, compiled once in each worker."""
@@ -108,38 +121,51 @@ class Compiled:
         self.__post_init__()
 
     def _prepare(self):
-        lookup: dict[tuple[int, int], dict[bytes, list[int]]] = {}
+        at_place: dict[tuple[int, int], dict[bytes, list[int]]] = {}
+        anywhere: tuple[dict[bytes, list[int]], dict[bytes, list[int]]] = {}, {}  # in the first and in the last window
         always, tests = [], []
         for i, (_, _, _, _, signatures, _) in enumerate(self.formats):
             compiled, needed, bad = [], [], False
             for name, patterns in signatures:
-                ready, own = [], None
+                ready, own = [], []
                 for position, regex in patterns:
                     try:
-                        ready.append((position, re.compile(regex.encode())))
+                        test = re.compile(regex.encode())
+                        ready.append((position, reach(regex, position) or test))
                     except (re.error, OverflowError) as e:
                         ready.append((position, e))
                         bad = True
-                    if position == "BOF":
-                        own = own or literal(regex)
+                    if found := needle(regex, position):
+                        own.append((position, found))
                 compiled.append((name, ready))
-                needed.append(own)
+                needed.append(max(own, key=lambda x: x[1].worth(), default=None))
             tests.append(compiled)
             if bad or not all(needed):
                 always.append(i)
-            else:
-                for offset, text in needed:
-                    lookup.setdefault((offset, len(text)), {}).setdefault(text, []).append(i)
-        self._ready = lookup, always, tests
+                continue
+            for position, found in needed:
+                if found.place is None:
+                    anywhere[position == "EOF"].setdefault(found.text, []).append(i)
+                else:
+                    at_place.setdefault((found.place, len(found.text)), {}).setdefault(found.text, []).append(i)
+        self._ready = at_place, [_automaton(x) for x in anywhere], always, tests
 
     def candidates(self, bof: bytes, eof: bytes, notes: list[str] | None = None) -> list[tuple[int, list[tuple[int, str]]]]:
-        """(index, [(signature, name)]) of all formats with a signature that holds, in order; errors drop a format's later signatures, and are noted."""
+        """(index, [(signature, name)]) of all formats with a signature that holds, in order; errors drop a format's later signatures, and are noted.
+
+        Only formats whose bytes are there are tried: bytes at a fixed place by a look-up, others by one pass of all of them over each window.
+        """
         if self._ready is None:
             self._prepare()
-        lookup, always, tests = self._ready
+        at_place, passes, always, tests = self._ready
         chosen = set(always)
-        for (offset, size), by_text in lookup.items():
-            chosen.update(by_text.get(bof[offset : offset + size], ()))
+        for (place, size), by_text in at_place.items():
+            there = bof[place : place + size] if place >= 0 else eof[len(eof) + place : len(eof) + place + size] if len(eof) + place >= 0 else b""
+            chosen.update(by_text.get(there, ()))
+        for automaton, window in zip(passes, (bof, eof), strict=True):
+            if automaton is not None:
+                for _, formats in automaton.iter(window.decode("latin-1")):
+                    chosen.update(formats)
         out = []
         for i in sorted(chosen):
             hits = []

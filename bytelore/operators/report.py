@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from bytelore.functions import templates
@@ -68,8 +68,18 @@ def match_types(results: DataFrame) -> DataFrame:
     return results.groupBy("status", "matchtype").agg(F.count("*").alias("n"), F.countDistinct("object_id").alias("objects"))
 
 
-def objects_done(results: DataFrame) -> int:
-    return results.select("object_id", "filename").distinct().count()
+def observed(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """The results, and what is counted while they are used: objects (and members), result rows, objects without a match, bytes, objects with notes and one of these.
+
+    Each object has one row that is its first, so nothing has to be told apart, and nothing runs twice.
+    """
+    found, first = Observation(), F.coalesce("group_index", F.lit(1)) == 1
+    none = F.lit(0).cast("long")
+    counts = {
+        "objects": F.count_if(first), "rows": F.count_if(F.col("status") == "OK"), "unmatched": F.count_if(F.col("status") == "KO"), "bytes": F.coalesce(F.sum(F.when(first, F.col("filesize"))), none),
+        "notes": F.count_if(first & F.col("note").isNotNull()), "note": F.min(F.when(first, F.col("note"))),
+    }
+    return results.observe(found, *[c.alias(n) for n, c in counts.items()]), found
 
 
 def summary(n: int, seconds: float) -> str:

@@ -209,6 +209,8 @@ PATTERNS = {
     "gap_match": (("BOF", "52494646{4}57415645"), "regexp_matches(bof, '^52494646(..){4}57415645')"),
     "gap_range_match": (("VAR", "74{1-3}68"), "regexp_matches(bof, '^(..)*74(..){1,3}68')"),
     "gap_open_match": (("BOF", "25{8-*}2E"), "regexp_matches(bof, '^25(..){8}(..)*2E')"),
+    "gap_chain_match": (("VAR", "74{1-40}68{2-60}65{1-40}2E{1-*}2E"), "regexp_matches(bof, '^(..)*74(..){1,40}68(..){2,60}65(..){1,40}2E..(..)*2E')"),
+    "gap_chain_end_match": (("EOF", "2E{2-30}2E", "1", "40"), "regexp_matches(eof, '^(..)*2E(..){2,30}2E(..){1,40}$')"),
     "wildcard_match": (("BOF", "47*61+2E"), "regexp_matches(bof, '^47(..)*61(..)(..)*2E')"),
     "optional_match": (("VAR", "61??62"), "regexp_matches(bof, '^(..)*61(..)?62')"),
     "alternative_match": (("BOF", "(25|47|[80:8F])"), "regexp_matches(bof, '^(25|47|8.)')"),
@@ -283,7 +285,10 @@ def container_types(spark, sf_dir):
 
 
 def priority_edges(spark, sf_dir):
-    return registry.priority_edges(own.formats(spark))
+    """Pairs of formats of which the first has priority, each once; here a format for each part."""
+    key = F.col("p_partkey")
+    over = F.array(*[x.cast("string") for x in (key + 1, key * 7, key + 1)])
+    return registry.priority_edges(_table(spark, sf_dir, "part").select(key.cast("string").alias("puid"), over.alias("has_priority_over")))
 
 
 def format_histogram(spark, sf_dir):
@@ -433,7 +438,7 @@ def oracle_sql() -> dict[str, str]:
         "report_ko_lines": f"{full} SELECT object_id, 'KO,0,,,,' || filesize || ',\"' || filename || '\",,\"fail\"' AS line FROM results WHERE status = 'KO'",
         "report_custom_lines": f"{full} SELECT object_id, group_index, group_index || '/' || group_size || chr(9) || rpad(puid, 12, ' ') || '|' || lpad(filesize::VARCHAR, 8, '0') || '|' || coalesce(version, 'None') || ' 100%' AS line FROM results WHERE status = 'OK'",
         "container_types": f"WITH {OBJECTS.format(n=schema.BUFFER)} SELECT object_id, CASE WHEN starts_with(bof, '504B0304') THEN 'zip' WHEN starts_with(bof, 'D0CF11E0A1B11AE1') THEN 'ole' END AS container FROM objects WHERE starts_with(bof, '504B0304') OR starts_with(bof, 'D0CF11E0A1B11AE1')",
-        "priority_edges": f"WITH {_OVER} SELECT puid, inferior FROM over_",
+        "priority_edges": "SELECT p_partkey::VARCHAR AS puid, unnest([p_partkey + 1, p_partkey * 7])::VARCHAR AS inferior FROM part",
         "format_histogram": f"{full} SELECT puid, formatname, count(*) AS n FROM results WHERE status = 'OK' GROUP BY ALL",
         "matchtype_summary": f"{full} SELECT status, matchtype, count(*) AS n, count(DISTINCT object_id) AS objects FROM results GROUP BY ALL",
         "record_files": "SELECT p_partkey, 'puid.fmt.' || p_partkey || '.xml' AS file FROM part",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bytelore import schema
 from bytelore.operators import matching, registry, report
-from bytelore.operators.identify import FormatIdentifier, Options, expanded
+from bytelore.operators.identify import FormatIdentifier, Options
 from bytelore.plans import catalog
 from bytelore.plans import formats as own
 from bytelore.sources import objects, records, registries, service, versions
@@ -22,11 +22,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _local(folder: str) -> str:
-    """The path of a folder that tasks open with the system's own calls."""
-    return re.sub(r"^file:/*", "/", folder)
-
-
 def _text(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -38,7 +33,7 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a folder for each item of `benchmark`, with its text as a file that ends in a line feed."""
     folder = shared_dir(spark)
     _table(spark, sf_dir, "benchmark").select("item_id", _text("text").alias("value")).write.partitionBy("item_id").text(folder)
-    return _local(folder)
+    return folder
 
 
 def _items(found: DataFrame) -> DataFrame:
@@ -48,26 +43,43 @@ def _items(found: DataFrame) -> DataFrame:
 
 def files_of_folders(spark, sf_dir):
     roots = spark.createDataFrame([(_written(spark, sf_dir),)], "path string")
-    return _items(FormatIdentifier(spark, own.formats(spark), own.containers(spark), Options(archives=True)).files(expanded(roots, recurse=True)))
+    return _items(FormatIdentifier(spark, own.formats(spark), own.containers(spark), Options(archives=True)).files(objects.expanded(roots, recurse=True)))
 
 
 def files_of_list(spark, sf_dir):
     """As `files_of_folders`, with the folders named in a file."""
     folder, listing = _written(spark, sf_dir), shared_dir(spark)
     _table(spark, sf_dir, "benchmark").select(F.concat(F.lit(f"{folder}/item_id="), F.col("item_id").cast("string"))).write.text(listing)
-    return _items(FormatIdentifier(spark, own.formats(spark)).files(expanded(objects.paths_from_list(spark, listing))))
+    return _items(FormatIdentifier(spark, own.formats(spark)).files(objects.expanded(objects.paths_from_list(spark, listing))))
 
 
 def files_first_level(spark, sf_dir):
-    """Nothing of the folders' folders is listed without the option."""
-    roots = spark.createDataFrame([(_written(spark, sf_dir),), ("/no/such/path",)], "path string")
-    return expanded(roots).where(F.col("path").rlike(r"\.txt$")).select(F.col("path").alias("filename"))
+    """Roots are folders of files for items of even sevenths, and folders of such folders for the others, of which nothing is listed without the option."""
+    folder = shared_dir(spark)
+    items = _table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 7).alias("part"), _text("text").alias("value"))
+    items.write.partitionBy("part", "item_id").text(folder)
+    part = F.concat(F.lit(f"{folder}/part="), F.col("part").cast("string"))
+    roots = items.select(F.when(F.col("part") % 2 == 0, F.concat(part, F.lit("/item_id="), F.col("item_id").cast("string"))).otherwise(part).alias("path"))
+    item = F.regexp_extract("path", r"item_id=(\d+)/part-[^/]*\.txt$", 1)
+    return objects.expanded(roots).select(item.alias("item")).where("item <> ''").select(F.col("item").cast("long").alias("item_id"))
+
+
+def files_levels(spark, sf_dir):
+    """Files three levels down, listed a level at a time; those on the way are listed, too."""
+    folder = shared_dir(spark)
+    part = _table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), F.col("p_partkey").alias("key"), _text("p_name").alias("value"))
+    part.withColumn("a", F.col("size") % 5).drop("key").write.partitionBy("a", "size").text(folder)
+    part.where("key % 3 = 0").withColumn("b", F.col("key") % 4).drop("key", "size").write.partitionBy("b").text(f"{folder}/second")
+    paths = objects.expanded(spark.createDataFrame([(folder,), ("/no/such/path",)], "path string"), recurse=True)
+    kept = paths.where(F.col("path").rlike(r"/part-[^/]*\.txt$"))
+    found = objects.objects_of_files(kept, 16).withColumn("folder", F.regexp_extract("filename", r"/(second/b=\d+|a=\d+/size=\d+)/part-", 1))
+    return found.groupBy("folder").agg(F.sum("size").alias("bytes"))
 
 
 def files_windows(spark, sf_dir):
-    """Windows read by seeking, for files that are opened one by one."""
-    paths = [r.path for r in expanded(spark.createDataFrame([(_written(spark, sf_dir),)], "path string"), True).where(F.col("path").rlike(r"/part-[^/]*\.txt$")).toLocalIterator()]
-    made = objects.objects_of_files(spark, paths, 16).withColumn("item_id", F.regexp_extract("filename", r"item_id=(\d+)", 1).cast("long"))
+    """Windows read by seeking, for files named by URIs that are opened one by one."""
+    paths = objects.expanded(spark.createDataFrame([(_written(spark, sf_dir),)], "path string"), True).where(F.col("path").rlike(r"/part-[^/]*\.txt$"))
+    made = objects.objects_of_files(paths, 16).withColumn("item_id", F.regexp_extract("filename", r"item_id=(\d+)", 1).cast("long"))
     return made.select("item_id", "size", F.md5("bof").alias("bof_md5"), F.md5("eof").alias("eof_md5"))
 
 
@@ -120,6 +132,15 @@ def registry_xml(spark, sf_dir):
     return back.select("puid", "name", F.get("mime", F.lit(0)).alias("mime"), F.concat_ws(",", "extension").alias("extensions"), F.get("signature", F.lit(0))["pattern"][0]["regex"].alias("regex"), F.size("signature").alias("n_signatures"))
 
 
+def registry_files(spark, sf_dir):
+    """A registry in several files, in their order."""
+    folder = shared_dir(spark)
+    key = F.col("p_partkey").cast("string")
+    made = _table(spark, sf_dir, "part").select(F.concat(F.lit("p/"), key).alias("puid"), _text("p_name").alias("name"), F.col("p_partkey").alias("at"))
+    made.repartitionByRange(6, "at").sortWithinPartitions("at").drop("at").write.option("rootTag", "formats").option("rowTag", "format").xml(folder)
+    return registries.read_formats(spark, folder).select("ord", "puid", "name")
+
+
 def container_xml(spark, sf_dir):
     """Container signatures whose sequence is in the first file, in the second one, or nowhere; ids are mapped twice."""
     folder = shared_dir(spark)
@@ -132,9 +153,9 @@ def container_xml(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
     signatures = part.select(key.alias("_Id"), F.when(F.col("p_size") % 2 == 0, "ZIP").otherwise("OLE2").alias("_ContainerType"), files.alias("Files"))
     mapping = part.select(key.alias("_signatureId"), F.explode(F.array(F.concat(F.lit("p/"), key), F.lit("p/again"))).alias("_Puid"))
-    signatures.write.option("rootTag", "ContainerSignatures").option("rowTag", "ContainerSignature").xml(f"{folder}/signatures")
+    signatures.repartitionByRange(4, F.col("_Id").cast("long")).sortWithinPartitions(F.col("_Id").cast("long")).write.option("rootTag", "ContainerSignatures").option("rowTag", "ContainerSignature").xml(f"{folder}/signatures")
     mapping.write.option("rootTag", "FileFormatMappings").option("rowTag", "FileFormatMapping").xml(f"{folder}/mappings")
-    return registries.read_containers(spark, f"{folder}/*").select("container_type", "sig_id", "puid", "path", "regex")
+    return registries.read_containers(spark, f"{folder}/*").select("ord", "container_type", "sig_id", "puid", "path", "regex")
 
 
 def registry_pronom_only(spark, sf_dir):
@@ -147,7 +168,7 @@ def registry_pronom_only(spark, sf_dir):
 # ---- records
 
 
-def _record() -> Column:
+def _record(*more: Column) -> Column:
     """XML of a record for each part; the key decides the position, and every eleventh sequence can't be compiled."""
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
     ident = lambda outer, kind, value: tag(outer, F.concat(tag("Identifier", value), tag("IdentifierType", F.lit(kind))))
@@ -159,7 +180,7 @@ def _record() -> Column:
     example = tag("ReferenceFile", F.concat(tag("ReferenceFileName", F.lit("f")), ident("ReferenceFileIdentifier", "URL", F.concat(F.lit("host/"), key))))
     body = F.concat(
         tag("FormatID", key), tag("FormatName", _text("p_name")), tag("FormatVersion", F.col("p_size").cast("string")), ident("FileFormatIdentifier", "PUID", F.concat(F.lit("p/"), key)), ident("FileFormatIdentifier", "MIME", F.lit("text/x")),
-        tag("ExternalSignature", tag("Signature", F.lit("ext"))), *related, tag("InternalSignature", F.concat(tag("SignatureName", F.lit("  s  ")), sequence)), example,
+        tag("ExternalSignature", tag("Signature", F.lit("ext"))), *related, tag("InternalSignature", F.concat(tag("SignatureName", F.lit("  s  ")), sequence)), *more, example,
     )
     return F.concat(F.lit(f'<PRONOM-Report xmlns="{records.NAMESPACE[1:-1]}"><report_format_detail>'), tag("FileFormat", body), F.lit("</report_format_detail></PRONOM-Report>"))
 
@@ -178,6 +199,15 @@ def pronom_compile(spark, sf_dir):
     return made.select("puid", "name", "version", "pronom_id", F.get("mime", F.lit(0)).alias("mime"), F.get("extension", F.lit(0)).alias("extension"), F.size("signature").alias("n_signatures"), F.get("signature", F.lit(0))["name"].alias("signature"), pattern["position"].alias("position"), pattern["regex"].alias("regex"))
 
 
+def records_several(spark, sf_dir):
+    """Records of three signatures: one that can't be compiled drops those before it, and those behind it stay."""
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    signature = lambda name, value: tag("InternalSignature", F.concat(tag("SignatureName", F.lit(name)), tag("ByteSequence", F.concat(tag("PositionType", F.lit("Variable")), tag("ByteSequenceValue", value)))))
+    second = F.when(F.col("p_partkey") % 3 == 0, F.lit("4Z")).otherwise(F.hex(_text("p_name")))
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("ord"), _record(signature("second", second), signature("third", F.lit("4142"))).alias("xml"))
+    return records.compiled_texts(rows).select("puid", F.array_join(F.transform("signature", lambda s: s["name"]), ",").alias("signatures"))
+
+
 def records_one(spark, sf_dir):
     """One record alone; its priorities keep their ids."""
     return records.compiled_texts(_records(spark, sf_dir), puid="p/7").select("puid", "name", F.concat_ws(",", "has_priority_over").alias("inferior"))
@@ -228,8 +258,11 @@ def report_counted_lines(spark, sf_dir):
 
 
 def report_summary(spark, sf_dir):
-    found = report.summary(report.objects_done(_results(spark, sf_dir)), 0.0)
-    return spark.createDataFrame([(int(re.search(r"Processed (\d+) files", found)[1]), found.endswith("9999 files/sec"))], "n long, no_time boolean")
+    """What a run counts while its lines are written, without a second pass."""
+    results, counts = report.observed(_results(spark, sf_dir))
+    report.write_lines(results, shared_dir(spark))
+    done = counts.get
+    return spark.createDataFrame([tuple(done[n] for n in ("objects", "rows", "unmatched", "bytes", "notes"))], "objects long, rows long, unmatched long, bytes long, notes long")
 
 
 def elapsed_time(spark, sf_dir):
@@ -290,7 +323,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            files_of_folders, files_of_list, files_first_level, files_windows, files_by_reader, stream_object, framed_objects, registry_xml, container_xml, registry_pronom_only, pronom_compile, records_one, records_dropped, record_examples,
+            files_of_folders, files_of_list, files_first_level, files_levels, files_windows, files_by_reader, stream_object, framed_objects, registry_xml, registry_files, container_xml, registry_pronom_only, pronom_compile, records_several, records_one, records_dropped, record_examples,
             priority_id_remap, report_lines_read, report_xml, report_counted_lines, report_summary, elapsed_time, broken_signature, unknown_position, damaged_containers, versions_latest, service_formats,
         )
     }
@@ -309,15 +342,18 @@ def oracle_sql() -> dict[str, str]:
     return {
         "files_of_folders": _FILES,
         "files_of_list": _FILES,
-        "files_first_level": "SELECT 'x' AS filename WHERE false",
+        "files_first_level": "SELECT item_id FROM benchmark WHERE (item_id % 7) % 2 = 0",
+        "files_levels": "SELECT 'a=' || (p_size % 5) || '/size=' || p_size AS folder, sum(strlen(coalesce(p_name, '')) + 1)::BIGINT AS bytes FROM part GROUP BY ALL UNION ALL SELECT 'second/b=' || (p_partkey % 4), sum(strlen(coalesce(p_name, '')) + 1)::BIGINT FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL",
         "files_windows": "WITH b AS (SELECT item_id, hex(encode(coalesce(text, ''))) || '0A' AS h FROM benchmark) SELECT item_id, (length(h) // 2)::BIGINT AS size, md5(unhex(substr(h, 1, 32))) AS bof_md5, md5(unhex(CASE WHEN length(h) > 32 THEN right(h, 32) ELSE h END)) AS eof_md5 FROM b",
         "files_by_reader": "SELECT item_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, md5(coalesce(text, '') || chr(10)) AS md5 FROM benchmark",
         "stream_object": f"WITH {names}, s AS (SELECT string_agg(x, '|' ORDER BY k) AS t FROM n) SELECT 'STDIN' AS object_id, strlen(t)::BIGINT AS size, md5(left(t, 32)) AS bof_md5, md5(right(t, 32)) AS eof_md5, 'own/2' AS puid, 'extension' AS matchtype FROM s",
         "framed_objects": f"WITH {names}, f AS (SELECT k, x, strlen('kind: x' || chr(10) || 'Content-Length: ' || strlen(x) || chr(10) || chr(10)) AS head FROM n) SELECT 'STDIN!(at ' || (sum(head + strlen(x)) OVER (ORDER BY k) - strlen(x))::BIGINT || ' bytes)' AS filename, strlen(x)::BIGINT AS size, md5(x) AS md5 FROM f",
         "registry_xml": "SELECT 'p/' || p_partkey AS puid, p_name AS name, p_type AS mime, 'x,' || p_size AS extensions, '(?s)\\A' || p_name || CASE WHEN p_partkey % 2 = 1 THEN ' ' ELSE '' END AS regex, 1 AS n_signatures FROM part",
-        "container_xml": "SELECT CASE WHEN p_size % 2 = 0 THEN 'ZIP' ELSE 'OLE2' END AS container_type, p_partkey::VARCHAR AS sig_id, 'p/' || p_partkey AS puid, CASE WHEN p_partkey % 3 = 1 THEN 'first' ELSE p_type END AS path, '(?s)' || p_name || '\\!' AS regex FROM part WHERE p_partkey % 3 < 2",
+        "registry_files": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, 'p/' || p_partkey AS puid, p_name AS name FROM part",
+        "container_xml": "SELECT CASE WHEN p_size % 2 = 0 THEN 'ZIP' ELSE 'OLE2' END AS container_type, p_partkey::VARCHAR AS sig_id, 'p/' || p_partkey AS puid, CASE WHEN p_partkey % 3 = 1 THEN 'first' ELSE p_type END AS path, '(?s)' || p_name || '\\!' AS regex, row_number() OVER (ORDER BY p_partkey) - 1 AS ord FROM part QUALIFY p_partkey % 3 < 2",
         "registry_pronom_only": f"WITH {registry_}, second AS (SELECT 'own/' || p_partkey AS puid, p_name AS name FROM part) SELECT coalesce(r.puid, s.puid) AS puid, coalesce(s.name, r.formatname) AS name, r.formatname AS first_name FROM registry r FULL JOIN second s ON r.puid = s.puid",
         "pronom_compile": f"SELECT 'p/' || p_partkey AS puid, p_name AS name, p_size::VARCHAR AS version, p_partkey::VARCHAR AS pronom_id, 'text/x' AS mime, 'ext' AS extension, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 1 END AS n_signatures, {good("'s'")} AS signature, {good(f'CASE {positions} END')} AS position, {good(f"{before} || p_name || '.{{2,}}\\xff' || {after}")} AS regex FROM part",
+        "records_several": "SELECT 'p/' || p_partkey AS puid, CASE WHEN p_partkey % 3 = 0 THEN 'third' WHEN p_partkey % 11 = 0 THEN 'second,third' ELSE 's,second,third' END AS signatures FROM part",
         "records_one": "SELECT 'p/' || p_partkey AS puid, p_name AS name, (p_partkey + 1) || ',' || (p_partkey * 7) AS inferior FROM part WHERE p_partkey = 7",
         "records_dropped": "SELECT 'p/' || p_partkey AS puid, 'incompatible: not a byte at 0 in ''ZZ''' AS message FROM part WHERE p_partkey % 11 = 0",
         "record_examples": f"SELECT 'p/' || p_partkey AS puid, md5({url}) AS checksum FROM part",
@@ -325,7 +361,7 @@ def oracle_sql() -> dict[str, str]:
         "report_lines_read": f"{full} SELECT status, puid, formatname, signaturename, filesize, filename, CASE WHEN status = 'OK' THEN coalesce(mimetype, 'None') END AS mimetype, matchtype FROM results",
         "report_xml": f"{full} SELECT filename, status, matchtype, puid, mimetype, formatname, signaturename, filesize::VARCHAR AS filesize FROM results",
         "report_counted_lines": f"{full} SELECT object_id, group_index, dense_rank() OVER (ORDER BY object_id) AS count FROM results",
-        "report_summary": "SELECT count(*) AS n, true AS no_time FROM documents",
+        "report_summary": f"{full} SELECT count(DISTINCT object_id) AS objects, count(puid) AS rows, count(*) FILTER (status = 'KO') AS unmatched, (SELECT sum(size) FROM objects)::BIGINT AS bytes, 0::BIGINT AS notes FROM results",
         "elapsed_time": f"{objects_} SELECT object_id, true AS measured FROM objects",
         "broken_signature": f"{objects_} SELECT object_id, 'first' AS signaturename, 2 AS group_size, true AS noted FROM objects WHERE starts_with(bof, '25504446')",
         "unknown_position": f"{objects_} SELECT object_id, 2::BIGINT AS n FROM objects WHERE size > 0",

@@ -279,7 +279,9 @@ def test_files_lines_and_command_line(spark, tmp_path):
     (tmp_path / "d/empty.bin").write_bytes(b"")
     (tmp_path / "d/sub/g").write_bytes(b"GIF89a")
     (tmp_path / "d/z.zip").write_bytes(zipped([("i.txt", b"i")]))
-    assert sorted(objects.list_paths([f"{tmp_path}/d\n", str(tmp_path / "missing")])) == [str(tmp_path / "d" / n) for n in ("a.txt", "empty.bin", "z.zip")]
+    listed = lambda *roots, **o: sorted(r.path for r in objects.expanded(spark.createDataFrame([(x,) for x in roots], "path string"), **o).collect())
+    assert listed(f"{tmp_path}/d\n", str(tmp_path / "missing"), f"file://{tmp_path}/d/sub/g") == [str(tmp_path / "d" / n) for n in ("a.txt", "empty.bin", "sub/g", "z.zip")]
+    assert listed(f"file://{tmp_path}/d", recurse=True) == [str(tmp_path / "d" / n) for n in ("a.txt", "empty.bin", "sub/g", "z.zip")]
     out = io.StringIO()
     assert cli.main(["-q", "-recurse", "-zip", "-matchprintf", "%(info.puid)s %(info.matchtype)s %(info.group_index)d/%(info.group_size)d\\n", "-nomatchprintf", "none %(info.filesize)s\\n", str(tmp_path / "d")], spark, out) == 0
     assert out.getvalue().splitlines() == ["own/9 extension 1/1", "none 0", "own/6 signature 1/2", "own/6 signature 2/2", "x-fmt/263 signature 1/1", "own/9 extension 1/1"]
