@@ -163,11 +163,7 @@ def prepare(argv: list[str], out=None, spark: SparkSession | None = None) -> int
 def compiled_file(spark: SparkSession, source: str, target: str, puid: str | None = None) -> int:
     """Writes the registry of a zip of records as one file; the number of its formats."""
     formats = records.compile_records(spark, source, puid)
-    folder = f"{target}.parts"
-    registries.write_formats(formats, folder)
-    (part,) = [f for f in os.listdir(folder) if f.startswith("part-")]
-    os.replace(os.path.join(folder, part), target)
-    shutil.rmtree(folder)
+    registries.write_formats(formats, target)
     return formats.count()
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import pickle
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
+from itertools import islice
 from time import perf_counter
 from typing import BinaryIO
 
@@ -13,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bytelore import schema
 from bytelore.functions.names import extension_column
 from bytelore.operators import matching
 from bytelore.operators.registry import OLE, TAR, ZIP, Compiled, compiled, loaded, small
-from bytelore.sources.archives import container_hits, members
+from bytelore.sources.archives import BROKEN, container_hits, members, range_members, ranges
+from bytelore.sources.store import created, windows_of
 from bytelore.sources.store import opened as opened_file
-from bytelore.sources.store import windows_of
+from bytelore.sources.stored import shared_dir, stored
 
 MATCHES = T.ArrayType(schema.CANDIDATE)
 #: What a task finds out about an object or a member: its matches after suppression, and messages about what could not be read.
@@ -37,6 +40,12 @@ class Options:
     extension: bool = True
     containers: bool = True
     archives: bool = False
+    split: bool = False  # members of one archive are dealt to many tasks; of files only
+
+
+#: A part of an archive: where it can be read, its kind, regular members before, place of its first entry, entries.
+PARTS = T.ArrayType(T.StructType([T.StructField("before", T.LongType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType())]))
+SPLIT = T.StructType([*SCANNED.fields, T.StructField("uri", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("parts", PARTS)])
 
 
 @dataclass
@@ -100,29 +109,50 @@ class FormatIdentifier:
             for path in batch.column(0).to_pylist():
                 yield path, path, lambda path=path: windows_of(path, n), lambda path=path: opened_file(path)
 
-        return self._rows(self._scanned(paths.select(F.col("path").cast("string").alias("path")), given))
+        split = self.options.archives and self.options.split
+        scanned = self._scanned(paths.select(F.col("path").cast("string").alias("path")), given, split)
+        return self._rows(self._levels(scanned) if split else scanned)
 
-    def _scanned(self, df: DataFrame, given: Callable) -> DataFrame:
-        """Rows of SCANNED for each object and, if asked for, its members: windows, deep scan and members in one visit."""
-        packed, o = pickle.dumps(self.registry), self.options
-        kinds = [to_arrow_type(f.dataType) for f in SCANNED.fields]
-
-        def packed_rows(rows):
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=SCANNED.names)
+    def _scanned(self, df: DataFrame, given: Callable, split: bool = False) -> DataFrame:
+        """Rows of SCANNED for each object and, if asked for, its members: windows, deep scan and members in one visit; or of SPLIT, with the parts of archives."""
+        packed, o = pickle.dumps(self.registry), replace(self.options, split=split)
+        kind = SPLIT if split else SCANNED
 
         def run(batches):
             own = loaded(packed)
             for batch in batches:
-                rows = []
-                for object_id, name, windows, opened in given(batch):
-                    rows += [(object_id, *r) for r in scan(name, windows, opened, own, o)]
-                    if len(rows) > 1000:
-                        yield packed_rows(rows)
-                        rows = []
-                yield packed_rows(rows)
+                yield from _packed(((object_id, *r) for object_id, name, windows, opened in given(batch) for r in scan(name, windows, opened, own, o)), kind)
+
+        return df.mapInArrow(run, kind)
 
-        return df.mapInArrow(run, SCANNED)
+    def _levels(self, scanned: DataFrame) -> DataFrame:
+        """Objects and the members of archives, a level of nesting at a time: parts of archives are dealt to all tasks.
+
+        Archives among the members are copied to a folder that all tasks share, and are files of the next level; an archive that
+        holds itself is never finished. Each level is written once.
+        """
+        packed, o, folder = pickle.dumps(self.registry), self.options, shared_dir(self.spark)
+
+        def run(batches):
+            own = loaded(packed)
+            for batch in batches:
+                for r in batch.to_pylist():
+                    try:
+                        with opened_file(r["uri"]) as source:
+                            found = range_members(r["filename"], source, r["kind"], r["path"], (r["before"], r["at"], r["n"]), own, o, lambda parts: _kept(folder, parts))
+                            yield from _packed(((r["object_id"], *m) for m in found), SPLIT)
+                    except BROKEN as e:
+                        yield from _packed(iter([(r["object_id"], r["filename"], 0, 0, [], "fail", r["path"] + f"{r['before'] + 1:08d}/", str(e), None, None, [])]), SPLIT)
+
+        level, whole = stored(scanned), None
+        while True:
+            rows = level.select(*SCANNED.names)
+            whole = rows if whole is None else whole.unionByName(rows)
+            parts = level.where("uri IS NOT NULL").select("object_id", "filename", "path", "uri", "kind", F.explode("parts").alias("part")).select("object_id", "filename", "path", "uri", "kind", "part.*")
+            n = parts.count()
+            if not n:
+                return whole
+            level = stored(parts.repartition(min(n, self.spark.sparkContext.defaultParallelism * 16)).mapInArrow(run, SPLIT))
 
     def _rows(self, found: DataFrame) -> DataFrame:
         """Result rows: one for each signature of each match, or one KO row."""
@@ -137,8 +167,36 @@ class FormatIdentifier:
         )
 
 
+def _packed(rows: Iterator[tuple], kind: T.StructType) -> Iterator[pa.RecordBatch]:
+    types = to_arrow_schema(kind)
+    while True:
+        some = list(islice(rows, 1000))
+        columns = list(zip(*some, strict=True)) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array([_plain(x, f.type) for x in c], f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+        if not some:
+            return
+
+
+def _plain(value, kind: pa.DataType):
+    """Tuples in a list as dictionaries, which structs are made of."""
+    if isinstance(value, list) and value and isinstance(value[0], tuple):
+        names = [f.name for f in kind.value_type]
+        return [dict(zip(names, x, strict=True)) for x in value]
+    return value
+
+
+def _kept(folder: str, parts: Iterator[bytes]) -> str:
+    """The URI of a new file with these bytes."""
+    uri = f"{folder}/{uuid.uuid4().hex}"
+    with created(uri) as f:
+        for piece in parts:
+            f.write(piece)
+    return uri
+
+
 def scan(name: str, windows: Callable[[], tuple[int, bytes, bytes]], opened: Callable[[], BinaryIO], own: Compiled, o: Options) -> list[tuple]:
-    """(filename, size, time_ms, chosen, label, path, note) of an object and its members; a file that can't be opened has no row."""
+    """(filename, size, time_ms, chosen, label, path, note) of an object and its members; a file that can't be opened has no row. With `split`, of a file
+    alone, and (uri, kind, parts), which stand for its members."""
     began, notes = perf_counter(), []
     try:
         size, bof, eof = windows()
@@ -146,7 +204,7 @@ def scan(name: str, windows: Callable[[], tuple[int, bytes, bytes]], opened: Cal
         return []
     hits = own.resolve(own.candidates(bof, eof, notes))
     kind = own.container_type([i for i, _ in hits])
-    deep, inside = [], []
+    deep, inside, parts = [], [], []
     if o.containers and own.containers and kind in (ZIP, OLE):
         with opened() as source:
             found = container_hits(source, "ZIP" if kind == ZIP else "OLE2", own.containers, notes)
@@ -163,10 +221,15 @@ def scan(name: str, windows: Callable[[], tuple[int, bytes, bytes]], opened: Cal
         if kind in (ZIP, TAR):
             try:
                 with opened() as source:
-                    inside = members(name, source, kind, own, o, notes)
-            except OSError as e:
+                    if o.split:
+                        parts = ranges(source, kind)
+                    else:
+                        inside = members(name, source, kind, own, o, notes)
+            except BROKEN as e:
                 notes.append(f"{name}: {e}")
     rows = [(*member, None) for member in inside]
     if hits or o.extension:
         rows.insert(0, (name, size, took, own.described(hits), label, "", "; ".join(notes) or None))
+    if o.split:
+        return [(*r, *((name, kind, parts) if parts else (None, None, []))) for r in rows]
     return rows

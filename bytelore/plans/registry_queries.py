@@ -14,7 +14,8 @@ from bytelore.operators import matching, registry, report
 from bytelore.operators.identify import FormatIdentifier, Options
 from bytelore.plans import catalog
 from bytelore.plans import formats as own
-from bytelore.sources import objects, records, registries, service, versions
+from bytelore.functions import names
+from bytelore.sources import objects, records, registries, service, single, versions
 from bytelore.sources.stored import shared_dir
 
 
@@ -208,6 +209,33 @@ def records_several(spark, sf_dir):
     return records.compiled_texts(rows).select("puid", F.array_join(F.transform("signature", lambda s: s["name"]), ",").alias("signatures"))
 
 
+def records_zip(spark, sf_dir):
+    """Records packed by the tasks into one zip file, and compiled from ranges of it."""
+    path = f"{shared_dir(spark)}/records.zip"
+    key = F.col("p_partkey").cast("string")
+    rows = _table(spark, sf_dir, "part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    single.write_zip(rows.select(names.record_file_column(F.concat(F.lit("p/"), key)).alias("name"), F.encode(_record(), "UTF-8").alias("content")), path)
+    found = records.compile_records(spark, path)
+    return found.select("ord", "puid", "name", F.concat_ws(",", "has_priority_over").alias("inferior"), F.size("signature").alias("n_signatures"))
+
+
+def zip_sink(spark, sf_dir):
+    """One zip file of all documents, written by the tasks and read again by ranges."""
+    path = f"{shared_dir(spark)}/documents.zip"
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.encode(_text("text"), "UTF-8").alias("content"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"))
+    single.write_zip(rows.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id"), path)
+    return single.read_zip(spark, path, 100).select("ord", "name", "size", F.md5("content").alias("md5"))
+
+
+def archive_members_split(spark, sf_dir):
+    """Formats of the members of one zip file, which has a member for each object: parts of it are identified by many tasks."""
+    path = f"{shared_dir(spark)}/all.zip"
+    single.write_zip(catalog.objects_of(spark, sf_dir).select(F.col("filename").alias("name"), "content"), path)
+    found = FormatIdentifier(spark, own.formats(spark), own.containers(spark), Options(archives=True, split=True)).files(spark.createDataFrame([(path,)], "path string"))
+    inner = found.where("path <> ''").withColumn("member", F.substring_index("filename", "!", -1))
+    return inner.select("member", "status", "puid", "signaturename", "filesize", "matchtype", "group_size", F.coalesce("group_index", F.lit(0)).alias("group_index"), F.col("note").isNotNull().alias("noted"))
+
+
 def records_one(spark, sf_dir):
     """One record alone; its priorities keep their ids."""
     return records.compiled_texts(_records(spark, sf_dir), puid="p/7").select("puid", "name", F.concat_ws(",", "has_priority_over").alias("inferior"))
@@ -323,7 +351,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            files_of_folders, files_of_list, files_first_level, files_levels, files_windows, files_by_reader, stream_object, framed_objects, registry_xml, registry_files, container_xml, registry_pronom_only, pronom_compile, records_several, records_one, records_dropped, record_examples,
+            files_of_folders, files_of_list, files_first_level, files_levels, files_windows, files_by_reader, stream_object, framed_objects, registry_xml, registry_files, container_xml, registry_pronom_only, zip_sink, archive_members_split, pronom_compile, records_zip, records_several, records_one, records_dropped, record_examples,
             priority_id_remap, report_lines_read, report_xml, report_counted_lines, report_summary, elapsed_time, broken_signature, unknown_position, damaged_containers, versions_latest, service_formats,
         )
     }
@@ -336,7 +364,7 @@ def oracle_sql() -> dict[str, str]:
     at = lambda *kinds: f"p_partkey % 5 IN ({', '.join(str(k) for k, p in enumerate(records.POSITION_TYPES.values()) if p in kinds)})"
     before, after = f"CASE WHEN {at('BOF', 'IFB')} THEN '(?s)\\A' ELSE '(?s)' END", f"CASE WHEN {at('EOF')} THEN '\\Z' ELSE '' END"
     good = lambda x: f"CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE {x} END"
-    names = "n AS (SELECT n_nationkey AS k, n_name AS x FROM nation)"
+    nations = "n AS (SELECT n_nationkey AS k, n_name AS x FROM nation)"
     registry_ = catalog.REGISTRY
     url = "'http://host/' || p_partkey"
     return {
@@ -346,14 +374,17 @@ def oracle_sql() -> dict[str, str]:
         "files_levels": "SELECT 'a=' || (p_size % 5) || '/size=' || p_size AS folder, sum(strlen(coalesce(p_name, '')) + 1)::BIGINT AS bytes FROM part GROUP BY ALL UNION ALL SELECT 'second/b=' || (p_partkey % 4), sum(strlen(coalesce(p_name, '')) + 1)::BIGINT FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL",
         "files_windows": "WITH b AS (SELECT item_id, hex(encode(coalesce(text, ''))) || '0A' AS h FROM benchmark) SELECT item_id, (length(h) // 2)::BIGINT AS size, md5(unhex(substr(h, 1, 32))) AS bof_md5, md5(unhex(CASE WHEN length(h) > 32 THEN right(h, 32) ELSE h END)) AS eof_md5 FROM b",
         "files_by_reader": "SELECT item_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, md5(coalesce(text, '') || chr(10)) AS md5 FROM benchmark",
-        "stream_object": f"WITH {names}, s AS (SELECT string_agg(x, '|' ORDER BY k) AS t FROM n) SELECT 'STDIN' AS object_id, strlen(t)::BIGINT AS size, md5(left(t, 32)) AS bof_md5, md5(right(t, 32)) AS eof_md5, 'own/2' AS puid, 'extension' AS matchtype FROM s",
-        "framed_objects": f"WITH {names}, f AS (SELECT k, x, strlen('kind: x' || chr(10) || 'Content-Length: ' || strlen(x) || chr(10) || chr(10)) AS head FROM n) SELECT 'STDIN!(at ' || (sum(head + strlen(x)) OVER (ORDER BY k) - strlen(x))::BIGINT || ' bytes)' AS filename, strlen(x)::BIGINT AS size, md5(x) AS md5 FROM f",
+        "stream_object": f"WITH {nations}, s AS (SELECT string_agg(x, '|' ORDER BY k) AS t FROM n) SELECT 'STDIN' AS object_id, strlen(t)::BIGINT AS size, md5(left(t, 32)) AS bof_md5, md5(right(t, 32)) AS eof_md5, 'own/2' AS puid, 'extension' AS matchtype FROM s",
+        "framed_objects": f"WITH {nations}, f AS (SELECT k, x, strlen('kind: x' || chr(10) || 'Content-Length: ' || strlen(x) || chr(10) || chr(10)) AS head FROM n) SELECT 'STDIN!(at ' || (sum(head + strlen(x)) OVER (ORDER BY k) - strlen(x))::BIGINT || ' bytes)' AS filename, strlen(x)::BIGINT AS size, md5(x) AS md5 FROM f",
         "registry_xml": "SELECT 'p/' || p_partkey AS puid, p_name AS name, p_type AS mime, 'x,' || p_size AS extensions, '(?s)\\A' || p_name || CASE WHEN p_partkey % 2 = 1 THEN ' ' ELSE '' END AS regex, 1 AS n_signatures FROM part",
         "registry_files": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, 'p/' || p_partkey AS puid, p_name AS name FROM part",
         "container_xml": "SELECT CASE WHEN p_size % 2 = 0 THEN 'ZIP' ELSE 'OLE2' END AS container_type, p_partkey::VARCHAR AS sig_id, 'p/' || p_partkey AS puid, CASE WHEN p_partkey % 3 = 1 THEN 'first' ELSE p_type END AS path, '(?s)' || p_name || '\\!' AS regex, row_number() OVER (ORDER BY p_partkey) - 1 AS ord FROM part QUALIFY p_partkey % 3 < 2",
         "registry_pronom_only": f"WITH {registry_}, second AS (SELECT 'own/' || p_partkey AS puid, p_name AS name FROM part) SELECT coalesce(r.puid, s.puid) AS puid, coalesce(s.name, r.formatname) AS name, r.formatname AS first_name FROM registry r FULL JOIN second s ON r.puid = s.puid",
         "pronom_compile": f"SELECT 'p/' || p_partkey AS puid, p_name AS name, p_size::VARCHAR AS version, p_partkey::VARCHAR AS pronom_id, 'text/x' AS mime, 'ext' AS extension, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 1 END AS n_signatures, {good("'s'")} AS signature, {good(f'CASE {positions} END')} AS position, {good(f"{before} || p_name || '.{{2,}}\\xff' || {after}")} AS regex FROM part",
         "records_several": "SELECT 'p/' || p_partkey AS puid, CASE WHEN p_partkey % 3 = 0 THEN 'third' WHEN p_partkey % 11 = 0 THEN 'second,third' ELSE 's,second,third' END AS signatures FROM part",
+        "records_zip": f"WITH e AS (SELECT p_partkey AS k, 0 AS place, p_partkey + 1 AS id FROM part UNION ALL SELECT p_partkey, 1, p_partkey * 7 FROM part), i AS (SELECT k, string_agg(CASE WHEN p.p_partkey IS NULL THEN id::VARCHAR ELSE 'p/' || id END, ',' ORDER BY place) AS inferior FROM e LEFT JOIN part p ON p.p_partkey = id GROUP BY k) SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, 'p/' || p_partkey AS puid, p_name AS name, inferior, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 1 END AS n_signatures FROM part JOIN i ON k = p_partkey",
+        "zip_sink": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, source || '/' || doc_id AS name, strlen(coalesce(text, ''))::BIGINT AS size, md5(coalesce(text, '')) AS md5 FROM documents",
+        "archive_members_split": f"{full} SELECT filename AS member, status, puid, signaturename, filesize, matchtype, group_size, group_index, bool_or(coalesce(puid = 'x-fmt/263', false) AND matchtype = 'signature') OVER (PARTITION BY object_id) AS noted FROM results WHERE filesize > 0",
         "records_one": "SELECT 'p/' || p_partkey AS puid, p_name AS name, (p_partkey + 1) || ',' || (p_partkey * 7) AS inferior FROM part WHERE p_partkey = 7",
         "records_dropped": "SELECT 'p/' || p_partkey AS puid, 'incompatible: not a byte at 0 in ''ZZ''' AS message FROM part WHERE p_partkey % 11 = 0",
         "record_examples": f"SELECT 'p/' || p_partkey AS puid, md5({url}) AS checksum FROM part",
@@ -366,6 +397,6 @@ def oracle_sql() -> dict[str, str]:
         "broken_signature": f"{objects_} SELECT object_id, 'first' AS signaturename, 2 AS group_size, true AS noted FROM objects WHERE starts_with(bof, '25504446')",
         "unknown_position": f"{objects_} SELECT object_id, 2::BIGINT AS n FROM objects WHERE size > 0",
         "damaged_containers": f"{objects_} SELECT object_id, CASE WHEN starts_with(bof, '504B0304') THEN 'x-fmt/263' ELSE 'fmt/111' END AS puid, true AS noted FROM objects WHERE starts_with(bof, '504B0304') OR starts_with(bof, 'D0CF11E0A1B11AE1')",
-        "versions_latest": f"WITH {names}, v AS (SELECT 100 + length(x) * 3 + row_number() OVER (ORDER BY k) - 1 AS number FROM n), l(local, own) AS (VALUES ('1', 1), ('v100', 100), ('9999', 9999)) SELECT local, (SELECT count(*) FROM v) AS n_versions, (SELECT max(number) FROM v)::BIGINT AS latest, (SELECT max(number) FROM v) > own AS newer FROM l",
-        "service_formats": f"WITH {names} SELECT 'n/' || x AS puid, (SELECT count(*) FROM n) AS n FROM n",
+        "versions_latest": f"WITH {nations}, v AS (SELECT 100 + length(x) * 3 + row_number() OVER (ORDER BY k) - 1 AS number FROM n), l(local, own) AS (VALUES ('1', 1), ('v100', 100), ('9999', 9999)) SELECT local, (SELECT count(*) FROM v) AS n_versions, (SELECT max(number) FROM v)::BIGINT AS latest, (SELECT max(number) FROM v) > own AS newer FROM l",
+        "service_formats": f"WITH {nations} SELECT 'n/' || x AS puid, (SELECT count(*) FROM n) AS n FROM n",
     }

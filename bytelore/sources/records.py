@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zipfile
 from collections.abc import Callable
 from urllib.parse import urlparse
 from xml.etree import ElementTree
@@ -17,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from bytelore import schema
 from bytelore.functions.bytesyntax import POSITIONS as POSITION_TYPES
 from bytelore.functions.bytesyntax import IncompatibleSequence, compile_sequence, position_of
+from bytelore.sources import single
 
 #: Namespace of the records, and the containers by format.
 NAMESPACE = "{http://pronom.nationalarchives.gov.uk}"
@@ -160,15 +160,11 @@ def fetched_checksum(fetch: Callable[[str], bytes]) -> Callable[[str], str]:
 
 
 def compile_records(spark: SparkSession, archive: str, puid: str | None = None, checksum: Callable[[str], str] = lambda url: "") -> DataFrame:
-    """The registry of a zip of records, in the order of the zip; priorities by id become puids where the id is known.
+    """The registry of a zip of records (path or URI), in the order of the zip; priorities by id become puids where the id is known.
 
-    With `puid` only that format is compiled, and its priorities keep their ids.
+    Tasks read and parse ranges of the zip. With `puid` only that format is compiled, and its priorities keep their ids.
     """
-    with zipfile.ZipFile(archive) as z:
-        found = [parse_record(z.read(i), puid, checksum) for i in z.infolist() if not i.is_dir()]
-    rows = [(k, 0, *r) for k, r in enumerate(r for r in found if r)]
-    formats = spark.createDataFrame(rows, schema.FORMAT)
-    return formats if puid else remapped(formats)
+    return compiled_texts(single.read_zip(spark, archive).select("ord", F.col("content").alias("xml")), puid, checksum)
 
 
 def remapped(formats: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from bytelore import schema
 from bytelore.functions.containersyntax import compile_container_sequence
 from bytelore.operators.registry import combine
+from bytelore.sources import single
 from bytelore.sources.stored import numbered
 
 _OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST", "ignoreNamespace": "false"}
@@ -84,13 +85,12 @@ def _element(name: str, value, kind: T.DataType) -> str:
 
 
 def write_formats(formats: DataFrame, path: str, version: str = "0.3") -> None:
-    """A registry as one XML file in registry order. Spark's own writer takes no names with a prefix, so the tasks make the elements."""
+    """A registry as one XML file in registry order; tasks make the elements, as Spark's own writer takes no names with a prefix, and write parts of the file."""
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([r["ord"] for r in rows], pa.int64()), pa.array([_element("format", r, schema.ELEMENT) for r in rows], pa.string())], names=["ord", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([_element("format", r, schema.ELEMENT) for r in batch.to_pylist()], pa.string())], names=["value"])
 
-    made = formats.select(F.col("ord").cast("long").alias("ord"), *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.ELEMENT.fields]).mapInArrow(run, "ord long, value string")
-    ends = formats.sparkSession.createDataFrame([(-1, f'<?xml version="1.0" encoding="UTF-8"?>\n<formats version="{version}" {NAMESPACES}>'), (2**62, "</formats>")], "ord long, value string")
-    made.unionByName(ends).orderBy("ord").coalesce(1).select("value").write.text(path)
+    ordered = formats.select(F.col("ord").cast("long").alias("ord"), *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.ELEMENT.fields])
+    made = ordered.repartitionByRange("ord").sortWithinPartitions("ord").mapInArrow(run, "value string")
+    single.write_text(made, path, f'<?xml version="1.0" encoding="UTF-8"?>\n<formats version="{version}" {NAMESPACES}>', "</formats>")

@@ -406,3 +406,60 @@ def test_batches_of_arriving_files_go_to_a_handler(spark, tmp_path):
     query = write_arriving(arriving(ident, str(tmp_path / "in")), None, str(tmp_path / "check"), handler=lambda df, n: seen.extend(r.puid for r in df.collect()))
     query.awaitTermination()
     assert sorted(seen) == ["own/5", "own/6"]
+
+
+def test_members_of_split_archives_equal_the_walk(spark, tmp_path, monkeypatch):
+    """Ranges of three members; nested archives, damaged members and a tar in a zip."""
+    monkeypatch.setattr(archives, "MEMBERS_EACH", 3)
+    inner = zipped([(f"d{k}.txt", b"t%d" % k) for k in range(5)] + [("deep.zip", zipped([("x.gif", b"GIF89a")])), ("t.tar", tarred([("m.bin", b"%PDF-1.7"), ("n", b"plain")]))])
+    items = [(f"f{k}.png", b"\x89PNG\r\n\x1a\n" + bytes([k])) for k in range(7)] + [("empty", b""), ("in.zip", inner), ("cut.zip", inner[:60]), ("none", b"zz")]
+    raw = bytearray(zipped(items))
+    (tmp_path / "a.zip").write_bytes(bytes(raw))
+    (tmp_path / "b.tar").write_bytes(tarred(items))
+    (tmp_path / "c.zip").write_bytes(bytes(raw[:100]))
+    (tmp_path / "d.zip").write_bytes(b"PK\x05\x06" + bytes(18))
+    bad = bytes(raw).replace(b"\x89PNG\r\n\x1a\n\x03", b"\x89PNG\r\n\x1a\n\x09")
+    (tmp_path / "e.zip").write_bytes(bad)
+    paths = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in ("a.zip", "b.tar", "c.zip", "d.zip", "e.zip")], "path string")
+    told = []
+    for split in (False, True):
+        ident = FormatIdentifier(spark, own.formats(spark), own.containers(spark), Options(archives=True, split=split))
+        told.append(sorted((r.object_id, r.path, r.filename, r.status, r.puid, r.signaturename, r.filesize, r.matchtype, r.group_size, r.group_index) for r in ident.files(paths).drop("time_ms").collect()))
+        told[-1] = [tuple("" if x is None else x for x in r) for r in told[-1]]
+    assert told[0] == told[1] and sum("in.zip!" in r[2] for r in told[1]) > 10 and any("t.tar!n" in r[2] for r in told[1])
+    notes = {r.filename.rsplit("/", 1)[1]: r.note for r in ident.files(paths).where("note IS NOT NULL").collect()}
+    assert set(notes) == {"a.zip!cut.zip", "b.tar!cut.zip", "c.zip", "e.zip!cut.zip", "e.zip!f3.png"} and "checksum" in notes["e.zip!f3.png"]
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA])
+def test_members_are_read_by_ranges(tmp_path, method):
+    from bytelore.sources import zips
+
+    big = b"".join(b"%d line\n" % k for k in range(400_000))
+    raw = io.BytesIO(b"")
+    with zipfile.ZipFile(raw, "w", method) as z:
+        for name, data in (("a", b"x" * 5), ("ä/b", big), ("zeros", bytes(3 << 20)), ("e", b"")):
+            z.writestr(name, data)
+    f = io.BytesIO(b"before" + raw.getvalue())
+    found = list(zips.entries(f, zips.directory(f)))
+    assert [(e.name, e.size) for _, e in found] == [("a", 5), ("ä/b", len(big)), ("zeros", 3 << 20), ("e", 0)]
+    assert b"".join(zips.pieces(f, found[1][1])) == big and all(len(p) <= zips.PIECE for p in zips.pieces(f, found[2][1]))
+    assert [e.name for _, e in zips.entries(f, zips.directory(f), found[2][0], 2)] == ["zeros", "e"]
+    for name in ("p", "q"):
+        (tmp_path / name).write_bytes(raw.getvalue())
+    zips.joined([str(tmp_path / "p"), str(tmp_path / "q")], str(tmp_path / "joined"))
+    with zipfile.ZipFile(tmp_path / "joined") as z:
+        assert z.namelist() == ["a", "ä/b", "zeros", "e"] * 2 and z.testzip() is None
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    from bytelore.sources import single
+
+    rows = spark.range(10).selectExpr("cast(id AS string) AS name", "encode(if(id = 7, raise_error('no'), 'x'), 'UTF-8') AS content")
+    with pytest.raises(Exception, match="no"):
+        single.write_zip(rows, str(tmp_path / "z.zip"))
+    assert os.listdir(tmp_path) == []
+    single.write_zip(rows.where("id <> 7"), f"file://{tmp_path}/z.zip")
+    assert sorted(os.listdir(tmp_path)) == ["z.zip"] and len(zipfile.ZipFile(tmp_path / "z.zip").namelist()) == 9
+    single.write_zip(rows.where("id > 70"), str(tmp_path / "none.zip"))
+    assert zipfile.ZipFile(tmp_path / "none.zip").namelist() == [] and single.read_zip(spark, str(tmp_path / "none.zip")).count() == 0
