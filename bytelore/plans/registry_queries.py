@@ -6,6 +6,7 @@ import io
 import re
 from xml.sax.saxutils import quoteattr
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from bytelore.operators.identify import FormatIdentifier, Options
 from bytelore.plans import catalog
 from bytelore.plans import formats as own
 from bytelore.functions import names
-from bytelore.sources import objects, records, registries, service, single, versions
+from bytelore.plans.made import write_compound
+from bytelore.sources import compound, objects, records, registries, service, single, versions
 from bytelore.sources.stored import shared_dir
 
 
@@ -236,6 +238,22 @@ def archive_members_split(spark, sf_dir):
     return inner.select("member", "status", "puid", "signaturename", "filesize", "matchtype", "group_size", F.coalesce("group_index", F.lit(0)).alias("group_index"), F.col("note").isNotNull().alias("noted"))
 
 
+def compound_streams(spark, sf_dir):
+    """Streams of compound files made of documents: a short one, which goes to the mini stream, and long ones, two of them in folders."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw, data = io.BytesIO(), (text or "").encode()
+                write_compound(raw, [("Short", data[:100]), ("Folder/Text", data), ("Folder/Inner/Long", data * 3 + b"." * 4096)], 9 if doc_id % 2 else 12)
+                out.append(raw.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(out, pa.binary())], names=["object_id", "content"])
+
+    made = _table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "object_id string, content binary")
+    return compound.streams_of(made).select("object_id", "path", "size", F.md5("content").alias("md5"))
+
+
 def records_one(spark, sf_dir):
     """One record alone; its priorities keep their ids."""
     return records.compiled_texts(_records(spark, sf_dir), puid="p/7").select("puid", "name", F.concat_ws(",", "has_priority_over").alias("inferior"))
@@ -351,7 +369,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            files_of_folders, files_of_list, files_first_level, files_levels, files_windows, files_by_reader, stream_object, framed_objects, registry_xml, registry_files, container_xml, registry_pronom_only, zip_sink, archive_members_split, pronom_compile, records_zip, records_several, records_one, records_dropped, record_examples,
+            files_of_folders, files_of_list, files_first_level, files_levels, files_windows, files_by_reader, stream_object, framed_objects, registry_xml, registry_files, container_xml, registry_pronom_only, compound_streams, zip_sink, archive_members_split, pronom_compile, records_zip, records_several, records_one, records_dropped, record_examples,
             priority_id_remap, report_lines_read, report_xml, report_counted_lines, report_summary, elapsed_time, broken_signature, unknown_position, damaged_containers, versions_latest, service_formats,
         )
     }
@@ -385,6 +403,7 @@ def oracle_sql() -> dict[str, str]:
         "records_zip": f"WITH e AS (SELECT p_partkey AS k, 0 AS place, p_partkey + 1 AS id FROM part UNION ALL SELECT p_partkey, 1, p_partkey * 7 FROM part), i AS (SELECT k, string_agg(CASE WHEN p.p_partkey IS NULL THEN id::VARCHAR ELSE 'p/' || id END, ',' ORDER BY place) AS inferior FROM e LEFT JOIN part p ON p.p_partkey = id GROUP BY k) SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, 'p/' || p_partkey AS puid, p_name AS name, inferior, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 1 END AS n_signatures FROM part JOIN i ON k = p_partkey",
         "zip_sink": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, source || '/' || doc_id AS name, strlen(coalesce(text, ''))::BIGINT AS size, md5(coalesce(text, '')) AS md5 FROM documents",
         "archive_members_split": f"{full} SELECT filename AS member, status, puid, signaturename, filesize, matchtype, group_size, group_index, bool_or(coalesce(puid = 'x-fmt/263', false) AND matchtype = 'signature') OVER (PARTITION BY object_id) AS noted FROM results WHERE filesize > 0",
+        "compound_streams": "WITH d AS (SELECT doc_id::VARCHAR AS object_id, hex(encode(coalesce(text, ''))) AS h FROM documents), s AS (SELECT object_id, unnest(['Short', 'Folder/Text', 'Folder/Inner/Long']) AS path, unnest([left(h, 200), h, h || h || h || repeat('2E', 4096)]) AS h FROM d) SELECT object_id, path, (length(h) // 2)::BIGINT AS size, md5(unhex(h)) AS md5 FROM s",
         "records_one": "SELECT 'p/' || p_partkey AS puid, p_name AS name, (p_partkey + 1) || ',' || (p_partkey * 7) AS inferior FROM part WHERE p_partkey = 7",
         "records_dropped": "SELECT 'p/' || p_partkey AS puid, 'incompatible: not a byte at 0 in ''ZZ''' AS message FROM part WHERE p_partkey % 11 = 0",
         "record_examples": f"SELECT 'p/' || p_partkey AS puid, md5({url}) AS checksum FROM part",

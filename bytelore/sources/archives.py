@@ -16,101 +16,22 @@ from time import perf_counter
 from typing import BinaryIO
 
 from bytelore.sources import store, zips
+from bytelore.sources.compound import CompoundFile
 
 BROKEN = (zipfile.BadZipFile, RuntimeError, UnicodeDecodeError, NotImplementedError, EOFError, OSError, ValueError, LookupError, struct.error, zlib.error, tarfile.TarError)
 
 
-class CompoundFile:
-    """Reader of the public compound file binary format: header, allocation tables, directory, streams."""
-
-    FREE, END = 0xFFFFFFFF, 0xFFFFFFFE
-
-    def __init__(self, data: bytes):
-        if data[:8] != bytes.fromhex("d0cf11e0a1b11ae1") or len(data) < 512:
-            raise ValueError("not a compound file")
-        self.data = data
-        shift, self.mini_shift = struct.unpack_from("<HH", data, 30)
-        if not (7 <= shift <= 16 and self.mini_shift <= shift):
-            raise ValueError("unknown sector size")
-        self.size = 1 << shift
-        _, first_dir = struct.unpack_from("<II", data, 44)
-        self.cutoff, first_mini, _, first_more, n_more = struct.unpack_from("<IIIII", data, 56)
-        tables = list(struct.unpack_from("<109I", data, 76))
-        sector = first_more
-        for _ in range(min(n_more, len(data) // self.size)):
-            more = self._numbers(sector)
-            tables += more[:-1]
-            sector = more[-1]
-        self.fat = [x for t in tables if t < self.END - 2 for x in self._numbers(t)]
-        self.mini_fat = [x for s in self._chain(first_mini, self.fat) for x in self._numbers(s)]
-        entries = b"".join(self._sector(s) for s in self._chain(first_dir, self.fat))
-        self.entries = [self._entry(entries[i : i + 128]) for i in range(0, len(entries) - 127, 128)]
-        root = self.entries[0]
-        self.mini = self._read(root[4], self.fat, self._sector)[: root[5]]
-
-    def _sector(self, n: int) -> bytes:
-        return self.data[(n + 1) * self.size : (n + 2) * self.size]
-
-    def _numbers(self, n: int) -> list[int]:
-        raw = self._sector(n)
-        return list(struct.unpack(f"<{len(raw) // 4}I", raw[: len(raw) // 4 * 4]))
-
-    def _chain(self, start: int, table: list[int]) -> Iterator[int]:
-        seen = 0
-        while start < len(table) and seen <= len(table):
-            yield start
-            start, seen = table[start], seen + 1
-
-    @staticmethod
-    def _entry(raw: bytes) -> tuple:
-        (size,) = struct.unpack_from("<H", raw, 64)
-        left, right, child = struct.unpack_from("<III", raw, 68)
-        (start,) = struct.unpack_from("<I", raw, 116)
-        (length,) = struct.unpack_from("<Q", raw, 120)
-        return raw[: max(0, min(size, 64) - 2)].decode("utf-16-le", "replace"), raw[66], (left, right), child, start, length
-
-    def _read(self, start: int, table: list[int], piece) -> bytes:
-        return b"".join(piece(s) for s in self._chain(start, table))
-
-    def streams(self) -> dict[str, bytes]:
-        """Path -> content, in directory order."""
-        out: dict[str, bytes] = {}
-        seen: set[int] = set()
-
-        def walk(i: int, prefix: str) -> None:
-            todo = [(i, False)]
-            while todo:
-                i, ready = todo.pop()
-                if i >= len(self.entries) or (i in seen and not ready):
-                    continue
-                name, kind, (left, right), child, start, length = self.entries[i]
-                if not ready:
-                    seen.add(i)
-                    todo += [(right, False), (i, True), (left, False)]
-                elif kind == 2:
-                    small = length < self.cutoff
-                    raw = self._read(start, self.mini_fat, lambda s: self.mini[s << self.mini_shift : (s + 1) << self.mini_shift]) if small else self._read(start, self.fat, self._sector)
-                    out[prefix + name] = raw[:length]
-                elif kind == 1:
-                    walk(child, f"{prefix}{name}/")
-
-        walk(self.entries[0][3], "")
-        return out
-
-
 def _listed(source: BinaryIO, kind: str, wanted: list[str]) -> dict[str, bytes]:
-    """Registered path -> content of those that are there."""
+    """Registered path -> content of those that are there; nothing else of the file is read."""
     if kind == "ZIP":
-        with zipfile.ZipFile(source) as z:
-            names = set(z.namelist())
-            return {p: z.read(p) for p in wanted if p in names}
-    streams = CompoundFile(source.read()).streams()
-    out = {}
-    for path in wanted:
-        hit = next((p for p in streams if p == path or p[1:] == path), None)
-        if hit is not None:
-            out[path] = streams[hit]
-    return out
+        found = {e.name: e for _, e in zips.entries(source, zips.directory(source)) if e.name in wanted}
+        return {p: b"".join(zips.pieces(source, found[p])) for p in wanted if p in found}
+    whole, found = CompoundFile(source), {}
+    for path, entry in whole.streams():
+        for p in wanted:
+            if p not in found and (path == p or path[1:] == p):
+                found[p] = entry
+    return {p: whole.read(found[p]) for p in wanted if p in found}
 
 
 def container_hits(data: bytes | BinaryIO, kind: str, signatures: list[tuple], notes: list[str] | None = None) -> list[str]:

@@ -1,6 +1,6 @@
 import io
 import os
-import struct
+import random
 import tarfile
 import zipfile
 
@@ -15,6 +15,8 @@ from bytelore.operators import matching, registry, report
 from bytelore.operators.identify import FormatIdentifier, Options
 from bytelore.operators.registry import Compiled, literal
 from bytelore.plans import formats as own
+from bytelore.plans.made import write_compound
+from bytelore.sources import compound as compound_files
 from bytelore.sources import archives, objects, records, registries, versions
 
 
@@ -89,32 +91,10 @@ def test_empty_objects_and_fallback(spark):
     assert ident.content(data.limit(0)).count() == 0
 
 
-def compound(streams):
-    """A minimal compound file with 512-byte sectors and big streams only."""
-    sectors, entries = [], [("Root Entry", 5, 1 if streams else 0xFFFFFFFF, 0xFFFFFFFE, 0)]
-    for k, (name, data) in enumerate(streams):
-        data = data.ljust(4096, b"\0")
-        start = len(sectors)
-        sectors += [data[i : i + 512] for i in range(0, len(data), 512)]
-        entries.append((name, 2, 0xFFFFFFFF, start, len(data), k + 2 if k + 1 < len(streams) else 0xFFFFFFFF))
-    fat = []
-    for _, data in streams:
-        n = len(data.ljust(4096, b"\0")) // 512
-        fat += [len(fat) + i + 1 for i in range(n - 1)] + [0xFFFFFFFE]
-    raw = b""
-    for e in entries:
-        name = e[0].encode("utf-16-le") + b"\0\0"
-        right = e[5] if len(e) > 5 else 0xFFFFFFFF
-        raw += name.ljust(64, b"\0") + struct.pack("<HBB", len(name), e[1], 1) + struct.pack("<III", 0xFFFFFFFF, right, e[2]) + b"\0" * 36 + struct.pack("<IQ", e[3], e[4])
-    raw += b"\0" * (-len(raw) % 512)
-    first_dir = len(sectors)
-    n_dir = len(raw) // 512
-    sectors += [raw[i : i + 512] for i in range(0, len(raw), 512)]
-    fat += [len(fat) + i + 1 for i in range(n_dir - 1)] + [0xFFFFFFFE, 0xFFFFFFFD]
-    fat_at = len(sectors)
-    sectors.append(struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff"))
-    head = bytes.fromhex("d0cf11e0a1b11ae1") + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIII", 0, 1, first_dir, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
-    return head + struct.pack("<109I", fat_at, *[0xFFFFFFFF] * 108) + b"".join(sectors)
+def compound(streams, shift=9):
+    raw = io.BytesIO()
+    write_compound(raw, streams, shift)
+    return raw.getvalue()
 
 
 def zipped(items):
@@ -137,7 +117,7 @@ def tarred(items):
 
 def test_compound_file_and_deep_scan(spark):
     doc = compound([("\x01CompObj", b"xx Word.Document.8 yy"), ("Other", b"z")])
-    assert list(archives.CompoundFile(doc).streams()) == ["\x01CompObj", "Other"]
+    assert [p for p, _ in archives.CompoundFile(doc).streams()] == ["\x01CompObj", "Other"]
     ident = FormatIdentifier(spark, own.formats(spark), own.containers(spark), Options(archives=True))
     data = frame(spark, [("1", "d.doc", doc), ("2", "n.doc", compound([("Other", b"z")])), ("3", "w.bin", zipped([("[Content_Types].xml", b"wordprocessingml"), ("a.txt", b"x")])), ("4", "broken.zip", b"PK\x03\x04junk"), ("5", "o.bin", doc[:600])])
     assert told(ident.content(data)) == {("1", "d.doc", "OK", "own/25", "container"), ("2", "n.doc", "OK", "fmt/111", "signature"), ("3", "w.bin", "OK", "own/23", "container"), ("4", "broken.zip", "OK", "x-fmt/263", "signature"), ("5", "o.bin", "OK", "fmt/111", "signature")}
@@ -463,3 +443,38 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["z.zip"] and len(zipfile.ZipFile(tmp_path / "z.zip").namelist()) == 9
     single.write_zip(rows.where("id > 70"), str(tmp_path / "none.zip"))
     assert zipfile.ZipFile(tmp_path / "none.zip").namelist() == [] and single.read_zip(spark, str(tmp_path / "none.zip")).count() == 0
+
+
+@pytest.mark.parametrize("shift", [9, 12])
+def test_streams_of_compound_files(spark, shift):
+    rng = random.Random(shift)
+    streams = [("short", b"abc"), ("none", b""), ("edge", bytes(range(256)) * 16), ("below", b"x" * 4095), ("A/inner", rng.randbytes(70_000)), ("A/B/deep", b"d" * 64), ("A/B/long", rng.randbytes(9_000)), ("last", b"z" * 65)]
+    doc = compound(streams, shift)
+    whole = archives.CompoundFile(doc)
+    assert {p: whole.read(e) for p, e in whole.streams()} == dict(streams)
+    found = compound_files.streams_of(frame(spark, [("1", "n", doc), ("2", "n", doc[: len(doc) // 2]), ("3", "n", b""), ("4", "n", b"junk" * 900)]))
+    assert {(r.path, bytes(r.content)) for r in found.where("object_id = '1'").collect()} == set(streams)
+    for k in range(300):  # damage must end, not hang
+        cut = bytearray(doc[: rng.randrange(len(doc))] if k % 2 else doc)
+        for _ in range(k % 7):
+            if cut:
+                cut[rng.randrange(min(len(cut), 1 << shift + 1))] = rng.randrange(256)
+        assert isinstance(archives.container_hits(bytes(cut), "OLE2", [("OLE2", "short", "p", "a")]), list)
+
+
+def test_a_large_compound_file_is_sought_in(tmp_path):
+    import tracemalloc
+
+    for shift, size in ((9, 60 << 20), (12, 1 << 30)):
+        path = tmp_path / f"large{shift}"
+        with open(path, "wb") as f:
+            write_compound(f, [("Huge", size), ("\x01CompObj", b"Word.Document.8" + b" " * 9000), ("small", b"s")], shift)
+        tracemalloc.start()
+        with open(path, "rb") as f:
+            assert archives.container_hits(f, "OLE2", [("OLE2", "CompObj", "own/25", "Word")]) == ["own/25"]
+            whole = archives.CompoundFile(f)
+            entry = dict(whole.streams())["Huge"]
+            n = sum(len(p) for p in whole.pieces(entry)) if shift == 9 else entry.size
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == size and peak < 6 << 20, peak
