@@ -41,3 +41,8 @@ def version_number(text: str) -> int | None:
     """`v116` or `116` -> 116; None for anything else."""
     m = re.fullmatch(r"[vV]?(\d+)", text)
     return int(m[1]) if m else None
+
+
+def version_column(text: Column | str) -> Column:
+    """As `version_number`, with built-in functions."""
+    return F.nullif(F.regexp_extract(text, r"\A[vV]?(\d+)\z", 1), F.lit("")).cast("long")

@@ -313,7 +313,7 @@ def container_sequence_match(spark, sf_dir):
     return d.where(F.regexp_like("text", F.lit(regex))).select("doc_id")
 
 
-def _archives(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def archives_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Archives built in tasks: documents as members, one of them an archive itself; tar files also have a folder."""
     d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -350,7 +350,7 @@ def _archives(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 def _members(kind: str):
     def query(spark, sf_dir):
         ident = FormatIdentifier(spark, own.formats(spark), own.containers(spark), Options(archives=True))
-        return _indexed(ident.content(_archives(spark, sf_dir, kind))).select("object_id", "filename", "status", "puid", "matchtype", "group_size", "group_index")
+        return _indexed(ident.content(archives_of(spark, sf_dir, kind))).select("object_id", "filename", "status", "puid", "matchtype", "group_size", "group_index")
 
     return query
 

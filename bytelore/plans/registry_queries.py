@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import io
-import re
-from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelore import schema
+from bytelore.functions import names, sql
 from bytelore.operators import matching, registry, report
 from bytelore.operators.identify import FormatIdentifier, Options
 from bytelore.plans import catalog
 from bytelore.plans import formats as own
-from bytelore.functions import names
 from bytelore.plans.made import write_compound
-from bytelore.sources import compound, objects, records, registries, service, single, versions
+from bytelore.sources import compound, framed, objects, records, registries, single, store, versions
 from bytelore.sources.stored import shared_dir
 
 
@@ -95,21 +93,57 @@ _LICENSED = "regexp_matches(hex(encode(coalesce(text, ''))), '^(..)*416C6C207269
 _FILES = f"""SELECT item_id, 'OK' AS status, CASE WHEN {_LICENSED} THEN 'own/20' ELSE 'own/9' END AS puid, CASE WHEN {_LICENSED} THEN 'signature' ELSE 'extension' END AS matchtype, strlen(coalesce(text, ''))::BIGINT + 1 AS filesize FROM benchmark"""
 
 
-def _names(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The names of nations: 25 at every scale."""
-    return [r.n_name for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
-
-
 def stream_object(spark, sf_dir):
-    made = objects.object_of_stream(spark, io.BytesIO("|".join(_names(spark, sf_dir)).encode()), "names.pdf", 32)
+    """All documents as one stream of bytes, of which two windows are held; its name only gives the extension."""
+    with store.opened(_framed(spark, sf_dir)) as f:
+        made = objects.object_of_stream(spark, f, "names.pdf", 32)
     found = FormatIdentifier(spark, own.formats(spark)).objects(made, stream=True, extension_of="extension_of").select("object_id", "puid", "matchtype")
     return made.select("object_id", "size", F.md5("bof").alias("bof_md5"), F.md5("eof").alias("eof_md5")).join(found, "object_id")
 
 
+def _framed(spark: SparkSession, sf_dir: str, where: str = "true") -> str:
+    """A file with the documents in the order of their ids, each behind its length; each ends in a line feed."""
+    path = f"{shared_dir(spark)}/frames"
+    text = _text("text")
+    value = F.concat(F.lit("kind: x\nContent-Length: "), (F.octet_length(text) + 1).cast("string"), F.lit("\n\n"), text)
+    rows = _table(spark, sf_dir, "documents").where(where).repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    single.write_text(rows.select(value.alias("value")), path)
+    return path
+
+
 def framed_objects(spark, sf_dir):
-    """Objects of one stream, each after its length."""
-    stream = b"".join(f"kind: x\nContent-Length: {len(n)}\n\n{n}".encode() for n in _names(spark, sf_dir))
-    return objects.objects_of_framed_stream(spark, io.BytesIO(stream)).select("filename", "size", F.md5("bof").alias("md5"))
+    """Objects of one framed stream, by ranges of it."""
+    return framed.read_frames(spark, _framed(spark, sf_dir), 64, 100).select("filename", "size", F.md5("bof").alias("bof_md5"), F.md5("eof").alias("eof_md5"))
+
+
+def framed_stream(spark, sf_dir):
+    """The same as a stream that is stopped after a third of the file, and goes on from its checkpoint when the rest is there."""
+    third = _table(spark, sf_dir, "documents").agg(F.expr("percentile_approx(doc_id, 0.33)")).first()[0]
+    out, path = shared_dir(spark), _framed(spark, sf_dir, f"doc_id <= {third}")
+    for whole in (False, True):
+        if whole:
+            store.moved(_framed(spark, sf_dir), path)
+        made = framed.stream_frames(spark, path, 64, 100)
+        made.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("filename", "size", F.md5("bof").alias("md5"))
+
+
+# ---- SQL functions
+
+
+def sql_matches(spark, sf_dir):
+    """Sequences compiled and tested by SQL."""
+    sql.register(spark)
+    catalog.objects_of(spark, sf_dir).createOrReplaceTempView("objects_to_test")
+    sequences = "VALUES ('255044462D', 'BOF'), ('2E{1-9}20{1-9}2E', 'VAR'), ('FFD9', 'EOF'), ('4Z', 'BOF') AS s(sequence, position)"
+    return spark.sql(f"SELECT object_id, sequence, compile_sequence(sequence, position) AS regex, matches(content, sequence, position) AS held FROM objects_to_test, {sequences} WHERE coalesce(matches(content, sequence, position), true)")
+
+
+def sql_members(spark, sf_dir):
+    """Members of archives by a table function."""
+    sql.register(spark)
+    catalog.archives_of(spark, sf_dir, "zip").createOrReplaceTempView("archives_to_open")
+    return spark.sql("SELECT object_id, m.name, m.size, md5(m.head) AS head_md5 FROM archives_to_open, LATERAL archive_members(filename, content) AS m WHERE m.name NOT LIKE '%.zip!in.zip'")
 
 
 # ---- registries in XML
@@ -344,32 +378,28 @@ def damaged_containers(spark, sf_dir):
 # ---- versions and the service
 
 
-def _answers(names: list[str]):
-    numbers = [100 + len(n) * 3 + k for k, n in enumerate(names)]
-    whole = "<signatures>" + "".join(f"<signature version={quoteattr(f'v{n}')}/>" for n in numbers) + "</signatures>"
-    return lambda url: (200, (f'<signature version="{max(numbers)}"/>' if url.endswith("/latest/") else whole).encode())
-
-
 def versions_latest(spark, sf_dir):
-    """Versions that an update site offers, the latest, and whether it is newer than a local one."""
-    site = versions.UpdateSite("http://site", _answers(_names(spark, sf_dir)))
-    rows = [(local, len(site.versions()), int(site.latest()), site.newer(versions.Versions(pronom_version=local)) is not None) for local in ("1", "v100", "9999")]
-    return spark.createDataFrame(rows, "local string, n_versions long, latest long, newer boolean")
+    """Versions of each type, by names with and without a letter, the latest, and whether it is newer than a local one; what is no version doesn't count."""
+    letter = F.element_at(F.array(*[F.lit(x) for x in ("v", "", "x")]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "part").select(F.col("p_type").alias("site"), F.concat(letter, F.col("p_size").cast("string")).alias("version"))
+    found = versions.latest(rows, "site", "version")
+    return found.withColumn("newer", F.col("latest") > names.version_column(F.lit("v25")))
 
 
 def service_formats(spark, sf_dir):
-    """A signature file from the service: its formats, by puid."""
-    xml = "<F xmlns='urn:x'>" + "".join(f"<FileFormat PUID={quoteattr(f'n/{n}')}/>" for n in _names(spark, sf_dir)) + "</F>"
-    client = service.RegistryService(lambda url, body, headers: (200, xml.encode()))
-    body, n = client.signature_file(1)
-    return spark.createDataFrame([(p, n) for p in versions.puids_of(body)], "puid string, n long")
+    """Formats that a signature file lists, in its order."""
+    path = f"{shared_dir(spark)}/signatures.xml"
+    rows = _table(spark, sf_dir, "part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    element = F.format_string('<FileFormat ID="%d" Name="x" PUID="n/%d"/>', F.col("p_partkey"), F.col("p_partkey"))
+    single.write_text(rows.select(element.alias("value")), path, '<F xmlns="urn:x"><FileFormatCollection>', "</FileFormatCollection></F>")
+    return registries.read_listed(spark, path)
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            files_of_folders, files_of_list, files_first_level, files_levels, files_windows, files_by_reader, stream_object, framed_objects, registry_xml, registry_files, container_xml, registry_pronom_only, compound_streams, zip_sink, archive_members_split, pronom_compile, records_zip, records_several, records_one, records_dropped, record_examples,
+            files_of_folders, files_of_list, files_first_level, files_levels, files_windows, files_by_reader, stream_object, framed_objects, framed_stream, sql_matches, sql_members, registry_xml, registry_files, container_xml, registry_pronom_only, compound_streams, zip_sink, archive_members_split, pronom_compile, records_zip, records_several, records_one, records_dropped, record_examples,
             priority_id_remap, report_lines_read, report_xml, report_counted_lines, report_summary, elapsed_time, broken_signature, unknown_position, damaged_containers, versions_latest, service_formats,
         )
     }
@@ -382,8 +412,8 @@ def oracle_sql() -> dict[str, str]:
     at = lambda *kinds: f"p_partkey % 5 IN ({', '.join(str(k) for k, p in enumerate(records.POSITION_TYPES.values()) if p in kinds)})"
     before, after = f"CASE WHEN {at('BOF', 'IFB')} THEN '(?s)\\A' ELSE '(?s)' END", f"CASE WHEN {at('EOF')} THEN '\\Z' ELSE '' END"
     good = lambda x: f"CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE {x} END"
-    nations = "n AS (SELECT n_nationkey AS k, n_name AS x FROM nation)"
     registry_ = catalog.REGISTRY
+    frames = "f AS (SELECT doc_id, hex(encode(coalesce(text, ''))) || '0A' AS h FROM documents), p AS (SELECT *, (length(h) // 2)::BIGINT AS size, 8 + 18 + length((length(h) // 2)::VARCHAR) AS head FROM f), g AS (SELECT 'STDIN!(at ' || (sum(head + size) OVER (ORDER BY doc_id) - size)::BIGINT || ' bytes)' AS filename, size, h FROM p)"
     url = "'http://host/' || p_partkey"
     return {
         "files_of_folders": _FILES,
@@ -392,9 +422,12 @@ def oracle_sql() -> dict[str, str]:
         "files_levels": "SELECT 'a=' || (p_size % 5) || '/size=' || p_size AS folder, sum(strlen(coalesce(p_name, '')) + 1)::BIGINT AS bytes FROM part GROUP BY ALL UNION ALL SELECT 'second/b=' || (p_partkey % 4), sum(strlen(coalesce(p_name, '')) + 1)::BIGINT FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL",
         "files_windows": "WITH b AS (SELECT item_id, hex(encode(coalesce(text, ''))) || '0A' AS h FROM benchmark) SELECT item_id, (length(h) // 2)::BIGINT AS size, md5(unhex(substr(h, 1, 32))) AS bof_md5, md5(unhex(CASE WHEN length(h) > 32 THEN right(h, 32) ELSE h END)) AS eof_md5 FROM b",
         "files_by_reader": "SELECT item_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, md5(coalesce(text, '') || chr(10)) AS md5 FROM benchmark",
-        "stream_object": f"WITH {nations}, s AS (SELECT string_agg(x, '|' ORDER BY k) AS t FROM n) SELECT 'STDIN' AS object_id, strlen(t)::BIGINT AS size, md5(left(t, 32)) AS bof_md5, md5(right(t, 32)) AS eof_md5, 'own/2' AS puid, 'extension' AS matchtype FROM s",
-        "framed_objects": f"WITH {nations}, f AS (SELECT k, x, strlen('kind: x' || chr(10) || 'Content-Length: ' || strlen(x) || chr(10) || chr(10)) AS head FROM n) SELECT 'STDIN!(at ' || (sum(head + strlen(x)) OVER (ORDER BY k) - strlen(x))::BIGINT || ' bytes)' AS filename, strlen(x)::BIGINT AS size, md5(x) AS md5 FROM f",
-        "registry_xml": "SELECT 'p/' || p_partkey AS puid, p_name AS name, p_type AS mime, 'x,' || p_size AS extensions, '(?s)\\A' || p_name || CASE WHEN p_partkey % 2 = 1 THEN ' ' ELSE '' END AS regex, 1 AS n_signatures FROM part",
+        "stream_object": f"WITH {frames}, s AS (SELECT hex(encode('kind: x' || chr(10) || 'Content-Length: ' || size || chr(10) || chr(10))) || h AS h, doc_id FROM p), t AS (SELECT string_agg(h || '0A', '' ORDER BY doc_id) AS h FROM (SELECT doc_id, left(h, length(h) - 2) AS h FROM s)) SELECT 'STDIN' AS object_id, (length(h) // 2)::BIGINT AS size, md5(unhex(left(h, 64))) AS bof_md5, md5(unhex(right(h, 64))) AS eof_md5, 'own/2' AS puid, 'extension' AS matchtype FROM t",
+        "framed_objects": f"WITH {frames} SELECT filename, size, md5(unhex(left(h, 128))) AS bof_md5, md5(unhex(CASE WHEN length(h) > 128 THEN right(h, 128) ELSE h END)) AS eof_md5 FROM g",
+        "framed_stream": f"WITH {frames} SELECT filename, size, md5(unhex(left(h, 128))) AS md5 FROM g",
+        "sql_matches": f"""{objects_} SELECT object_id, sequence, regex, CASE WHEN sequence <> '4Z' THEN true END AS held FROM objects, (VALUES ('255044462D', '(?s)\\A%PDF-'), ('2E{{1-9}}20{{1-9}}2E', '(?s)\\..{{1,9}} .{{1,9}}\\.'), ('FFD9', '(?s)\\xff\\xd9\\Z'), ('4Z', NULL)) AS s(sequence, regex)
+          WHERE CASE sequence WHEN '255044462D' THEN starts_with(bof, '255044462D') WHEN 'FFD9' THEN ends_with(eof, 'FFD9') WHEN '4Z' THEN true ELSE regexp_matches(bof, '^(..)*2E(..){{1,9}}20(..){{1,9}}2E') END""",
+        "sql_members": "WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), m AS (SELECT doc_id, '.zip!a.txt' AS tail, h FROM d UNION ALL SELECT doc_id, '.zip!b.dat', '255044462D312E370A' || h FROM d) SELECT doc_id::VARCHAR AS object_id, doc_id || tail AS name, (length(h) // 2)::BIGINT AS size, md5(unhex(left(h, 128))) AS head_md5 FROM m WHERE h <> ''",
         "registry_files": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, 'p/' || p_partkey AS puid, p_name AS name FROM part",
         "container_xml": "SELECT CASE WHEN p_size % 2 = 0 THEN 'ZIP' ELSE 'OLE2' END AS container_type, p_partkey::VARCHAR AS sig_id, 'p/' || p_partkey AS puid, CASE WHEN p_partkey % 3 = 1 THEN 'first' ELSE p_type END AS path, '(?s)' || p_name || '\\!' AS regex, row_number() OVER (ORDER BY p_partkey) - 1 AS ord FROM part QUALIFY p_partkey % 3 < 2",
         "registry_pronom_only": f"WITH {registry_}, second AS (SELECT 'own/' || p_partkey AS puid, p_name AS name FROM part) SELECT coalesce(r.puid, s.puid) AS puid, coalesce(s.name, r.formatname) AS name, r.formatname AS first_name FROM registry r FULL JOIN second s ON r.puid = s.puid",
@@ -416,6 +449,6 @@ def oracle_sql() -> dict[str, str]:
         "broken_signature": f"{objects_} SELECT object_id, 'first' AS signaturename, 2 AS group_size, true AS noted FROM objects WHERE starts_with(bof, '25504446')",
         "unknown_position": f"{objects_} SELECT object_id, 2::BIGINT AS n FROM objects WHERE size > 0",
         "damaged_containers": f"{objects_} SELECT object_id, CASE WHEN starts_with(bof, '504B0304') THEN 'x-fmt/263' ELSE 'fmt/111' END AS puid, true AS noted FROM objects WHERE starts_with(bof, '504B0304') OR starts_with(bof, 'D0CF11E0A1B11AE1')",
-        "versions_latest": f"WITH {nations}, v AS (SELECT 100 + length(x) * 3 + row_number() OVER (ORDER BY k) - 1 AS number FROM n), l(local, own) AS (VALUES ('1', 1), ('v100', 100), ('9999', 9999)) SELECT local, (SELECT count(*) FROM v) AS n_versions, (SELECT max(number) FROM v)::BIGINT AS latest, (SELECT max(number) FROM v) > own AS newer FROM l",
-        "service_formats": f"WITH {nations} SELECT 'n/' || x AS puid, (SELECT count(*) FROM n) AS n FROM n",
+        "versions_latest": "SELECT p_type AS site, count(DISTINCT p_size) AS n_versions, max(p_size)::BIGINT AS latest, max(p_size) > 25 AS newer FROM part WHERE p_partkey % 3 < 2 GROUP BY ALL",
+        "service_formats": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, 'n/' || p_partkey AS puid FROM part",
     }

@@ -69,6 +69,12 @@ def read_containers(spark: SparkSession, path: str) -> DataFrame:
     return found.join(maps, "sig_id").select("container_type", "sig_id", "puid", "path", compile_udf("sequence").alias("regex"), "ord")
 
 
+def read_listed(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, puid): the formats that a signature file lists, in its order; those without a puid are left out."""
+    rows = spark.read.option("rowTag", "FileFormat").options(**_OPTIONS).schema("_PUID string").xml(path).withColumns(_places()).where("_PUID <> ''")
+    return numbered(rows, "ord", *_PLACE).select((F.col("ord") - 1).alias("ord"), F.col("_PUID").alias("puid"))
+
+
 #: Namespaces of the names with a prefix.
 NAMESPACES = 'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dcterms="http://purl.org/dc/terms/"'
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ def opened(uri: str) -> BinaryIO:
     if path is not None:
         return open(path, "rb")
     files, path = located(uri)
-    return files.open_input_file(path)
+    return io.BufferedReader(files.open_input_file(path), 1 << 16)
 
 
 def created(uri: str) -> BinaryIO:

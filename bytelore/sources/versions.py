@@ -8,7 +8,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields
 from xml.etree import ElementTree
 
-from bytelore.functions.names import record_file, version_number
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bytelore.functions.names import record_file, version_column, version_number
 
 #: Attribute -> element of the version file.
 ELEMENTS = {
@@ -143,6 +146,12 @@ def download_records(puids: list[str], fetch: Fetch, folder: str, progress: Call
     return out
 
 
+def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """(key, n_versions, latest): the different versions of each key and the greatest; names that are no version are left out."""
+    numbers = rows.select(key, version_column(version).alias("number")).where("number IS NOT NULL")
+    return numbers.groupBy(key).agg(F.countDistinct("number").alias("n_versions"), F.max("number").alias("latest"))
+
+
 def pack_records(paths: list[str], archive: str) -> None:
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in paths:

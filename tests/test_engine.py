@@ -478,3 +478,56 @@ def test_a_large_compound_file_is_sought_in(tmp_path):
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert n == size and peak < 6 << 20, peak
+
+
+def test_both_ways_of_resolving_agree(spark):
+    """The walk in tasks and the fold, joins and look-ups in Spark, over the same objects."""
+    from bytelore.plans import catalog
+
+    rows = spark.createDataFrame([(k, f"text {k} {'All rights reserved.' if k % 7 == 0 else ''}", f"s{k % 3}") for k in range(400)], "doc_id long, text string, source string")
+    spark_dir = catalog._table
+    try:
+        catalog._table = lambda *_: rows
+        made = catalog.objects_of(spark, "")
+    finally:
+        catalog._table = spark_dir
+    for extension in (True, False):
+        told_by = []
+        for inside in (True, False):
+            ident = FormatIdentifier(spark, own.formats(spark), own.containers(spark) if inside else None, Options(containers=inside, extension=extension))
+            told_by.append(sorted(map(repr, ident.content(made).drop("time_ms", "note").collect())))
+        assert told_by[0] == told_by[1] and len(told_by[0]) > 300
+
+
+def test_a_stream_of_frames_goes_on_from_its_checkpoint(spark, tmp_path):
+    from bytelore.sources import framed
+
+    whole = b"".join(b"content-length: %d\n\n%s" % (n, b"x" * n) for n in (0, 5, 70_000, 3, 9, 40))
+    ends = [len(whole) * k // 5 for k in range(1, 6)]
+    for end in ends:
+        (tmp_path / "f").write_bytes(whole[:end])
+        query = framed.stream_frames(spark, str(tmp_path / "f"), 16, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.size for r in got) == [0, 3, 5, 9, 40, 70_000] and all(len(r.bof) == min(16, r.size) for r in got)
+    assert sorted(r.filename for r in framed.read_frames(spark, str(tmp_path / "f"), 16, 4).collect()) == sorted(r.filename for r in got)
+
+
+def test_files_of_another_store(tmp_path, monkeypatch):
+    """Arrow's file systems instead of the system's own calls."""
+    from bytelore.sources import store
+
+    monkeypatch.setattr(store, "local", lambda name: None)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/f").write_bytes(b"0123456789")
+    uri = f"file://{tmp_path}"
+    assert sorted(store.level(uri)) == [(f"{uri}/d", True)] and list(store.level(f"{uri}/d/f")) == [(f"{uri}/d/f", False)] and list(store.level(f"{uri}/none")) == []
+    assert store.windows_of(f"{uri}/d/f", 3) == (10, b"012", b"789") and store.windows_of(f"{uri}/d/f", 20)[2] == b"0123456789"
+    with store.created(f"{uri}/new/g") as f:
+        f.write(b"a\nb\n")
+    store.moved(f"{uri}/new/g", f"{uri}/h")
+    with store.opened(f"{uri}/h") as f:
+        assert [f.readline(), f.readline(), f.readline()] == [b"a\n", b"b\n", b""]
+    store.deleted(f"{uri}/d")
+    store.deleted(f"{uri}/none")
+    assert sorted(os.listdir(tmp_path)) == ["h", "new"]
