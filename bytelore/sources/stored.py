@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,9 +34,37 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_path = path
+    for scope in _scopes:
+        scope.append(back)
     return back
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """A list of all tables that `stored` writes inside; at the end those that are still in it are deleted.
+
+    What is to be read later is taken out of the list (`kept`) once nothing else is read any more.
+    """
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for df in made:
+            forget(df)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A stored table that outlives the scopes around it."""
+    for scope in _scopes:
+        scope[:] = [x for x in scope if x is not df]
+    return df
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what `stored` wrote, once nothing reads it any more."""
     path = getattr(df, "_stored_path", None)
