@@ -23,6 +23,7 @@ from bytelore.llm.near_copies import representatives
 from bytelore.llm.pieces import model_path, piece_ids
 from bytelore.llm.queries import in_small_batches
 from bytelore.llm.secrets import redact_secrets
+from bytelore.sources.stored import forget, kept, scratch
 
 #: Tiling, alignment, networks and merges have no SQL form; tests hold the stages against plain Python versions.
 ORACLE_SQL = None
@@ -58,9 +59,11 @@ STAGES = [(f.__name__, in_small_batches(f)) for f in (language, near_copies, dec
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written before the next begins; then what it read, and all tables that it wrote on its way, are deleted. The last one's rows are written, too."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
+    for _, stage in STAGES:
+        before = docs
+        with scratch():
+            docs = kept(stored(stage(spark, before, sf_dir)))
+        forget(before)
     return docs
