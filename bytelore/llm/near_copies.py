@@ -3,9 +3,11 @@
 Method. Equal texts are one (128-bit hash), and each different text has a number of its own, so rows that share an id are
 still told apart. Of each text, every run of KMER lower-cased words, labelled with the number of its earlier occurrences, is
 a k-mer (a shorter text is one). Each of SKETCHES seeded orders picks the PICK smallest k-mers and keeps them in text order;
-the picks of one order are a key of one band. Texts of up to SHORT words, which have too few k-mers for that, also have the
-key of every text that is left when as many words are deleted as a link allows: two of them that link share one. Texts that
-meet in a key are candidates. A pair is linked if its words align, with insertions and deletions only, over at least
+the picks of one order are a key of one band. Edits that are scattered over a text leave few runs of five words, so there are
+two more such families: runs of FINE words (texts over FEW words), and single words (texts of up to MANY words); of two texts
+that can link, both have one of these, as the longer one has at most 1 / SIMILARITY times the other's words. Texts of up to
+SHORT words also have the key of every text that is left when as many words are deleted as a link allows: two of them that
+link share one. Texts that meet in a key are candidates. A pair is linked if its words align, with insertions and deletions only, over at least
 SIMILARITY of the longer text: a bit-parallel longest common subsequence inside the band that this similarity allows.
 Classes are the connected components of the links; the class id is the least id in it.
 
@@ -45,7 +47,11 @@ from bytelore.llm.common import arrow_batch, bounded, forget, held, mapped, stor
 
 KMER = 5
 SIMILARITY = 0.8
-SKETCHES, PICK = 20, 2
+SKETCHES, PICK = 10, 2
+#: Words of a finer run, its orders and picks; orders and picks of single words; words above and up to which a text has them.
+FINE, FINE_SKETCHES, FINE_PICK = 3, 30, 2
+WORD_SKETCHES, WORD_PICK = 24, 4
+FEW, MANY = 64, 80
 LEAST_YIELD = 20
 #: Words of a text up to which its deletions are keys.
 SHORT = 14
@@ -57,7 +63,7 @@ KEPT_WORDS = 200_000
 #: Tables of up to SMALL_ROWS short rows are written by one task for each TASK_ROWS; larger ones as they are partitioned.
 SMALL_ROWS, TASK_ROWS = 20_000_000, 200_000
 
-_SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64)
+_SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES + FINE_SKETCHES + WORD_SKETCHES, dtype=np.uint64)
 _FULL = (1 << 64) - 1
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -132,25 +138,35 @@ def deletions(w: np.ndarray) -> list[int]:
     return sorted(keys)
 
 
-def sketch(text: str) -> list[int]:
-    """Keys: one for each seeded order, and those of deletions for a short text; none for a text without words."""
-    w = word_hashes(text)
-    h = labelled(kmer_hashes(w))
-    if not len(h):
-        return []
-    pick = min(PICK, len(h))
+def picked(h: np.ndarray, seeds: np.ndarray, pick: int) -> np.ndarray:
+    """A key for each seeded order: the least hashes, in text order."""
+    pick = min(pick, len(h))
     keys = []
     step = max(1, (1 << 18) // len(h))
-    for at in range(0, SKETCHES, step):  # bounded memory for long texts
-        v = _mixed(h[None, :] ^ _SEEDS[at : at + step, None])
+    for at in range(0, len(seeds), step):  # bounded memory for long texts
+        v = _mixed(h[None, :] ^ seeds[at : at + step, None])
         least = np.argpartition(v, pick - 1, axis=1)[:, :pick] if pick < len(h) else np.tile(np.arange(len(h)), (len(v), 1))
         least.sort(axis=1)
-        key = _SEEDS[at : at + step] + np.uint64(pick)
+        key = seeds[at : at + step] + np.uint64(pick)
         for j in range(pick):
             key = _mixed(key * _A + h[least[:, j]])
         keys.append(key)
-    found = np.concatenate(keys).view(np.int64).tolist()
-    return found + deletions(w) if len(w) <= SHORT else found
+    return np.concatenate(keys)
+
+
+def sketch(text: str) -> list[int]:
+    """Keys of a text in all families; none for a text without words."""
+    w = word_hashes(text)
+    n = len(w)
+    if not n:
+        return []
+    families = [picked(labelled(kmer_hashes(w)), _SEEDS[:SKETCHES], PICK)]
+    if n > FEW:
+        families.append(picked(labelled(kmer_hashes(w, FINE)), _SEEDS[SKETCHES : SKETCHES + FINE_SKETCHES], FINE_PICK))
+    if n <= MANY:
+        families.append(picked(labelled(w), _SEEDS[SKETCHES + FINE_SKETCHES :], WORD_PICK))
+    found = np.concatenate(families).view(np.int64).tolist()
+    return found + deletions(w) if n <= SHORT else found
 
 
 def needed(longer: int, similarity: float = SIMILARITY) -> int:
@@ -451,7 +467,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def found_links(keyed: DataFrame, kinds: DataFrame, source: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
     """(tid, root) of the texts that aren't the least of their component, and what can be forgotten once that is read."""
-    n, texts, judged, roots, active = kinds.count() * SKETCHES, None, [], None, keyed
+    n, texts, judged, roots, active = kinds.count() * (SKETCHES + FINE_SKETCHES), None, [], None, keyed
     while True:
         pivots = stored(compact(active.groupBy("key").agg(F.min("tid").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), n))
         met = stored(compact(active.join(pivots, "key").where("tid <> pivot"), n))

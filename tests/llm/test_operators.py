@@ -549,6 +549,33 @@ def test_short_texts_with_a_word_changed_meet():
                 assert set(near_copies.sketch(" ".join(a))) & set(near_copies.sketch(" ".join(b))), (a, b)
 
 
+@pytest.mark.parametrize("n", [3, 6, 13, 14, 15, 16, 20, 25, 40, 60, 64, 65, 80, 81, 100, 300])
+def test_texts_that_link_meet_at_every_length_and_share(n):
+    """Of pairs with a share of the words replaced, inserted, deleted, or both inserted and replaced, nine in ten meet in a key."""
+    r = random.Random(n)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    new = lambda: f"new{r.randrange(10**9)}"
+    for kind in ("replace", "insert", "delete", "both"):
+        for share in (0.01, 0.05, 0.1, 0.15, 0.18, 0.2):
+            k, met, all_ = round(share * n), 0, 0
+            if not k:
+                continue
+            for _ in range(60):
+                a = [vocabulary[min(2999, int(r.paretovariate(0.7)) - 1)] for _ in range(n)]
+                b = list(a)
+                at = r.sample(range(n), k)
+                if kind == "delete":
+                    b = [w for i, w in enumerate(b) if i not in at]
+                for i in at if kind in ("replace", "both") else ():
+                    b[i] = new()
+                for _ in range(k if kind == "insert" else kind == "both"):
+                    b.insert(r.randrange(len(b) + 1), new())
+                if near_copies.alignable(a, b):
+                    all_ += 1
+                    met += bool(set(near_copies.sketch(" ".join(a))) & set(near_copies.sketch(" ".join(b))))
+            assert met >= 0.9 * all_ or all_ - met <= 2, (kind, share, met, all_)
+
+
 def test_different_texts_under_one_id(spark):
     a, b = prose(60, 71), prose(60, 72)
     data = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (3, b + " end"), (4, a), (None, a), (5, None), (5, None)]

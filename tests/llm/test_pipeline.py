@@ -36,6 +36,19 @@ def test_run_equals_the_plain_stages(spark, folder):
     assert len(want) == 41
 
 
+def test_nothing_is_left_but_the_result(spark, folder):
+    import os
+    import re
+
+    from bytelore.sources.stored import shared_dir
+
+    base = os.path.dirname(re.sub("^file:/*", "/", shared_dir(spark)))
+    before = set(os.listdir(base))
+    out = corpus_pipeline.run(spark, folder[0])
+    left = set(os.listdir(base)) - before
+    assert out.count() == 41 and len(left) == 1 and out._stored_path.endswith(left.pop())
+
+
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
