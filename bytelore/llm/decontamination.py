@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -61,36 +63,57 @@ def _running(run: list[int], n: int) -> Iterator[int]:
 
 
 def tiles(item: list[int], text: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
-    """(start in the item, start in the text, length) of the tiles, the longest first."""
-    free_item, free_text = [True] * len(item), [True] * len(text)
+    """(start in the item, start in the text, length) of the tiles, the longest first; of equal ones the first in the item, then in the text.
+
+    Whether a span is free is told by counts of words that are taken before each place. Of matches only the longest at their
+    place are held; one that a longer tile has cut is replaced by what is left of it.
+    """
+    free_item, free_text = bytearray(b"\1" * len(item)), bytearray(b"\1" * len(text))
     found: list[tuple[int, int, int]] = []
-    n = min(len(item), len(text))
-    while n >= least:
+    n, left = min(len(item), len(text)), len(item)
+    while n >= least and left >= least:
+        in_item, in_text = [0, *accumulate(free_item)], [0, *accumulate(free_text)]
         spans: dict[int, list[int]] = {}
         for start, h in enumerate(_running(item, n)):
-            if all(free_item[start : start + n]):
+            if in_item[start + n] - in_item[start] == n:
                 spans.setdefault(h, []).append(start)
         matches = []
         for start, h in enumerate(_running(text, n)) if spans else ():
-            for at in spans.get(h, ()):
-                if all(free_text[start : start + n]) and item[at : at + n] == text[start : start + n]:
+            if h not in spans or in_text[start + n] - in_text[start] < n:
+                continue
+            for at in spans[h]:
+                if at and start and item[at - 1] == text[start - 1] and free_item[at - 1] and free_text[start - 1]:
+                    continue  # part of the match that begins before it
+                if item[at : at + n] == text[start : start + n]:
                     size = n
                     while at + size < len(item) and start + size < len(text) and free_item[at + size] and free_text[start + size] and item[at + size] == text[start + size]:
                         size += 1
                     matches.append((-size, at, start))
-        longest = -min(matches)[0] if matches else 0
-        if longest > 2 * n:
-            n = longest
-            continue
-        for size, at, start in sorted(matches):
-            if all(free_item[at : at - size]) and all(free_text[start : start - size]):
-                free_item[at : at - size] = [False] * -size
-                free_text[start : start - size] = [False] * -size
+        heapify(matches)
+        while matches and left >= least:
+            size, at, start = heappop(matches)
+            runs = _free_runs(free_item, free_text, at, start, -size)
+            if runs == [(0, -size)]:
+                free_item[at : at - size] = free_text[start : start - size] = bytes(-size)
                 found.append((at, start, -size))
+                left += size
+            else:
+                for offset, length in runs:
+                    if length >= n:
+                        heappush(matches, (-length, at + offset, start + offset))
         n = n // 2 if n >= 2 * least else least if n > least else 0
     return found
 
 
+def _free_runs(free_item: bytearray, free_text: bytearray, at: int, start: int, size: int) -> list[tuple[int, int]]:
+    """(offset, length) of the runs of a match in which both sides are free."""
+    both = bytes(x & y for x, y in zip(free_item[at : at + size], free_text[start : start + size], strict=True))
+    return [(m.start(), m.end() - m.start()) for m in _ONES.finditer(both)]
+
+
+_ONES = re.compile(b"\1+")
+
+
 def _shared(item: np.ndarray, text: np.ndarray) -> list[int]:
     """The text with each run of words that are not in the item as one mark, which matches nothing."""
     known = np.isin(text, item)

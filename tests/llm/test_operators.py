@@ -394,7 +394,18 @@ def test_tiles_equal_the_plain_ones():
     for _ in range(250):
         a = [r.randrange(6) for _ in range(r.randrange(0, 25))]
         b = [r.randrange(6) for _ in range(r.randrange(0, 20))] + a[r.randrange(0, 25) :] + a[: r.randrange(0, 20)]
-        assert sum(x[2] for x in decontamination.tiles(a, b)) == plain_tiles(a, b, decontamination.TILE)
+        found = decontamination.tiles(a, b)
+        assert sum(x[2] for x in found) == plain_tiles(a, b, decontamination.TILE) and all(a[i : i + n] == b[j : j + n] for i, j, n in found)
+        assert [x[2] for x in found] == sorted((x[2] for x in found), reverse=True)
+
+
+@pytest.mark.parametrize("text", [[1] * 100_000, [1, 2] * 20_000, ([1] * 399 + [3]) * 100, list(range(400)) * 50])
+def test_tiles_of_repetitive_texts_take_little_time(text):
+    began = time.perf_counter()
+    for item in ([1] * 400, [1, 2] * 200, [1] * 150 + [4] + [1] * 249, list(range(400))):
+        decontamination.tiles(item, text)
+    assert time.perf_counter() - began < 20
+
 
 
 def test_decontamination(spark):
@@ -412,8 +423,9 @@ def test_decontamination(spark):
     assert decontamination.covering(df, bench.limit(0)).count() == 0 == decontamination.covering(df.limit(0), bench).count()
     parts = prose(9, 91) + " " + " ".join(twelve[8:]) + " und " + " ".join(twelve[4:8]) + " " + prose(3, 92) + " " + " ".join(twelve[:4])
     twelve_item = spark.createDataFrame([(1, " ".join(twelve))], "item_id long, text string")
-    (found,) = decontamination.covering(spark.createDataFrame([(1, parts), (2, prose(5000, 93) + " " + parts)], "doc_id long, text string").where("doc_id = 1"), twelve_item).collect()
-    assert (found.coverage, found.n_tiles) == (1.0, 3)
+    long = prose(200_000, 93)
+    found = decontamination.covering(spark.createDataFrame([(1, parts), (2, long + " " + parts), (3, long)], "doc_id long, text string"), twelve_item).collect()
+    assert sorted((r.doc_id, r.coverage, r.n_tiles) for r in found) == [(1, 1.0, 3), (2, 1.0, 3)]
 
 
 def test_covering_equals_tiling_of_all_pairs(spark, monkeypatch):
