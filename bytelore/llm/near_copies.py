@@ -466,17 +466,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def found_links(keyed: DataFrame, kinds: DataFrame, source: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
-    """(tid, root) of the texts that aren't the least of their component, and what can be forgotten once that is read."""
-    n, texts, judged, roots, active = kinds.count() * (SKETCHES + FINE_SKETCHES), None, [], None, keyed
+    """(tid, root) of the texts that aren't the least of their component, and what can be forgotten once that is read. Keys of a single text are left behind at once."""
+    n, texts, judged, roots, active, shared = kinds.count() * (SKETCHES + FINE_SKETCHES), None, [], None, keyed, None
     while True:
         pivots = stored(compact(active.groupBy("key").agg(F.min("tid").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), n))
-        met = stored(compact(active.join(pivots, "key").where("tid <> pivot"), n))
-        forget(pivots)
-        if active is not keyed:
-            forget(active)
+        members = stored(compact(active.join(pivots, "key"), n))
+        for old in (pivots, active):
+            forget(old)
+        if shared is None:
+            shared = members
+        met = members.where("tid <> pivot")
         n = met.count()
         if not n:
-            return roots, [x for x in (texts, *judged, roots) if x is not None]
+            return roots, [x for x in (texts, *judged, roots, members, shared) if x is not None]
         pairs = met.select("tid", "pivot").distinct()
         if texts is None:  # later rounds only have texts that met in the first
             tids = stored(compact(met.select(F.explode(F.array("tid", "pivot")).alias("tid")).distinct().join(kinds.select("tid", "id", "h"), "tid"), n))
@@ -492,11 +494,14 @@ def found_links(keyed: DataFrame, kinds: DataFrame, source: DataFrame) -> tuple[
             break
         met_roots = _rooted(_rooted(met, roots, "tid", "root"), roots, "pivot", "pivot_root")
         active = stored(compact(met_roots.where("root <> pivot_root").select("key", "tid"), n))
-        forget(met)
-    forget(met)
-    pairs = rest(keyed, roots, texts)
+        if members is not shared:
+            forget(members)
+    if members is not shared:
+        forget(members)
+    pairs = rest(shared.select("key", "tid"), roots, texts)
     judged.append(stored(verdicts(pairs.join(_all(judged).select("tid", "pivot"), ["tid", "pivot"], "left_anti"), texts)))
     forget(pairs)
+    forget(shared)
     roots = _new_roots(judged, roots, judged[-1].where("ok").limit(1).count())
     return roots, [x for x in (texts, *judged, roots) if x is not None]
 
@@ -525,7 +530,6 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     source = df.select(F.col(id_col).cast("long").alias("source_id"), text_hash(text_col).alias("source_h"), F.col(text_col).cast("string").alias("text"))
     keyed = stored(kinds.select(F.explode("sketch").alias("key"), "tid"))
     roots, done = found_links(keyed, kinds, source)
-    forget(keyed)
     texts = kinds.select("tid", "h", "id")
     if roots is None:
         named = texts.select("h", F.col("id").alias("class_id"), F.col("h").alias("class_h"))
