@@ -13,7 +13,8 @@ pair. Pages whose lines differencing deletes are joined with the numbers of thes
 
 Inside a block, character references are decoded and white space becomes one space; blocks are joined by an empty line. Tags
 are read in one pass over the page, however damaged it is; end tags that may be left out are supplied, and furniture that is
-never closed ends where an article or a main heading begins.
+never closed ends where an article or a main heading begins. A class is the name of furniture for what it stands on, unless that
+holds the article or main heading and more than half of the page's text: then it tells of the layout, such as `right-sidebar`.
 
 Cases: null html gives an empty text; a null URL has an empty host and path; a page without a neighbour on its host is only
 cut, not compared; repeated pages and repeated ids are judged alike and row by row; very long pages take time in proportion,
@@ -59,9 +60,9 @@ IMPLIED = (
 )
 KINDS = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
 #: Words in classes, ids and roles. The first name furniture by themselves, the second if nothing but furniture is named beside them.
-FURNITURE = frozenset("ad ads adv advert advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal overlay nav navbar navigation navi menu breadcrumb breadcrumbs sidebar footer comment comments commentlist commentform disqus sharing newsletter subscribe contentinfo".split())
-FURNITURE_ALONE = frozenset("related recommended share social search notice banner promo widget complementary".split())
-BESIDE = frozenset("area articles bar block box btn button buttons container content form icons inner items links list media module news panel posts section stories top bottom left right wrap wrapper".split())
+FURNITURE = frozenset("advert advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal overlay nav navbar navigation navi menu breadcrumb breadcrumbs sidebar footer comment comments commentlist commentform disqus responses replies sharing newsletter subscribe contentinfo".split())
+FURNITURE_ALONE = frozenset("ad ads adv related recommended share social search notice banner promo widget complementary reviews discussion".split())
+BESIDE = frozenset("slot unit label space zone google sense area articles bar block box btn button buttons container content form icons inner items links list media module news panel posts section stories top bottom left right wrap wrapper".split())
 STATES = ("has-", "no-", "with-", "is-", "js-")
 _ARTICLE_OUT = re.compile(r"(?:comments?|reply|ads?|advert|advertisement|sponsored)(?:-\d+)?")
 
@@ -86,6 +87,7 @@ class _Furniture:
     def __init__(self, by_class: bool, headline: bool):
         self.by_class, self.headline = by_class, headline
         self.closed, self.ends = False, None  # ends: number of the first line behind it, if it isn't closed
+        self.begun = False  # an article or a main heading begins in it
 
 
 def _named_out(name: str, attributes: str) -> bool:
@@ -220,7 +222,7 @@ def lines(page: str) -> list[Line]:
                 pop(True)
         if kind.begins:
             for f in furniture:
-                f.ends = len(found) if f.ends is None else f.ends
+                f.ends, f.begun = len(found) if f.ends is None else f.ends, True
         if not inline and attributes.endswith("/"):
             continue
         by_class = bool(attributes) and _WHICH.search(attributes) is not None and name not in ("html", "body") and _named_out(name, attributes)
@@ -254,13 +256,25 @@ def lines(page: str) -> list[Line]:
         flush()
     if all(not fs for _, _, _, fs in found):
         return [Line(text, inside, False, path) for text, inside, path, _ in found]
-    out = lambda k, fs: any(f.closed or f.ends is None or k < f.ends for f in fs)
+    layout = _layouts(found)
+    out = lambda k, fs: any(f not in layout and (f.closed or f.ends is None or k < f.ends) for f in fs)
     done = [Line(text, inside, out(k, fs), path) for k, (text, inside, path, fs) in enumerate(found)]
     if not any(x.inside and not x.out for x in done):  # an article in an element that is named like furniture, and none elsewhere
         done = [x._replace(out=out(k, [f for f in fs if not f.by_class])) if x.inside else x for k, (x, (_, _, _, fs)) in enumerate(zip(done, found, strict=True))]
     return done
 
 
+def _layouts(found: list[tuple[str, bool, int, tuple[_Furniture, ...]]]) -> set[_Furniture]:
+    """Elements that only their class names furniture, but that hold the article or main heading and most of the page: classes of a layout, such as `right-sidebar`."""
+    held: dict[_Furniture, int] = {}
+    for text, _, _, fs in found:
+        for f in fs:
+            if f.by_class and f.begun:
+                held[f] = held.get(f, 0) + len(text)
+    total = sum(len(text) for text, _, _, _ in found)
+    return {f for f, n in held.items() if 2 * n > total}
+
+
 #: Bits of the table of an alignment that is kept whole; a larger one is halved.
 WHOLE = 1 << 26
 
