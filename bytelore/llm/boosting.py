@@ -10,7 +10,7 @@ class BoostedTrees:
 
     def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.3, ridge: float = 1.0, cuts: int = 16):
         self.rounds, self.depth, self.rate, self.ridge, self.cuts = rounds, depth, rate, ridge, cuts
-        self.base, self.trees = 0.0, []
+        self.base, self.trees, self._flat = 0.0, [], None
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         share = min(max(y.mean(), 1e-3), 1 - 1e-3)
@@ -47,10 +47,34 @@ class BoostedTrees:
         return (j, float(edges[j][k]), self._grow(bins, g, h, rows[low], edges, depth - 1), self._grow(bins, g, h, rows[~low], edges, depth - 1))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        f = np.full(len(x), self.base)
-        for tree in self.trees:
-            f += _values(tree, x)
-        return 1 / (1 + np.exp(-f))
+        """All trees at once, a level at a time."""
+        if self._flat is None or self._flat[0] != len(self.trees):
+            self._flat = len(self.trees), *_flattened(self.trees)
+        _, roots, feature, cut, low, high, value = self._flat
+        if not len(roots):
+            return np.full(len(x), 1 / (1 + np.exp(-self.base)))
+        rows = np.arange(len(x))[:, None]
+        at = np.broadcast_to(roots, (len(x), len(roots)))
+        for _ in range(self.depth):
+            at = np.where(x[rows, feature[at]] <= cut[at], low[at], high[at])
+        return 1 / (1 + np.exp(-self.base - value[at].sum(1)))
+
+
+def _flattened(trees: list) -> tuple[np.ndarray, ...]:
+    """(roots, feature, cut, low, high, value) of all nodes; a leaf leads to itself."""
+    nodes: list[list] = []
+
+    def add(tree) -> int:
+        k = len(nodes)
+        nodes.append([0, 0.0, k, k, tree if not isinstance(tree, tuple) else 0.0])
+        if isinstance(tree, tuple):
+            nodes[k][:2] = tree[:2]
+            nodes[k][2], nodes[k][3] = add(tree[2]), add(tree[3])
+        return k
+
+    roots = np.array([add(t) for t in trees], np.int64)
+    columns = list(zip(*nodes, strict=True)) or [()] * 5
+    return roots, *(np.array(c, float if k in (1, 4) else np.int64) for k, c in enumerate(columns))
 
 
 def _values(tree, x: np.ndarray) -> np.ndarray:

@@ -22,9 +22,11 @@ import hashlib
 import pickle
 import random
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -61,7 +63,7 @@ _HINTS = {
     "number": re.compile(r"(?i)\b(?:ssn|social|passport|tax|sozialversicherung|dni|nss|identity|insured)\b"),
     "money": re.compile(r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)\b"),
     "mail": re.compile(r"(?i)\b(?:mail|e-mail|contact|write|reach|correo|courriel)\b"),
-    "other": re.compile(r"(?i)\b(?:order|invoice|version|isbn|item|page|pages|year|price|total|ref|sku|build|section|score|http|www|part|lot|model|serial|figure|table|on|since|from|until)\b"),
+    "other": re.compile(r"(?i)\b(?:order|invoice|version|isbn|item|page|pages|year|price|total|ref|sku|build|section|score|http|www|part|lot|model|serial|figure|table|since|from|until)\b"),
 }
 _BEHIND = re.compile(r"(?i)\s?(?:%|€|\$|eur|usd|kg|km|cm|mm|mb|gb|pages|items|units|people|years|times|am\b|pm\b)")
 
@@ -163,22 +165,54 @@ def _date(groups: list[str]) -> bool:
     return len(groups) == 3 and any(year) and sorted(map(len, groups))[1] <= 2 or len(groups) == 1 and len(groups[0]) == 8 and 1900 <= int(groups[0][:4]) <= 2100 and int(groups[0][4:6]) <= 12
 
 
-def features(text: str, c: Candidate) -> list[float]:
-    own, before, behind = text[c.start : c.end], text[max(0, c.start - 30) : c.start], text[c.end : c.end + 12]
-    digits, groups = _digits(own), _GROUP.findall(own)
-    sizes = [len(g) for g in groups]
-    separators = {x for x in own if x in " ./()-"} - {"(", ")"}
-    touch = lambda x: float(x.isalnum() or x in "_/=&#%$€:")
+_DATE_BEFORE = re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?: [0-9]{2}:[0-9]{2})?|(?:19|20)[0-9]{6})[\x20,;]{1,2}\(?\Z")
+_LETTER = re.compile(r"[^\W\d_]")
+_NO_HINTS = (0.0,) * (2 * len(_HINTS))
+_AFTER = [_HINTS[k] for k in ("call", "number", "other")]
+_NO_AFTER = (0.0,) * len(_AFTER)
+
+
+def _hints(before: str) -> tuple[float, ...]:
+    """Which words stand in the context before a candidate, and which of them close to it."""
+    if not _LETTER.search(before):
+        return _NO_HINTS
     close = before[-16:]
+    return (*(float(bool(h.search(before))) for h in _HINTS.values()), *(float(bool(h.search(close))) for h in _HINTS.values()))
+
+
+def _after(behind: str) -> tuple[float, ...]:
+    return tuple(float(bool(h.search(behind))) for h in _AFTER)
+
+
+def features(text: str, c: Candidate, hints: tuple[float, ...] | None = None) -> list[float]:
+    own, before, behind = text[c.start : c.end], text[max(0, c.start - 30) : c.start], text[c.end : c.end + 20]
+    groups = _GROUP.findall(own)
+    digits, sizes = "".join(groups), [len(g) for g in groups]
+    separators = (" " in own) + ("." in own) + ("/" in own) + ("-" in own)
+    touch = lambda x: float(x.isalnum() or x in "_/=&#%$€:")
     return [
         float(ADDED.index(c.kind)), len(own), len(digits), len(groups), sizes[0] if sizes else 0, sizes[-1] if sizes else 0, float(max(sizes, default=0)), float(min(sizes, default=0)), c.before, c.behind,
-        own.count("-"), own.count("."), own.count(" "), own.count("/"), float("(" in own and ")" in own), float("(" in own) - float(")" in own), float(own[:1] == "+"), float(digits[:1] == "0"), len(separators), float(sizes == [3, 2, 4]), float(sizes == [3, 3, 4]),
+        own.count("-"), own.count("."), own.count(" "), own.count("/"), float("(" in own and ")" in own), float("(" in own) - float(")" in own), float(own[:1] == "+"), float(digits[:1] == "0"), separators, float(sizes == [3, 2, 4]), float(sizes == [3, 3, 4]),
         float(_date(groups)), float(c.kind == "iban" and _iban_ok(own)), float(luhn(digits) if len(digits) > 11 else 0), float("at" in own and ("[" in own or "(" in own)), float(" at " in own), float("[dot]" in own or "(dot)" in own), float(" dot " in own),
         touch(before[-1]) if before else 0.0, touch(behind[0]) if behind else 0.0, float(behind[:2] in (".0", ",0") or behind[:1] in ".," and behind[1:2].isdigit()), float(before[-1:] in (".", ",", "-", "/")), float(bool(_BEHIND.match(behind))),
-        *(float(bool(h.search(before))) for h in _HINTS.values()), *(float(bool(h.search(close))) for h in _HINTS.values()),
+        float(bool(_DATE_BEFORE.search(before))), *(_hints(before) if hints is None else hints), *(_after(behind) if _LETTER.search(behind) else _NO_AFTER),
     ]
 
 
+def scored_candidates(text: str, taken: _Taken) -> Iterator[tuple[Candidate, list[float]]]:
+    """Candidates that overlap no taken span, with their features. What stands before a list of numbers is the context of all of them."""
+    start, hints, listed, end, any_taken = -1, _NO_HINTS, _NO_HINTS, -9, bool(taken.starts)
+    for c in candidates(text):
+        if not any_taken or taken.free((c.start, c.end, c.kind)):
+            if c.start != start:
+                start, hints = c.start, _hints(text[max(0, c.start - 30) : c.start])
+                if c.kind == "digits" and c.start <= end + 3 and hints == _NO_HINTS:
+                    hints = listed
+                listed = hints
+            end = max(end, c.end) if c.kind == "digits" else end
+            yield c, features(text, c, hints)
+
+
 def _n(rng: random.Random, k: int) -> str:
     return rng.choice("123456789") + "".join(rng.choice("0123456789") for _ in range(k - 1))
 
@@ -194,73 +228,126 @@ def _iban(rng: random.Random, countries: tuple[str, ...]) -> str:
     return s if rng.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
 
-#: Words before a positive and a negative example: of training, of calibration, of the test.
+#: Words before a number that is personal, and before one that is not: of training, of calibration, of the test.
 PHRASES = (
-    (("tel ", "phone: ", "call ", "Telefon ", "mobile ", "fax: ", "cell ", "my phone is ", "ssn ", "social ", "iban ", "account ", "mail ", "contact ", "write to ", "DNI ", "", "", ""), ("order ", "invoice ", "item ", "ref ", "build ", "sku ", "page ", "total ", "on ", "since ", "version ", "part ", "", "", "", "")),
-    (("Handy: ", "téléphone ", "please call us on ", "number is ", "social security ", "insured as ", "Konto ", "bank: ", "reach me ", "e-mail: ", "", ""), ("lot ", "model ", "serial ", "from ", "ISBN ", "year ", "section ", "score ", "", "", "")),
-    (("teléfono ", "fax ", "or call ", "phone ", "SSN: ", "passport ", "cuenta ", "account: ", "courriel ", "contact me: ", "", ""), ("figure ", "table ", "until ", "price ", "http ", "invoice no ", "order nr. ", "", "", "")),
+    (("tel ", "phone: ", "call ", "Telefon ", "mobile ", "my phone is ", "ssn ", "social ", "DNI ", "fax "), ("order ", "invoice ", "item ", "ref ", "build ", "sku ", "page ", "total ", "since ", "version ", "part ")),
+    (("Handy: ", "téléphone ", "please call us on ", "number is ", "social security ", "insured as ", "fax: ", "cell "), ("lot ", "model ", "serial ", "from ", "ISBN ", "year ", "section ", "score ", "order no. ", "version: ")),
+    (("teléfono ", "fax no ", "or call ", "phone ", "SSN: ", "passport ", "identity "), ("figure ", "table ", "until ", "price ", "http ", "invoice no ", "order nr. ", "serial no. ")),
 )
-#: Formats of the three sets: makers of positive and of negative examples.
-_SHARED_BAD = [
-    lambda r: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda r: _n(r, r.randint(7, 16)), lambda r: " ".join(_n(r, r.randint(1, 5)) for _ in range(r.randint(2, 7))), lambda r: f"{_n(r, 1)}.{_n(r, 2)}.{_n(r, 4)}.{_n(r, 2)}",
-    lambda r: _word(r) + _n(r, 8), lambda r: f"{_word(r)} at {_word(r)} dot {_word(r)} {_word(r)}", lambda r: f"{_n(r, 4)} {_n(r, 4)}",
-]
-SHAPES = (
-    (
-        [lambda r: f"({_n(r, 3)}) {_n(r, 3)}-{_n(r, 4)}", lambda r: f"{_n(r, 3)}-{_n(r, 3)}-{_n(r, 4)}", lambda r: f"0{_n(r, r.randint(2, 3))} {_n(r, 3)} {_n(r, 4)}", lambda r: f"{_n(r, 3)}-{_n(r, 2)}-{_n(r, 4)}", lambda r: _iban(r, ("DE", "FR", "ES")),
-         lambda r: f"{_word(r)}{r.choice((' [at] ', '(at)', '[at]'))}{_word(r)}{r.choice((' [dot] ', '(dot)', '[dot]', '.'))}{r.choice(('com', 'org', 'net'))}", lambda r: ":".join(f"{r.randrange(256):02x}" for _ in range(6))],
-        [*_SHARED_BAD, lambda r: f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1900, 2030)}", lambda r: f"{_n(r, 4)}.{_n(r, 2)} {_n(r, 3)}", lambda r: "AB" + _n(r, 2) + " " + _n(r, 4) + " " + _n(r, 4), lambda r: "http://" + _word(r) + ".com/" + _n(r, 10), lambda r: "/".join(_n(r, 4) for _ in range(3))],
-    ),
-    (
-        [lambda r: f"{_n(r, 3)}-{_n(r, 3)}-{_n(r, 4)}", lambda r: f"({_n(r, 3)}) {_n(r, 3)}-{_n(r, 4)}", lambda r: f"0{_n(r, 2)} {_n(r, 3)} {_n(r, 4)}", lambda r: f"{_n(r, 3)}-{_n(r, 2)}-{_n(r, 4)}", lambda r: _iban(r, ("NL", "IT", "PT")),
-         lambda r: f"{_word(r)}.{_word(r)}{r.choice(('(at)', '[at]'))}{_word(r)}{r.choice(('(dot)', '.'))}{r.choice(('info', 'edu'))}", lambda r: "-".join(f"{r.randrange(256):02X}" for _ in range(6))],
-        [*_SHARED_BAD, lambda r: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2030)} {r.randint(10, 23)}:{r.randint(10, 59)}", lambda r: f"978-{_n(r, 1)}-{_n(r, 4)}-{_n(r, 4)}-{_n(r, 1)}", lambda r: f"{_n(r, 2)},{_n(r, 3)},{_n(r, 3)}.00", lambda r: f"{_n(r, 1)}-{_n(r, 1)} {_n(r, 2)}-{_n(r, 2)} {_n(r, 2)}"],
-    ),
-    (
-        [lambda r: f"{_n(r, 3)}-{_n(r, 3)}-{_n(r, 4)}", lambda r: f"({_n(r, 3)}) {_n(r, 3)}-{_n(r, 4)}", lambda r: f"0{_n(r, 3)} {_n(r, 3)} {_n(r, 4)}", lambda r: f"{_n(r, 3)}-{_n(r, 2)}-{_n(r, 4)}", lambda r: _iban(r, ("AT", "PL", "BE")),
-         lambda r: f"{_word(r)}_{_n(r, 2)}{r.choice((' [at] ', '(at)'))}{_word(r)}{r.choice((' [dot] ', '[dot]', '.'))}{r.choice(('de', 'fr', 'io'))}", lambda r: ":".join(f"{r.randrange(256):02X}" for _ in range(6))],
-        [*_SHARED_BAD, lambda r: f"{r.randint(1900, 2030)}{r.randint(1, 12):02d}{r.randint(1, 28):02d}", lambda r: f"{_n(r, 2)}.{_n(r, 5)}, {_n(r, 2)}.{_n(r, 5)}", lambda r: f"{_n(r, 4)}-{_n(r, 4)} {_n(r, 3)}", lambda r: f"{_n(r, 3)} {_n(r, 3)} {_n(r, 3)} {_n(r, 3)}"],
-    ),
+
+
+def _number(rng: random.Random, which: int) -> str:
+    """A number that words decide on, in a form of a set: each form, digits aside, is of one set alone."""
+    while True:
+        sizes = [rng.randint(2, 4) for _ in range(rng.randint(2, 4))]
+        if not 8 <= sum(sizes) <= 11:
+            continue
+        sep, last, head = rng.choice(" --./ "), rng.random(), rng.random()
+        groups = [_n(rng, k) for k in sizes]
+        if rng.random() < 0.3:
+            groups[0] = "0" + groups[0][1:]
+        text = sep.join(groups[:-1]) + ("-" if last < 0.2 else sep) + groups[-1]
+        if head < 0.25:
+            text = f"({groups[0]}){rng.choice((' ', ''))}" + text[len(groups[0]) + 1 :]
+        elif head < 0.3:
+            text = "(0)" + text
+        if zlib.crc32(form(text).encode()) % 3 == which:
+            return text
+
+
+def form(text: str) -> str:
+    """A text with all digits alike."""
+    return re.sub("[0-9]", "9", text)
+
+
+#: What is personal by its form.
+OTHERS = (
+    [lambda r: _iban(r, ("DE", "FR", "ES")), lambda r: f"{_word(r)}{r.choice((' [at] ', '(at)', '[at]'))}{_word(r)}{r.choice((' [dot] ', '(dot)', '[dot]', '.'))}{r.choice(('com', 'org', 'net'))}", lambda r: ":".join(f"{r.randrange(256):02x}" for _ in range(6))],
+    [lambda r: _iban(r, ("NL", "IT", "PT")), lambda r: f"{_word(r)}.{_word(r)}{r.choice(('(at)', '[at]'))}{_word(r)}{r.choice(('(dot)', '.'))}{r.choice(('info', 'edu'))}", lambda r: "-".join(f"{r.randrange(256):02X}" for _ in range(6))],
+    [lambda r: _iban(r, ("AT", "PL", "BE")), lambda r: f"{_word(r)}_{_n(r, 2)}{r.choice((' [at] ', '(at)'))}{_word(r)}{r.choice((' [dot] ', '[dot]', '.'))}{r.choice(('de', 'fr', 'io'))}", lambda r: ":".join(f"{r.randrange(256):02X}" for _ in range(6))],
+)
+#: What is not, by its form; none is in two sets.
+NEITHER = (
+    [lambda r: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda r: _n(r, r.randint(7, 12)), lambda r: " ".join(_n(r, r.randint(1, 5)) for _ in range(r.randint(5, 7))), lambda r: f"{_n(r, 1)}.{_n(r, 2)}.{_n(r, 4)}.{_n(r, 2)}", lambda r: _word(r) + _n(r, 8),
+     lambda r: f"{_word(r)} at {_word(r)} dot {_word(r)} {_word(r)}", lambda r: f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1900, 2030)}", lambda r: "AB" + _n(r, 2) + " " + _n(r, 4) + " " + _n(r, 4), lambda r: "http://" + _word(r) + ".com/" + _n(r, 10), lambda r: "/".join(_n(r, 4) for _ in range(3)), lambda r: f"{_n(r, 2)}.{_n(r, 3)}.{_n(r, 3)} EUR", lambda r: f"{_n(r, 2)} {_n(r, 3)} {_n(r, 3)} {r.choice(('km', 'items', 'EUR', 'kg'))}"],
+    [lambda r: f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2030)} {r.randint(10, 23)}:{r.randint(10, 59)}", lambda r: f"978-{_n(r, 1)}-{_n(r, 4)}-{_n(r, 4)}-{_n(r, 1)}", lambda r: f"{_n(r, 2)},{_n(r, 3)},{_n(r, 3)}.00", lambda r: f"{_n(r, 1)}-{_n(r, 1)} {_n(r, 2)}-{_n(r, 2)} {_n(r, 2)}", lambda r: _n(r, r.randint(13, 16)), lambda r: f"{_n(r, 3)} {_n(r, 3)} {_n(r, 3)} kg"],
+    [lambda r: f"{r.randint(1900, 2030)}{r.randint(1, 12):02d}{r.randint(1, 28):02d}", lambda r: f"{_n(r, 2)}.{_n(r, 5)}, {_n(r, 2)}.{_n(r, 5)}", lambda r: f"{_n(r, 4)}-{_n(r, 4)} pages", lambda r: f"{_word(r)}_{_n(r, 9)}", lambda r: f"{_n(r, 1)}.{_n(r, 1)}.{_n(r, 2)}-{_n(r, 4)}", lambda r: f"{r.randint(1, 12)}/{r.randint(1900, 2030)} {r.randint(1, 12)}/{r.randint(1900, 2030)}"],
 )
 
 
-def example_texts(which: int, n: int = 2800) -> Iterator[tuple[str, tuple[int, int] | None]]:
-    """(text, its span or None) of a set: 0 for training, 1 for calibration, 2 for the test."""
+def example_texts(which: int, n: int = 2800) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """(text, its spans) of a set: 0 for training, 1 for calibration, 2 for the test. Numbers of one form are personal behind some words and not behind others."""
     rng = random.Random(which + 1)
-    for label in (1, 0):
-        makers, phrases = SHAPES[which][1 - label], PHRASES[which][1 - label]
-        for k in range(n):
-            made = makers[k % len(makers)](rng)
-            head = f"{_word(rng)} {_word(rng)} " * (rng.random() < 0.8) + rng.choice(phrases)
-            yield f"{head}{made}{rng.choice((' ', '. ', ', ', '; '))}{_word(rng)}" if rng.random() < 0.8 else f"{head}{made}", (len(head), len(head) + len(made)) if label else None
-
-
-def _examples(which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all candidates of a set, and which are right."""
-    x, y = [], []
-    for text, span in example_texts(which):
+    good, bad = PHRASES[which]
+    for k in range(2 * n):
+        head, tail = f"{_word(rng)} {_word(rng)} " * (rng.random() < 0.8), None
+        if k % 2:
+            if k % 8 < 6:
+                if rng.random() < 0.65:
+                    head += rng.choice(good)
+                else:  # words behind, or none
+                    head += f"{NEITHER[which][0](rng)} " if rng.random() < 0.5 else ""
+                    tail = f" {rng.choice(good).strip(' :')}" if rng.random() < 0.6 else None
+                made = [_number(rng, which)]
+                made += [re.sub("[0-9]", lambda m: rng.choice("0123456789"), made[0]) for _ in range(rng.choice((0, 0, 0, 1, 2)))]
+            else:
+                head += rng.choice((*good, *bad, "", "", ""))
+                made = [rng.choice(OTHERS[which])(rng)]
+        elif k % 4:
+            behind = rng.random() < 0.15
+            head, made = head + rng.choice(bad) * (not behind), [_number(rng, which)]
+            tail = f" {rng.choice(bad).strip(' :')}" if behind else None
+        else:
+            head, made = head + rng.choice((*bad, "", "", "")), [rng.choice(NEITHER[which])(rng)]
+        text, spans, between = head, [], rng.choice((" ", " ", ", ", " / ", "; "))
+        for m in made:
+            text += between * bool(spans)
+            spans.append((len(text), len(text) + len(m)))
+            text += m
+        if tail is None:
+            tail = rng.choice((" ", ". ", ", ", "; ")) + _word(rng) if rng.random() < 0.8 else ""
+        yield text + tail, spans if k % 2 else []
+
+
+def _examples(which: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, Span]]]:
+    """Features of all candidates of a set, which are right, and where they stand: (number of the text, span)."""
+    x, y, at = [], [], []
+    for k, (text, spans) in enumerate(example_texts(which)):
         taken = _Taken(base_spans(text))
-        for c in candidates(text):
-            if taken.free((c.start, c.end, c.kind)):
-                x.append(features(text, c))
-                y.append((c.start, c.end) == span)
-    return np.array(x), np.array(y, float)
+        for c, row in scored_candidates(text, taken):
+            x.append(row)
+            y.append((c.start, c.end) in spans)
+            at.append((k, c[:3]))
+    return np.array(x), np.array(y, float), at
+
+
+def _resolved(p: np.ndarray, at: list[tuple[int, Span]]) -> list[int]:
+    """Candidates that overlap no better one, the best first."""
+    out, taken = [], {}
+    for j in sorted(range(len(p)), key=lambda j: (-p[j], at[j])):
+        k, span = at[j]
+        own = taken.setdefault(k, _Taken([]))
+        if own.free(span):
+            own.add(span)
+            out.append(j)
+    return out
 
 
 @lru_cache(maxsize=1)
 def trained() -> bytes:
     """Pickled (trees, threshold per kind)."""
-    trees = BoostedTrees().fit(*_examples(0))
-    x, y = _examples(1)
+    x, y, _ = _examples(0)
+    trees = BoostedTrees().fit(x, y)
+    x, y, at = _examples(1)
     p = trees.probability(x)
+    kept = np.array(_resolved(p, at))
     thresholds = {}
     for k, kind in enumerate(ADDED):
-        here = x[:, 0] == k
-        order = np.argsort(-p[here])
-        hits = np.cumsum(y[here][order]) / np.arange(1, here.sum() + 1)
-        last = np.append(np.diff(p[here][order]) != 0, True)  # equal scores are selected together
+        own = kept[x[kept, 0] == k]
+        hits = np.cumsum(y[own]) / np.arange(1, len(own) + 1)
+        last = np.append(np.diff(p[own]) != 0, True)  # equal scores are selected together
         enough = np.flatnonzero((hits >= PRECISION) & last)
-        thresholds[kind] = max(0.5, float(p[here][order][enough[-1]])) if len(enough) else 2.0
+        thresholds[kind] = max(0.5, float(p[own[enough[-1]]])) if len(enough) else 2.0
     return pickle.dumps((trees, thresholds))
 
 
@@ -269,26 +356,25 @@ def _loaded(packed: bytes) -> tuple[BoostedTrees, dict[str, float]]:
     return pickle.loads(packed)
 
 
+#: Candidates that are scored at once.
+SCORED = 4096
+
+
 def added_spans(texts: list[str], base: list[list[Span]], packed: bytes) -> list[list[Span]]:
-    """For each text the candidates that the trees select."""
+    """For each text the candidates that the trees select; features of SCORED candidates are held at once, and of the rest those that reach their threshold."""
     trees, thresholds = _loaded(packed)
-    owners, spans, rows = [], [], []
-    taken = [_Taken(b) for b in base]
-    for i, text in enumerate(texts):
-        for c in candidates(text):
-            span = c[:3]
-            if taken[i].free(span):
-                owners.append(i)
-                spans.append(span)
-                rows.append(features(text, c))
+    taken, high = [_Taken(b) for b in base], [[] for _ in texts]
+    found = ((i, c[:3], row) for i, text in enumerate(texts) for c, row in scored_candidates(text, taken[i]))
+    while some := list(islice(found, SCORED)):
+        for p, (i, span, _) in zip(trees.probability(np.array([row for _, _, row in some])).tolist(), some, strict=True):
+            if p >= thresholds[span[2]]:
+                high[i].append((-p, span))
     out: list[list[Span]] = [[] for _ in texts]
-    if rows:
-        p = trees.probability(np.array(rows))
-        for j in sorted(range(len(rows)), key=lambda j: (owners[j], -p[j], spans[j])):
-            s, i = spans[j], owners[j]
-            if p[j] >= thresholds[s[2]] and taken[i].free(s):
-                taken[i].add(s)
-                out[i].append(s)
+    for i, own in enumerate(high):
+        for _, span in sorted(own):
+            if taken[i].free(span):
+                taken[i].add(span)
+                out[i].append(span)
     return out
 
 

@@ -154,15 +154,46 @@ def test_candidates_are_all_runs_of_groups():
 
 
 def test_personal_data_of_unseen_formats():
-    """The third set of examples: other formats and surroundings than in training and calibration."""
+    """The third set of examples: other formats and words than in training and calibration; numbers of one form on both sides."""
     packed, texts = personal.trained(), list(personal.example_texts(2))
-    right = wrong = 0
-    for (_, span), (base, whole) in zip(texts, personal.all_spans([t for t, _ in texts], packed), strict=True):
+    right = wrong = positive = 0
+    for (_, spans), (base, whole) in zip(texts, personal.all_spans([t for t, _ in texts], packed), strict=True):
         added = {s[:2] for s in whole} - {s[:2] for s in base}
-        right += span in added
-        wrong += len(added - {span})
-    positive = sum(s is not None for _, s in texts)
-    assert right / positive > 0.95 and right / (right + wrong) > 0.95
+        right += len(added & set(spans))
+        wrong += len(added - set(spans))
+        positive += len(spans)
+    assert right / positive > 0.72 and right / (right + wrong) > 0.97, (right / positive, right / (right + wrong))
+
+
+def test_the_three_sets_share_no_format():
+    numbers = [{personal.form(personal._number(random.Random(k), which)) for k in range(400)} for which in range(3)]
+    neither = [{personal.form(make(random.Random(k))) for make in own for k in range(30)} for own in personal.NEITHER]
+    for found in (numbers, [{x for x in own if not re.search("[a-z]", x) and len(x) > 10} for own in neither]):
+        assert all(len(x) > 3 for x in found) and not found[0] & found[1] and not found[0] & found[2] and not found[1] & found[2]
+    assert all(not set(a) & set(b) for side in (0, 1) for (a, b) in itertools.combinations([p[side] for p in personal.PHRASES], 2))
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("order 555-123-4567 shipped", []), ("version 123-45-6789 of it", []), ("invoice 555-123-4567", []), ("call 555-123-4567 today", ["555-123-4567"]), ("ssn 123-45-6789", ["123-45-6789"]),
+        ("fax (0)30 1234 5678", ["(0)30 1234 5678"]), ("call 555-123-4567 555-123-4568 555-123-4569 now", ["555-123-4567", "555-123-4568", "555-123-4569"]),
+    ],
+)
+def test_words_decide_on_numbers(text, want):
+    assert [text[s:e] for s, e, _ in personal.all_spans([text], personal.trained())[0][1]] == want
+
+
+def test_a_text_of_numbers_takes_little_memory():
+    import tracemalloc
+
+    packed, text = personal.trained(), "555-123-4567 " * 5_000
+    personal.all_spans(["x 555-123-4567"], packed)
+    tracemalloc.start()
+    (found,) = personal.all_spans([text], packed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 4_990 <= len(found[1]) <= 5_000 and peak < 30 << 20, peak
 
 
 def test_planted_personal_data_is_added(spark):
@@ -604,6 +635,21 @@ def test_different_texts_under_one_id(spark):
 PAGE = '<!DOCTYPE html><html><head><title>t</title><script>var t="</p>";</script></head><body><nav><a>Menu</a></nav>{before}{article}{after}<footer>&copy; x</footer></body></html>'
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<div id="page" class="site right-sidebar"><h1>T</h1><p>Main text of the page.</p></div>', "T\n\nMain text of the page."),
+        ('<body><div class="wrapper sidebar-open"><div class="sidebar"><p>Links</p></div><article><p>The article.</p></article></div></body>', "The article."),
+        ('<div class="navbar"><h1>Site</h1><p>Menu</p></div><div><p>This is the text of the page, which is longer.</p></div>', "This is the text of the page, which is longer."),
+        ('<p class="ad-hoc">Kept.</p><p class="ad">Gone</p><div class="ad-slot">Gone</div>', "Kept."),
+        ('<article><p>Text.</p></article><div class="responses"><p>Nice!</p></div><section class="reviews"><p>So so</p></section>', "Text."),
+        ('<div><p>Text without an article.</p></div><div class="responses"><p>Nice!</p></div><section class="reviews"><p>So so</p></section>', "Text without an article."),
+    ],
+)
+def test_layout_classes_are_no_furniture(page, want):
+    assert pages.main_text(pages.lines(page)) == want
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(1500):
