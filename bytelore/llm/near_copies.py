@@ -56,7 +56,7 @@ LEAST_YIELD = 20
 #: Words of a text up to which its deletions are keys.
 SHORT = 14
 #: Members of a key up to which all pairs are compared; buckets of the counts that order words; texts of a cell; entries of a part; the share of words beyond the first ones that are compared before alignment.
-CROWD, BUCKETS, CELL, PART, REACH = 32, 1 << 18, 2000, 10_000, 0.25
+CROWD, BUCKETS, CELL, PART, REACH = 32, 1 << 18, 2000, 50_000, 0.25
 #: Buckets whose sums are one row.
 STRIP = 4096
 KEPT_WORDS = 200_000
@@ -266,8 +266,11 @@ def verdicts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append(alignable(words(x), last_words))
             yield arrow_batch({"tid": (tids, pa.int64()), "pivot": (pivots, pa.int64()), "ok": (ok, pa.bool_())})
 
-    of_pivot = texts.select(F.col("tid").alias("pivot"), F.col("text").alias("pivot_text"))
-    whole = pairs.join(texts, "tid").join(of_pivot, "pivot").select("tid", "pivot", "text", "pivot_text")
+    pairs = stored(pairs)
+    n = pairs.count()
+    only = bounded(pairs.select("pivot").distinct(), n)  # texts are moved only where they are needed
+    of_pivot = texts.select(F.col("tid").alias("pivot"), F.col("text").alias("pivot_text")).join(only, "pivot", "left_semi")
+    whole = texts.join(bounded(pairs, n), "tid").join(of_pivot, "pivot").select("tid", "pivot", "text", "pivot_text")
     return mapped(whole, run, "tid long, pivot long, ok boolean")
 
 
