@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     began = perf_counter()
     spark = spark or SparkSession.builder.getOrCreate()
     formats, containers = load(spark, args)
-    options = Options(bufsize=args.bufsize, container_bufsize=args.container_bufsize, extension=not args.noextension, containers=not args.nocontainer, archives=args.zip)
+    options = Options(bufsize=args.bufsize, container_bufsize=args.container_bufsize, extension=not args.noextension, containers=not args.nocontainer, archives=args.zip, split=args.zip)
     identifier = FormatIdentifier(spark, formats, containers, options)
     if args.files == ["-"]:
         if args.zip:

@@ -74,9 +74,17 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """`df` partitioned by ranges of `order` and sorted. Rows that are equal in it may stand in any order, so many of them are spread over ranges, too."""
+    tie = "_tie"
+    while tie in {c.lower() for c in df.columns}:
+        tie += "_"
+    return df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).drop(tie)
+
+
 def numbered(df: DataFrame, number: str, *order: str) -> DataFrame:
     """`df` with numbers from 1 in the order of `order`, without a window over all rows: places inside ranges, and the sizes of the ranges before."""
-    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    rows = stored(ranged(df, *order).withColumn("_place", F.monotonically_increasing_id()))
     rows = rows.withColumn("_part", F.shiftright("_place", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_rows"))  # as many rows as partitions
