@@ -24,6 +24,10 @@ def tables(spark, tmp_path_factory):
     return folder, con
 
 
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(SQL)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, tables, name):
     folder, con = tables
