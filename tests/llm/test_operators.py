@@ -327,6 +327,34 @@ def test_fingerprints_equal_the_plain_ones(spark, n):
     assert {r.doc_id: tuple(r) for r in fingerprints.fingerprinted(df).collect()} == want
 
 
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    """Rows in the order of id (nulls first), then a hash of the text; equal rows are neighbours, whichever is first."""
+    texts = {None: ["alpha beta", "gamma"], 1: ["one text", "one text", "another text of it"], 2: [None], 3: ["", "é" * 7]}
+    data = [(i, t) for i, own in texts.items() for t in own]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F_lit("clash") for c in ("h", "_part", "_seq", "fingerprint", "n_chars")}).repartition(4)
+    hashes = {r.text or "": r.h for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    ordered = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1] or ""]))
+    want = []
+    for k, (i, t) in enumerate(ordered):
+        t, then = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + then[:half]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.PrefixHashes.of(t).fingerprint()))
+    got = [tuple(r)[:4] for r in fingerprints.fingerprinted(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_pieces_of_repeated_rows(spark):
+    import sentencepiece
+
+    long = "word and another, " * 30_000
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    data = [(1, "the same text"), (1, "the same text"), (2, "the same text"), (None, "the same text"), (3, None), (3, ""), (4, long)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F_lit("clash") for c in ("ids", "decoded", "id")})
+    got = sorted(((r.doc_id or 0, tuple(r.ids)) for r in pieces.piece_ids(df, pieces.model_path()).collect()), key=repr)
+    assert got == sorted(((i or 0, tuple(lib.encode(t or "", add_bos=True, add_eos=True))) for i, t in data), key=repr)
+
+
 def test_neighbours_over_many_partitions(spark):
     schema = spark_schema(("a", "long"), ("before", "long"), ("after", "long"))
     make = lambda b, r, a: (r[0], b and b[0], a and a[0])
