@@ -135,8 +135,9 @@ def sql_matches(spark, sf_dir):
     """Sequences compiled and tested by SQL."""
     sql.register(spark)
     catalog.objects_of(spark, sf_dir).createOrReplaceTempView("objects_to_test")
-    sequences = "VALUES ('255044462D', 'BOF'), ('2E{1-9}20{1-9}2E', 'VAR'), ('FFD9', 'EOF'), ('4Z', 'BOF') AS s(sequence, position)"
-    return spark.sql(f"SELECT object_id, sequence, compile_sequence(sequence, position) AS regex, matches(content, sequence, position) AS held FROM objects_to_test, {sequences} WHERE coalesce(matches(content, sequence, position), true)")
+    tested = ", ".join(f"named_struct('sequence', '{s}', 'position', '{p}')" for s, p in (("255044462D", "BOF"), ("2E{1-9}20{1-9}2E", "VAR"), ("FFD9", "EOF"), ("4Z", "BOF")))
+    return spark.sql(f"""SELECT object_id, sequence, compile_sequence(sequence, position) AS regex, matches(content, sequence, position) AS held
+        FROM objects_to_test LATERAL VIEW inline(array({tested})) AS sequence, position WHERE coalesce(matches(content, sequence, position), true)""")
 
 
 def sql_members(spark, sf_dir):
