@@ -2,7 +2,9 @@
 
 import random
 
-from bytelore.llm import near_copies
+import numpy as np
+
+from bytelore.llm import near_copies, recurrent
 
 
 def test_a_group_of_near_copies_takes_a_pair_or_two_for_each_text(spark, monkeypatch):
@@ -20,3 +22,14 @@ def test_a_group_of_near_copies_takes_a_pair_or_two_for_each_text(spark, monkeyp
     got = {r.doc_id: r.class_id for r in near_copies.near_classes(df).collect()}
     assert got == {k: 0 for k in range(n)} | {n: n}
     assert sum(compared) <= 3 * n
+
+
+def test_every_training_document_counts_in_a_large_corpus(spark, monkeypatch):
+    monkeypatch.setattr(recurrent, "LEAST_TOKENS", 1)
+    draw = random.Random(7)
+    df = spark.createDataFrame([(k, " ".join(f"w{draw.randrange(9)}" for _ in range(40))) for k in range(12)], "doc_id long, text string")
+    own = [r.doc_id for r in df.where(recurrent.training("doc_id")).limit(3).collect()]
+    vocabulary = recurrent.counted(df)[1]
+    whole = recurrent.fitted(df, vocabulary)
+    for k in own:
+        assert not np.array_equal(recurrent.fitted(df.where(f"doc_id <> {k}"), vocabulary), whole)
