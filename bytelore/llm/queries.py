@@ -1,9 +1,7 @@
 """Queries and SQL of this subpackage, for the registry at the repository top."""
 
-from functools import wraps
-
+from bytelore.functions.batches import in_small_batches
 from bytelore.llm import divergence, sharding, urls
-from bytelore.llm.common import small_batches
 from bytelore.llm.decontamination import op6_decontamination
 from bytelore.llm.divergence import op13_divergence
 from bytelore.llm.fingerprints import op3_fingerprints
@@ -19,15 +17,6 @@ from bytelore.llm.sharding import op5_sharding
 from bytelore.llm.urls import op4_urls
 
 
-def in_small_batches(query):
-    @wraps(query)
-    def run(spark, *rest):
-        small_batches(spark)
-        return query(spark, *rest)
-
-    return run
-
-
 def queries() -> dict:
     found = (op1_secrets, op2_personal, op3_fingerprints, op4_urls, op5_sharding, op6_decontamination, op7_near_copies, op8_pages, op9_pieces, op10_language, op11_recurrent, op12_repair, op13_divergence)
     return {q.__name__: in_small_batches(q) for q in found}

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from bytelore import schema
+from bytelore.functions.batches import mapped
 from bytelore.functions.names import extension_column
 from bytelore.operators import matching
 from bytelore.operators.registry import OLE, TAR, ZIP, Compiled, compiled, loaded, small
@@ -123,7 +124,7 @@ class FormatIdentifier:
             for batch in batches:
                 yield from _packed(((object_id, *r) for object_id, name, windows, opened in given(batch) for r in scan(name, windows, opened, own, o)), kind)
 
-        return df.mapInArrow(run, kind)
+        return mapped(df, run, kind)
 
     def _levels(self, scanned: DataFrame) -> DataFrame:
         """Objects and the members of archives, a level of nesting at a time: parts of archives are dealt to all tasks.

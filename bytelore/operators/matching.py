@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from bytelore import schema
+from bytelore.functions.batches import mapped
 from bytelore.operators.registry import OLE_PUID, Compiled, extension_table, literal, loaded
 
 
@@ -54,7 +55,7 @@ def with_candidates(df: DataFrame, registry: Compiled) -> DataFrame:
 
     fields = {f.name: f for f in df.schema.fields}
     out = T.StructType([*(fields[c] for c in kept), T.StructField("candidates", T.ArrayType(schema.CANDIDATE)), T.StructField("time_ms", T.LongType()), T.StructField("note", T.StringType())])
-    return df.mapInArrow(run, out)
+    return mapped(df, run, out)
 
 
 _OVER = "exists({list}, y -> y.puid <> x.puid AND array_contains(y.prio, x.puid))"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from bytelore import schema
 from bytelore.functions import names, templates
+from bytelore.functions.batches import in_small_batches
 from bytelore.functions.bytesyntax import compile_sequence
 from bytelore.operators import matching, registry, report
 from bytelore.operators.identify import FormatIdentifier, Options
@@ -410,7 +411,8 @@ def queries() -> dict:
         )
     }
     found |= {name: _pattern(*args) for name, (args, _) in PATTERNS.items()}
-    return found | {"zip_members": _members("zip"), "tar_members": _members("tar")}
+    found |= {"zip_members": _members("zip"), "tar_members": _members("tar")}
+    return {name: in_small_batches(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
