@@ -23,6 +23,10 @@ from bytelore.sources import store, zips
 MEMBERS = "ord bigint, name string, size bigint, content binary"
 
 
+#: Members of a batch at most, bytes after which it ends; partitions at most, each with more ranges in a file with more members.
+BATCH_MEMBERS, BATCH_BYTES, PARTITIONS = 500, 1 << 23, 1024
+
+
 @dataclass
 class Range(InputPartition):
     before: int
@@ -30,6 +34,13 @@ class Range(InputPartition):
     n: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Neighbouring ranges."""
+
+    parts: list[Range]
+
+
 @dataclass
 class Part(WriterCommitMessage):
     number: int
@@ -51,17 +62,31 @@ class ZipReader(DataSourceReader):
                     out.append(Range(before, at, 0))
                 out[-1].n += 1
                 before += not e.name.endswith("/")
-        return out or [Range(0, 0, 0)]
+        each = -(-len(out) // PARTITIONS) or 1
+        return [Ranges(out[k : k + each]) for k in range(0, len(out), each)] or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.n:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        if not partition.parts:
             return
         with store.opened(self.path) as f:
-            found = [e for _, e in zips.entries(f, zips.directory(f), partition.at, partition.n) if not e.name.endswith("/")]
-            for k, e in enumerate(found):
-                content = b"".join(zips.pieces(f, e)) if e.size else b""
-                columns = [pa.array([partition.before + k], pa.int64()), pa.array([e.name]), pa.array([e.size], pa.int64()), pa.array([content], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["ord", "name", "size", "content"])
+            found, some, load = zips.directory(f), [], 0
+            for part in partition.parts:
+                number = part.before
+                for _, e in list(zips.entries(f, found, part.at, part.n)):
+                    if e.name.endswith("/"):
+                        continue
+                    some.append((number, e.name, e.size, b"".join(zips.pieces(f, e)) if e.size else b""))
+                    number, load = number + 1, load + e.size
+                    if len(some) >= BATCH_MEMBERS or load >= BATCH_BYTES:
+                        yield _members_batch(some)
+                        some, load = [], 0
+            if some:
+                yield _members_batch(some)
+
+
+def _members_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["ord", "name", "size", "content"])
 
 
 class _Writer(DataSourceArrowWriter):
