@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bytelore import schema
 from bytelore.functions import names, sql
+from bytelore.functions.batches import in_small_batches
 from bytelore.operators import matching, registry, report
 from bytelore.operators.identify import FormatIdentifier, Options
 from bytelore.plans import catalog
@@ -27,6 +28,11 @@ def _text(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def _in_order(spark: SparkSession, rows: DataFrame, *order) -> DataFrame:
+    """Rows in ranges of an order, four for each core: a fixed number of tasks would have more rows each in larger tables."""
+    return rows.repartitionByRange(spark.sparkContext.defaultParallelism * 4, *order).sortWithinPartitions(*order)
+
+
 # ---- files, lists of paths, streams
 
 
@@ -191,7 +197,7 @@ def container_xml(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
     signatures = part.select(key.alias("_Id"), F.when(F.col("p_size") % 2 == 0, "ZIP").otherwise("OLE2").alias("_ContainerType"), files.alias("Files"))
     mapping = part.select(key.alias("_signatureId"), F.explode(F.array(F.concat(F.lit("p/"), key), F.lit("p/again"))).alias("_Puid"))
-    signatures.repartitionByRange(4, F.col("_Id").cast("long")).sortWithinPartitions(F.col("_Id").cast("long")).write.option("rootTag", "ContainerSignatures").option("rowTag", "ContainerSignature").xml(f"{folder}/signatures")
+    _in_order(spark, signatures, F.col("_Id").cast("long")).write.option("rootTag", "ContainerSignatures").option("rowTag", "ContainerSignature").xml(f"{folder}/signatures")
     mapping.write.option("rootTag", "FileFormatMappings").option("rowTag", "FileFormatMapping").xml(f"{folder}/mappings")
     return registries.read_containers(spark, f"{folder}/*").select("ord", "container_type", "sig_id", "puid", "path", "regex")
 
@@ -226,8 +232,13 @@ def _record(*more: Column) -> Column:
 RECORD_POSITIONS = list(records.POSITION_TYPES)
 
 
+def _spread(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all tasks before they are made larger: a table of short rows is a single task's, whatever its number of rows."""
+    return rows.repartition(spark.sparkContext.defaultParallelism * 4, key)
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").orderBy("p_partkey").select(F.col("p_partkey").cast("int").alias("ord"), _record().alias("xml"))
+    return _spread(spark, _table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").cast("int").alias("ord"), _record().alias("xml"))
 
 
 def pronom_compile(spark, sf_dir):
@@ -242,7 +253,7 @@ def records_several(spark, sf_dir):
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
     signature = lambda name, value: tag("InternalSignature", F.concat(tag("SignatureName", F.lit(name)), tag("ByteSequence", F.concat(tag("PositionType", F.lit("Variable")), tag("ByteSequenceValue", value)))))
     second = F.when(F.col("p_partkey") % 3 == 0, F.lit("4Z")).otherwise(F.hex(_text("p_name")))
-    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("ord"), _record(signature("second", second), signature("third", F.lit("4142"))).alias("xml"))
+    rows = _spread(spark, _table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").cast("int").alias("ord"), _record(signature("second", second), signature("third", F.lit("4142"))).alias("xml"))
     return records.compiled_texts(rows).select("puid", F.array_join(F.transform("signature", lambda s: s["name"]), ",").alias("signatures"))
 
 
@@ -250,7 +261,7 @@ def records_zip(spark, sf_dir):
     """Records packed by the tasks into one zip file, and compiled from ranges of it."""
     path = f"{shared_dir(spark)}/records.zip"
     key = F.col("p_partkey").cast("string")
-    rows = _table(spark, sf_dir, "part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    rows = _in_order(spark, _table(spark, sf_dir, "part"), "p_partkey")
     single.write_zip(rows.select(names.record_file_column(F.concat(F.lit("p/"), key)).alias("name"), F.encode(_record(), "UTF-8").alias("content")), path)
     found = records.compile_records(spark, path)
     return found.select("ord", "puid", "name", F.concat_ws(",", "has_priority_over").alias("inferior"), F.size("signature").alias("n_signatures"))
@@ -260,7 +271,7 @@ def zip_sink(spark, sf_dir):
     """One zip file of all documents, written by the tasks and read again by ranges."""
     path = f"{shared_dir(spark)}/documents.zip"
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.encode(_text("text"), "UTF-8").alias("content"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"))
-    single.write_zip(rows.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id"), path)
+    single.write_zip(_in_order(spark, rows, "doc_id"), path)
     return single.read_zip(spark, path, 100).select("ord", "name", "size", F.md5("content").alias("md5"))
 
 
@@ -398,7 +409,7 @@ def service_formats(spark, sf_dir):
 
 def queries() -> dict:
     return {
-        f.__name__: f
+        f.__name__: in_small_batches(f)
         for f in (
             files_of_folders, files_of_list, files_first_level, files_levels, files_windows, files_by_reader, stream_object, framed_objects, framed_stream, sql_matches, sql_members, registry_xml, registry_files, container_xml, registry_pronom_only, compound_streams, zip_sink, archive_members_split, pronom_compile, records_zip, records_several, records_one, records_dropped, record_examples,
             priority_id_remap, report_lines_read, report_xml, report_counted_lines, report_summary, elapsed_time, broken_signature, unknown_position, damaged_containers, versions_latest, service_formats,
