@@ -21,11 +21,28 @@ _OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST", "ignoreNames
 
 def read_formats(spark: SparkSession, path: str, source_ord: int = 0) -> DataFrame:
     """Formats of a registry file in document order; text is not trimmed, as an expression may end in a blank."""
-    rows = spark.read.option("rowTag", "format").options(**_OPTIONS).schema(schema.ELEMENT).xml(path)
+    rows = _elements(spark, path)
     lists = [f.name for f in schema.ELEMENT.fields if isinstance(f.dataType, T.ArrayType)]
     rows = rows.withColumns({n: F.coalesce(n, F.array().cast(schema.ELEMENT[n].dataType)) for n in lists})
-    placed = numbered(rows.withColumns(_places()), "ord", *_PLACE)
-    return placed.select((F.col("ord") - 1).alias("ord"), F.lit(source_ord).alias("source_ord"), *[F.col(f"`{c}`") for c in rows.columns])
+    placed = numbered(rows, "ord", *_PLACE)
+    return placed.select((F.col("ord") - 1).alias("ord"), F.lit(source_ord).alias("source_ord"), *[F.col(f"`{f.name}`") for f in schema.ELEMENT.fields])
+
+
+#: What text pieces between end tags can't tell apart from elements: then a file is read by one task.
+_UNSPLIT = r"<!--|<!\[CDATA\[|<\?xml[^>]*encoding=.(?!utf-8|UTF-8)|</format\s|<format(\s[^>]*)?/>"
+
+
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of a registry file and their places. A file is cut at the end tags, so that many tasks read it; Spark's reader of whole
+    elements gives one file to one task, and is left to files with comments, sections of bare text, other ways to write the tags, or no end."""
+    pieces = spark.read.option("lineSep", "</format>").text(path).withColumns(_places())
+    opens = F.regexp_instr("value", F.lit(r"<format[\s>]"))
+    odd, ends = pieces.agg(F.count_if(F.col("value").rlike(_UNSPLIT)), F.count_if((opens == 0) & F.col("value").contains("</formats"))).first()
+    if odd or ends < pieces.select("_file").distinct().count():
+        return spark.read.option("rowTag", "format").options(**_OPTIONS).schema(schema.ELEMENT).xml(path).withColumns(_places())
+    whole = pieces.where(opens > 0).select(F.concat(F.expr(r"substring(value, regexp_instr(value, '<format[\\s>]'))"), F.lit("</format>")).alias("value"), *_PLACE)
+    read = whole.select(F.from_xml("value", schema.ELEMENT, {**_OPTIONS, "rowTag": "format"}).alias("e"), *_PLACE)
+    return read.select(*[F.col(f"e.`{f.name}`").alias(f.name) for f in schema.ELEMENT.fields], *_PLACE)
 
 
 #: What puts elements in the order of files and of places in them: a reader may have any number of splits of several files.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from bytelore.functions import batches
 from bytelore.operators import matching
 from bytelore.plans import catalog, registry_queries
-from bytelore.sources import records, single
+from bytelore.sources import records, registries, single
 
 
 def test_python_code_gets_small_batches(spark, monkeypatch):
@@ -51,3 +51,20 @@ def test_ranges_of_a_zip_are_bounded_in_number(spark, tmp_path, monkeypatch):
     assert len(parts) <= 4
     rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert [(r["ord"], r["name"], r["size"], r["content"]) for r in rows] == [(k, f"m{k}", k, b"y" * k) for k in range(95)]
+
+
+def test_one_registry_file_is_read_by_many_tasks(spark, tmp_path):
+    one = lambda k: f"<format>\n <puid>p/{k}</puid><name> a &lt;/format&gt; {k} </name>\n</format>"
+    body = [one(k) for k in range(200)]
+    plain, noted = tmp_path / "plain.xml", tmp_path / "noted.xml"
+    plain.write_text('<?xml version="1.0" encoding="UTF-8"?>\n<formats version="1">\n' + "\n".join(body) + "\n</formats>\n")
+    noted.write_text("<formats>" + "".join(body[:100]) + f"<!-- {one(500)} -->" + "".join(body[100:]) + "</formats>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        assert registries._elements(spark, str(plain)).rdd.getNumPartitions() > 4
+        for path in (plain, noted):
+            rows = registries.read_formats(spark, str(path)).orderBy("ord").collect()
+            assert [(r.ord, r.puid, r.name) for r in rows] == [(k, f"p/{k}", f" a </format> {k} ") for k in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
