@@ -20,8 +20,8 @@ and were not compared. Keys of up to CROWD texts compare such pairs directly; th
 that many texts share) meet by a prefix filter that loses no link. Words of a text, each labelled with the number of its
 earlier occurrences, are put in one order, rare ones first. Of n words, at most n - need can be missing in a text it links
 with, so two texts that link share one of their first n - need + 1 words. Texts of different components that meet in such a
-word are compared if their lengths allow a link and they share enough of their first REACH words more: all words they have
-in common are these, and at most those behind.
+word are compared if their lengths allow a link and they have enough words in common, in whatever order: all are counted in
+texts of up to WHOLE words; of longer ones the first ones and REACH more, and all behind these are taken for common.
 The keys' least numbers come from pre-aggregated sums, the joins are plain ones that can be split where a key is hot.
 
 So no pair that meets in a key is left out, but for those that another path already put in one class. What can be missed is
@@ -57,8 +57,8 @@ FEW, MANY = 64, 80
 LEAST_YIELD = 20
 #: Words of a text up to which its deletions are keys.
 SHORT = 14
-#: Members of a key up to which all pairs are compared; buckets of the counts that order words; texts of a cell; entries of a part; the share of words beyond the first ones that are compared before alignment.
-CROWD, BUCKETS, CELL, PART, REACH = 32, 1 << 18, 2000, 50_000, 0.25
+#: Members of a key up to which all pairs are compared; buckets of the counts that order words; texts of a cell; entries of a part; the share of words beyond the first ones that are compared before alignment; words up to which a text has all of them compared; sums of these words.
+CROWD, BUCKETS, CELL, PART, REACH, WHOLE, SUMS = 32, 1 << 18, 2000, 50_000, 0.25, 2048, 256
 #: Buckets whose sums are one row.
 STRIP = 4096
 KEPT_WORDS = 200_000
@@ -321,8 +321,8 @@ def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
 
     A cell is a first word that other texts have, too; a word that more than CELL texts have is dealt out in blocks of
     texts, of which every two meet in a cell. Cells are dealt out to parts, so many that each has about PART entries. rare
-    has two bytes of each of the text's first words and those up to REACH behind them, first has the first words, cells the
-    place of a word among these, its two blocks and the text's own.
+    has two bytes of each of the text's words, of more than WHOLE those up to REACH behind the first ones, first has the first
+    words, cells the place of a word among these, its two blocks and the text's own.
     """
     times = _counts(texts, counts)
     parts = int(times[times > 1].sum()) // PART + 1
@@ -332,7 +332,7 @@ def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
             out: list[list] = [[] for _ in range(7)]
             for tid, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 w = word_hashes(text)
-                rare = _first(w, counts, int(REACH * len(w)))
+                rare = _first(w, counts, max(WHOLE, int(REACH * len(w))))
                 first = rare[: len(w) - needed(len(w)) + 1]
                 n = times[(first % np.uint64(BUCKETS)).astype(np.int64)]
                 at = np.flatnonzero(n > 1)
@@ -356,10 +356,13 @@ def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
 
 def _part_pairs(rows: list[tuple]) -> list[tuple[int, int]]:
     """(larger number, smaller number) of the texts of a part that meet in a cell, each pair in that of the first word they share, if they
-    are in different components and their lengths and rare words allow a link."""
+    are in different components and their lengths and words allow a link."""
     tids, roots, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
     rare, first = [np.frombuffer(r[4], np.uint16) for r in rows], [np.frombuffer(r[5], np.int64) for r in rows]
     behind = n - np.array([len(x) for x in rare])
+    sums = np.zeros((len(rows), SUMS), np.uint16 if n.max() < 1 << 16 else np.int64)
+    for k, x in enumerate(rare):
+        sums[k] = np.bincount(x % SUMS, minlength=SUMS)
     cells = [np.frombuffer(r[6], np.int64).reshape(-1, 4) for r in rows]
     owner = np.repeat(np.arange(len(rows)), [len(c) for c in cells])
     place, low, high, block = np.concatenate(cells).T
@@ -381,7 +384,9 @@ def _part_pairs(rows: list[tuple]) -> list[tuple[int, int]]:
             ok = (np.minimum(n[others], n[x]) >= need) & (roots[others] != roots[x])
             if across:
                 ok &= block[i + 1 : end] != block[i]
-            for k in np.flatnonzero(ok).tolist():
+            at = np.flatnonzero(ok)
+            at = at[np.minimum(sums[others[at]], sums[x]).sum(1, dtype=np.int64) + np.maximum(behind[others[at]], behind[x]) >= need[at]]  # no pair has more in common
+            for k in at.tolist():
                 y = others[k]
                 if before(i).isdisjoint(before(i + 1 + k)) and _in_both(rare[x], rare[y]) + max(behind[x], behind[y]) >= need[k]:
                     out.append((max(tids[x], tids[y]), min(tids[x], tids[y])))

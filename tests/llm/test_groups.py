@@ -33,3 +33,14 @@ def test_every_training_document_counts_in_a_large_corpus(spark, monkeypatch):
     whole = recurrent.fitted(df, vocabulary)
     for k in own:
         assert not np.array_equal(recurrent.fitted(df.where(f"doc_id <> {k}"), vocabulary), whole)
+
+
+def test_texts_that_share_a_rarer_passage_of_half_their_words_are_no_pairs(spark):
+    passage, own = [f"p{j}" for j in range(55)], [[f"s{k}x{j}" for j in range(45)] for k in range(12)]
+    texts = [" ".join(passage + o) for o in own]
+    others = [" ".join(o + [f"u{k}x{m}x{j}" for j in range(300)]) for k, o in enumerate(own) for m in range(15)]  # the passage's words are the rarer ones
+    link = " ".join(passage + own[0][:40] + ["new"] * 5)
+    long = [" ".join(passage * 50 + o * times) for o, times in ((own[0], 20), (own[0], 18), (own[1], 40))]  # more than WHOLE words
+    df = spark.createDataFrame([(k, k, t) for k, t in enumerate([*texts, *others, link, *long])], "tid long, root long, text string")
+    n = len(texts) + len(others)
+    assert sorted((r.pivot, r.tid) for r in near_copies.crowded_pairs(df).collect() if r.tid != n + 3) == [(0, n), (n + 1, n + 2)]
