@@ -1,10 +1,13 @@
 """Large groups: how much is compared in them."""
 
+import os
 import random
+import time
 
 import numpy as np
 
 from bytelore.llm import near_copies, recurrent
+from bytelore.sources.stored import stored
 
 
 def test_a_group_of_near_copies_takes_a_pair_or_two_for_each_text(spark, monkeypatch):
@@ -44,3 +47,16 @@ def test_texts_that_share_a_rarer_passage_of_half_their_words_are_no_pairs(spark
     df = spark.createDataFrame([(k, k, t) for k, t in enumerate([*texts, *others, link, *long])], "tid long, root long, text string")
     n = len(texts) + len(others)
     assert sorted((r.pivot, r.tid) for r in near_copies.crowded_pairs(df).collect() if r.tid != n + 3) == [(0, n), (n + 1, n + 2)]
+
+
+def test_shuffle_files_behind_a_stored_table_are_deleted(spark):
+    spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {x for top in folders for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+    before = files()
+    table = stored(spark.range(1000).repartition(4, "id"))
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
