@@ -45,6 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytelore.llm import common
 from bytelore.llm.common import arrow_batch, bounded, forget, held, mapped, stored, table, text_hash, unused
 
 KMER = 5
@@ -61,6 +62,10 @@ SHORT = 14
 CROWD, BUCKETS, CELL, PART, REACH, WHOLE, SUMS = 32, 1 << 18, 2000, 50_000, 0.25, 2048, 256
 #: Buckets whose sums are one row.
 STRIP = 4096
+#: Bytes of texts' words that are dealt out to parts at once.
+AT_ONCE = 1 << 31
+#: Bits of the field of hashes that texts are passed by before they are moved.
+FIELD = 1 << 23
 KEPT_WORDS = 200_000
 #: Tables of up to SMALL_ROWS short rows are written by one task for each TASK_ROWS; larger ones as they are partitioned.
 SMALL_ROWS, TASK_ROWS = 20_000_000, 200_000
@@ -313,11 +318,11 @@ def _counts(texts: DataFrame, order: np.ndarray | None = None) -> np.ndarray:
     return out.reshape(-1)
 
 
-_DEALT = "part long, tid long, root long, n long, rare binary, first binary, cells binary"
+_DEALT = "tid long, root long, n long, rare binary, first binary, parts array<long>, cells array<binary>"
 
 
 def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Rows of _DEALT: each text in each part in which it can meet another one, with its cells there.
+    """Rows of _DEALT: each text with the parts in which it can meet another one, and its cells in each of them.
 
     A cell is a first word that other texts have, too; a word that more than CELL texts have is dealt out in blocks of
     texts, of which every two meet in a cell. Cells are dealt out to parts, so many that each has about PART entries. rare
@@ -344,12 +349,13 @@ def _first_words(texts: DataFrame, counts: np.ndarray) -> DataFrame:
                 cells = np.stack([at, np.minimum(own, beside), np.maximum(own, beside), own], axis=1)
                 part = (_mixed(first[at] + _A * (cells[:, 1] * 1000003 + cells[:, 2]).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                for own_cells in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                    row = int(part[own_cells[0]]), tid, root, len(w), np.sort(rare.astype(np.uint16)).tobytes(), first.tobytes(), cells[own_cells].tobytes()
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
+                own_cells = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+                row = tid, root, len(w), np.sort(rare.astype(np.uint16)).tobytes(), first.tobytes(), [int(part[c[0]]) for c in own_cells], [cells[c].tobytes() for c in own_cells]
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
             names = [x.split()[0] for x in _DEALT.split(", ")]
-            yield arrow_batch(dict(zip(names, zip(out, [*[pa.int64()] * 4, *[pa.binary()] * 3], strict=True), strict=True)))
+            kinds = [*[pa.int64()] * 3, *[pa.binary()] * 2, pa.list_(pa.int64()), pa.list_(pa.binary())]
+            yield arrow_batch(dict(zip(names, zip(out, kinds, strict=True), strict=True)))
 
     return mapped(texts.select("tid", "root", "text"), run, _DEALT)
 
@@ -415,13 +421,27 @@ def _parts(batches):
 
 
 def crowded_pairs(texts: DataFrame) -> DataFrame:
-    """(tid, pivot) of all texts (tid, root, text) of different roots that can link, each pair once."""
+    """(tid, pivot) of all texts (tid, root, text) of different roots that can link, each pair once.
+
+    A text goes to as many parts as it has cells, if there are many parts. So parts are dealt out in turns, each of about
+    AT_ONCE bytes, and the shuffle files of one turn are gone when the next begins.
+    """
     texts = stored(texts)
     shared = texts.repartition("tid")  # each text takes long, and they lie in few files
-    dealt = _first_words(shared, _counts(texts)).repartition("part").sortWithinPartitions("part")
-    found = stored(mapped(dealt, _parts, "tid long, pivot long"))
+    whole = stored(_first_words(shared, _counts(texts)))
     forget(texts)
-    return found
+    size = F.size("parts").cast("long") * (F.octet_length("rare") + F.octet_length("first")) + F.aggregate("cells", F.lit(0), lambda n, x: n + F.octet_length(x))
+    turns = -(-(whole.agg(F.sum(size)).first()[0] or 0) // AT_ONCE)
+    found = [stored(mapped(_dealt(whole, k, turns), _parts, "tid long, pivot long")) for k in range(max(1, turns))]
+    forget(whole)
+    return _all(found)
+
+
+def _dealt(whole: DataFrame, turn: int, turns: int) -> DataFrame:
+    """(part, tid, root, n, rare, first, cells) of the parts of a turn, a row for each text and part, by part."""
+    own = F.filter(F.arrays_zip("parts", "cells"), lambda x: F.pmod(x["parts"], F.lit(max(1, turns))) == turn)
+    rows = whole.select("tid", "root", "n", "rare", "first", F.explode(own).alias("own")).select("own.parts", *whole.columns[:5], "own.cells")
+    return rows.withColumnRenamed("parts", "part").repartition("part").sortWithinPartitions("part")
 
 
 def _rooted(df: DataFrame, roots: DataFrame | None, column: str, to: str) -> DataFrame:
@@ -492,8 +512,9 @@ def found_links(keyed: DataFrame, kinds: DataFrame, source: DataFrame) -> tuple[
         pairs = met.select("tid", "pivot").distinct()
         if texts is None:  # later rounds only have texts that met in the first
             tids = stored(compact(met.select(F.explode(F.array("tid", "pivot")).alias("tid")).distinct().join(kinds.select("tid", "id", "h"), "tid"), n))
-            same = [F.col("source_id") == F.col("id"), F.col("source_h") == F.col("h")]
-            texts = stored(source.join(bounded(tids, tids.count()), same).select("tid", "text").dropDuplicates(["tid"]))
+            same, n_tids = [F.col("source_id") == F.col("id"), F.col("source_h") == F.col("h")], tids.count()
+            some = source if n_tids <= common.BROADCAST_ROWS else passed(source, "source_h", tids)
+            texts = stored(some.join(bounded(tids, n_tids), same).select("tid", "text").dropDuplicates(["tid"]))
             forget(tids)
         else:
             pairs = pairs.join(_all(judged).select("tid", "pivot"), ["tid", "pivot"], "left_anti")
@@ -519,6 +540,19 @@ def found_links(keyed: DataFrame, kinds: DataFrame, source: DataFrame) -> tuple[
     return roots, [x for x in (texts, *judged, roots) if x is not None]
 
 
+def passed(source: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of the source whose hash in `column` can be one of the wanted ones (h), by a bit field of fixed size: all wanted rows, and few others,
+    so that a join that shuffles need not move them."""
+    place = lambda h: F.xxhash64(h).bitwiseAND(F.lit(FIELD - 1))
+    bits = wanted.select(place("h").alias("at")).groupBy(F.shiftright("at", 6).alias("strip")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits"))
+    field = np.zeros(FIELD // 64, np.int64)
+    strips = bits.toArrow()  # FIELD / 64 rows at most
+    field[strips.column("strip").to_numpy()] = strips.column("bits").to_numpy()
+    at = place(F.col(column))
+    one = F.conv(F.hex(F.substring(F.lit(field.tobytes()), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return source.where(F.getbit(one, (at % 8).cast("int")) == 1)
+
+
 def _least(pairs: DataFrame, roots: DataFrame | None, judged: DataFrame | None) -> DataFrame:
     """One pair of each text, with the least of the texts it met: enough for nearly all of a group of near copies."""
     return pairs.groupBy("tid").agg(F.min("pivot").alias("pivot"))

@@ -5,8 +5,9 @@ import random
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from bytelore.llm import near_copies, recurrent
+from bytelore.llm import common, near_copies, recurrent
 from bytelore.sources.stored import stored
 
 
@@ -60,3 +61,41 @@ def test_shuffle_files_behind_a_stored_table_are_deleted(spark):
         time.sleep(0.1)
     assert not files() - before and table.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def crowd():
+    draw = random.Random(31)
+    base = [[f"w{draw.randrange(400)}" for _ in range(60)] for _ in range(40)]
+    near = [[w if draw.random() > 0.05 else f"v{draw.randrange(400)}" for w in b] for b in base[:20]]
+    return [" ".join(x) for x in base + near]
+
+
+def test_crowded_texts_are_dealt_out_in_turns_of_bounded_size(spark, monkeypatch):
+    df = spark.createDataFrame([(k, k, t) for k, t in enumerate(crowd())], "tid long, root long, text string")
+    monkeypatch.setattr(near_copies, "PART", 50)
+    whole, dealt, turns = sorted(map(tuple, near_copies.crowded_pairs(df).collect())), near_copies._dealt, []
+    assert {(40 + k, k) for k in range(20)} <= set(whole)
+
+    def seen(*given):
+        rows = dealt(*given)
+        turns.append(rows.agg(F.sum(F.octet_length("rare") + F.octet_length("first") + F.octet_length("cells"))).first()[0])
+        return rows
+
+    monkeypatch.setattr(near_copies, "_dealt", seen)
+    monkeypatch.setattr(near_copies, "AT_ONCE", 30_000)
+    assert sorted(map(tuple, near_copies.crowded_pairs(df).collect())) == whole
+    assert len(turns) > 3 and max(turns) < 45_000 and sum(turns) > 100_000
+
+
+def test_joins_that_shuffle_move_few_texts_that_nobody_needs(spark, monkeypatch):
+    source = spark.range(5000).selectExpr("id AS source_id", "unhex(md5(CAST(id AS string))) AS source_h")
+    wanted = source.where("source_id % 10 = 0").selectExpr("source_h AS h")
+    kept = {r.source_id for r in near_copies.passed(source, "source_h", wanted).collect()}
+    assert {k for k in range(5000) if k % 10 == 0} <= kept and len(kept) < 520
+    df = spark.createDataFrame(list(enumerate(crowd())), "doc_id long, text string")
+    usual, sizes = sorted(map(tuple, near_copies.near_classes(df).collect())), []
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    passed = near_copies.passed
+    monkeypatch.setattr(near_copies, "passed", lambda *given: (sizes.append(1), passed(*given))[1])
+    assert sorted(map(tuple, near_copies.near_classes(df).collect())) == usual and sizes
+    assert len({r[1] for r in usual}) == 40
