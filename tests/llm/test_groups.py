@@ -3,6 +3,7 @@
 import os
 import random
 import time
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -99,3 +100,22 @@ def test_joins_that_shuffle_move_few_texts_that_nobody_needs(spark, monkeypatch)
     monkeypatch.setattr(near_copies, "passed", lambda *given: (sizes.append(1), passed(*given))[1])
     assert sorted(map(tuple, near_copies.near_classes(df).collect())) == usual and sizes
     assert len({r[1] for r in usual}) == 40
+
+
+def test_documents_of_a_large_corpus_train_as_often_as_those_of_a_small_one(spark, monkeypatch):
+    draw = random.Random(8)
+    df = spark.createDataFrame([(k, f"t{k} " + " ".join(f"w{draw.randrange(9)}" for _ in range(20))) for k in range(30)], "doc_id long, text string")
+    own, vocabulary = {r.text.encode() for r in df.where(recurrent.training("doc_id")).collect()}, recurrent.counted(df)[1]
+    read, run = Counter(), type(df).mapInArrow
+
+    def spied(frame, *given):
+        if frame.columns == ["text"]:
+            read.update(bytes(r.text) for r in frame.collect())
+        return run(frame, *given)
+
+    monkeypatch.setattr(type(df), "mapInArrow", spied)
+    for least in (recurrent.LEAST_TOKENS, 1):
+        monkeypatch.setattr(recurrent, "LEAST_TOKENS", least)
+        read.clear()
+        recurrent.fitted(df, vocabulary)
+        assert read == dict.fromkeys(own, recurrent.ROUNDS)
